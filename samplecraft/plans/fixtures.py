@@ -93,10 +93,12 @@ def tensors_8x8(emb: DataFrame, eight_bit: bool = False) -> DataFrame:
     return emb.select(F.col("vec_id").alias("key"), make_tensor(F.lit(8), F.lit(8), F.lit(1), data).alias("tensor"))
 
 
-def tensors_4x4x3(emb: DataFrame) -> DataFrame:
+def tensors_4x4x3(emb: DataFrame, eight_bit: bool = False) -> DataFrame:
     """``key, tensor``: the vector read as 4 x 4 x 4 with the fourth channel dropped."""
     data = F.transform(F.sequence(F.lit(0), F.lit(47)),
-                       lambda i: F.element_at("embedding", F.floor(i / 3) * 4 + F.pmod(i, F.lit(3)) + 1))
+                       lambda i: F.element_at("embedding", (F.floor(i / 3) * 4 + F.pmod(i, F.lit(3)) + 1).cast("int")))
+    if eight_bit:
+        data = F.transform(data, lambda v: F.floor((v.cast("double") + 1.0) * 127.5))
     return emb.select(F.col("vec_id").alias("key"), make_tensor(F.lit(4), F.lit(4), F.lit(3), data).alias("tensor"))
 
 

@@ -578,3 +578,136 @@ def q_run_log_scan(spark, sf):
     return (hist.join(runs, "run_id")
                 .select("model", "n_classes", "epochs_asked", "batch_size", "seconds", "epoch",
                         "train_loss", "train_acc", "val_loss", "val_acc"))
+
+
+# ------------------------------------------------------------------- tensors
+
+from ..functions import tensor as TX  # noqa: E402
+from ..operators import tensors as T  # noqa: E402
+
+
+def explode_tensor(df: DataFrame, tensor_col: str = "tensor") -> DataFrame:
+    """``(key, i, value)`` with values as doubles rounded to 6 decimals."""
+    return (df.select("key", F.posexplode(F.col(tensor_col)["data"]).alias("i", "v"))
+              .select("key", F.col("i").cast("int").alias("i"), r6(F.col("v").cast("double")).alias("value")))
+
+
+def _u_sql(tag: str, epoch: int = 1) -> str:
+    return (f"(CAST(('0x' || substr(md5('42:' || CAST(vec_id AS VARCHAR) || ':{epoch}:{tag}'), 1, 8)) AS BIGINT)"
+            " / CAST(4294967296.0 AS DOUBLE))")
+
+
+_EMB_4x4x3 = "embedding[(i // 3) * 4 + i % 3 + 1]"
+_MEAN_C = ("CASE i % 3 WHEN 0 THEN CAST(0.485 AS DOUBLE) WHEN 1 THEN CAST(0.456 AS DOUBLE) "
+           "ELSE CAST(0.406 AS DOUBLE) END")
+_STD_C = ("CASE i % 3 WHEN 0 THEN CAST(0.229 AS DOUBLE) WHEN 1 THEN CAST(0.224 AS DOUBLE) "
+          "ELSE CAST(0.225 AS DOUBLE) END")
+
+
+def _r6f(expr: str) -> str:
+    return f"round(CAST(CAST({expr} AS FLOAT) AS DOUBLE), 6)"
+
+
+@register("tensor_unit", f"""
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       {_r6f("CAST(CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 127.5) AS FLOAT) AS DOUBLE) / CAST(255.0 AS DOUBLE)")} AS value
+FROM embeddings, range(64) t(i)""")
+def q_tensor_unit(spark, sf):
+    t = X.tensors_8x8(X.embeddings(spark, sf), eight_bit=True)
+    return explode_tensor(t.select("key", TX.to_unit("tensor").alias("tensor")))
+
+
+@register("tensor_normalize", f"""
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       {_r6f(f"(CAST({_EMB_4x4x3} AS DOUBLE) - {_MEAN_C}) / {_STD_C}")} AS value
+FROM embeddings, range(48) t(i)""")
+def q_tensor_normalize(spark, sf):
+    t = X.tensors_4x4x3(X.embeddings(spark, sf))
+    return explode_tensor(t.select("key", TX.normalize("tensor").alias("tensor")))
+
+
+@register("tensor_denormalize", f"""
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       {_r6f(f"least(greatest({_STD_C} * CAST({_EMB_4x4x3} AS DOUBLE) + {_MEAN_C}, CAST(0.0 AS DOUBLE)), CAST(1.0 AS DOUBLE))")} AS value
+FROM embeddings, range(48) t(i)""")
+def q_tensor_denormalize(spark, sf):
+    t = X.tensors_4x4x3(X.embeddings(spark, sf))
+    return explode_tensor(t.select("key", TX.denormalize("tensor").alias("tensor")))
+
+
+@register("tensor_hflip", f"""
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       round(CAST(CASE WHEN {_u_sql("flip")} < CAST(0.5 AS DOUBLE)
+                       THEN embedding[((i // 12) * 4 + 3 - (i % 12) // 3) * 4 + i % 3 + 1]
+                       ELSE {_EMB_4x4x3} END AS DOUBLE), 6) AS value
+FROM embeddings, range(48) t(i)""")
+def q_tensor_hflip(spark, sf):
+    t = X.tensors_4x4x3(X.embeddings(spark, sf))
+    return explode_tensor(T.apply_step(t, T.random_hflip(0.5, X.SEED, 1, "key")))
+
+
+def _block_mean_sql(src: str, width: int, channels: int) -> str:
+    """Bilinear 2x downscale of one output element ``i`` (weights 0.5 / 0.5)."""
+    ow = width // 2
+    pos = f"(i // {channels})"
+    y, x, c = f"({pos} // {ow})", f"({pos} % {ow})", f"(i % {channels})"
+    def at(dy, dx):
+        return src.format(j=f"(((2 * {y} + {dy}) * {width} + 2 * {x} + {dx}) * {channels} + {c})")
+    top = f"({at(0, 0)} * 0.5 + {at(0, 1)} * 0.5)"
+    bottom = f"({at(1, 0)} * 0.5 + {at(1, 1)} * 0.5)"
+    return f"({top} * 0.5 + {bottom} * 0.5)"
+
+
+@register("tensor_resize", f"""
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       {_r6f(_block_mean_sql("CAST(embedding[{j} + 1] AS DOUBLE)", 8, 1))} AS value
+FROM embeddings, range(16) t(i)""")
+def q_tensor_resize(spark, sf):
+    t = X.tensors_8x8(X.embeddings(spark, sf))
+    return explode_tensor(T.apply_step(t, T.resize(4, 4)))
+
+
+@register("tensor_rotate", """
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       round(CAST(embedding[(i % 8) * 8 + 7 - i // 8 + 1] AS DOUBLE), 6) AS value
+FROM embeddings, range(64) t(i)""")
+def q_tensor_rotate(spark, sf):
+    t = X.tensors_8x8(X.embeddings(spark, sf))
+    return explode_tensor(T.apply_step(t, T.rotate(90.0)))
+
+
+@register("tensor_jitter", f"""
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       {_r6f("least(greatest(CAST(CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 127.5) AS FLOAT) AS DOUBLE) * (CAST(0.8 AS DOUBLE) + " + _u_sql("brightness") + " * (CAST(1.2 AS DOUBLE) - CAST(0.8 AS DOUBLE))), CAST(0.0 AS DOUBLE)), CAST(255.0 AS DOUBLE))")} AS value
+FROM embeddings, range(64) t(i)""")
+def q_tensor_jitter(spark, sf):
+    t = X.tensors_8x8(X.embeddings(spark, sf), eight_bit=True)
+    return explode_tensor(T.apply_step(t, T.color_jitter(0.2, 0.0, 0.0, X.SEED, 1, "key")))
+
+
+@register("tensor_crop")
+def q_tensor_crop(spark, sf):
+    t = X.tensors_8x8(X.embeddings(spark, sf))
+    out = T.apply_step(t, T.random_resized_crop(4, seed=X.SEED, epoch=1, key="key"))
+    return out.select("key", F.col("tensor.height").alias("height"), F.col("tensor.width").alias("width"),
+                      F.col("tensor.channels").alias("channels"), F.col("tensor.data").alias("data"))
+
+
+_EMB8_4x4x3 = "CAST(CAST(floor((CAST(embedding[({j} // 3) * 4 + {j} % 3 + 1] AS DOUBLE) + 1) * 127.5) AS FLOAT) AS DOUBLE)"
+
+
+@register("pipeline_eval", f"""
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       {_r6f(f"({_block_mean_sql(_EMB8_4x4x3, 4, 3)} / CAST(255.0 AS DOUBLE) - {_MEAN_C}) / {_STD_C}")} AS value
+FROM embeddings, range(12) t(i)""")
+def q_pipeline_eval(spark, sf):
+    t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
+    return explode_tensor(T.pipeline(t, T.eval_preset(2)))
+
+
+@register("pipeline_train")
+def q_pipeline_train(spark, sf):
+    t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
+    out = T.pipeline(t, T.train_preset(4, seed=X.SEED, epoch=1, key="key"))
+    return out.select("key", F.col("tensor.height").alias("height"), F.col("tensor.width").alias("width"),
+                      F.col("tensor.channels").alias("channels"), F.col("tensor.data").alias("data"))
