@@ -711,3 +711,54 @@ def q_pipeline_train(spark, sf):
     out = T.pipeline(t, T.train_preset(4, seed=X.SEED, epoch=1, key="key"))
     return out.select("key", F.col("tensor.height").alias("height"), F.col("tensor.width").alias("width"),
                       F.col("tensor.channels").alias("channels"), F.col("tensor.data").alias("data"))
+
+
+# ------------------------------------------------------- heads and images
+
+from ..operators import head as HD  # noqa: E402
+from ..sources import images as IMG  # noqa: E402
+
+
+def _features(spark, sf):
+    emb = X.embeddings(spark, sf)
+    return emb.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"),
+                      F.col("label").cast("int").alias("label_idx"))
+
+
+@register("fit_head")
+def q_fit_head(spark, sf):
+    feats = _features(spark, sf)
+    test = X.is_test_split(F.col("id"))
+    res = HD.fit_head(feats.where(~test), feats.where(test), X.N_LOGITS,
+                      opts=HD.HeadOptions(epochs=5, steps_per_epoch=2, run_id="embeddings"))
+    return res.history
+
+
+@register("head_roundtrip", """
+WITH long AS (SELECT CAST(label AS INTEGER) AS class_idx, j, CAST(embedding[j + 1] AS DOUBLE) AS x
+              FROM embeddings, range(64) t(j)),
+means AS (SELECT class_idx, j, avg(x) AS w FROM long GROUP BY 1, 2),
+b AS (SELECT class_idx, -0.5 * sum(w * w) AS bias FROM means GROUP BY 1)
+SELECT 'centroid' AS run_id, 'final' AS kind, m.class_idx, round(b.bias, 6) AS bias,
+       CAST(m.j AS INTEGER) AS j, round(m.w, 6) AS w
+FROM means m JOIN b ON b.class_idx = m.class_idx""")
+def q_head_roundtrip(spark, sf):
+    path = scratch_path(spark, "head")
+    SRC.write_head(HD.centroid_head(_features(spark, sf)), path)
+    back = SRC.read_head(spark, path, run_id="centroid", kind="final")
+    return back.select("run_id", "kind", "class_idx", r6(F.col("bias")).alias("bias"),
+                       F.posexplode("weights").alias("j", "w")).select(
+        "run_id", "kind", "class_idx", "bias", F.col("j").cast("int").alias("j"), r6(F.col("w")).alias("w"))
+
+
+@register("image_scan", """
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       round(CAST(CAST(floor((CAST(embedding[i // 3 + 1] AS DOUBLE) + 1) * 127.5) AS FLOAT) AS DOUBLE), 6) AS value
+FROM embeddings, range(192) t(i)""")
+def q_image_scan(spark, sf):
+    folder = scratch_path(spark, "images")
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+    IMG.write_png_files(X.tensors_8x8(X.embeddings(spark, sf), eight_bit=True), local)
+    imgs = IMG.scan_images(spark, folder, invalid="flag")
+    keyed = imgs.select(F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("key"), "tensor")
+    return explode_tensor(keyed)
