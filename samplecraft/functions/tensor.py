@@ -30,7 +30,8 @@ def make_tensor(height, width, channels, data) -> Column:
 
 
 def _with_data(t: Column, data: Column) -> Column:
-    return make_tensor(t["height"], t["width"], t["channels"], data)
+    """Same shape, new data; a NULL tensor stays NULL."""
+    return F.when(t.isNotNull(), make_tensor(t["height"], t["width"], t["channels"], data))
 
 
 def to_unit(tensor) -> Column:

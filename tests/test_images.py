@@ -1,0 +1,26 @@
+import os
+import tempfile
+
+import numpy as np
+
+from samplecraft.sources import images as IMG
+
+
+def test_scan_png_gray_rgb_and_junk(spark):
+    d = tempfile.mkdtemp(prefix="images-test-")
+    gray = np.array([[0, 50], [100, 255]], dtype=np.uint8)
+    rgb = np.arange(4 * 4 * 3, dtype=np.uint8).reshape(4, 4, 3)
+    with open(os.path.join(d, "g.png"), "wb") as fh:
+        fh.write(IMG.png_bytes(gray))
+    with open(os.path.join(d, "c.png"), "wb") as fh:
+        fh.write(IMG.png_bytes(rgb))
+    with open(os.path.join(d, "junk.png"), "wb") as fh:
+        fh.write(b"not an image")
+    dropped = {os.path.basename(r.path): r.tensor for r in IMG.scan_images(spark, d, "drop").collect()}
+    assert set(dropped) == {"g.png", "c.png"}
+    g = np.array(dropped["g.png"].data).reshape(2, 2, 3)
+    assert np.array_equal(g[..., 0], gray) and np.array_equal(g[..., 2], gray)
+    c = np.array(dropped["c.png"].data).reshape(4, 4, 3)
+    assert np.array_equal(c, rgb)  # RGB order restored
+    flagged = {os.path.basename(r.path): r.tensor for r in IMG.scan_images(spark, d, "flag").collect()}
+    assert flagged["junk.png"] is None and flagged["c.png"] is not None

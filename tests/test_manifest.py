@@ -1,0 +1,78 @@
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from samplecraft.operators import manifest as M
+from samplecraft.sources import metadata as SRC
+from samplecraft.session import scratch_path
+
+
+def lines_df(spark, lines):
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+def test_scan_manifest_strips_and_drops_blank(spark):
+    d = tempfile.mkdtemp(prefix="manifest-test-")
+    with open(os.path.join(d, "train.txt"), "w") as fh:
+        fh.write("pizza/1\t\n\n   \n  sushi/2 \r\n\u00a0ramen/3\n")
+    got = sorted(r.value for r in SRC.scan_manifest(spark, d).collect())
+    assert got == ["pizza/1", "ramen/3", "sushi/2"]
+
+
+def test_parse_edge_cases(spark):
+    df = lines_df(spark, ["pizza/1", "nolabel", "a/b/c", "x\\y", "/abs/3"])
+    got = {r.label: r.image_path for r in M.parse_manifest(df, "/root/images").collect()}
+    assert got == {
+        "pizza": "/root/images/pizza/1.jpg",
+        "nolabel": "/root/images/nolabel.jpg",
+        "a": "/root/images/a/b/c.jpg",
+        "x\\y": "/root/images/x/y.jpg",   # label cut before the slash fix
+    }
+    rejects = M.parse_manifest(df, "/root/images", rejects=True).collect()
+    assert [r.label for r in rejects] == [""]
+
+
+def test_root_with_trailing_slash_and_backslash(spark):
+    df = lines_df(spark, ["c/1"])
+    assert M.parse_manifest(df, "C:\\data\\").first().image_path == "C:/data/c/1.jpg"
+    assert M.parse_manifest(df, "/d/").first().image_path == "/d/c/1.jpg"
+
+
+def test_filter_classes_empty_means_all_and_quotes_are_safe(spark):
+    df = spark.createDataFrame([("a", "x"), ("b'q", "y"), ("c", "z")], "label string, v string")
+    assert M.filter_classes(df, []).count() == 3
+    assert M.filter_classes(df, None).count() == 3
+    assert [r.label for r in M.filter_classes(df, ["b'q"]).collect()] == ["b'q"]
+    keys = spark.createDataFrame([("a",), ("c",)], "l string")
+    assert sorted(r.label for r in M.filter_classes(df, keys).collect()) == ["a", "c"]
+    many = [f"k{i}" for i in range(2000)] + ["a"]
+    assert [r.label for r in M.filter_classes(df, many).collect()] == ["a"]
+
+
+def test_combine_keeps_duplicates_and_stats(spark):
+    a = M.tag_split(spark.createDataFrame([("p1", "a"), ("p1", "a")], "image_path string, label string"), "train")
+    b = M.tag_split(spark.createDataFrame([("p2", "b")], "image_path string, label string"), "test")
+    u = M.combine_splits(a, b)
+    assert u.columns == ["image_path", "label", "dataset_type"]
+    assert u.count() == 3
+    stats = {(r.dataset_type, r.is_total): (r.n_rows, r.n_classes) for r in M.dataset_stats(u).collect()}
+    assert stats == {("train", False): (2, 1), ("test", False): (1, 1), (None, True): (3, 2)}
+
+
+def test_metadata_roundtrip_prunes_partitions(spark):
+    df = M.combine_splits(
+        M.tag_split(spark.createDataFrame([("p1", "a")], "image_path string, label string"), "train"),
+        M.tag_split(spark.createDataFrame([("p2", "b")], "image_path string, label string"), "test"))
+    path = scratch_path(spark, "meta-test")
+    SRC.write_metadata(df, path)
+    SRC.write_metadata(df, path)  # overwrite, not append
+    scan = SRC.read_metadata(spark, path, split="test")
+    assert [tuple(r) for r in scan.collect()] == [("p2", "b")]
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "dataset_type" in plan
+
+
+def test_preview_is_ordered_top_n(spark):
+    df = spark.range(100).select(F.col("id").cast("string").alias("k"))
+    assert [r.k for r in M.preview(df, 3).collect()] == ["0", "1", "10"]
