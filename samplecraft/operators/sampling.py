@@ -56,26 +56,56 @@ def dense_index(df: DataFrame, order: Sequence, index_col: str = "row_idx") -> D
                       (F.col("__off") + F.col("__pos")).cast("long").alias(index_col))
 
 
-def _batches(df: DataFrame, order: Sequence, size: int) -> DataFrame:
+def hash_order_index(df: DataFrame, hash_col, key: str, index_col: str = "row_idx",
+                     prefix_digits: int = 4) -> DataFrame:
+    """Dense 0-based rank of rows ordered by (hex ``hash_col``, ``key``), for uniform hashes.
+
+    The first ``prefix_digits`` hex digits cut the order into 16^digits
+    buckets of near-equal size (the hash is uniform and ``key`` is unique).
+    One light scan counts rows per bucket (partial aggregation, one row per
+    bucket); running sums over that bounded table give bucket offsets, which
+    are broadcast (at most 16^digits rows).  The rows themselves take one
+    shuffle by bucket and a ``row_number`` within their bucket: no global
+    sort, no single-task window, no checkpoint.
+    """
+    if not 1 <= prefix_digits <= 5:
+        raise ValueError("prefix_digits must be 1..5")
+    h = df.withColumn("__h", hash_col)
+    bucket = F.conv(F.substring("__h", 1, prefix_digits), 16, 10).cast("int")
+    h = h.withColumn("__b", bucket)
+    counts = h.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(
+        "__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+                          F.lit(0)).alias("__off"))
+    ranked = h.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1)
+    out = ranked.join(F.broadcast(offsets), "__b")
+    return out.select(*[F.col(c) for c in df.columns],
+                      (F.col("__off") + F.col("__r")).cast("long").alias(index_col))
+
+
+def _with_batch(df: DataFrame, size: int) -> DataFrame:
     if size <= 0:
         raise ValueError("batch size must be positive")
-    out = dense_index(df, order)
-    return out.withColumn("batch_id", F.floor(F.col("row_idx") / F.lit(size)).cast("long"))
+    return df.withColumn("batch_id", F.floor(F.col("row_idx") / F.lit(size)).cast("long"))
 
 
 def shuffle_batches(df: DataFrame, size: int, seed: int = 42, epoch: int = 0,
                     key: str = "id") -> DataFrame:
     """A new seeded order per epoch, ``row_idx`` and ``batch_id = row_idx div size``.
 
-    Order = ``md5('<seed>:<epoch>:<key>')`` then key; the last partial batch is kept.
+    Order = ``md5('<seed>:<epoch>:<key>')`` then key (``key`` unique per row);
+    the last partial batch is kept.
     """
-    order = [order_hash(seed, F.lit(epoch), key), F.col(key)]
-    return _batches(df, order, size)
+    if size <= 0:
+        raise ValueError("batch size must be positive")
+    return _with_batch(hash_order_index(df, order_hash(seed, F.lit(epoch), key), key), size)
 
 
 def sequential_batches(df: DataFrame, size: int, key: str = "id") -> DataFrame:
     """Batches in key order (the stored order made explicit)."""
-    return _batches(df, [F.col(key)], size)
+    if size <= 0:
+        raise ValueError("batch size must be positive")
+    return _with_batch(dense_index(df, [F.col(key)]), size)
 
 
 def fetch_rows(df: DataFrame, indices, index_col: str = "row_idx") -> DataFrame:
