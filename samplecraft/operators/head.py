@@ -18,6 +18,7 @@ the weights before the update).
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import HEAD, HISTORY
+from ..schemas import HEAD, HISTORY, RUNS
 
 MAX_HEAD_PARAMS = 50_000_000
 
@@ -53,52 +54,79 @@ class FitResult:
     head: DataFrame      # M12 rows, kind 'best' and 'final'
     weights: np.ndarray  # final (C, D)
     bias: np.ndarray     # final (C,)
+    run: DataFrame       # one ``runs`` row: model, classes, epochs asked, seconds
 
 
 def _sums_kernel(weights: np.ndarray, bias: np.ndarray, features_col: str, label_col: str, with_grad: bool):
-    """Per-partition sums: gradient (C x D then C), loss, correct, n as (pos, value) rows."""
+    """Per-partition sums as ``(pos, value)`` rows.
+
+    pos 0..K-1: gradient of the summed loss over training rows (C x D weights,
+    then C biases); -1/-2/-3: loss sum, correct count, rows of training rows;
+    -4/-5/-6: the same for validation rows (``__val`` true), which add no
+    gradient.
+    """
     n_classes, dim = weights.shape
     k_grad = n_classes * dim + n_classes if with_grad else 0
 
     def run(batches):
         g_w = np.zeros((n_classes, dim))
         g_b = np.zeros(n_classes)
-        loss_sum, correct, n = 0.0, 0, 0
+        tot = np.zeros(6)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             feats = rb.column(rb.schema.get_field_index(features_col))
             x = feats.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim)
             y = rb.column(rb.schema.get_field_index(label_col)).to_numpy(zero_copy_only=False).astype(np.int64)
+            vi = rb.schema.get_field_index("__val")
+            is_val = (np.asarray(rb.column(vi).to_numpy(zero_copy_only=False), dtype=bool) if vi >= 0
+                      else np.zeros(rb.num_rows, dtype=bool))
             z = x @ weights.T + bias
             m = z.max(axis=1, keepdims=True)
             e = np.exp(z - m)
             s = e.sum(axis=1, keepdims=True)
             rows = np.arange(len(y))
-            loss_sum += float(np.sum(np.log(s[:, 0]) + m[:, 0] - z[rows, y]))
-            correct += int(np.sum(np.argmax(z, axis=1) == y))
-            n += len(y)
-            if with_grad:
-                p = e / s
-                p[rows, y] -= 1.0
-                g_w += p.T @ x
+            loss = np.log(s[:, 0]) + m[:, 0] - z[rows, y]
+            hit = np.argmax(z, axis=1) == y
+            for j, mask in enumerate((~is_val, is_val)):
+                tot[3 * j] += float(loss[mask].sum())
+                tot[3 * j + 1] += float(hit[mask].sum())
+                tot[3 * j + 2] += float(mask.sum())
+            if with_grad and (~is_val).any():
+                p = (e / s)[~is_val]
+                p[np.arange(p.shape[0]), y[~is_val]] -= 1.0
+                g_w += p.T @ x[~is_val]
                 g_b += p.sum(axis=0)
         vals = np.concatenate([g_w.reshape(-1), g_b]) if with_grad else np.zeros(0)
-        vals = np.concatenate([vals, [loss_sum, float(correct), float(n)]])
-        pos = np.arange(len(vals), dtype=np.int64)
-        pos[-3:] = [-1, -2, -3]
+        vals = np.concatenate([vals, tot])
+        pos = np.concatenate([np.arange(k_grad, dtype=np.int64), np.array([-1, -2, -3, -4, -5, -6])])
         yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(vals, pa.float64())], names=["pos", "value"])
 
     return run, k_grad
 
 
-def _sums(df: DataFrame, weights, bias, features_col, label_col, with_grad):
+@dataclass
+class _Sums:
+    grad: np.ndarray
+    loss: float
+    correct: int
+    n: int
+    val_loss: float
+    val_correct: int
+    val_n: int
+
+
+def _sums(df: DataFrame, weights, bias, features_col, label_col, with_grad) -> _Sums:
+    """One Spark job: per-partition sums, added up by ``groupBy(pos)`` (partial
+    aggregation first); only K + 6 numbers reach the driver."""
     fn, k = _sums_kernel(weights, bias, features_col, label_col, with_grad)
-    parts = df.select(features_col, label_col).mapInArrow(fn, "pos long, value double")
+    cols = [features_col, label_col] + (["__val"] if "__val" in df.columns else [])
+    parts = df.select(*cols).mapInArrow(fn, "pos long, value double")
     rows = parts.groupBy("pos").agg(F.sum("value").alias("value")).collect()
     got = {r["pos"]: r["value"] for r in rows}
     grad = np.array([got.get(i, 0.0) for i in range(k)])
-    return grad, got.get(-1, 0.0), int(got.get(-2, 0)), int(got.get(-3, 0))
+    return _Sums(grad, got.get(-1, 0.0), int(got.get(-2, 0)), int(got.get(-3, 0)),
+                 got.get(-4, 0.0), int(got.get(-5, 0)), int(got.get(-6, 0)))
 
 
 def _check_features(df: DataFrame, features_col: str) -> int:
@@ -109,14 +137,24 @@ def _check_features(df: DataFrame, features_col: str) -> int:
 
 
 def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str = "features",
-             label_col: str = "label_idx", key: str = "id", opts: HeadOptions | None = None) -> FitResult:
-    """Train the head; returns per-epoch history and the best / final heads."""
+             label_col: str = "label_idx", key: str = "id", opts: HeadOptions | None = None,
+             model: str = "linear-head") -> FitResult:
+    """Train the head; returns per-epoch history, the best / final heads and a run row.
+
+    Validation of epoch e and the first step of epoch e + 1 use the same
+    weights, so they share one Spark job; if epoch e stops the run, that
+    step's gradient is simply not applied.
+    """
     opts = opts or HeadOptions()
     spark = train.sparkSession
+    started = time.time()
     tr = train.where(F.col(label_col).isNotNull()).select(
-        key, F.col(features_col).cast("array<double>").alias(features_col), F.col(label_col).cast("int").alias(label_col))
+        key, F.col(features_col).cast("array<double>").alias(features_col),
+        F.col(label_col).cast("int").alias(label_col), F.lit(False).alias("__val"))
     va = val.where(F.col(label_col).isNotNull()).select(
-        F.col(features_col).cast("array<double>").alias(features_col), F.col(label_col).cast("int").alias(label_col))
+        F.lit(None).cast(tr.schema[key].dataType).alias(key),
+        F.col(features_col).cast("array<double>").alias(features_col),
+        F.col(label_col).cast("int").alias(label_col), F.lit(True).alias("__val"))
     dim = _check_features(tr, features_col)
     if n_classes * (dim + 1) > MAX_HEAD_PARAMS:
         raise ValueError("head too large for driver-side updates")
@@ -136,34 +174,23 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     best_w, best_b = None, None
     history = []
     k = max(1, int(opts.steps_per_epoch))
+    totals = [0.0, 0, 0]
 
-    for epoch in range(1, opts.epochs + 1):
-        loss_tot, corr_tot, n_tot = 0.0, 0, 0
-        for step in range(k):
-            part = tr if k == 1 else tr.where(
-                F.pmod(F.xxhash64(F.lit(opts.seed), F.lit(epoch), F.col(key)), F.lit(k)) == step)
-            grad, loss_sum, correct, n = _sums(part, w, b, features_col, label_col, True)
-            if n == 0:
-                continue
-            loss_tot, corr_tot, n_tot = loss_tot + loss_sum, corr_tot + correct, n_tot + n
-            params = np.concatenate([w.reshape(-1), b])
-            g = grad / n + opts.weight_decay * params
-            t += 1
-            m = b1 * m + (1 - b1) * g
-            v = b2 * v + (1 - b2) * g * g
-            m_hat = m / (1 - b1 ** t)
-            v_hat = v / (1 - b2 ** t)
-            params = params - lr * m_hat / (np.sqrt(v_hat) + opts.adam_eps)
-            w = params[: n_classes * dim].reshape(n_classes, dim)
-            b = params[n_classes * dim:]
-        _, vloss, vcorr, vn = _sums(va, w, b, features_col, label_col, False)
-        val_loss = vloss / vn if vn else float("nan")
-        row = dict(run_id=opts.run_id, epoch=epoch,
-                   train_loss=loss_tot / n_tot if n_tot else None,
-                   train_acc=corr_tot / n_tot if n_tot else None,
-                   val_loss=val_loss if vn else None, val_acc=vcorr / vn if vn else None, lr=lr)
-        # plateau schedule (same rule as operators.history.plateau_lr)
-        if opts.plateau_factor is not None:
+    def batch(epoch, step):
+        if k == 1:
+            return tr
+        return tr.where(F.pmod(F.xxhash64(F.lit(opts.seed), F.lit(epoch), F.col(key)), F.lit(k)) == step)
+
+    def close_epoch(epoch, sums) -> bool:
+        """Record epoch ``epoch`` from its validation sums; True = stop training."""
+        nonlocal lr, best, bad, plateau_best, plateau_bad, best_w, best_b
+        vn = sums.val_n
+        val_loss = sums.val_loss / vn if vn else float("nan")
+        ltot, ctot, ntot = totals
+        row = dict(run_id=opts.run_id, epoch=epoch, train_loss=ltot / ntot if ntot else None,
+                   train_acc=ctot / ntot if ntot else None, val_loss=val_loss if vn else None,
+                   val_acc=sums.val_correct / vn if vn else None, lr=lr)
+        if opts.plateau_factor is not None:  # same rule as operators.history.plateau_lr
             if val_loss < plateau_best * (1.0 - opts.plateau_threshold):
                 plateau_best, plateau_bad = val_loss, 0
             else:
@@ -179,12 +206,45 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         if improved:
             best, bad = val_loss, 0
             best_w, best_b = w.copy(), b.copy()
-        else:
-            bad += 1
-            if opts.patience is not None and bad >= opts.patience:
-                break
+            return False
+        bad += 1
+        return opts.patience is not None and bad >= opts.patience
+
+    stopped = False
+    for epoch in range(1, opts.epochs + 1):
+        for step in range(k):
+            part = batch(epoch, step)
+            if step == 0 and epoch > 1:
+                sums = _sums(part.unionByName(va), w, b, features_col, label_col, True)
+                stopped = close_epoch(epoch - 1, sums)
+                if stopped:
+                    break
+            else:
+                sums = _sums(part, w, b, features_col, label_col, True)
+            if step == 0:
+                totals[:] = [0.0, 0, 0]
+            if sums.n == 0:
+                continue
+            totals[0] += sums.loss
+            totals[1] += sums.correct
+            totals[2] += sums.n
+            params = np.concatenate([w.reshape(-1), b])
+            g = sums.grad / sums.n + opts.weight_decay * params
+            t += 1
+            m = b1 * m + (1 - b1) * g
+            v = b2 * v + (1 - b2) * g * g
+            m_hat = m / (1 - b1 ** t)
+            v_hat = v / (1 - b2 ** t)
+            params = params - lr * m_hat / (np.sqrt(v_hat) + opts.adam_eps)
+            w = params[: n_classes * dim].reshape(n_classes, dim)
+            b = params[n_classes * dim:]
+        if stopped:
+            break
+    if not stopped and opts.epochs >= 1:
+        close_epoch(len(history) + 1, _sums(va, w, b, features_col, label_col, False))
     tr.unpersist()
     va.unpersist()
+    seconds = round(time.time() - started, 2)  # F8: elapsed wall-clock, 2 decimals
 
     hist_schema = T.StructType(HISTORY.fields + [T.StructField("lr", T.DoubleType()),
                                                  T.StructField("improved", T.BooleanType())])
@@ -197,7 +257,8 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             continue
         head_rows += [(opts.run_id, kind, c, float(hb[c]), [float(x) for x in hw[c]]) for c in range(n_classes)]
     head_df = spark.createDataFrame(head_rows, HEAD)
-    return FitResult(hist_df, head_df, w, b)
+    run_df = spark.createDataFrame([(opts.run_id, model, n_classes, opts.epochs, None, seconds)], RUNS)
+    return FitResult(hist_df, head_df, w, b, run_df)
 
 
 def head_arrays(head: DataFrame, run_id: str, kind: str):
