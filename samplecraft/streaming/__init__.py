@@ -1,0 +1,8 @@
+"""Streaming: none.
+
+The pipeline this library re-creates has no unbounded source, watermark,
+window, state or late-data rule, so there is nothing to express with
+Structured Streaming.  Every operator here is a batch DataFrame function;
+a streaming caller can still apply the stateless ones (parsing, scoring,
+tensor steps) inside ``foreachBatch``.
+"""
