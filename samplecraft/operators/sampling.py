@@ -1,18 +1,20 @@
 """Seeded sampling, dense row index and mini-batches.
 
 Randomness is an md5 order key (see ``functions.draws``), so results do not
-depend on partitioning.  The dense index never pulls the table into one task:
-the frame is range-sorted across all partitions, materialised once with a
-reliable checkpoint, then every row gets ``partition offset + position``,
-where the offsets come from a table with one row per partition.
+depend on partitioning.  A dense index never pulls the table into one task:
+rows are ranked inside buckets that are monotone in the order (hash prefix
+for D1, equal-width key ranges for numeric keys in D2) and shifted by
+broadcast bucket offsets; any other order is range-sorted, materialised once
+with a reliable checkpoint, and shifted by per-partition offsets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.draws import order_hash
 from ..session import ensure_checkpoint_dir
@@ -56,36 +58,62 @@ def dense_index(df: DataFrame, order: Sequence, index_col: str = "row_idx") -> D
                       (F.col("__off") + F.col("__pos")).cast("long").alias(index_col))
 
 
+def bucketed_index(df: DataFrame, bucket: Column, order: Sequence[Column], max_buckets: int,
+                   index_col: str = "row_idx") -> DataFrame:
+    """Dense 0-based rank by ``order``, given a ``bucket`` that is monotone in that order.
+
+    One light scan counts rows per bucket (partial aggregation, at most
+    ``max_buckets`` rows); running sums over that bounded table are broadcast
+    as bucket offsets.  The rows take one shuffle by bucket and a
+    ``row_number`` inside their bucket: no global sort, no single-task
+    window over the data, no checkpoint.
+    """
+    h = df.withColumn("__b", F.coalesce(bucket.cast("int"), F.lit(0)))  # non-null: no re-evaluated filter
+    counts = h.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(
+        "__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+                          F.lit(0)).alias("__off"))
+    ranked = h.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
+    out = ranked.join(F.broadcast(offsets), "__b")  # <= max_buckets rows by construction
+    keep = [c for c in df.columns if not c.startswith("__")]
+    return out.select(*[F.col(c) for c in keep], (F.col("__off") + F.col("__r")).cast("long").alias(index_col))
+
+
 def hash_order_index(df: DataFrame, hash_col, key: str, index_col: str = "row_idx",
                      prefix_digits: int = 4) -> DataFrame:
-    """Dense 0-based rank of rows ordered by (hex ``hash_col``, ``key``), for uniform hashes.
+    """Dense rank by (hex hash, key) for a uniform hash and a unique key.
 
     The first ``prefix_digits`` hex digits cut the order into 16^digits
-    buckets of near-equal size (the hash is uniform and ``key`` is unique).
-    One light scan counts rows per bucket (partial aggregation, one row per
-    bucket); running sums over that bounded table give bucket offsets, which
-    are broadcast (at most 16^digits rows).  The rows themselves take one
-    shuffle by bucket and a ``row_number`` within their bucket: no global
-    sort, no single-task window, no checkpoint.
+    buckets of near-equal size.
     """
     if not 1 <= prefix_digits <= 5:
         raise ValueError("prefix_digits must be 1..5")
     h = df.withColumn("__h", hash_col)
-    bucket = F.conv(F.substring("__h", 1, prefix_digits), 16, 10).cast("int")
-    h = h.withColumn("__b", bucket)
-    counts = h.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-                          F.lit(0)).alias("__off"))
-    ranked = h.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1)
-    out = ranked.join(F.broadcast(offsets), "__b")
-    return out.select(*[F.col(c) for c in df.columns],
-                      (F.col("__off") + F.col("__r")).cast("long").alias(index_col))
+    bucket = F.conv(F.substring("__h", 1, prefix_digits), 16, 10)
+    return bucketed_index(h, bucket, [F.col("__h"), F.col(key)], 16 ** prefix_digits, index_col)
+
+
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def key_order_index(df: DataFrame, key: str, index_col: str = "row_idx", n_buckets: int = 65536) -> DataFrame:
+    """Dense rank by ``key``.
+
+    Numeric keys: equal-width buckets over [min, max] (one tiny aggregate
+    for the bounds), then ``bucketed_index``.  Other keys: range sort +
+    checkpoint (``dense_index``).
+    """
+    if not isinstance(df.schema[key].dataType, _NUMERIC):
+        return dense_index(df, [F.col(key)], index_col)
+    lo, hi = df.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
+    if lo is None:
+        return df.withColumn(index_col, F.lit(None).cast("long")).limit(0)
+    width = (hi - lo) / n_buckets if hi > lo else 1.0
+    bucket = F.least(F.floor((F.col(key).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(n_buckets - 1))
+    return bucketed_index(df, bucket, [F.col(key)], n_buckets, index_col)
 
 
 def _with_batch(df: DataFrame, size: int) -> DataFrame:
-    if size <= 0:
-        raise ValueError("batch size must be positive")
     return df.withColumn("batch_id", F.floor(F.col("row_idx") / F.lit(size)).cast("long"))
 
 
@@ -105,7 +133,7 @@ def sequential_batches(df: DataFrame, size: int, key: str = "id") -> DataFrame:
     """Batches in key order (the stored order made explicit)."""
     if size <= 0:
         raise ValueError("batch size must be positive")
-    return _with_batch(dense_index(df, [F.col(key)]), size)
+    return _with_batch(key_order_index(df, key), size)
 
 
 def fetch_rows(df: DataFrame, indices, index_col: str = "row_idx") -> DataFrame:

@@ -210,7 +210,7 @@ SELECT row_idx, id, label FROM (
   SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS row_idx, id, label FROM samples) s
 WHERE row_idx IN (SELECT vec_id FROM embeddings)""")
 def q_row_fetch(spark, sf):
-    idx = S.dense_index(X.samples(X.events(spark, sf)).select("id", "label"), [F.col("id")])
+    idx = S.key_order_index(X.samples(X.events(spark, sf)).select("id", "label"), "id")
     positions = X.embeddings(spark, sf).select(F.col("vec_id").alias("row_idx"))
     return S.fetch_rows(idx, positions).select("row_idx", "id", "label")
 

@@ -36,3 +36,16 @@ def test_sequential_batches_and_fetch(spark):
     assert all(r.row_idx == r.id and r.batch_id == r.id // 100 for r in b.collect())
     got = sorted(r.id for r in S.fetch_rows(b, [5, 299, 1000]).collect())
     assert got == [5, 299]
+
+
+def test_dense_index_generic_order_and_numeric_buckets(spark):
+    df = spark.range(500).repartition(7).select(F.format_string("k%05d", F.col("id") * 7 % 500).alias("s"),
+                                                (F.col("id") * 3).alias("n"))
+    by_str = S.dense_index(df, [F.col("s")])
+    got = sorted((r.row_idx, r.s) for r in by_str.collect())
+    assert [s for _, s in got] == sorted(r.s for r in df.collect())
+    assert [i for i, _ in got] == list(range(500))
+    by_num = S.key_order_index(df, "n", n_buckets=16)
+    got = sorted((r.row_idx, r.n) for r in by_num.collect())
+    assert got == [(i, 3 * i) for i in range(500)]
+    assert S.key_order_index(df, "s").count() == 500  # non-numeric falls back to the sort path
