@@ -68,12 +68,13 @@ def rotate_image(img: np.ndarray, degrees: float, fill: float = 0.0) -> np.ndarr
 def crop_box(h: int, w: int, u_area: float, u_ratio: float, u_top: float, u_left: float,
              scale=(0.8, 1.0), ratio=(3 / 4, 4 / 3)):
     """Crop box from four uniforms: area share in ``scale``, log-uniform aspect in
-    ``ratio``, sides clamped to the image, then a uniform position."""
+    ``ratio``, sides rounded half up and clamped to the image, then a uniform
+    position.  Returns (top, left, height, width)."""
     area = h * w * (scale[0] + u_area * (scale[1] - scale[0]))
     lo, hi = math.log(ratio[0]), math.log(ratio[1])
     ar = math.exp(lo + u_ratio * (hi - lo))
-    cw = int(min(max(round(math.sqrt(area * ar)), 1), w))
-    ch = int(min(max(round(math.sqrt(area / ar)), 1), h))
+    cw = int(min(max(math.floor(math.sqrt(area * ar) + 0.5), 1), w))
+    ch = int(min(max(math.floor(math.sqrt(area / ar) + 0.5), 1), h))
     top = int(math.floor(u_top * (h - ch + 1)))
     left = int(math.floor(u_left * (w - cw + 1)))
     return top, left, ch, cw

@@ -685,12 +685,49 @@ def q_tensor_jitter(spark, sf):
     return explode_tensor(T.apply_step(t, T.color_jitter(0.2, 0.0, 0.0, X.SEED, 1, "key")))
 
 
-@register("tensor_crop")
+def _crop_sql() -> str:
+    """Random resized crop of the 8 x 8 x 1 tensor to 4 x 4 (scale 0.8..1, ratio 3/4..4/3)."""
+    u = {t: _u_sql("crop_" + t) for t in ("area", "ratio", "top", "left")}
+    return f"""
+WITH p0 AS (
+  SELECT vec_id, embedding,
+         64 * (CAST(0.8 AS DOUBLE) + {u["area"]} * (CAST(1.0 AS DOUBLE) - CAST(0.8 AS DOUBLE))) AS area,
+         exp(ln(CAST(3 AS DOUBLE) / 4) + {u["ratio"]} * (ln(CAST(4 AS DOUBLE) / 3) - ln(CAST(3 AS DOUBLE) / 4))) AS ar,
+         {u["top"]} AS ut, {u["left"]} AS ul
+  FROM embeddings),
+p1 AS (
+  SELECT vec_id, embedding, ut, ul,
+         CAST(least(greatest(floor(sqrt(area * ar) + 0.5), 1), 8) AS BIGINT) AS cw,
+         CAST(least(greatest(floor(sqrt(area / ar) + 0.5), 1), 8) AS BIGINT) AS ch
+  FROM p0),
+p2 AS (
+  SELECT vec_id, embedding, cw, ch,
+         CAST(floor(ut * (8 - ch + 1)) AS BIGINT) AS top, CAST(floor(ul * (8 - cw + 1)) AS BIGINT) AS lft
+  FROM p1),
+g AS (
+  SELECT vec_id, embedding, top, lft, i,
+         greatest((CAST(i // 4 AS DOUBLE) + 0.5) * (CAST(ch AS DOUBLE) / 4) - 0.5, CAST(0.0 AS DOUBLE)) AS sy,
+         greatest((CAST(i % 4 AS DOUBLE) + 0.5) * (CAST(cw AS DOUBLE) / 4) - 0.5, CAST(0.0 AS DOUBLE)) AS sx,
+         ch, cw
+  FROM p2, range(16) t(i)),
+g2 AS (
+  SELECT *, CAST(least(floor(sy), ch - 1) AS BIGINT) AS y0, CAST(least(floor(sx), cw - 1) AS BIGINT) AS x0 FROM g),
+g3 AS (
+  SELECT *, least(y0 + 1, ch - 1) AS y1, least(x0 + 1, cw - 1) AS x1, sy - y0 AS ly, sx - x0 AS lx FROM g2)
+SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+       round(CAST(CAST(
+         (CAST(embedding[(top + y0) * 8 + lft + x0 + 1] AS DOUBLE) * (1.0 - lx)
+          + CAST(embedding[(top + y0) * 8 + lft + x1 + 1] AS DOUBLE) * lx) * (1.0 - ly)
+         + (CAST(embedding[(top + y1) * 8 + lft + x0 + 1] AS DOUBLE) * (1.0 - lx)
+          + CAST(embedding[(top + y1) * 8 + lft + x1 + 1] AS DOUBLE) * lx) * ly
+       AS FLOAT) AS DOUBLE), 6) AS value
+FROM g3"""
+
+
+@register("tensor_crop", _crop_sql())
 def q_tensor_crop(spark, sf):
     t = X.tensors_8x8(X.embeddings(spark, sf))
-    out = T.apply_step(t, T.random_resized_crop(4, seed=X.SEED, epoch=1, key="key"))
-    return out.select("key", F.col("tensor.height").alias("height"), F.col("tensor.width").alias("width"),
-                      F.col("tensor.channels").alias("channels"), F.col("tensor.data").alias("data"))
+    return explode_tensor(T.apply_step(t, T.random_resized_crop(4, seed=X.SEED, epoch=1, key="key")))
 
 
 _EMB8_4x4x3 = "CAST(CAST(floor((CAST(embedding[({j} // 3) * 4 + {j} % 3 + 1] AS DOUBLE) + 1) * 127.5) AS FLOAT) AS DOUBLE)"
