@@ -799,3 +799,12 @@ def q_image_scan(spark, sf):
     imgs = IMG.scan_images(spark, folder, invalid="flag")
     keyed = imgs.select(F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("key"), "tensor")
     return explode_tensor(keyed)
+
+
+@register("pipeline_small_train")
+def q_pipeline_small_train(spark, sf):
+    """I9, the small three-class run's preset: resize, flip, rotate (10), unit, normalise."""
+    t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
+    out = T.pipeline(t, T.small_train_preset(2, seed=X.SEED, epoch=1, key="key"))
+    return out.select("key", F.col("tensor.height").alias("height"), F.col("tensor.width").alias("width"),
+                      F.col("tensor.channels").alias("channels"), F.col("tensor.data").alias("data"))

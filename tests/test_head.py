@@ -44,3 +44,15 @@ def test_fit_head_separable(spark):
     assert hist[-1].val_loss < hist[0].val_loss
     kinds = {r.kind for r in res.head.collect()}
     assert kinds == {"best", "final"}
+
+
+def test_small_run_variant_keeps_lr_and_runs_all_epochs(spark):
+    df = spark.range(400).select(
+        F.col("id"), (F.col("id") % 3).cast("int").alias("label_idx"),
+        F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1000)) / 1000.0 for j in range(4)]).alias("features"))
+    opts = HD.HeadOptions(weight_decay=0.0, plateau_factor=None, patience=None, epochs=6, run_id="small")
+    res = HD.fit_head(df.where("id % 4 != 0"), df.where("id % 4 = 0"), 3, opts=opts)
+    hist = res.history.orderBy("epoch").collect()
+    assert [r.epoch for r in hist] == list(range(1, 7))
+    assert {r.lr for r in hist} == {1e-3}
+    assert res.run.first().run_id == "small"
