@@ -2,10 +2,10 @@
 
 Randomness is an md5 order key (see ``functions.draws``), so results do not
 depend on partitioning.  A dense index never pulls the table into one task:
-rows are ranked inside buckets that are monotone in the order (hash prefix
-for D1, equal-width key ranges for numeric keys in D2) and shifted by
-broadcast bucket offsets; any other order is range-sorted, materialised once
-with a reliable checkpoint, and shifted by per-partition offsets.
+for a hash order (D1) rows are ranked inside hash-prefix buckets (uniform by
+construction) and shifted by broadcast bucket offsets; a key order (D2) is
+range-sorted with sampled boundaries, materialised once with a reliable
+checkpoint, and shifted by per-partition offsets.
 """
 
 from __future__ import annotations
@@ -96,20 +96,34 @@ def hash_order_index(df: DataFrame, hash_col, key: str, index_col: str = "row_id
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def key_order_index(df: DataFrame, key: str, index_col: str = "row_idx", n_buckets: int = 65536) -> DataFrame:
-    """Dense rank by ``key``.
+def key_order_index(df: DataFrame, key: str, index_col: str = "row_idx", method: str = "sort",
+                    n_buckets: int = 65536, tail: float = 0.001) -> DataFrame:
+    """Dense rank by ``key`` (unique per row).
 
-    Numeric keys: equal-width buckets over [min, max] (one tiny aggregate
-    for the bounds), then ``bucketed_index``.  Other keys: range sort +
-    checkpoint (``dense_index``).
+    ``method='sort'`` (default): range sort across all partitions, whose
+    boundaries come from sampling, so any key distribution is balanced;
+    materialised once with a reliable checkpoint (``dense_index``).
+
+    ``method='buckets'`` (numeric keys only): no checkpoint.  Keys are cut
+    into equal-width buckets between the approximate ``tail`` and
+    ``1 - tail`` quantiles (one small aggregate); keys outside go to the two
+    edge buckets, so outliers cannot stretch the range, but a dense cluster
+    of keys still lands in few buckets.
     """
-    if not isinstance(df.schema[key].dataType, _NUMERIC):
+    if method == "sort" or not isinstance(df.schema[key].dataType, _NUMERIC):
         return dense_index(df, [F.col(key)], index_col)
-    lo, hi = df.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
-    if lo is None:
+    if method != "buckets":
+        raise ValueError("method must be 'sort' or 'buckets'")
+    q = df.agg(F.percentile_approx(F.col(key).cast("double"), [tail, 1.0 - tail], 10000).alias("q")).first()["q"]
+    if q is None:
         return df.withColumn(index_col, F.lit(None).cast("long")).limit(0)
-    width = (hi - lo) / n_buckets if hi > lo else 1.0
-    bucket = F.least(F.floor((F.col(key).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(n_buckets - 1))
+    lo, hi = q
+    inner = n_buckets - 2
+    width = (hi - lo) / inner if hi > lo else 1.0
+    k = F.col(key).cast("double")
+    bucket = (F.when(k < F.lit(lo), F.lit(0))
+               .when(k > F.lit(hi), F.lit(n_buckets - 1))
+               .otherwise(F.least(F.floor((k - F.lit(lo)) / F.lit(width)), F.lit(inner - 1)) + 1))
     return bucketed_index(df, bucket, [F.col(key)], n_buckets, index_col)
 
 

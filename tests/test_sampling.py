@@ -45,7 +45,11 @@ def test_dense_index_generic_order_and_numeric_buckets(spark):
     got = sorted((r.row_idx, r.s) for r in by_str.collect())
     assert [s for _, s in got] == sorted(r.s for r in df.collect())
     assert [i for i, _ in got] == list(range(500))
-    by_num = S.key_order_index(df, "n", n_buckets=16)
-    got = sorted((r.row_idx, r.n) for r in by_num.collect())
-    assert got == [(i, 3 * i) for i in range(500)]
+    for method in ("sort", "buckets"):
+        by_num = S.key_order_index(df, "n", method=method, n_buckets=16)
+        got = sorted((r.row_idx, r.n) for r in by_num.collect())
+        assert got == [(i, 3 * i) for i in range(500)]
+    outlier = df.union(spark.createDataFrame([("zz", 10 ** 15)], "s string, n long"))
+    got = sorted((r.row_idx, r.n) for r in S.key_order_index(outlier, "n", method="buckets").collect())
+    assert got[-1] == (500, 10 ** 15) and got[:3] == [(0, 0), (1, 3), (2, 6)]
     assert S.key_order_index(df, "s").count() == 500  # non-numeric falls back to the sort path
