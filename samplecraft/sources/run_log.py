@@ -10,7 +10,7 @@ normalised first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import HISTORY_COLUMNS, HISTORY_METRICS, RUNS_COLUMNS
@@ -37,7 +37,9 @@ def parse_run_blocks(blocks: DataFrame, col: str = "value") -> DataFrame:
     """One row per block: run attributes plus the four metric arrays."""
     b = F.col(col)
     cls = F.regexp_extract(b, HEADER_RE, 2)
+    extra = [c for c in blocks.columns if c.startswith("__")]
     out = blocks.select(
+        *extra,
         F.regexp_extract(b, HEADER_RE, 1).alias("model"),
         cls.try_cast("int").alias("n_classes"),
         F.regexp_extract(b, HEADER_RE, 3).try_cast("int").alias("epochs_asked"),
@@ -49,13 +51,22 @@ def parse_run_blocks(blocks: DataFrame, col: str = "value") -> DataFrame:
     return out.withColumn("run_id", F.concat_ws(" ", "model", "__cls", "epochs_asked", "batch_size"))
 
 
-def scan_run_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_run_log(spark: SparkSession, path: str, line_sep: str = "\n") -> tuple[DataFrame, DataFrame]:
     """Read a run log into ``(runs, history)``.
 
-    ``run_id`` = model, class scope, epochs and batch joined by spaces.
+    ``run_id`` = model, class scope, epochs and batch joined by spaces; when
+    the same header appears more than once, later blocks get ``#2``, ``#3``...
+    in file order.  ``line_sep='\r\n'`` reads logs with Windows line ends.
     """
-    blocks = spark.read.text(path, lineSep="\n\n")
+    blocks = spark.read.text(path, lineSep=line_sep * 2)
+    blocks = blocks.select(F.regexp_replace("value", "\r", "").alias("value"),
+                           F.input_file_name().alias("__file"),
+                           F.monotonically_increasing_id().alias("__pos"))  # file order, for repeats only
     parsed = parse_run_blocks(blocks.where(F.trim("value") != ""))
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("__file", "__pos"))
+    parsed = parsed.withColumn("__nth", nth).withColumn(
+        "run_id", F.when(F.col("__nth") > 1, F.concat("run_id", F.lit("#"), F.col("__nth").cast("string")))
+                   .otherwise(F.col("run_id")))
     runs = parsed.select(*RUNS_COLUMNS)
     n = F.greatest(*[F.coalesce(F.size("__" + m), F.lit(0)) for m in HISTORY_METRICS])
     hist = (parsed.where(n > 0)

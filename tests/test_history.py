@@ -195,3 +195,17 @@ def test_log_writer_roundtrip(spark):
         sorted((tuple(r)[1:] for r in runs.collect()), key=repr)
     assert sorted((tuple(r)[1:] for r in h2.collect()), key=repr) == \
         sorted((tuple(r)[1:] for r in h.collect()), key=repr)
+
+
+def test_run_log_repeated_header_and_crlf(spark):
+    block = ("M на 3 классах 2 эпох батч 8:\ntrain_losses = [1.0, 0.5]\ntrain_accs = [0.1, 0.2]\n"
+             "val_losses = [0.9, 0.8]\nval_accs = [0.3, 0.4]\nОбучение завершено за 1.50 секунд.")
+    d = tempfile.mkdtemp(prefix="runlog-rep-")
+    with open(os.path.join(d, "log.txt"), "w", encoding="utf-8", newline="") as fh:
+        fh.write((block + "\n\n" + block.replace("0.9", "0.7") + "\n").replace("\n", "\r\n"))
+    runs, hist = RL.scan_run_log(spark, d, line_sep="\r\n")
+    ids = sorted(r.run_id for r in runs.collect())
+    assert ids == ["M 3 2 8", "M 3 2 8#2"]
+    first = {r.epoch: r.val_loss for r in hist.where(F.col("run_id") == "M 3 2 8").collect()}
+    assert first == {1: 0.9, 2: 0.8}
+    assert hist.count() == 4
