@@ -3,9 +3,11 @@
 Each optimisation step is one Spark job over the cached features: a
 ``mapInArrow`` stage computes, per partition, the summed gradient of the
 softmax cross-entropy, the loss sum, the correct count and the row count,
-emitted as ``(pos, value)`` rows; ``groupBy(pos).sum`` adds partitions up
-(partial aggregation first), so only C x (D + 1) + 3 numbers reach the
-driver.  The driver applies Adam (Kingma & Ba, 2014) with L2 added to the
+packed into blocks of ``BLOCK`` doubles; a ``repartition`` by block and a
+second Arrow pass add the blocks up (a two-level reduce spread over tasks),
+so only C x (D + 1) + 6 numbers reach the driver.  The cached features are
+coalesced to the cluster's parallelism, which bounds the number of partial
+vectors per step.  The driver applies Adam (Kingma & Ba, 2014) with L2 added to the
 gradient, and the epoch rules of ``operators.history`` (plateau learning
 rate, early stop, best checkpoint) run live on the per-epoch metrics.
 
@@ -46,6 +48,7 @@ class HeadOptions:
     betas: tuple[float, float] = (0.9, 0.999)
     adam_eps: float = 1e-8
     run_id: str = "run"
+    partitions: int | None = None     # cap on feature partitions (default: cluster parallelism)
 
 
 @dataclass
@@ -57,13 +60,15 @@ class FitResult:
     run: DataFrame       # one ``runs`` row: model, classes, epochs asked, seconds
 
 
+BLOCK = 4096  # doubles per reduction row
+
+
 def _sums_kernel(weights: np.ndarray, bias: np.ndarray, features_col: str, label_col: str, with_grad: bool):
-    """Per-partition sums as ``(pos, value)`` rows.
+    """Per-partition sums, packed as ``(blk, vals ARRAY<DOUBLE>)`` rows of ``BLOCK`` values.
 
-    pos 0..K-1: gradient of the summed loss over training rows (C x D weights,
-    then C biases); -1/-2/-3: loss sum, correct count, rows of training rows;
-    -4/-5/-6: the same for validation rows (``__val`` true), which add no
-    gradient.
+    Flat layout: gradient of the summed training loss (C x D weights, then C
+    biases), then loss sum, correct count and rows of training rows, then the
+    same three for validation rows (``__val`` true), which add no gradient.
     """
     n_classes, dim = weights.shape
     k_grad = n_classes * dim + n_classes if with_grad else 0
@@ -98,13 +103,36 @@ def _sums_kernel(weights: np.ndarray, bias: np.ndarray, features_col: str, label
                 g_w += p.T @ x[~is_val]
                 g_b += p.sum(axis=0)
         vals = np.concatenate([g_w.reshape(-1), g_b]) if with_grad else np.zeros(0)
-        vals = np.concatenate([vals, tot])
-        pos = np.concatenate([np.arange(k_grad, dtype=np.int64), np.array([-1, -2, -3, -4, -5, -6])])
-        yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(vals, pa.float64())], names=["pos", "value"])
+        yield _pack(np.concatenate([vals, tot]))
 
     return run, k_grad
 
 
+def _pack(vals: np.ndarray) -> pa.RecordBatch:
+    n_blk = max(1, -(-len(vals) // BLOCK))
+    offsets = np.minimum(np.arange(n_blk + 1) * BLOCK, len(vals)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vals, pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n_blk, dtype=np.int32)), lists], names=["blk", "vals"])
+
+
+def _add_blocks(batches):
+    """Element-wise sum of the arrays of each block present in this partition."""
+    acc: dict[int, np.ndarray] = {}
+    for rb in batches:
+        blks = rb.column(0).to_numpy(zero_copy_only=False)
+        lists = rb.column(1)
+        offs = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        for i, blk in enumerate(blks):
+            piece = flat[offs[i]:offs[i + 1]]
+            acc[int(blk)] = piece.copy() if int(blk) not in acc else acc[int(blk)] + piece
+    if acc:
+        keys = sorted(acc)
+        offsets = np.cumsum([0] + [len(acc[k]) for k in keys]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([acc[k] for k in keys])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), lists], names=["blk", "vals"])
+
+
 @dataclass
 class _Sums:
     grad: np.ndarray
@@ -117,16 +145,19 @@ class _Sums:
 
 
 def _sums(df: DataFrame, weights, bias, features_col, label_col, with_grad) -> _Sums:
-    """One Spark job: per-partition sums, added up by ``groupBy(pos)`` (partial
-    aggregation first); only K + 6 numbers reach the driver."""
+    """One Spark job: per-partition packed sums, shuffled by block and added per
+    block in Arrow batches, so no task receives more than one block from each
+    partition; only K + 6 numbers reach the driver."""
     fn, k = _sums_kernel(weights, bias, features_col, label_col, with_grad)
+    n_blk = max(1, -(-(k + 6) // BLOCK))
     cols = [features_col, label_col] + (["__val"] if "__val" in df.columns else [])
-    parts = df.select(*cols).mapInArrow(fn, "pos long, value double")
-    rows = parts.groupBy("pos").agg(F.sum("value").alias("value")).collect()
-    got = {r["pos"]: r["value"] for r in rows}
-    grad = np.array([got.get(i, 0.0) for i in range(k)])
-    return _Sums(grad, got.get(-1, 0.0), int(got.get(-2, 0)), int(got.get(-3, 0)),
-                 got.get(-4, 0.0), int(got.get(-5, 0)), int(got.get(-6, 0)))
+    parts = df.select(*cols).mapInArrow(fn, "blk int, vals array<double>")
+    summed = parts.repartition(n_blk, "blk").mapInArrow(_add_blocks, "blk int, vals array<double>")
+    flat = np.concatenate([np.asarray(r["vals"], dtype=np.float64)
+                           for r in sorted(summed.collect(), key=lambda r: r["blk"])])
+    tot = flat[k:k + 6]
+    return _Sums(flat[:k], float(tot[0]), int(round(tot[1])), int(round(tot[2])),
+                 float(tot[3]), int(round(tot[4])), int(round(tot[5])))
 
 
 def _check_features(df: DataFrame, features_col: str) -> int:
@@ -158,6 +189,11 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     dim = _check_features(tr, features_col)
     if n_classes * (dim + 1) > MAX_HEAD_PARAMS:
         raise ValueError("head too large for driver-side updates")
+    cap = opts.partitions or spark.sparkContext.defaultParallelism
+    if tr.rdd.getNumPartitions() > cap:  # bound the per-step reduction (P x K values); no shuffle
+        tr = tr.coalesce(cap)
+    if va.rdd.getNumPartitions() > cap:
+        va = va.coalesce(cap)
     tr = tr.cache()
     va = va.cache()
 

@@ -10,7 +10,7 @@ def _sums(w, b, x, y, with_grad=True):
     rb = pa.RecordBatch.from_arrays([pa.array([list(r) for r in x], pa.list_(pa.float64())), pa.array(y, pa.int32())],
                                     names=["f", "y"])
     out = next(fn(iter([rb])))
-    vals = out.column(1).to_numpy()
+    vals = out.column(1).flatten().to_numpy()
     return vals[:k], vals[k]
 
 
@@ -46,6 +46,14 @@ def test_fit_head_separable(spark):
     assert kinds == {"best", "final"}
 
 
+def test_block_reduce_adds_partitions():
+    a = HD._pack(np.arange(10000, dtype=np.float64))
+    b = HD._pack(np.ones(10000))
+    out = next(HD._add_blocks(iter([a, b])))
+    flat = out.column(1).flatten().to_numpy()
+    assert out.column(0).to_pylist() == [0, 1, 2] and np.array_equal(flat, np.arange(10000) + 1.0)
+
+
 def test_small_run_variant_keeps_lr_and_runs_all_epochs(spark):
     df = spark.range(400).select(
         F.col("id"), (F.col("id") % 3).cast("int").alias("label_idx"),
