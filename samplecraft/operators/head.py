@@ -186,9 +186,6 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         F.lit(None).cast(tr.schema[key].dataType).alias(key),
         F.col(features_col).cast("array<double>").alias(features_col),
         F.col(label_col).cast("int").alias(label_col), F.lit(True).alias("__val"))
-    dim = _check_features(tr, features_col)
-    if n_classes * (dim + 1) > MAX_HEAD_PARAMS:
-        raise ValueError("head too large for driver-side updates")
     cap = opts.partitions or spark.sparkContext.defaultParallelism
     if tr.rdd.getNumPartitions() > cap:  # bound the per-step reduction (P x K values); no shuffle
         tr = tr.coalesce(cap)
@@ -196,6 +193,9 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         va = va.coalesce(cap)
     tr = tr.cache()
     va = va.cache()
+    dim = _check_features(tr, features_col)  # also fills the cache
+    if n_classes * (dim + 1) > MAX_HEAD_PARAMS:
+        raise ValueError("head too large for driver-side updates")
 
     rng = np.random.default_rng(opts.seed)
     bound = 1.0 / math.sqrt(dim)

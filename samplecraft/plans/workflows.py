@@ -64,7 +64,8 @@ def training_tables(spark: SparkSession, path: str, classes: Sequence[str] | Non
     the training split and encode both splits with it (unknown test labels -> NULL)."""
     train = M.filter_classes(SRC.read_metadata(spark, path, split=train_split), classes)
     test = M.filter_classes(SRC.read_metadata(spark, path, split=test_split), classes)
-    d = C.class_dictionary(train)
+    # One row per class, reused by every later join: materialise it once (reliable checkpoint).
+    d = C.class_dictionary(train).checkpoint(eager=True)
     return TrainingTables(d, C.encode_labels(train, d), C.encode_labels(test, d), C.class_consistency(train, test))
 
 
