@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import HEAD, HISTORY, RUNS
+from ..session import ship_package
 
 MAX_HEAD_PARAMS = 50_000_000
 
@@ -178,6 +179,7 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     """
     opts = opts or HeadOptions()
     spark = train.sparkSession
+    ship_package(spark)
     started = time.time()
     tr = train.where(F.col(label_col).isNotNull()).select(
         key, F.col(features_col).cast("array<double>").alias(features_col),

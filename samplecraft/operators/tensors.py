@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tensor as TX
 from ..functions.draws import uniform, uniform_between
+from ..session import ship_package
 
 # ----------------------------------------------------------------- kernels
 # Each kernel takes an (H, W, C) float64 array and per-row parameters.
@@ -233,6 +234,7 @@ def _tensor_kernel(steps: list[TensorStep], tensor_col: str, param_cols: list[li
 
 def apply_numpy_steps(df: DataFrame, steps: Sequence[TensorStep], tensor_col: str = "tensor") -> DataFrame:
     """Run NumPy steps fused in one ``mapInArrow`` stage (no shuffle, same partitions)."""
+    ship_package(df.sparkSession)
     steps = list(steps)
     param_cols: list[list[str]] = []
     for k, step in enumerate(steps):

@@ -60,3 +60,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``samplecraft`` importable in every Python worker (``--py-files`` style).
+
+    Called by each operator that runs a Python stage; the zip of the package
+    source is built once per driver process and added once per context.
+    """
+    global _SHIPPED_ZIP
+    sc = spark.sparkContext
+    ident = id(sc._jsc)
+    if ident in _SHIPPED_TO:
+        return
+    if _SHIPPED_ZIP is None:
+        import os
+        import zipfile
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="samplecraft-code-"), "samplecraft.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _dirs, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        _SHIPPED_ZIP = out
+    sc.addPyFile(_SHIPPED_ZIP)
+    _SHIPPED_TO.add(ident)
+
+
+_SHIPPED_ZIP: str | None = None
+_SHIPPED_TO: set[int] = set()

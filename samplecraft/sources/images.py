@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TENSOR
+from ..session import ship_package
 
 
 def _to_rgb_kernel(batches):
@@ -60,6 +61,7 @@ def scan_images(spark: SparkSession, path: str, invalid: str = "drop") -> DataFr
     """Read images under ``path`` into ``(path, tensor)``; tensor values are 0..255 floats."""
     if invalid not in ("drop", "flag"):
         raise ValueError("invalid must be 'drop' or 'flag'")
+    ship_package(spark)
     raw = spark.read.format("image").option("dropInvalid", invalid == "drop").load(path)
     out_schema = f"path string, tensor {TENSOR.simpleString()}"
     return raw.select("image").mapInArrow(_to_rgb_kernel, out_schema)
@@ -97,6 +99,8 @@ def write_png_files(df: DataFrame, folder: str, key_col: str = "key", tensor_col
     """
     import os
 
+    ship_package(df.sparkSession)
+
     def run(batches):
         os.makedirs(folder, exist_ok=True)
         for rb in batches:

@@ -35,3 +35,20 @@ def test_all_oracles_match_at_smallest_scale(spark):
         if not ok:
             bad.append(msg)
     assert not bad, "\n".join(bad)
+
+
+def test_python_stages_work_from_a_foreign_directory(tmp_path):
+    """The driver imports __spark_entry__ from elsewhere: workers must still import the package."""
+    import subprocess
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('e', {os.path.join(repo, '__spark_entry__.py')!r})\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').getOrCreate()\n"
+        f"print('ROWS', m.queries()['tensor_resize'](s, {SF!r}).count())\n")
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 8000" in out.stdout, out.stderr[-2000:]
