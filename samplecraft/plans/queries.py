@@ -278,7 +278,7 @@ def _scored(spark, sf):
 
 
 @register("epoch_metrics", _with(SQL_PRED) + """
-SELECT count(*) AS n, sum(CASE WHEN label_idx = pred_idx THEN 1 ELSE 0 END) AS n_correct,
+SELECT count(*) AS n, CAST(sum(CASE WHEN label_idx = pred_idx THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
        round(avg(ln(list_sum(list_transform(logits, lambda v: exp(v - list_max(logits))))) + list_max(logits)
                  - logits[label_idx + 1]), 6) AS loss,
        avg(CASE WHEN label_idx = pred_idx THEN 1.0 ELSE 0.0 END) AS acc
@@ -291,7 +291,7 @@ def q_epoch_metrics(spark, sf):
 
 @register("batch_metrics", _with(SQL_PRED) + """
 SELECT batch_id, count(*) AS n, round(sum(loss), 6) AS loss_sum, round(avg(loss), 6) AS loss,
-       sum(CASE WHEN label_idx = pred_idx THEN 1 ELSE 0 END) AS n_correct
+       CAST(sum(CASE WHEN label_idx = pred_idx THEN 1 ELSE 0 END) AS BIGINT) AS n_correct
 FROM (SELECT *, CAST((row_number() OVER (ORDER BY id) - 1) // 64 AS BIGINT) AS batch_id,
              ln(list_sum(list_transform(logits, lambda v: exp(v - list_max(logits))))) + list_max(logits)
                - logits[label_idx + 1] AS loss

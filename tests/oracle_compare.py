@@ -39,6 +39,20 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=lambda t: tuple("" if x is None else str(x) for x in t))
 
 
+_SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT",
+                  "string": "VARCHAR", "boolean": "BOOLEAN", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_mismatches(df, res) -> list[str]:
+    spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = []
+    for name, dtype in zip([d[0] for d in res.description], res.types if hasattr(res, "types") else []):
+        want = _SPARK_TO_DUCK.get(spark_types.get(name, ""), spark_types.get(name, ""))
+        if str(dtype) != want:
+            out.append(f"{name}: spark {spark_types.get(name)} duck {dtype}")
+    return out
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -56,12 +70,16 @@ def compare(spark, name, fn, sql, sf_dir, con):
     scols, sdata = rows_of(df.columns, srows)
     if sql is None:
         return f"{name:24s} rows-only {len(srows):7d} rows  spark {t1 - t0:6.2f}s", True
+    rel = con.sql(sql)
+    tm = type_mismatches(df, rel)
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     dcols, ddata = rows_of(dcols, drows)
     ok = scols == dcols and sdata == ddata
     msg = f"{name:24s} {'OK ' if ok else 'BAD'} spark {len(srows):7d} duck {len(drows):7d}  spark {t1 - t0:6.2f}s"
+    if tm:
+        msg += "  types: " + "; ".join(tm)
     if not ok:
         if scols != dcols:
             msg += f"\n   cols spark={scols}\n        duck ={dcols}"
