@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..util import as_col
 
-# Java regex with UNICODE_CHARACTER_CLASS: strips tabs, CR, NBSP-class blanks too,
-# the way Python's str.strip() does (Spark's trim only removes spaces).
-_STRIP = r"(?U)^\s+|\s+$"
+# Java regex with UNICODE_CHARACTER_CLASS (White_Space) plus the four separator
+# controls U+001C..U+001F: exactly the characters Python's str.strip() removes
+# (Spark's trim only removes spaces).
+_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def strip(c) -> Column:

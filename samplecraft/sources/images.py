@@ -26,19 +26,24 @@ def _to_rgb_kernel(batches):
         h = img.field("height").to_numpy(zero_copy_only=False)
         w = img.field("width").to_numpy(zero_copy_only=False)
         c = img.field("nChannels").to_numpy(zero_copy_only=False)
-        data = img.field("data").to_pylist()
+        data = img.field("data")
+        bufs = data.buffers()
+        offs_in = np.frombuffer(bufs[1], dtype=np.int32)[data.offset:data.offset + len(data) + 1]
+        raw = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+        ok_in = np.asarray(data.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
         origin = img.field("origin")
         n = rb.num_rows
         hs, ws, offs, vals, valid = [], [], [0], [], []
         for r in range(n):
-            ok = data[r] is not None and h[r] > 0 and w[r] > 0 and len(data[r]) == h[r] * w[r] * c[r]
+            size = int(offs_in[r + 1] - offs_in[r])
+            ok = bool(ok_in[r]) and h[r] > 0 and w[r] > 0 and size == h[r] * w[r] * c[r]
             if not ok:
                 hs.append(0)
                 ws.append(0)
                 offs.append(offs[-1])
                 valid.append(False)
                 continue
-            a = np.frombuffer(data[r], dtype=np.uint8).reshape(int(h[r]), int(w[r]), int(c[r]))
+            a = raw[offs_in[r]:offs_in[r + 1]].reshape(int(h[r]), int(w[r]), int(c[r]))
             if a.shape[2] == 1:
                 rgb = np.repeat(a, 3, axis=2)
             else:
