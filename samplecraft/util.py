@@ -10,12 +10,6 @@ def as_col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def require_columns(df: DataFrame, *names: str) -> None:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; have {df.columns}")
-
-
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> int:
     """Count ``df`` but stop at ``max_rows + 1``; raise when the bound is broken.
 
