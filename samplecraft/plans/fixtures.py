@@ -14,7 +14,7 @@ from ..functions.tensor import make_tensor
 from ..operators.history import history_table
 from ..operators.manifest import combine_splits, parse_manifest, tag_split
 
-IMAGE_ROOT = "/data/food/images"
+IMAGE_ROOT = "/data/images"
 SEED = 42
 # The three classes of the small training run, here event types.
 CLASS_SUBSET = ("click", "view", "error")

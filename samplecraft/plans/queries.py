@@ -48,7 +48,7 @@ SQL_SAMPLES = """samples AS (
   FROM events)"""
 
 SQL_META = """meta AS (
-  SELECT '/data/food/images/' || event_type || '/' || CAST(event_id AS VARCHAR) || '.jpg' AS image_path,
+  SELECT '/data/images/' || event_type || '/' || CAST(event_id AS VARCHAR) || '.jpg' AS image_path,
          event_type AS label,
          CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS dataset_type
   FROM events)"""
@@ -144,7 +144,7 @@ def q_manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("manifest_parse", """
-SELECT '/data/food/images/' || event_type || '/' || CAST(event_id AS VARCHAR) || '.jpg' AS image_path,
+SELECT '/data/images/' || event_type || '/' || CAST(event_id AS VARCHAR) || '.jpg' AS image_path,
        event_type AS label FROM events""")
 def q_manifest_parse(spark, sf):
     lines = X.manifest_lines(X.events(spark, sf)).select(F.trim("value").alias("value"))
