@@ -295,7 +295,9 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             continue
         head_rows += [(opts.run_id, kind, c, float(hb[c]), [float(x) for x in hw[c]]) for c in range(n_classes)]
     head_df = spark.createDataFrame(head_rows, HEAD)
-    run_df = spark.createDataFrame([(opts.run_id, model, n_classes, opts.epochs, None, seconds)], RUNS)
+    n_train = int(totals[2]) if totals[2] else None
+    batch = -(-n_train // k) if n_train else None  # rows per step (the last step may be smaller)
+    run_df = spark.createDataFrame([(opts.run_id, model, n_classes, opts.epochs, batch, seconds)], RUNS)
     return FitResult(hist_df, head_df, w, b, run_df)
 
 
