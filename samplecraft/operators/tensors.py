@@ -88,11 +88,17 @@ def _gray(img: np.ndarray) -> np.ndarray:
 
 
 def jitter_image(img: np.ndarray, fb: float, fc: float, fs: float, max_value: float) -> np.ndarray:
-    """Brightness, contrast, saturation blends (in that fixed order), each clipped."""
+    """Brightness, contrast, saturation blends (in that fixed order), each clipped.
+
+    Contrast blends with the mean grey level (0.299 R + 0.587 G + 0.114 B),
+    saturation with each pixel's grey level; for 8-bit data the mean is
+    rounded to a whole level."""
     if fb != 1.0:
         img = np.clip(img * fb, 0.0, max_value)
     if fc != 1.0:
         m = float(np.mean(_gray(img)))
+        if max_value == 255.0:  # 8-bit range: the grey mean is a whole level, rounded half up
+            m = math.floor(m + 0.5)
         img = np.clip(fc * img + (1.0 - fc) * m, 0.0, max_value)
     if fs != 1.0 and img.shape[2] == 3:
         g = _gray(img)[..., None]

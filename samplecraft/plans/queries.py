@@ -742,12 +742,85 @@ def q_pipeline_eval(spark, sf):
     return explode_tensor(T.pipeline(t, T.eval_preset(2)))
 
 
-@register("pipeline_train")
+def _train_pipeline_sql() -> str:
+    """The training preset (size 4) on the 8-bit 4 x 4 x 3 tensor, step by step:
+    random resized crop, flip, rotation (+-15), brightness / contrast / saturation,
+    unit scale, normalise."""
+    u = {t: _u_sql(t) for t in ("crop_area", "crop_ratio", "crop_top", "crop_left", "flip", "rotate",
+                                "brightness", "contrast", "saturation")}
+    d = "CAST({} AS DOUBLE)".format
+
+    def px(y, x):  # 8-bit input value at (y, x, c), c from the row
+        return f"CAST(floor((CAST(embedding[(({y}) * 4 + ({x})) * 4 + c + 1] AS DOUBLE) + 1) * 127.5) AS DOUBLE)"
+
+    def gray(tbl):
+        return (f"(max(CASE WHEN c = 0 THEN v END) * {d('0.299')} + max(CASE WHEN c = 1 THEN v END) * {d('0.587')})"
+                f" + max(CASE WHEN c = 2 THEN v END) * {d('0.114')}")
+
+    factor = f"({d('0.8')} + {{}} * ({d('1.2')} - {d('0.8')}))"
+    return f"""
+WITH base AS (
+  SELECT vec_id AS key, embedding,
+         16 * ({d('0.8')} + {u["crop_area"]} * ({d('1.0')} - {d('0.8')})) AS area,
+         exp(ln({d('3')} / 4) + {u["crop_ratio"]} * (ln({d('4')} / 3) - ln({d('3')} / 4))) AS ar,
+         {u["crop_top"]} AS ut, {u["crop_left"]} AS ul, {u["flip"]} AS uf,
+         ({d('-15.0')} + {u["rotate"]} * {d('30.0')}) * (pi() / 180.0) AS t,
+         {factor.format(u["brightness"])} AS fb, {factor.format(u["contrast"])} AS fc,
+         {factor.format(u["saturation"])} AS fs
+  FROM embeddings),
+box AS (
+  SELECT *, CAST(least(greatest(floor(sqrt(area * ar) + 0.5), 1), 4) AS BIGINT) AS cw,
+            CAST(least(greatest(floor(sqrt(area / ar) + 0.5), 1), 4) AS BIGINT) AS ch FROM base),
+box2 AS (
+  SELECT *, CAST(floor(ut * (4 - ch + 1)) AS BIGINT) AS top, CAST(floor(ul * (4 - cw + 1)) AS BIGINT) AS lft FROM box),
+grid AS (
+  SELECT box2.*, yy.Y, xx.X, cc.c,
+         greatest((CAST(yy.Y AS DOUBLE) + 0.5) * (CAST(ch AS DOUBLE) / 4) - 0.5, {d('0.0')}) AS sy,
+         greatest((CAST(xx.X AS DOUBLE) + 0.5) * (CAST(cw AS DOUBLE) / 4) - 0.5, {d('0.0')}) AS sx
+  FROM box2, range(4) yy(Y), range(4) xx(X), range(3) cc(c)),
+grid2 AS (
+  SELECT *, CAST(least(floor(sy), ch - 1) AS BIGINT) AS y0, CAST(least(floor(sx), cw - 1) AS BIGINT) AS x0 FROM grid),
+grid3 AS (
+  SELECT *, least(y0 + 1, ch - 1) AS y1, least(x0 + 1, cw - 1) AS x1, sy - y0 AS ly, sx - x0 AS lx FROM grid2),
+a AS (
+  SELECT key, Y, X, c, uf, t, fb, fc, fs,
+         ({px("top + y0", "lft + x0")} * (1.0 - lx) + {px("top + y0", "lft + x1")} * lx) * (1.0 - ly)
+         + ({px("top + y1", "lft + x0")} * (1.0 - lx) + {px("top + y1", "lft + x1")} * lx) * ly AS v
+  FROM grid3),
+b AS (
+  SELECT a.key, a.Y, a.X, a.c, a.t, a.fb, a.fc, a.fs,
+         CASE WHEN a.uf < {d('0.5')} THEN m.v ELSE a.v END AS v
+  FROM a JOIN a m ON m.key = a.key AND m.Y = a.Y AND m.X = 3 - a.X AND m.c = a.c),
+rsrc AS (
+  SELECT key, Y, X, c, fb, fc, fs,
+         CAST(floor(((1.5 + (CAST(X AS DOUBLE) - 1.5) * cos(t)) - (CAST(Y AS DOUBLE) - 1.5) * sin(t)) + 0.5) AS BIGINT) AS rx,
+         CAST(floor(((1.5 + (CAST(X AS DOUBLE) - 1.5) * sin(t)) + (CAST(Y AS DOUBLE) - 1.5) * cos(t)) + 0.5) AS BIGINT) AS ry
+  FROM b),
+r AS (
+  SELECT s.key, s.Y, s.X, s.c, s.fb, s.fc, s.fs,
+         CASE WHEN s.rx BETWEEN 0 AND 3 AND s.ry BETWEEN 0 AND 3 THEN b.v ELSE {d('0.0')} END AS v
+  FROM rsrc s LEFT JOIN b ON b.key = s.key AND b.Y = s.ry AND b.X = s.rx AND b.c = s.c),
+j1 AS (SELECT key, Y, X, c, fc, fs, least(greatest(v * fb, {d('0.0')}), {d('255.0')}) AS v FROM r),
+g1 AS (SELECT key, Y, X, {gray("j1")} AS g FROM j1 GROUP BY key, Y, X),
+m1 AS (SELECT key, floor(avg(g) + 0.5) AS gm FROM g1 GROUP BY key),
+j2 AS (
+  SELECT j1.key, Y, X, c, fs, least(greatest(fc * v + (1.0 - fc) * gm, {d('0.0')}), {d('255.0')}) AS v
+  FROM j1 JOIN m1 ON m1.key = j1.key),
+g2 AS (SELECT key, Y, X, {gray("j2")} AS g FROM j2 GROUP BY key, Y, X),
+j3 AS (
+  SELECT j2.key, j2.Y, j2.X, c, least(greatest(fs * v + (1.0 - fs) * g, {d('0.0')}), {d('255.0')}) AS v
+  FROM j2 JOIN g2 ON g2.key = j2.key AND g2.Y = j2.Y AND g2.X = j2.X)
+SELECT key, CAST((Y * 4 + X) * 3 + c AS INTEGER) AS i,
+       round(CAST(CAST((v / {d('255.0')} - CASE c WHEN 0 THEN {d('0.485')} WHEN 1 THEN {d('0.456')} ELSE {d('0.406')} END)
+                       / CASE c WHEN 0 THEN {d('0.229')} WHEN 1 THEN {d('0.224')} ELSE {d('0.225')} END
+                  AS FLOAT) AS DOUBLE), 6) AS value
+FROM j3"""
+
+
+@register("pipeline_train", _train_pipeline_sql())
 def q_pipeline_train(spark, sf):
     t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
-    out = T.pipeline(t, T.train_preset(4, seed=X.SEED, epoch=1, key="key"))
-    return out.select("key", F.col("tensor.height").alias("height"), F.col("tensor.width").alias("width"),
-                      F.col("tensor.channels").alias("channels"), F.col("tensor.data").alias("data"))
+    return explode_tensor(T.pipeline(t, T.train_preset(4, seed=X.SEED, epoch=1, key="key")))
 
 
 # ------------------------------------------------------- heads and images
@@ -801,10 +874,45 @@ def q_image_scan(spark, sf):
     return explode_tensor(keyed)
 
 
-@register("pipeline_small_train")
+def _small_train_pipeline_sql() -> str:
+    """The small-run preset (size 2) on the 8-bit 4 x 4 x 3 tensor: resize, flip,
+    rotation (+-10), unit scale, normalise."""
+    d = "CAST({} AS DOUBLE)".format
+
+    def px(y, x):
+        return f"CAST(floor((CAST(embedding[(({y}) * 4 + ({x})) * 4 + c + 1] AS DOUBLE) + 1) * 127.5) AS DOUBLE)"
+
+    return f"""
+WITH base AS (
+  SELECT vec_id AS key, embedding, {_u_sql("flip")} AS uf,
+         ({d('-10.0')} + {_u_sql("rotate")} * {d('20.0')}) * (pi() / 180.0) AS t
+  FROM embeddings),
+a AS (
+  SELECT key, uf, t, yy.Y, xx.X, cc.c,
+         ({px("2 * yy.Y", "2 * xx.X")} * 0.5 + {px("2 * yy.Y", "2 * xx.X + 1")} * 0.5) * 0.5
+         + ({px("2 * yy.Y + 1", "2 * xx.X")} * 0.5 + {px("2 * yy.Y + 1", "2 * xx.X + 1")} * 0.5) * 0.5 AS v
+  FROM base, range(2) yy(Y), range(2) xx(X), range(3) cc(c)),
+b AS (
+  SELECT a.key, a.t, a.Y, a.X, a.c, CASE WHEN a.uf < {d('0.5')} THEN m.v ELSE a.v END AS v
+  FROM a JOIN a m ON m.key = a.key AND m.Y = a.Y AND m.X = 1 - a.X AND m.c = a.c),
+rsrc AS (
+  SELECT key, Y, X, c,
+         CAST(floor(((0.5 + (CAST(X AS DOUBLE) - 0.5) * cos(t)) - (CAST(Y AS DOUBLE) - 0.5) * sin(t)) + 0.5) AS BIGINT) AS rx,
+         CAST(floor(((0.5 + (CAST(X AS DOUBLE) - 0.5) * sin(t)) + (CAST(Y AS DOUBLE) - 0.5) * cos(t)) + 0.5) AS BIGINT) AS ry
+  FROM b),
+r AS (
+  SELECT s.key, s.Y, s.X, s.c,
+         CASE WHEN s.rx BETWEEN 0 AND 1 AND s.ry BETWEEN 0 AND 1 THEN b.v ELSE {d('0.0')} END AS v
+  FROM rsrc s LEFT JOIN b ON b.key = s.key AND b.Y = s.ry AND b.X = s.rx AND b.c = s.c)
+SELECT key, CAST((Y * 2 + X) * 3 + c AS INTEGER) AS i,
+       round(CAST(CAST((v / {d('255.0')} - CASE c WHEN 0 THEN {d('0.485')} WHEN 1 THEN {d('0.456')} ELSE {d('0.406')} END)
+                       / CASE c WHEN 0 THEN {d('0.229')} WHEN 1 THEN {d('0.224')} ELSE {d('0.225')} END
+                  AS FLOAT) AS DOUBLE), 6) AS value
+FROM r"""
+
+
+@register("pipeline_small_train", _small_train_pipeline_sql())
 def q_pipeline_small_train(spark, sf):
     """I9, the small three-class run's preset: resize, flip, rotate (10), unit, normalise."""
     t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
-    out = T.pipeline(t, T.small_train_preset(2, seed=X.SEED, epoch=1, key="key"))
-    return out.select("key", F.col("tensor.height").alias("height"), F.col("tensor.width").alias("width"),
-                      F.col("tensor.channels").alias("channels"), F.col("tensor.data").alias("data"))
+    return explode_tensor(T.pipeline(t, T.small_train_preset(2, seed=X.SEED, epoch=1, key="key")))
