@@ -170,12 +170,18 @@ def _check_features(df: DataFrame, features_col: str) -> int:
 
 def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str = "features",
              label_col: str = "label_idx", key: str = "id", opts: HeadOptions | None = None,
-             model: str = "linear-head") -> FitResult:
+             model: str = "linear-head", history_path: str | None = None,
+             head_path: str | None = None) -> FitResult:
     """Train the head; returns per-epoch history, the best / final heads and a run row.
 
     Validation of epoch e and the first step of epoch e + 1 use the same
     weights, so they share one Spark job; if epoch e stops the run, that
     step's gradient is simply not applied.
+
+    With ``history_path`` each epoch's row is appended as soon as the epoch
+    closes; with ``head_path`` the best head is rewritten on every
+    improvement (only this run's ``best`` partition) and the final head is
+    written at the end, so an interrupted run keeps its progress.
     """
     opts = opts or HeadOptions()
     spark = train.sparkSession
@@ -214,6 +220,18 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     k = max(1, int(opts.steps_per_epoch))
     totals = [0.0, 0, 0]
 
+    def persist_epoch(row):
+        if history_path:
+            one = spark.createDataFrame([tuple(row[c] for c in HISTORY.fieldNames())], HISTORY)
+            one.write.mode("append").partitionBy("run_id").parquet(history_path)
+
+    def persist_head(kind, hw, hb):
+        if head_path:
+            rows = [(opts.run_id, kind, c, float(hb[c]), [float(x) for x in hw[c]]) for c in range(n_classes)]
+            (spark.createDataFrame(rows, HEAD).write.mode("overwrite")
+                  .option("partitionOverwriteMode", "dynamic")
+                  .partitionBy("run_id", "kind").parquet(head_path))
+
     def batch(epoch, step):
         if k == 1:
             return tr
@@ -241,9 +259,11 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         improved = val_loss < best
         row["improved"] = bool(improved)
         history.append(row)
+        persist_epoch(row)
         if improved:
             best, bad = val_loss, 0
             best_w, best_b = w.copy(), b.copy()
+            persist_head("best", best_w, best_b)
             return False
         bad += 1
         return opts.patience is not None and bad >= opts.patience
@@ -282,6 +302,7 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         close_epoch(len(history) + 1, _sums(va, w, b, features_col, label_col, False))
     tr.unpersist()
     va.unpersist()
+    persist_head("final", w, b)
     seconds = round(time.time() - started, 2)  # F8: elapsed wall-clock, 2 decimals
 
     hist_schema = T.StructType(HISTORY.fields + [T.StructField("lr", T.DoubleType()),
@@ -296,8 +317,8 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         head_rows += [(opts.run_id, kind, c, float(hb[c]), [float(x) for x in hw[c]]) for c in range(n_classes)]
     head_df = spark.createDataFrame(head_rows, HEAD)
     n_train = int(totals[2]) if totals[2] else None
-    batch = -(-n_train // k) if n_train else None  # rows per step (the last step may be smaller)
-    run_df = spark.createDataFrame([(opts.run_id, model, n_classes, opts.epochs, batch, seconds)], RUNS)
+    per_step = -(-n_train // k) if n_train else None  # rows per step (the last step may be smaller)
+    run_df = spark.createDataFrame([(opts.run_id, model, n_classes, opts.epochs, per_step, seconds)], RUNS)
     return FitResult(hist_df, head_df, w, b, run_df)
 
 

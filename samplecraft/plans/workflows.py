@@ -72,13 +72,10 @@ def training_tables(spark: SparkSession, path: str, classes: Sequence[str] | Non
 def train(train_features: DataFrame, val_features: DataFrame, n_classes: int, history_path: str | None = None,
           head_path: str | None = None, opts: HD.HeadOptions | None = None, key: str = "id",
           features_col: str = "features", label_col: str = "label_idx") -> HD.FitResult:
-    """Fit the head; append its history and save best / final heads when paths are given."""
-    res = HD.fit_head(train_features, val_features, n_classes, features_col, label_col, key, opts)
-    if history_path:
-        SRC.write_history(res.history, history_path)
-    if head_path:
-        SRC.write_head(res.head, head_path)
-    return res
+    """Fit the head; history rows are appended per epoch and the best / final heads
+    saved as training goes when paths are given."""
+    return HD.fit_head(train_features, val_features, n_classes, features_col, label_col, key, opts,
+                       history_path=history_path, head_path=head_path)
 
 
 def analyze(scored: DataFrame, dictionary: DataFrame, top_classes: int = 20, top_errors: int = 10,

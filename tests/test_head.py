@@ -64,3 +64,20 @@ def test_small_run_variant_keeps_lr_and_runs_all_epochs(spark):
     assert [r.epoch for r in hist] == list(range(1, 7))
     assert {r.lr for r in hist} == {1e-3}
     assert res.run.first().run_id == "small"
+
+
+def test_progress_is_persisted(spark):
+    from samplecraft.session import scratch_path
+    from samplecraft.sources import metadata as SRC
+    df = spark.range(300).select(
+        F.col("id"), (F.col("id") % 3).cast("int").alias("label_idx"),
+        F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1000)) / 1000.0 for j in range(4)]).alias("features"))
+    hp, wp = scratch_path(spark, "hist"), scratch_path(spark, "heads")
+    for run in ("a", "b"):
+        HD.fit_head(df.where("id % 4 != 0"), df.where("id % 4 = 0"), 3,
+                    opts=HD.HeadOptions(epochs=4, patience=None, run_id=run), history_path=hp, head_path=wp)
+    hist = SRC.read_history(spark, hp)
+    assert sorted((r.run_id, r.epoch) for r in hist.collect()) == [(r, e) for r in "ab" for e in range(1, 5)]
+    heads = SRC.read_head(spark, wp)
+    assert heads.groupBy("run_id", "kind").count().count() == 4
+    assert heads.count() == 12
