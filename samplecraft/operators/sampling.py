@@ -35,14 +35,19 @@ def random_sample(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str
 
 
 def dense_index(df: DataFrame, order: Sequence, index_col: str = "row_idx") -> DataFrame:
-    """Add a dense 0-based ``index_col`` following the total order ``order``.
+    """Add a dense 0-based ``index_col`` following ``order``.
 
-    ``order`` must be unique per row (end it with a key).  Cost: one range
+    A positional tiebreak is appended to the sort, so every sort key is
+    unique and the sampled range partitioning can split even a key (or a
+    group of identical copies) that holds a large share of the rows; it
+    only orders rows that ``order`` leaves tied.  Cost: one sampled range
     shuffle + sort, one checkpoint write, one tiny count job.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    ordered = df.orderBy(*order).checkpoint(eager=True)
+    cols = list(df.columns)
+    tagged_in = df.withColumn("__tb", F.monotonically_increasing_id())
+    ordered = tagged_in.orderBy(*order, F.col("__tb")).drop("__tb").checkpoint(eager=True)
     pid = F.spark_partition_id()
     tagged = ordered.select(
         "*", pid.alias("__pid"),
@@ -54,43 +59,52 @@ def dense_index(df: DataFrame, order: Sequence, index_col: str = "row_idx") -> D
         F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__off"))
     out = tagged.join(F.broadcast(offsets), "__pid")
-    return out.select(*[F.col(c) for c in df.columns],
+    return out.select(*[F.col(c) for c in cols if not c.startswith("__")],
                       (F.col("__off") + F.col("__pos")).cast("long").alias(index_col))
 
 
+HOT_BUCKET_ROWS = 1_000_000
+
+
 def bucketed_index(df: DataFrame, bucket: Column, order: Sequence[Column], max_buckets: int,
-                   index_col: str = "row_idx") -> DataFrame:
+                   index_col: str = "row_idx", hot_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """Dense 0-based rank by ``order``, given a ``bucket`` that is monotone in that order.
 
-    One light scan counts rows per bucket (partial aggregation, at most
-    ``max_buckets`` rows); running sums over that bounded table are broadcast
-    as bucket offsets.  The rows take one shuffle by bucket and a
-    ``row_number`` inside their bucket: no global sort, no single-task
-    window over the data, no checkpoint.
+    Bucket row counts come first (one light scan, partial aggregation, at
+    most ``max_buckets`` rows to the driver).  Normally they become broadcast
+    offsets for a ``row_number`` inside each bucket: one shuffle, no global
+    sort, no checkpoint.  If a bucket holds more than ``hot_rows`` rows and
+    far more than its share (a key repeated on a large share of the rows),
+    ranking falls back to ``dense_index``, whose sampled range sort splits
+    any group across tasks.
     """
     h = df.withColumn("__b", F.coalesce(bucket.cast("int"), F.lit(0)))  # non-null: no re-evaluated filter
-    counts = h.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-                          F.lit(0)).alias("__off"))
+    counts = sorted((r["__b"], r["__n"]) for r in
+                    h.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).collect())
+    total = sum(c for _, c in counts)
+    peak = max((c for _, c in counts), default=0)
+    if peak > max(hot_rows, 8 * total / max_buckets):
+        return dense_index(h, order, index_col)
+    offsets, run = [], 0
+    for b, c in counts:
+        offsets.append((b, run))
+        run += c
+    off_df = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__b int, __off long")  # <= max_buckets rows
     ranked = h.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
-    out = ranked.join(F.broadcast(offsets), "__b")  # <= max_buckets rows by construction
+    out = ranked.join(F.broadcast(off_df), "__b")
     keep = [c for c in df.columns if not c.startswith("__")]
     return out.select(*[F.col(c) for c in keep], (F.col("__off") + F.col("__r")).cast("long").alias(index_col))
 
 
 def hash_order_index(df: DataFrame, hash_col, key: str, index_col: str = "row_idx",
-                     prefix_digits: int = 4) -> DataFrame:
-    """Dense rank by (hex hash, key) for a uniform hash and a unique key.
-
-    The first ``prefix_digits`` hex digits cut the order into 16^digits
-    buckets of near-equal size.
-    """
+                     prefix_digits: int = 4, hot_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
+    """Dense rank by (hex hash, key): buckets are the first ``prefix_digits``
+    hex digits, near-equal when the key is unique (see ``bucketed_index``)."""
     if not 1 <= prefix_digits <= 5:
         raise ValueError("prefix_digits must be 1..5")
     h = df.withColumn("__h", hash_col)
     bucket = F.conv(F.substring("__h", 1, prefix_digits), 16, 10)
-    return bucketed_index(h, bucket, [F.col("__h"), F.col(key)], 16 ** prefix_digits, index_col)
+    return bucketed_index(h, bucket, [F.col("__h"), F.col(key)], 16 ** prefix_digits, index_col, hot_rows)
 
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -132,15 +146,16 @@ def _with_batch(df: DataFrame, size: int) -> DataFrame:
 
 
 def shuffle_batches(df: DataFrame, size: int, seed: int = 42, epoch: int = 0,
-                    key: str = "id") -> DataFrame:
+                    key: str = "id", hot_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """A new seeded order per epoch, ``row_idx`` and ``batch_id = row_idx div size``.
 
-    Order = ``md5('<seed>:<epoch>:<key>')`` then key (``key`` unique per row);
-    the last partial batch is kept.
+    Order = ``md5('<seed>:<epoch>:<key>')`` then key; rows sharing a key
+    (copies) are placed next to each other.  The last partial batch is kept.
     """
     if size <= 0:
         raise ValueError("batch size must be positive")
-    return _with_batch(hash_order_index(df, order_hash(seed, F.lit(epoch), key), key), size)
+    return _with_batch(hash_order_index(df, order_hash(seed, F.lit(epoch), key), key, hot_rows=hot_rows),
+                       size)
 
 
 def sequential_batches(df: DataFrame, size: int, key: str = "id") -> DataFrame:

@@ -53,3 +53,24 @@ def test_dense_index_generic_order_and_numeric_buckets(spark):
     got = sorted((r.row_idx, r.n) for r in S.key_order_index(outlier, "n", method="buckets").collect())
     assert got[-1] == (500, 10 ** 15) and got[:3] == [(0, 0), (1, 3), (2, 6)]
     assert S.key_order_index(df, "s").count() == 500  # non-numeric falls back to the sort path
+
+
+def test_shuffle_fallback_equals_bucket_path_and_handles_hot_keys(spark):
+    df = frame(spark, 1000, 4)
+    fast = sorted((r.id, r.row_idx) for r in S.shuffle_batches(df, 64, seed=3, epoch=1, key="id").collect())
+    forced = sorted((r.id, r.row_idx) for r in
+                    S.shuffle_batches(df, 64, seed=3, epoch=1, key="id", hot_rows=0).collect())
+    assert fast == forced
+    # a third of the rows share one key (a group of copies)
+    hot = spark.range(900).repartition(5).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))
+                                                 .alias("k"), (F.col("id") % 2).alias("v"))
+    outs = []
+    for parts in (1, 6):
+        b = S.shuffle_batches(hot.repartition(parts), 50, seed=3, key="k", hot_rows=100)
+        rows = b.collect()
+        assert sorted(r.row_idx for r in rows) == list(range(900))
+        outs.append(sorted((r.k, r.row_idx) for r in rows))
+    assert outs[0] == outs[1]
+    ks = [k for k, _ in outs[0] if k == -1]
+    idx = sorted(i for k, i in outs[0] if k == -1)
+    assert len(ks) == 300 and idx == list(range(idx[0], idx[0] + 300))  # copies are contiguous
