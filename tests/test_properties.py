@@ -33,3 +33,70 @@ def test_parse_matches_model(spark, lines):
     got = sorted(tuple(r) for r in M.parse_manifest(stripped, ROOT).collect())
     want = sorted(m for m in (model(x) for x in lines) if m is not None and m[1] != "")
     assert got == want
+
+
+# ---- epoch rules against a plain-Python model of the training loop -----------
+
+import math  # noqa: E402
+
+from samplecraft.operators import history as H  # noqa: E402
+
+
+def loop_model(losses, patience=5, lr=1e-3, factor=0.1, lr_patience=3, threshold=1e-4):
+    """The loop as the training script runs it: append, schedule step, then the
+    strict-improvement / patience check; stop after appending the stop epoch."""
+    best, bad, kept, improved, lrs, cuts = math.inf, 0, 0, [], [], []
+    p_best, p_bad = math.inf, 0
+    best_epoch = None
+    for e, v in enumerate(losses, start=1):
+        kept = e
+        if v < p_best * (1 - threshold):
+            p_best, p_bad = v, 0
+        else:
+            p_bad += 1
+        cut = False
+        if p_bad > lr_patience:
+            new = max(lr * factor, 0.0)
+            if lr - new > 1e-8:
+                lr, cut = new, True
+            p_bad = 0
+        lrs.append(lr)
+        cuts.append(cut)
+        if v < best:
+            best, bad = v, 0
+            best_epoch = e
+            improved.append(True)
+        else:
+            bad += 1
+            improved.append(False)
+            if bad >= patience:
+                break
+    return kept, best_epoch, improved, lrs, cuts
+
+
+values = st.one_of(st.sampled_from([1.0, 0.9, 0.8, 0.85, 0.95, 0.5]), st.floats(0.1, 2.0),
+                   st.just(float("nan")))
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(values, min_size=1, max_size=25), min_size=40, max_size=40))
+def test_epoch_rules_match_loop_model(spark, runs):
+    rows = [(f"r{i}", e + 1, v) for i, losses in enumerate(runs) for e, v in enumerate(losses)]
+    h = spark.createDataFrame(rows, "run_id string, epoch int, val_loss double")
+    stopped = {}
+    for r in H.early_stop(h, 5).collect():
+        stopped.setdefault(r.run_id, []).append((r.epoch, r.improved))
+    best = {r.run_id: r.best_epoch for r in H.best_checkpoint(h, 5).collect()}
+    lrs = {}
+    for r in H.plateau_lr(h).collect():
+        lrs.setdefault(r.run_id, {})[r.epoch] = (r.lr, r.cut)
+    for i, losses in enumerate(runs):
+        rid = f"r{i}"
+        kept, best_epoch, improved, lr_seq, cut_seq = loop_model(losses)
+        got = sorted(stopped[rid])
+        assert [e for e, _ in got] == list(range(1, kept + 1))
+        assert [imp for _, imp in got] == improved
+        assert best.get(rid) == best_epoch
+        for e in range(1, kept + 1):
+            assert lrs[rid][e][1] == cut_seq[e - 1]
+            assert abs(lrs[rid][e][0] - lr_seq[e - 1]) < 1e-18
