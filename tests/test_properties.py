@@ -100,3 +100,44 @@ def test_epoch_rules_match_loop_model(spark, runs):
         for e in range(1, kept + 1):
             assert lrs[rid][e][1] == cut_seq[e - 1]
             assert abs(lrs[rid][e][0] - lr_seq[e - 1]) < 1e-18
+
+
+# ---- error analysis against a NumPy model of the analysis script ---------------
+
+import numpy as np  # noqa: E402
+
+from samplecraft.operators import classes as C  # noqa: E402
+from samplecraft.operators import evaluate as E  # noqa: E402
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(2, 12), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), min_size=1, max_size=400),
+       st.integers(1, 15), st.integers(1, 12))
+def test_analysis_matches_numpy_model(spark, n_cls, pairs, top_err, top_cls):
+    pairs = [(t % n_cls, p % n_cls) for t, p in pairs]
+    names = [f"k{c:02d}" for c in range(n_cls)]
+    cm = np.zeros((n_cls, n_cls), dtype=np.int64)
+    for t, p in pairs:
+        cm[t, p] += 1
+    # top errors: (count, true name, pred name), sorted descending as whole tuples
+    errs = sorted(((int(cm[i, j]), names[i], names[j]) for i in range(n_cls) for j in range(n_cls)
+                   if i != j and cm[i, j] > 0), reverse=True)[:top_err]
+    # hardest classes: errors ascending, then index ascending; keep the last n (all, in order, if n >= C)
+    row_err = (cm - np.diag(np.diag(cm))).sum(axis=1)
+    if top_cls < n_cls:
+        hard = list(np.lexsort((np.arange(n_cls), row_err))[-top_cls:])
+    else:
+        hard = list(range(n_cls))
+
+    d = C.class_dictionary(spark.createDataFrame([(x,) for x in names], "label string"))
+    pred = spark.createDataFrame(pairs, "label_idx int, pred_idx int")
+    counts = E.confusion_counts(pred)
+    dense = {(r.true_idx, r.pred_idx): r.n for r in E.confusion_matrix(counts, d).collect()}
+    assert dense == {(i, j): int(cm[i, j]) for i in range(n_cls) for j in range(n_cls)}
+    got_errs = [(r.n, r.true_label, r.pred_label) for r in E.top_confusions(counts, d, top_err).collect()]
+    assert got_errs == errs
+    got_hard = [r.class_idx for r in E.hardest_classes(E.class_errors(counts, d), top_cls).orderBy("rank").collect()]
+    assert got_hard == [int(x) for x in hard]
+    sub = {(r.true_rank, r.pred_rank): r.n for r in
+           E.submatrix(E.confusion_matrix(counts, d), E.hardest_classes(E.class_errors(counts, d), top_cls)).collect()}
+    assert sub == {(a, b): int(cm[hard[a], hard[b]]) for a in range(len(hard)) for b in range(len(hard))}
