@@ -123,6 +123,19 @@ class TensorStep:
     catalyst: Callable[[Column], Column] | None = None
 
 
+def numpy_step(fn: Callable[..., np.ndarray], name: str = "custom",
+               params: dict[str, Column] | None = None) -> TensorStep:
+    """Wrap a user function as a pipeline step.
+
+    ``fn(img)`` or, with ``params`` (per-row columns, e.g. seeded draws),
+    ``fn(img, p)`` gets an (H, W, C) float64 array and returns a new one; it
+    runs inside the fused Arrow stage with its neighbours.
+    """
+    if params:
+        return TensorStep(name, fn, params=dict(params))
+    return TensorStep(name, lambda img, p: fn(img))
+
+
 def resize(height: int, width: int) -> TensorStep:
     """I1."""
     return TensorStep("resize", lambda img, p: resize_image(img, height, width))

@@ -100,3 +100,13 @@ def test_pipeline_accepts_dataframe_steps_and_nulls(spark):
     out = T.pipeline(df, [T.resize(3, 3), lambda d: d.withColumn("x", F.lit(1)), T.to_unit()])
     rows = {r.key: r for r in out.collect()}
     assert rows[0].tensor is None and rows[1].tensor.height == 3 and rows[1].x == 1
+
+
+def test_user_numpy_step_in_pipeline(spark):
+    df = tensors(spark, n=6, h=4, w=4)
+    out = as_np(T.pipeline(df, [T.numpy_step(lambda img: 255.0 - img, "invert"), T.resize(2, 2),
+                                T.numpy_step(lambda img, p: img * p["k"], "scale",
+                                             params={"k": F.col("key").cast("double")})]))
+    src = as_np(df)
+    for k, img in out.items():
+        assert np.allclose(img, T.resize_image(255.0 - src[k], 2, 2) * k, atol=1e-3)
