@@ -80,8 +80,12 @@ def train(train_features: DataFrame, val_features: DataFrame, n_classes: int, hi
 
 def analyze(scored: DataFrame, dictionary: DataFrame, top_classes: int = 20, top_errors: int = 10,
             n_examples: int = 10, seed: int = 42, key: str = "id") -> dict[str, DataFrame]:
-    """Every error-analysis table from one scored frame (cache ``scored`` upstream)."""
-    counts = E.confusion_counts(scored)
+    """Every error-analysis table from one scored frame (cache ``scored`` upstream).
+
+    The confusion counts (at most C^2 rows) feed every table, so they are
+    materialised once with a reliable checkpoint.
+    """
+    counts = E.confusion_counts(scored).checkpoint(eager=True)
     cm = E.confusion_matrix(counts, dictionary)
     errors = E.class_errors(counts, dictionary)
     hard = E.hardest_classes(errors, top_classes)
