@@ -328,20 +328,3 @@ def head_arrays(head: DataFrame, run_id: str, kind: str):
     if not rows:
         raise ValueError(f"no head {run_id}/{kind}")
     return np.array([r["weights"] for r in rows]), np.array([r["bias"] for r in rows])
-
-
-def centroid_head(df: DataFrame, features_col: str = "features", label_col: str = "label_idx",
-                  run_id: str = "centroid") -> DataFrame:
-    """A nearest-centroid linear head: w_c = mean feature vector of class c,
-    b_c = -|w_c|^2 / 2.  Element-wise means via posexplode + groupBy (partial
-    aggregation; a hot class only adds rows to combine)."""
-    long = df.select(F.col(label_col).cast("int").alias("class_idx"),
-                     F.posexplode(F.col(features_col)).alias("j", "x"))
-    means = long.groupBy("class_idx", "j").agg(F.avg(F.col("x").cast("double")).alias("w"))
-    per_class = means.groupBy("class_idx").agg(
-        F.array_sort(F.collect_list(F.struct("j", "w"))).alias("__w"))
-    weights = F.transform("__w", lambda e: e["w"])
-    return per_class.select(
-        F.lit(run_id).alias("run_id"), F.lit("final").alias("kind"), "class_idx",
-        (-0.5 * F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x * x)).alias("bias"),
-        weights.alias("weights"))

@@ -854,7 +854,7 @@ SELECT 'centroid' AS run_id, 'final' AS kind, m.class_idx, round(b.bias, 6) AS b
 FROM means m JOIN b ON b.class_idx = m.class_idx""")
 def q_head_roundtrip(spark, sf):
     path = scratch_path(spark, "head")
-    SRC.write_head(HD.centroid_head(_features(spark, sf)), path)
+    SRC.write_head(X.centroid_head(_features(spark, sf)), path)
     back = SRC.read_head(spark, path, run_id="centroid", kind="final")
     return back.select("run_id", "kind", "class_idx", r6(F.col("bias")).alias("bias"),
                        F.posexplode("weights").alias("j", "w")).select(
