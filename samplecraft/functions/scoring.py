@@ -55,9 +55,11 @@ def logsumexp(logits) -> Column:
 
 
 def cross_entropy(logits, label_idx) -> Column:
-    """``logsumexp(z) - z[y]`` with the max subtracted for stability."""
+    """``logsumexp(z) - z[y]`` with the max subtracted for stability; NULL for an
+    unknown or out-of-range label."""
     z = as_col(logits)
-    return logsumexp(z) - F.element_at(z, as_col(label_idx) + 1)
+    # try_element_at: a label outside 0..C-1 gives NULL instead of failing the job (ANSI mode)
+    return logsumexp(z) - F.try_element_at(z, (as_col(label_idx) + 1).cast("int"))
 
 
 def is_correct(label_idx, pred_idx) -> Column:

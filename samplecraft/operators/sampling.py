@@ -2,10 +2,11 @@
 
 Randomness is an md5 order key (see ``functions.draws``), so results do not
 depend on partitioning.  A dense index never pulls the table into one task:
-for a hash order (D1) rows are ranked inside hash-prefix buckets (uniform by
-construction) and shifted by broadcast bucket offsets; a key order (D2) is
-range-sorted with sampled boundaries, materialised once with a reliable
-checkpoint, and shifted by per-partition offsets.
+for a hash order (D1) rows are ranked inside hash-prefix buckets (near-equal
+for a unique key) and shifted by broadcast bucket offsets; a key order (D2),
+or a hash order with a hot bucket, is range-sorted with sampled boundaries and
+a positional tiebreak, materialised once with a reliable checkpoint, and
+shifted by per-partition offsets.
 """
 
 from __future__ import annotations

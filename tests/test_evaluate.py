@@ -87,3 +87,8 @@ def test_linear_logits_matches_numpy(spark):
     got = np.array([r.z for r in df.select(scoring.linear_logits("x", w, b).alias("z")).collect()])
     ref = np.array([[1.0, 2.0], [-3.0, 0.5]]) @ np.array(w).T + np.array(b)
     assert np.allclose(got, ref, atol=1e-12)
+
+
+def test_out_of_range_label_gives_null_loss(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 5), ([1.0, 2.0], -1), ([1.0, 2.0], None)], "z array<double>, y int")
+    assert [r.l for r in df.select(scoring.cross_entropy("z", "y").alias("l")).collect()] == [None, None, None]
