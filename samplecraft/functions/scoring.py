@@ -58,8 +58,9 @@ def cross_entropy(logits, label_idx) -> Column:
     """``logsumexp(z) - z[y]`` with the max subtracted for stability; NULL for an
     unknown or out-of-range label."""
     z = as_col(logits)
-    # try_element_at: a label outside 0..C-1 gives NULL instead of failing the job (ANSI mode)
-    return logsumexp(z) - F.try_element_at(z, (as_col(label_idx) + 1).cast("int"))
+    # get() is 0-based and NULL outside the array, so a label outside 0..C-1 gives NULL
+    # (element_at would fail the job in ANSI mode, or count negative indexes from the end)
+    return logsumexp(z) - F.get(z, as_col(label_idx).cast("int"))
 
 
 def is_correct(label_idx, pred_idx) -> Column:
