@@ -75,7 +75,7 @@ def hflip(tensor) -> Column:
         x = F.floor(F.pmod(i, w * c) / c)
         ch = F.pmod(i, c)
         return ((y * w + (w - 1 - x)) * c + ch).cast("int")
-    return _with_data(t, F.transform(t["data"], lambda v, i: F.element_at(t["data"], src(i) + 1)))
+    return _with_data(t, F.transform(t["data"], lambda v, i: F.get(t["data"], src(i))))
 
 
 def random_hflip(tensor, flip: Column) -> Column:

@@ -135,7 +135,7 @@ def history_table(metrics: DataFrame) -> DataFrame:
     def part(split, col):
         return F.sum(F.when(F.col("split") == split, F.col(col)))
     def ratio(split, col):
-        return part(split, col).cast("double") / part(split, "n").cast("double")
+        return F.try_divide(part(split, col).cast("double"), part(split, "n").cast("double"))
     return (metrics.groupBy("run_id", F.col("epoch").cast("int").alias("epoch"))
                    .agg(ratio("train", "loss_sum").alias("train_loss"),
                         ratio("train", "n_correct").alias("train_acc"),
