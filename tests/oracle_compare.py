@@ -95,6 +95,9 @@ def main(argv):
     from samplecraft.session import local_session
     import __spark_entry__ as entry
     spark = local_session(8, 8)
+    for kv in filter(None, os.environ.get("ORACLE_SPARK_CONF", "").split(",")):  # e.g. spark.sql.ansi.enabled=false
+        k, v = kv.split("=", 1)
+        spark.conf.set(k, v)
     qs, sqls = entry.queries(), entry.oracle_sql()
     con = duck(sf_dir)
     bad = 0
