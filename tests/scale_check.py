@@ -1,0 +1,57 @@
+"""Scale check: time key operators as the driver table is replicated k times.
+
+Rows are replicated inside Spark with ``explode(sequence(...))`` (a generator,
+no join); ids stay unique (``event_id * k + copy``) unless ``--hot`` makes a
+third of all rows share one key.  Usage:
+
+    python tests/scale_check.py /root/testdata/sf0.1 1 10 50 [--hot]
+
+Prints one line per (k, operator) with rows and seconds.
+"""
+
+from __future__ import annotations
+
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def main(argv):
+    sf = argv[1]
+    hot = "--hot" in argv
+    ks = [int(a) for a in argv[2:] if a.isdigit()]
+    from samplecraft.operators import evaluate as E
+    from samplecraft.operators import sampling as S
+    from samplecraft.plans import fixtures as X
+    from samplecraft.session import local_session
+    spark = local_session(8, 8)
+    ev = X.events(spark, sf)
+    for k in ks:
+        rep = ev.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("copy"))
+        rep = rep.withColumn("event_id", F.col("event_id") * k + F.col("copy")).drop("copy")
+        if hot:
+            rep = rep.withColumn("event_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1))
+                                 .otherwise(F.col("event_id")))
+        n = rep.count()
+        jobs = {
+            "shuffle_batches": lambda: S.shuffle_batches(X.samples(rep).select("id", "label"), 256, 42, 1, "id"),
+            "history_from_events": lambda: X.history(rep),
+            "confusion_counts": lambda: E.confusion_counts(
+                rep.select((F.col("user_id") % 10).cast("int").alias("label_idx"),
+                           (F.col("event_id") % 10).cast("int").alias("pred_idx"))),
+            "dataset_stats": lambda: __import__("samplecraft.operators.manifest", fromlist=["x"])
+                .dataset_stats(X.samples(rep)),
+        }
+        for name, fn in jobs.items():
+            t0 = time.perf_counter()
+            fn().write.format("noop").mode("overwrite").save()
+            print(f"k={k:4d} rows={n:10d} {name:22s} {time.perf_counter() - t0:7.2f}s", flush=True)
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main(sys.argv)
