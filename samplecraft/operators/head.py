@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,34 +105,47 @@ def _sums_kernel(weights: np.ndarray, bias: np.ndarray, features_col: str, label
                 g_w += p.T @ x[~is_val]
                 g_b += p.sum(axis=0)
         vals = np.concatenate([g_w.reshape(-1), g_b]) if with_grad else np.zeros(0)
-        yield _pack(np.concatenate([vals, tot]))
+        ctx = TaskContext.get()
+        yield _pack(np.concatenate([vals, tot]), ctx.partitionId() if ctx is not None else 0)
 
     return run, k_grad
 
 
-def _pack(vals: np.ndarray) -> pa.RecordBatch:
+def _pack(vals: np.ndarray, src: int = 0) -> pa.RecordBatch:
     n_blk = max(1, -(-len(vals) // BLOCK))
     offsets = np.minimum(np.arange(n_blk + 1) * BLOCK, len(vals)).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vals, pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(n_blk, dtype=np.int32)), lists], names=["blk", "vals"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n_blk, dtype=np.int32)), pa.array(np.full(n_blk, src, dtype=np.int32)), lists],
+        names=["blk", "src", "vals"])
 
 
 def _add_blocks(batches):
-    """Element-wise sum of the arrays of each block present in this partition."""
-    acc: dict[int, np.ndarray] = {}
+    """Element-wise sum of each block's partial arrays, added in source-partition
+    order, so the floating-point result does not depend on shuffle fetch order
+    (reruns of a training job give identical heads)."""
+    parts: dict[int, list] = {}
     for rb in batches:
         blks = rb.column(0).to_numpy(zero_copy_only=False)
-        lists = rb.column(1)
+        srcs = rb.column(1).to_numpy(zero_copy_only=False)
+        lists = rb.column(2)
         offs = lists.offsets.to_numpy()
         flat = lists.values.to_numpy(zero_copy_only=False)
         for i, blk in enumerate(blks):
-            piece = flat[offs[i]:offs[i + 1]]
-            acc[int(blk)] = piece.copy() if int(blk) not in acc else acc[int(blk)] + piece
-    if acc:
-        keys = sorted(acc)
-        offsets = np.cumsum([0] + [len(acc[k]) for k in keys]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([acc[k] for k in keys])))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), lists], names=["blk", "vals"])
+            parts.setdefault(int(blk), []).append((int(srcs[i]), flat[offs[i]:offs[i + 1]].copy()))
+    if parts:
+        keys = sorted(parts)
+        sums = []
+        for k in keys:
+            acc = None
+            for _, piece in sorted(parts[k], key=lambda x: x[0]):
+                acc = piece if acc is None else acc + piece
+            sums.append(acc)
+        offsets = np.cumsum([0] + [len(a) for a in sums]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sums)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int32()), pa.array(np.zeros(len(keys), np.int32)), lists],
+            names=["blk", "src", "vals"])
 
 
 @dataclass
@@ -152,8 +166,9 @@ def _sums(df: DataFrame, weights, bias, features_col, label_col, with_grad) -> _
     fn, k = _sums_kernel(weights, bias, features_col, label_col, with_grad)
     n_blk = max(1, -(-(k + 6) // BLOCK))
     cols = [features_col, label_col] + (["__val"] if "__val" in df.columns else [])
-    parts = df.select(*cols).mapInArrow(fn, "blk int, vals array<double>")
-    summed = parts.repartition(n_blk, "blk").mapInArrow(_add_blocks, "blk int, vals array<double>")
+    schema = "blk int, src int, vals array<double>"
+    parts = df.select(*cols).mapInArrow(fn, schema)
+    summed = parts.repartition(n_blk, "blk").mapInArrow(_add_blocks, schema)
     flat = np.concatenate([np.asarray(r["vals"], dtype=np.float64)
                            for r in sorted(summed.collect(), key=lambda r: r["blk"])])
     tot = flat[k:k + 6]

@@ -10,7 +10,7 @@ def _sums(w, b, x, y, with_grad=True):
     rb = pa.RecordBatch.from_arrays([pa.array([list(r) for r in x], pa.list_(pa.float64())), pa.array(y, pa.int32())],
                                     names=["f", "y"])
     out = next(fn(iter([rb])))
-    vals = out.column(1).flatten().to_numpy()
+    vals = out.column(2).flatten().to_numpy()
     return vals[:k], vals[k]
 
 
@@ -47,11 +47,16 @@ def test_fit_head_separable(spark):
 
 
 def test_block_reduce_adds_partitions():
-    a = HD._pack(np.arange(10000, dtype=np.float64))
-    b = HD._pack(np.ones(10000))
+    a = HD._pack(np.arange(10000, dtype=np.float64), 1)
+    b = HD._pack(np.ones(10000), 0)
     out = next(HD._add_blocks(iter([a, b])))
-    flat = out.column(1).flatten().to_numpy()
+    flat = out.column(2).flatten().to_numpy()
     assert out.column(0).to_pylist() == [0, 1, 2] and np.array_equal(flat, np.arange(10000) + 1.0)
+    # order of arrival does not change the result
+    c = HD._pack(np.full(10000, 0.1), 2)
+    one = next(HD._add_blocks(iter([a, b, c]))).column(2).flatten().to_numpy()
+    two = next(HD._add_blocks(iter([c, a, b]))).column(2).flatten().to_numpy()
+    assert np.array_equal(one, two)
 
 
 def test_small_run_variant_keeps_lr_and_runs_all_epochs(spark):
