@@ -51,6 +51,7 @@ class HeadOptions:
     adam_eps: float = 1e-8
     run_id: str = "run"
     partitions: int | None = None     # cap on feature partitions (default: cluster parallelism)
+    deterministic: bool = True        # sort rows inside partitions: bit-identical reruns and retries
 
 
 @dataclass
@@ -205,15 +206,20 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     tr = train.where(F.col(label_col).isNotNull()).select(
         key, F.col(features_col).cast("array<double>").alias(features_col),
         F.col(label_col).cast("int").alias(label_col), F.lit(False).alias("__val"))
+    va_key = F.col(key) if key in val.columns else F.lit(None).cast(tr.schema[key].dataType)
     va = val.where(F.col(label_col).isNotNull()).select(
-        F.lit(None).cast(tr.schema[key].dataType).alias(key),
-        F.col(features_col).cast("array<double>").alias(features_col),
+        va_key.alias(key), F.col(features_col).cast("array<double>").alias(features_col),
         F.col(label_col).cast("int").alias(label_col), F.lit(True).alias("__val"))
     cap = opts.partitions or spark.sparkContext.defaultParallelism
     if tr.rdd.getNumPartitions() > cap:  # bound the per-step reduction (P x K values); no shuffle
         tr = tr.coalesce(cap)
     if va.rdd.getNumPartitions() > cap:
         va = va.coalesce(cap)
+    if opts.deterministic:
+        # Row order inside a partition decides the floating-point summation order; after a
+        # lost task an upstream shuffle may deliver rows in another order, so fix it.
+        tr = tr.sortWithinPartitions(key)
+        va = va.sortWithinPartitions(key)
     tr = tr.cache()
     va = va.cache()
     dim = _check_features(tr, features_col)  # also fills the cache
