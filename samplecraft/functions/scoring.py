@@ -39,7 +39,7 @@ def linear_logits(features, weights: Sequence[Sequence[float]], bias: Sequence[f
     w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights])
     b = F.array(*[F.lit(float(v)) for v in bias])
     x = as_col(features)
-    return F.transform(w, lambda row, c: dot(row, x) + F.element_at(b, c + 1))
+    return F.when(x.isNotNull(), F.transform(w, lambda row, c: dot(row, x) + F.element_at(b, c + 1)))
 
 
 def argmax(logits) -> Column:

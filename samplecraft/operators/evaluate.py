@@ -18,19 +18,30 @@ from .classes import check_dictionary, decode_labels
 from .sampling import random_sample
 
 MAX_DENSE_CLASSES = 5_000
+MAX_ARROW_HEAD = 50_000_000  # doubles in a broadcast head
+
+
+CATALYST_HEAD_MAX = 4096  # C x D up to this: score with Catalyst expressions; above: Arrow + NumPy
 
 
 def score(df: DataFrame, label_col: str = "label_idx", logits_col: str = "logits",
           features_col: str | None = None, weights: Sequence[Sequence[float]] | None = None,
-          bias: Sequence[float] | None = None) -> DataFrame:
+          bias: Sequence[float] | None = None, method: str = "auto") -> DataFrame:
     """D3: logits (from a linear head when given), predicted class, loss and correct flag.
 
-    One projection, no shuffle.  ``loss`` and ``correct`` are NULL when the
-    label is NULL (unknown class).
+    One narrow stage, no shuffle.  ``loss`` and ``correct`` are NULL when the
+    label is NULL (unknown class).  With a head, small heads (C x D up to
+    ``CATALYST_HEAD_MAX``) are scored by Catalyst expressions; larger ones by
+    one ``mapInArrow`` that multiplies each Arrow batch by the head in NumPy
+    (the head travels once per executor as a broadcast variable): per-element
+    Catalyst lambdas cost C x D interpreted steps per row.
     """
     if weights is not None:
         if features_col is None:
             raise ValueError("features_col is required with a head")
+        size = len(weights) * len(weights[0])
+        if method == "arrow" or (method == "auto" and size > CATALYST_HEAD_MAX):
+            return _score_arrow(df, label_col, logits_col, features_col, weights, bias)
         df = df.withColumn(logits_col, linear_logits(features_col, weights, bias))
     z = F.col(logits_col)
     return (df.withColumn("pred_idx", argmax(z))
@@ -38,6 +49,57 @@ def score(df: DataFrame, label_col: str = "label_idx", logits_col: str = "logits
               .withColumn("correct", is_correct(F.col(label_col), F.col("pred_idx"))))
 
 
+def _score_arrow(df: DataFrame, label_col: str, logits_col: str, features_col: str,
+                 weights, bias) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ..session import ship_package
+
+    spark = df.sparkSession
+    ship_package(spark)
+    w = np.asarray(weights, dtype=np.float64)
+    b = np.asarray(bias, dtype=np.float64)
+    if w.size > MAX_ARROW_HEAD:
+        raise ValueError("head too large to broadcast")
+    head = spark.sparkContext.broadcast((w, b))
+    n_classes, dim = w.shape
+    base = df.drop(logits_col, "pred_idx", "loss", "correct")
+    out_schema = T.StructType(base.schema.fields + [
+        T.StructField(logits_col, T.ArrayType(T.DoubleType())), T.StructField("pred_idx", T.IntegerType()),
+        T.StructField("loss", T.DoubleType()), T.StructField("correct", T.BooleanType())])
+
+    def run(batches):
+        wv, bv = head.value
+        for rb in batches:
+            n = rb.num_rows
+            feats = rb.column(rb.schema.get_field_index(features_col))
+            ok = np.asarray(feats.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+            x = np.zeros((n, dim))
+            if ok.any():
+                x[ok] = feats.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False) \
+                    .astype(np.float64).reshape(int(ok.sum()), dim)
+            z = x @ wv.T + bv
+            m = z.max(axis=1)
+            lse = np.log(np.exp(z - m[:, None]).sum(axis=1)) + m
+            pred = np.argmax(z, axis=1).astype(np.int32)  # first maximum, as array_position does
+            ycol = rb.column(rb.schema.get_field_index(label_col))
+            y_ok = np.asarray(ycol.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+            y = np.asarray(ycol.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            in_range = y_ok & (y >= 0) & (y < n_classes) & ok
+            loss = np.where(in_range, lse - z[np.arange(n), np.clip(y, 0, n_classes - 1)], 0.0)
+            offsets = np.arange(n + 1, dtype=np.int32) * n_classes
+            logits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(z.reshape(-1)),
+                                              mask=pa.array(~ok))
+            cols = [rb.column(i) for i in range(rb.num_columns)]
+            cols += [logits, pa.array(pred, mask=~ok), pa.array(loss, mask=~in_range),
+                     pa.array(pred == y, mask=~(y_ok & ok))]
+            yield pa.RecordBatch.from_arrays(cols, names=out_schema.fieldNames())
+
+    return base.mapInArrow(run, out_schema)
+
+
 def epoch_metrics(scored: DataFrame, label_col: str = "label_idx") -> DataFrame:
     """Rows, mean loss and accuracy over rows with a known label."""
     s = scored.where(F.col(label_col).isNotNull())

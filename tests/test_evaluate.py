@@ -92,3 +92,23 @@ def test_linear_logits_matches_numpy(spark):
 def test_out_of_range_label_gives_null_loss(spark):
     df = spark.createDataFrame([([1.0, 2.0], 5), ([1.0, 2.0], -1), ([1.0, 2.0], None)], "z array<double>, y int")
     assert [r.l for r in df.select(scoring.cross_entropy("z", "y").alias("l")).collect()] == [None, None, None]
+
+
+def test_arrow_scoring_matches_catalyst(spark):
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=(7, 9)).tolist()
+    b = rng.normal(size=7).tolist()
+    rows = [(i, (i % 9) - 1 if i % 5 else None, [float(v) for v in rng.normal(size=9)]) for i in range(200)]
+    rows.append((999, 2, None))
+    df = spark.createDataFrame(rows, "id long, label_idx int, features array<double>").repartition(3)
+    a = {r.id: r for r in E.score(df, features_col="features", weights=w, bias=b, method="catalyst").collect()}
+    c = {r.id: r for r in E.score(df, features_col="features", weights=w, bias=b, method="arrow").collect()}
+    assert a.keys() == c.keys()
+    for k in a:
+        x, y = a[k], c[k]
+        assert x.pred_idx == y.pred_idx and x.correct == y.correct and x.label_idx == y.label_idx
+        assert (x.loss is None) == (y.loss is None)
+        if x.loss is not None:
+            assert abs(x.loss - y.loss) < 1e-9
+        if x.logits is not None:
+            assert np.allclose(x.logits, y.logits, atol=1e-12)
