@@ -66,17 +66,20 @@ class FitResult:
 BLOCK = 4096  # doubles per reduction row
 
 
-def _sums_kernel(weights: np.ndarray, bias: np.ndarray, features_col: str, label_col: str, with_grad: bool):
+def _sums_kernel(weights, bias, features_col: str, label_col: str, with_grad: bool):
     """Per-partition sums, packed as ``(blk, vals ARRAY<DOUBLE>)`` rows of ``BLOCK`` values.
 
     Flat layout: gradient of the summed training loss (C x D weights, then C
     biases), then loss sum, correct count and rows of training rows, then the
     same three for validation rows (``__val`` true), which add no gradient.
+    ``weights`` is a (C, D) array or a broadcast variable holding ``(W, b)``.
     """
-    n_classes, dim = weights.shape
+    shared = not isinstance(weights, np.ndarray)
+    n_classes, dim = (weights.value[0] if shared else weights).shape
     k_grad = n_classes * dim + n_classes if with_grad else 0
 
     def run(batches):
+        w_arr, b_arr = weights.value if shared else (weights, bias)
         g_w = np.zeros((n_classes, dim))
         g_b = np.zeros(n_classes)
         tot = np.zeros(6)
@@ -89,7 +92,7 @@ def _sums_kernel(weights: np.ndarray, bias: np.ndarray, features_col: str, label
             vi = rb.schema.get_field_index("__val")
             is_val = (np.asarray(rb.column(vi).to_numpy(zero_copy_only=False), dtype=bool) if vi >= 0
                       else np.zeros(rb.num_rows, dtype=bool))
-            z = x @ weights.T + bias
+            z = x @ w_arr.T + b_arr
             m = z.max(axis=1, keepdims=True)
             e = np.exp(z - m)
             s = e.sum(axis=1, keepdims=True)
@@ -164,14 +167,16 @@ def _sums(df: DataFrame, weights, bias, features_col, label_col, with_grad) -> _
     """One Spark job: per-partition packed sums, shuffled by block and added per
     block in Arrow batches, so no task receives more than one block from each
     partition; only K + 6 numbers reach the driver."""
-    fn, k = _sums_kernel(weights, bias, features_col, label_col, with_grad)
+    head = df.sparkSession.sparkContext.broadcast((weights, bias))  # once per executor, not per task
+    fn, k = _sums_kernel(head, None, features_col, label_col, with_grad)
     n_blk = max(1, -(-(k + 6) // BLOCK))
     cols = [features_col, label_col] + (["__val"] if "__val" in df.columns else [])
     schema = "blk int, src int, vals array<double>"
     parts = df.select(*cols).mapInArrow(fn, schema)
     summed = parts.repartition(n_blk, "blk").mapInArrow(_add_blocks, schema)
-    flat = np.concatenate([np.asarray(r["vals"], dtype=np.float64)
-                           for r in sorted(summed.collect(), key=lambda r: r["blk"])])
+    rows = summed.collect()
+    head.destroy()
+    flat = np.concatenate([np.asarray(r["vals"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["blk"])])
     tot = flat[k:k + 6]
     return _Sums(flat[:k], float(tot[0]), int(round(tot[1])), int(round(tot[2])),
                  float(tot[3]), int(round(tot[4])), int(round(tot[5])))
