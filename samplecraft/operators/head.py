@@ -64,6 +64,7 @@ class FitResult:
 
 
 BLOCK = 4096  # doubles per reduction row
+BROADCAST_HEAD_MIN = 65_536  # weights above this are shipped as a broadcast variable
 
 
 def _sums_kernel(weights, bias, features_col: str, label_col: str, with_grad: bool):
@@ -167,15 +168,19 @@ def _sums(df: DataFrame, weights, bias, features_col, label_col, with_grad) -> _
     """One Spark job: per-partition packed sums, shuffled by block and added per
     block in Arrow batches, so no task receives more than one block from each
     partition; only K + 6 numbers reach the driver."""
-    head = df.sparkSession.sparkContext.broadcast((weights, bias))  # once per executor, not per task
-    fn, k = _sums_kernel(head, None, features_col, label_col, with_grad)
+    # Large heads travel once per executor as a broadcast; small ones ride in the task closure.
+    head = (df.sparkSession.sparkContext.broadcast((weights, bias))
+            if weights.size > BROADCAST_HEAD_MIN else None)
+    fn, k = _sums_kernel(head if head is not None else weights, None if head is not None else bias,
+                         features_col, label_col, with_grad)
     n_blk = max(1, -(-(k + 6) // BLOCK))
     cols = [features_col, label_col] + (["__val"] if "__val" in df.columns else [])
     schema = "blk int, src int, vals array<double>"
     parts = df.select(*cols).mapInArrow(fn, schema)
     summed = parts.repartition(n_blk, "blk").mapInArrow(_add_blocks, schema)
     rows = summed.collect()
-    head.destroy()
+    if head is not None:
+        head.destroy()
     flat = np.concatenate([np.asarray(r["vals"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["blk"])])
     tot = flat[k:k + 6]
     return _Sums(flat[:k], float(tot[0]), int(round(tot[1])), int(round(tot[2])),
