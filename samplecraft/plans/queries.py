@@ -862,16 +862,24 @@ def q_head_roundtrip(spark, sf):
 
 
 @register("image_scan", """
-SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
+SELECT vec_id AS key, 'class_' || CAST(label AS VARCHAR) AS label, CAST(i AS INTEGER) AS i,
        round(CAST(CAST(floor((CAST(embedding[i // 3 + 1] AS DOUBLE) + 1) * 127.5) AS FLOAT) AS DOUBLE), 6) AS value
 FROM embeddings, range(192) t(i)""")
 def q_image_scan(spark, sf):
+    """PNG files (written from the 8-bit 8 x 8 fixture) scanned by Spark's image
+    source, channel-fixed to RGB, and joined to metadata rows by path."""
+    emb = X.embeddings(spark, sf)
     folder = scratch_path(spark, "images")
     local = folder[len("file:"):] if folder.startswith("file:") else folder
-    IMG.write_png_files(X.tensors_8x8(X.embeddings(spark, sf), eight_bit=True), local)
-    imgs = IMG.scan_images(spark, folder, invalid="flag")
-    keyed = imgs.select(F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("key"), "tensor")
-    return explode_tensor(keyed)
+    IMG.write_png_files(X.tensors_8x8(emb, eight_bit=True), local)
+    meta = emb.select(F.col("vec_id").alias("key"),
+                      F.concat(F.lit(local.rstrip("/") + "/"), F.col("vec_id").cast("string"), F.lit(".png"))
+                       .alias("image_path"),
+                      F.concat(F.lit("class_"), F.col("label").cast("string")).alias("label"))
+    joined = IMG.attach_images(meta, IMG.scan_images(spark, folder, invalid="flag"))
+    return (joined.select("key", "label", F.posexplode(F.col("tensor")["data"]).alias("i", "v"))
+                  .select("key", "label", F.col("i").cast("int").alias("i"),
+                          r6(F.col("v").cast("double")).alias("value")))
 
 
 def _small_train_pipeline_sql() -> str:
