@@ -73,7 +73,7 @@ def cmd_train(spark, args) -> None:
     else:
         opts = HD.HeadOptions(lr=args.lr, epochs=args.epochs, patience=args.patience,
                               steps_per_epoch=args.steps, seed=args.seed, run_id=args.run_id)
-    res = WF.train(train.cache(), val.cache(), n_classes, args.history, args.heads, opts)
+    res = WF.train(train, val, n_classes, args.history, args.heads, opts)  # fit_head caches its own copy
     for name, row in H.history_arrays(res.history.drop("lr", "improved")).first().asDict().items():
         if name != "run_id":
             print(f"{name} = {row}")
