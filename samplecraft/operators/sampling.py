@@ -13,6 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,17 +83,16 @@ def bucketed_index(df: DataFrame, bucket: Column, order: Sequence[Column], max_b
     any group across tasks.
     """
     h = df.withColumn("__b", F.coalesce(bucket.cast("int"), F.lit(0)))  # non-null: no re-evaluated filter
-    counts = sorted((r["__b"], r["__n"]) for r in
-                    h.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).collect())
-    total = sum(c for _, c in counts)
-    peak = max((c for _, c in counts), default=0)
-    if peak > max(hot_rows, 8 * total / max_buckets):
+    counts = h.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).toArrow()  # <= max_buckets rows, columnar
+    b = np.asarray(counts.column("__b").to_numpy(), dtype=np.int32)
+    c = np.asarray(counts.column("__n").to_numpy(), dtype=np.int64)
+    if len(c) and c.max() > max(hot_rows, 8 * c.sum() / max_buckets):
         return dense_index(h, order, index_col)
-    offsets, run = [], 0
-    for b, c in counts:
-        offsets.append((b, run))
-        run += c
-    off_df = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__b int, __off long")  # <= max_buckets rows
+    order_b = np.argsort(b, kind="stable")
+    b, c = b[order_b], c[order_b]
+    start = np.concatenate([[0], np.cumsum(c)[:-1]]).astype(np.int64) if len(c) else np.zeros(0, np.int64)
+    off_df = df.sparkSession.createDataFrame(pa.table({"__b": pa.array(b, pa.int32()),
+                                                       "__off": pa.array(start, pa.int64())}))
     ranked = h.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
     out = ranked.join(F.broadcast(off_df), "__b")
     keep = [c for c in df.columns if not c.startswith("__")]
