@@ -2,11 +2,11 @@
 
 Randomness is an md5 order key (see ``functions.draws``), so results do not
 depend on partitioning.  A dense index never pulls the table into one task:
-for a hash order (D1) rows are ranked inside hash-prefix buckets (near-equal
-for a unique key) and shifted by broadcast bucket offsets; a key order (D2),
-or a hash order with a hot bucket, is range-sorted with sampled boundaries and
-a positional tiebreak, materialised once with a reliable checkpoint, and
-shifted by per-partition offsets.
+rows are ranked inside buckets that are monotone in the order (hash prefix
+for D1, outlier-clamped key ranges for a numeric D2 key) and shifted by
+broadcast bucket offsets; any other order, or one with a hot bucket, is
+range-sorted with sampled boundaries and a positional tiebreak, materialised
+once with a reliable checkpoint, and shifted by per-partition offsets.
 """
 
 from __future__ import annotations
@@ -113,24 +113,26 @@ def hash_order_index(df: DataFrame, hash_col, key: str, index_col: str = "row_id
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def key_order_index(df: DataFrame, key: str, index_col: str = "row_idx", method: str = "sort",
+def key_order_index(df: DataFrame, key: str, index_col: str = "row_idx", method: str = "auto",
                     n_buckets: int = 65536, tail: float = 0.001) -> DataFrame:
-    """Dense rank by ``key`` (unique per row).
+    """Dense rank by ``key``.
 
-    ``method='sort'`` (default): range sort across all partitions, whose
-    boundaries come from sampling, so any key distribution is balanced;
-    materialised once with a reliable checkpoint (``dense_index``).
-
-    ``method='buckets'`` (numeric keys only): no checkpoint.  Keys are cut
+    ``method='buckets'`` (the ``auto`` choice for numeric keys): keys are cut
     into equal-width buckets between the approximate ``tail`` and
-    ``1 - tail`` quantiles (one small aggregate); keys outside go to the two
-    edge buckets, so outliers cannot stretch the range, but a dense cluster
-    of keys still lands in few buckets.
+    ``1 - tail`` quantiles (one small aggregate), with keys outside going to
+    the two edge buckets, so outliers cannot stretch the range; then
+    ``bucketed_index``, which falls back to the sort below if a dense
+    cluster of keys still makes one bucket hot.
+
+    ``method='sort'`` (the ``auto`` choice for other keys): range sort with
+    sampled boundaries and a positional tiebreak, materialised once with a
+    reliable checkpoint (``dense_index``).
     """
-    if method == "sort" or not isinstance(df.schema[key].dataType, _NUMERIC):
+    numeric = isinstance(df.schema[key].dataType, _NUMERIC)
+    if method not in ("auto", "sort", "buckets"):
+        raise ValueError("method must be 'auto', 'sort' or 'buckets'")
+    if method == "sort" or not numeric:
         return dense_index(df, [F.col(key)], index_col)
-    if method != "buckets":
-        raise ValueError("method must be 'sort' or 'buckets'")
     q = df.agg(F.percentile_approx(F.col(key).cast("double"), [tail, 1.0 - tail], 10000).alias("q")).first()["q"]
     if q is None:
         return df.withColumn(index_col, F.lit(None).cast("long")).limit(0)
