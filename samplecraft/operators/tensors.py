@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import tensor as TX
 from ..functions.draws import uniform, uniform_between
+from ..schemas import TENSOR
 from ..session import ship_package
 
 # ----------------------------------------------------------------- kernels
@@ -196,39 +198,80 @@ def color_jitter(brightness: float = 0.2, contrast: float = 0.2, saturation: flo
 
 # ---------------------------------------------------------------- execution
 
-def _tensor_kernel(steps: list[TensorStep], tensor_col: str, param_cols: list[list[str]]):
-    """Build the ``mapInArrow`` function applying ``steps`` to ``tensor_col``."""
+def _read_tensors(tcol, n):
+    """Per-row (H, W, C) float64 arrays from a tensor struct column (None when invalid)."""
+    hs = tcol.field("height").to_numpy(zero_copy_only=False)
+    ws = tcol.field("width").to_numpy(zero_copy_only=False)
+    cs = tcol.field("channels").to_numpy(zero_copy_only=False)
+    data = tcol.field("data")
+    valid = np.asarray(tcol.is_valid().to_numpy(zero_copy_only=False), dtype=bool) \
+        & np.asarray(data.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+    offsets = data.offsets.to_numpy()
+    values = data.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    for r in range(n):
+        if not valid[r]:
+            yield None
+            continue
+        yield values[offsets[r]:offsets[r + 1]].reshape(int(hs[r]), int(ws[r]), int(cs[r]))
+
+
+def _read_images(icol, n):
+    """Per-row RGB (H, W, 3) float64 arrays from Spark's image struct (8-bit BGR(A) or
+    gray bytes); undecodable rows (height -1, short data) give None."""
+    hs = icol.field("height").to_numpy(zero_copy_only=False)
+    ws = icol.field("width").to_numpy(zero_copy_only=False)
+    cs = icol.field("nChannels").to_numpy(zero_copy_only=False)
+    data = icol.field("data")
+    bufs = data.buffers()
+    offs = np.frombuffer(bufs[1], dtype=np.int32)[data.offset:data.offset + len(data) + 1]
+    raw = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+    ok = np.asarray(icol.is_valid().to_numpy(zero_copy_only=False), dtype=bool) \
+        & np.asarray(data.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+    for r in range(n):
+        h, w, c = int(hs[r]), int(ws[r]), int(cs[r])
+        if not ok[r] or h <= 0 or w <= 0 or c <= 0 or offs[r + 1] - offs[r] != h * w * c:
+            yield None
+            continue
+        a = raw[offs[r]:offs[r + 1]].reshape(h, w, c)
+        a = np.repeat(a, 3, axis=2) if c == 1 else a[..., 2::-1]  # BGR(A) -> RGB, alpha dropped
+        yield a.astype(np.float64)
+
+
+def _is_image_struct(dtype) -> bool:
+    return isinstance(dtype, T.StructType) and "nChannels" in dtype.fieldNames()
+
+
+def _tensor_kernel(steps: list[TensorStep], tensor_col: str, param_cols: list[list[str]], source: str):
+    """Build the ``mapInArrow`` function applying ``steps`` to ``tensor_col``.
+
+    ``source='image'`` reads Spark's raw image struct (uint8 bytes) and does
+    the channel fix in the same pass, so pixels cross to Python as bytes.
+    """
     names = [[c.split("__", 2)[2] for c in cols] for cols in param_cols]
     kernels = [s.kernel for s in steps]  # ship plain functions, never Column objects
+    reader = _read_images if source == "image" else _read_tensors
 
     def run(batches):
         for rb in batches:
             tcol = rb.column(rb.schema.get_field_index(tensor_col))
             n = rb.num_rows
-            hs = tcol.field("height").to_numpy(zero_copy_only=False)
-            ws = tcol.field("width").to_numpy(zero_copy_only=False)
-            cs = tcol.field("channels").to_numpy(zero_copy_only=False)
-            data = tcol.field("data")
-            valid = np.asarray(tcol.is_valid().to_numpy(zero_copy_only=False), dtype=bool) \
-                & np.asarray(data.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
-            offsets = data.offsets.to_numpy()
-            values = data.values.to_numpy(zero_copy_only=False).astype(np.float64)
             params = [[rb.column(rb.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in cols]
                       for cols in param_cols]
             out_h = np.zeros(n, dtype=np.int32)
             out_w = np.zeros(n, dtype=np.int32)
             out_c = np.zeros(n, dtype=np.int32)
+            valid = np.zeros(n, dtype=bool)
             pieces, lengths = [], np.zeros(n, dtype=np.int64)
-            for r in range(n):
-                if not valid[r]:
+            for r, img in enumerate(reader(tcol, n)):
+                if img is None:
                     continue
-                img = values[offsets[r]:offsets[r + 1]].reshape(int(hs[r]), int(ws[r]), int(cs[r]))
                 for k, kernel in enumerate(kernels):
                     img = kernel(img, {nm: params[k][j][r] for j, nm in enumerate(names[k])})
                 out_h[r], out_w[r], out_c[r] = img.shape
                 flat = np.ascontiguousarray(img, dtype=np.float32).reshape(-1)
                 pieces.append(flat)
                 lengths[r] = flat.size
+                valid[r] = True
             new_offsets = np.zeros(n + 1, dtype=np.int32)
             np.cumsum(lengths, out=new_offsets[1:])
             flat_all = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.float32)
@@ -252,8 +295,13 @@ def _tensor_kernel(steps: list[TensorStep], tensor_col: str, param_cols: list[li
 
 
 def apply_numpy_steps(df: DataFrame, steps: Sequence[TensorStep], tensor_col: str = "tensor") -> DataFrame:
-    """Run NumPy steps fused in one ``mapInArrow`` stage (no shuffle, same partitions)."""
+    """Run NumPy steps fused in one ``mapInArrow`` stage (no shuffle, same partitions).
+
+    ``tensor_col`` may hold a tensor struct or Spark's raw image struct (from
+    ``spark.read.format('image')``); the output column is always a tensor.
+    """
     ship_package(df.sparkSession)
+    source = "image" if _is_image_struct(df.schema[tensor_col].dataType) else "tensor"
     steps = list(steps)
     param_cols: list[list[str]] = []
     for k, step in enumerate(steps):
@@ -263,13 +311,14 @@ def apply_numpy_steps(df: DataFrame, steps: Sequence[TensorStep], tensor_col: st
             df = df.withColumn(cname, c)
             cols.append(cname)
         param_cols.append(cols)
-    out_schema = df.select([c for c in df.columns if not c.startswith("__p")]).schema
-    return df.mapInArrow(_tensor_kernel(steps, tensor_col, param_cols), out_schema)
+    fields = [T.StructField(f.name, TENSOR if f.name == tensor_col else f.dataType, f.nullable)
+              for f in df.schema.fields if not f.name.startswith("__p")]
+    return df.mapInArrow(_tensor_kernel(steps, tensor_col, param_cols, source), T.StructType(fields))
 
 
 def apply_step(df: DataFrame, step: TensorStep, tensor_col: str = "tensor") -> DataFrame:
     """One step on its own: the Catalyst form when there is one, else NumPy."""
-    if step.catalyst is not None:
+    if step.catalyst is not None and not _is_image_struct(df.schema[tensor_col].dataType):
         return df.withColumn(tensor_col, step.catalyst(F.col(tensor_col)))
     return apply_numpy_steps(df, [step], tensor_col)
 

@@ -24,3 +24,26 @@ def test_scan_png_gray_rgb_and_junk(spark):
     assert np.array_equal(c, rgb)  # RGB order restored
     flagged = {os.path.basename(r.path): r.tensor for r in IMG.scan_images(spark, d, "flag").collect()}
     assert flagged["junk.png"] is None and flagged["c.png"] is not None
+
+
+def test_pipeline_reads_raw_images_like_tensors(spark):
+    from samplecraft.operators import tensors as T
+    d = tempfile.mkdtemp(prefix="images-raw-")
+    rng = np.random.default_rng(5)
+    for i in range(6):
+        arr = rng.integers(0, 256, (6 + i, 5 + i, 3)).astype(np.uint8) if i % 2 else \
+            rng.integers(0, 256, (7, 9)).astype(np.uint8)
+        with open(os.path.join(d, f"{i}.png"), "wb") as fh:
+            fh.write(IMG.png_bytes(arr))
+    with open(os.path.join(d, "junk.png"), "wb") as fh:
+        fh.write(b"junk")
+    steps = T.train_preset(4, seed=1, epoch=2, key="path")
+    via_tensor = {r.path: r.tensor for r in T.pipeline(IMG.scan_images(spark, d, "flag"), steps).collect()}
+    raw = IMG.read_images(spark, d, "flag")
+    via_raw = {r.path: r.image for r in T.pipeline(raw, T.train_preset(4, seed=1, epoch=2, key="path"),
+                                                   tensor_col="image").collect()}
+    assert via_tensor.keys() == via_raw.keys() and len(via_raw) == 7
+    for k in via_raw:
+        assert (via_raw[k] is None) == (via_tensor[k] is None)
+        if via_raw[k] is not None:
+            assert via_raw[k].height == 4 and list(via_raw[k].data) == list(via_tensor[k].data)
