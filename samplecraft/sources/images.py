@@ -94,5 +94,9 @@ def write_png_files(df: DataFrame, folder: str, key_col: str = "key", tensor_col
                     fh.write(png_bytes(a))
             yield pa.RecordBatch.from_arrays([pa.array([rb.num_rows], pa.int64())], names=["n"])
 
-    out = df.select(key_col, tensor_col).mapInArrow(run, "n long")
+    src = df.select(key_col, tensor_col)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < par:  # spread the file writes over the cores
+        src = src.repartition(par)
+    out = src.mapInArrow(run, "n long")
     return int(out.agg(F.sum("n")).collect()[0][0] or 0)
