@@ -15,13 +15,20 @@ from ..util import bounded_rows
 MAX_CLASSES = 100_000
 
 
-def class_dictionary(df: DataFrame, label_col: str = "label") -> DataFrame:
+def class_dictionary(df: DataFrame, label_col: str = "label", distributed: bool = False) -> DataFrame:
     """G1: sorted distinct labels with a dense 0-based index.
 
     ``distinct`` runs with partial aggregation first; the un-partitioned
-    ``row_number`` only sees the distinct set (one row per class).
+    ``row_number`` only sees the distinct set (one row per class).  For label
+    sets too large for one task (millions of distinct values), use
+    ``distributed=True``: a sampled range sort with per-partition offsets
+    (``operators.sampling.dense_index``).
     """
     labels = df.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    if distributed:
+        from .sampling import dense_index
+        ranked = dense_index(labels, [F.col("label")], "label_idx")
+        return ranked.select(F.col("label_idx").cast("int").alias("label_idx"), "label")
     return labels.select(
         (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_idx"),
         "label")

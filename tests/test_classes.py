@@ -22,3 +22,11 @@ def test_class_consistency_sides(spark):
     b = spark.createDataFrame([("y",), ("z",)], "label string")
     got = {r.label: r.side for r in C.class_consistency(a, b).collect()}
     assert got == {"x": "train_only", "y": "both", "z": "test_only"}
+
+
+def test_distributed_dictionary_matches(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select(F.format_string("L%04d", (F.col("id") * 7) % 1300).alias("label")).repartition(7)
+    a = sorted(tuple(r) for r in C.class_dictionary(df).collect())
+    b = sorted(tuple(r) for r in C.class_dictionary(df, distributed=True).collect())
+    assert a == b and len(a) == 1300 and a[-1][0] == 1299
