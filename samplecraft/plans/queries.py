@@ -643,7 +643,7 @@ SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
 FROM embeddings, range(48) t(i)""")
 def q_tensor_hflip(spark, sf):
     t = X.tensors_4x4x3(X.embeddings(spark, sf))
-    return explode_tensor(T.apply_step(t, T.random_hflip(0.5, X.SEED, 1, "key")))
+    return explode_tensor(T.apply_step(t, T.random_hflip(0.5, X.SEED, 1, "key"), prefer="catalyst"))
 
 
 def _block_mean_sql(src: str, width: int, channels: int) -> str:

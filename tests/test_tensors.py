@@ -110,3 +110,14 @@ def test_user_numpy_step_in_pipeline(spark):
     src = as_np(df)
     for k, img in out.items():
         assert np.allclose(img, T.resize_image(255.0 - src[k], 2, 2) * k, atol=1e-3)
+
+
+def test_numpy_and_catalyst_elementwise_steps_agree(spark):
+    df = tensors(spark, n=8, h=5, w=4)
+    for step in (T.to_unit(), T.normalize(), T.denormalize()):
+        a = as_np(T.apply_step(df, step, prefer="catalyst"))
+        b = as_np(T.apply_step(df, step))
+        assert all(np.allclose(a[k], b[k], atol=1e-5) for k in a), step.name
+    back = as_np(T.pipeline(df, [T.to_unit(), T.normalize(), T.denormalize()]))
+    src = as_np(df)
+    assert all(np.allclose(back[k], src[k] / 255.0, atol=1e-6) for k in back)
