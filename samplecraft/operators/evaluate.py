@@ -21,26 +21,23 @@ MAX_DENSE_CLASSES = 5_000
 MAX_ARROW_HEAD = 50_000_000  # doubles in a broadcast head
 
 
-CATALYST_HEAD_MAX = 4096  # C x D up to this: score with Catalyst expressions; above: Arrow + NumPy
-
-
 def score(df: DataFrame, label_col: str = "label_idx", logits_col: str = "logits",
           features_col: str | None = None, weights: Sequence[Sequence[float]] | None = None,
           bias: Sequence[float] | None = None, method: str = "auto") -> DataFrame:
     """D3: logits (from a linear head when given), predicted class, loss and correct flag.
 
     One narrow stage, no shuffle.  ``loss`` and ``correct`` are NULL when the
-    label is NULL (unknown class).  With a head, small heads (C x D up to
-    ``CATALYST_HEAD_MAX``) are scored by Catalyst expressions; larger ones by
-    one ``mapInArrow`` that multiplies each Arrow batch by the head in NumPy
-    (the head travels once per executor as a broadcast variable): per-element
-    Catalyst lambdas cost C x D interpreted steps per row.
+    label is NULL (unknown class).  With a head, rows are scored by one
+    ``mapInArrow`` that multiplies each Arrow batch by the head in NumPy (the
+    head travels once per executor as a broadcast variable): Catalyst array
+    lambdas are interpreted, C x D steps per row, and were 12x slower even
+    for a 10 x 64 head.  ``method='catalyst'`` keeps the pure-expression form
+    (``functions.scoring.linear_logits``).
     """
     if weights is not None:
         if features_col is None:
             raise ValueError("features_col is required with a head")
-        size = len(weights) * len(weights[0])
-        if method == "arrow" or (method == "auto" and size > CATALYST_HEAD_MAX):
+        if method in ("arrow", "auto"):
             return _score_arrow(df, label_col, logits_col, features_col, weights, bias)
         df = df.withColumn(logits_col, linear_logits(features_col, weights, bias))
     z = F.col(logits_col)
