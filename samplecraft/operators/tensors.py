@@ -14,6 +14,7 @@ in float64 inside the run and written back as float32.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -32,26 +33,53 @@ from ..session import ship_package
 # ----------------------------------------------------------------- kernels
 # Each kernel takes an (H, W, C) float64 array and per-row parameters.
 
+@functools.lru_cache(maxsize=256)
+def _resize_axis(n_in: int, n_out: int):
+    """Source indices and weights along one axis (half-pixel centres, clamped)."""
+    src = (np.arange(n_out, dtype=np.float64) + 0.5) * (n_in / n_out) - 0.5
+    src = np.maximum(src, 0.0)
+    i0 = np.minimum(np.floor(src).astype(np.int64), n_in - 1)
+    i1 = np.minimum(i0 + 1, n_in - 1)
+    frac = src - i0
+    return i0, i1, frac, 1.0 - frac
+
+
 def resize_image(img: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
-    """Bilinear resize, half-pixel centres, no antialiasing, aspect ratio ignored."""
+    """Bilinear resize, half-pixel centres, no antialiasing, aspect ratio ignored.
+
+    Rows are gathered once per source row set, and products accumulate in
+    place; the arithmetic (and so every value) is that of
+    ``(a (1-lx) + b lx)(1-ly) + (c (1-lx) + d lx) ly``.
+    """
     h, w = img.shape[0], img.shape[1]
     if h == out_h and w == out_w:
         return img
-
-    def axis(n_in, n_out):
-        src = (np.arange(n_out, dtype=np.float64) + 0.5) * (n_in / n_out) - 0.5
-        src = np.maximum(src, 0.0)
-        i0 = np.minimum(np.floor(src).astype(np.int64), n_in - 1)
-        i1 = np.minimum(i0 + 1, n_in - 1)
-        return i0, i1, src - i0
-
-    y0, y1, ly = axis(h, out_h)
-    x0, x1, lx = axis(w, out_w)
-    lx = lx[None, :, None]
-    ly = ly[:, None, None]
-    top = img[y0][:, x0] * (1.0 - lx) + img[y0][:, x1] * lx
-    bottom = img[y1][:, x0] * (1.0 - lx) + img[y1][:, x1] * lx
-    return top * (1.0 - ly) + bottom * ly
+    y0, y1, ly, wy = _resize_axis(h, out_h)
+    x0, x1, lx, wx = _resize_axis(w, out_w)
+    lx, wx = lx[None, :, None], wx[None, :, None]
+    ly, wy = ly[:, None, None], wy[:, None, None]
+
+    def row_lerp(rows):
+        out = np.take(rows, x0, axis=1)
+        out *= wx
+        right = np.take(rows, x1, axis=1)
+        right *= lx
+        out += right
+        return out
+
+    top = row_lerp(np.take(img, y0, axis=0))
+    top *= wy
+    bottom = row_lerp(np.take(img, y1, axis=0))
+    bottom *= ly
+    top += bottom
+    return top
+
+
+@functools.lru_cache(maxsize=64)
+def _centred_grid(h: int, w: int):
+    yy, xx = np.meshgrid(np.arange(h, dtype=np.float64) - (h - 1) / 2.0,
+                         np.arange(w, dtype=np.float64) - (w - 1) / 2.0, indexing="ij")
+    return yy, xx
 
 
 def rotate_image(img: np.ndarray, degrees: float, fill: float = 0.0) -> np.ndarray:
@@ -60,12 +88,21 @@ def rotate_image(img: np.ndarray, degrees: float, fill: float = 0.0) -> np.ndarr
     t = math.radians(degrees)
     cos_t, sin_t = math.cos(t), math.sin(t)
     cy, cx = (h - 1) / 2.0, (w - 1) / 2.0
-    yy, xx = np.meshgrid(np.arange(h, dtype=np.float64) - cy, np.arange(w, dtype=np.float64) - cx, indexing="ij")
-    sx = np.floor(cx + xx * cos_t - yy * sin_t + 0.5).astype(np.int64)
-    sy = np.floor(cy + xx * sin_t + yy * cos_t + 0.5).astype(np.int64)
+    yy, xx = _centred_grid(h, w)
+    # sx = floor(cx + xx cos - yy sin + 0.5), sy = floor(cy + xx sin + yy cos + 0.5), same operation order
+    fx = xx * cos_t
+    fx += cx
+    fx -= yy * sin_t
+    fx += 0.5
+    fy = xx * sin_t
+    fy += cy
+    fy += yy * cos_t
+    fy += 0.5
+    sx = np.floor(fx).astype(np.int64)
+    sy = np.floor(fy).astype(np.int64)
     inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-    out = np.full_like(img, fill)
-    out[inside] = img[sy[inside], sx[inside]]
+    out = img[np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)]
+    out[~inside] = fill
     return out
 
 
@@ -86,7 +123,10 @@ def crop_box(h: int, w: int, u_area: float, u_ratio: float, u_top: float, u_left
 
 def _gray(img: np.ndarray) -> np.ndarray:
     if img.shape[2] == 3:
-        return img[..., 0] * 0.299 + img[..., 1] * 0.587 + img[..., 2] * 0.114
+        g = img[..., 0] * 0.299
+        g += img[..., 1] * 0.587
+        g += img[..., 2] * 0.114
+        return g
     return img[..., 0]
 
 
@@ -97,15 +137,20 @@ def jitter_image(img: np.ndarray, fb: float, fc: float, fs: float, max_value: fl
     saturation with each pixel's grey level; for 8-bit data the mean is
     rounded to a whole level."""
     if fb != 1.0:
-        img = np.clip(img * fb, 0.0, max_value)
+        img = img * fb
+        np.clip(img, 0.0, max_value, out=img)
     if fc != 1.0:
         m = float(np.mean(_gray(img)))
         if max_value == 255.0:  # 8-bit range: the grey mean is a whole level, rounded half up
             m = math.floor(m + 0.5)
-        img = np.clip(fc * img + (1.0 - fc) * m, 0.0, max_value)
+        img = fc * img
+        img += (1.0 - fc) * m
+        np.clip(img, 0.0, max_value, out=img)
     if fs != 1.0 and img.shape[2] == 3:
         g = _gray(img)[..., None]
-        img = np.clip(fs * img + (1.0 - fs) * g, 0.0, max_value)
+        img = fs * img
+        img += (1.0 - fs) * g
+        np.clip(img, 0.0, max_value, out=img)
     return img
 
 
@@ -152,8 +197,11 @@ def to_unit() -> TensorStep:
 def normalize(mean: Sequence[float] = TX.IMAGENET_MEAN, std: Sequence[float] = TX.IMAGENET_STD) -> TensorStep:
     """I3."""
     m, s = np.asarray(mean, dtype=np.float64), np.asarray(std, dtype=np.float64)
-    return TensorStep("normalize", lambda img, p: (img - m) / s,
-                      catalyst=lambda t: TX.normalize(t, mean, std))
+    def kernel(img, p):
+        out = img - m
+        out /= s
+        return out
+    return TensorStep("normalize", kernel, catalyst=lambda t: TX.normalize(t, mean, std))
 
 
 def denormalize(mean: Sequence[float] = TX.IMAGENET_MEAN, std: Sequence[float] = TX.IMAGENET_STD) -> TensorStep:
