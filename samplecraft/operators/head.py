@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,7 +230,10 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         # lost task an upstream shuffle may deliver rows in another order, so fix it.
         tr = tr.sortWithinPartitions(key)
         va = va.sortWithinPartitions(key)
-    tr = tr.cache()
+    k = max(1, int(opts.steps_per_epoch))
+    # k == 1: the features stay cached.  k > 1: the base copy goes to disk only and
+    # each epoch caches its own batch-sorted copy (see batch()), so memory holds one copy.
+    tr = tr.cache() if k == 1 else tr.persist(StorageLevel.DISK_ONLY)
     va = va.cache()
     dim = _check_features(tr, features_col)  # also fills the cache
     if n_classes * (dim + 1) > MAX_HEAD_PARAMS:
@@ -248,7 +251,6 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     best, bad, plateau_best, plateau_bad = math.inf, 0, math.inf, 0
     best_w, best_b = None, None
     history = []
-    k = max(1, int(opts.steps_per_epoch))
     totals = [0.0, 0, 0]
 
     def persist_epoch(row):
@@ -263,10 +265,27 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
                   .option("partitionOverwriteMode", "dynamic")
                   .partitionBy("run_id", "kind").parquet(head_path))
 
+    epoch_cache = {}
+
     def batch(epoch, step):
+        """Rows of step ``step`` in ``epoch``.
+
+        With k > 1 steps, each epoch's rows are tagged with their seeded batch,
+        sorted by (batch, key) inside their partitions (no shuffle) and cached
+        once; the in-memory column statistics then let each step's filter skip
+        the cached blocks of other batches, so a step reads about 1/k of the
+        features instead of all of them.
+        """
         if k == 1:
             return tr
-        return tr.where(F.pmod(F.xxhash64(F.lit(opts.seed), F.lit(epoch), F.col(key)), F.lit(k)) == step)
+        if epoch not in epoch_cache:
+            for old in epoch_cache.values():
+                old.unpersist()
+            epoch_cache.clear()
+            bid = F.pmod(F.xxhash64(F.lit(opts.seed), F.lit(epoch), F.col(key)), F.lit(k)).cast("int")
+            epoch_cache[epoch] = tr.withColumn("__bid", bid).sortWithinPartitions("__bid", key).cache()
+        ep = epoch_cache[epoch]
+        return ep.where(F.col("__bid") == step).drop("__bid")
 
     def close_epoch(epoch, sums) -> bool:
         """Record epoch ``epoch`` from its validation sums; True = stop training."""
@@ -331,6 +350,8 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             break
     if not stopped and opts.epochs >= 1:
         close_epoch(len(history) + 1, _sums(va, w, b, features_col, label_col, False))
+    for ep in epoch_cache.values():
+        ep.unpersist()
     tr.unpersist()
     va.unpersist()
     persist_head("final", w, b)
