@@ -129,13 +129,16 @@ def confusion_counts(pred: DataFrame, label_col: str = "label_idx", pred_col: st
 
 
 def confusion_matrix(counts: DataFrame, dictionary: DataFrame,
-                     max_classes: int = MAX_DENSE_CLASSES) -> DataFrame:
+                     max_classes: int = MAX_DENSE_CLASSES, n_classes: int | None = None) -> DataFrame:
     """E1 on the full zero-filled class grid (axis = dictionary).
 
     The grid is generated by exploding ``sequence(0, C-1)`` per class, so no
-    cross join is planned; C is checked against ``max_classes`` first.
+    cross join is planned; C is checked against ``max_classes`` first (pass
+    an already checked ``n_classes`` to skip that count).
     """
-    c = check_dictionary(dictionary, max_classes)
+    c = n_classes if n_classes is not None else check_dictionary(dictionary, max_classes)
+    if c > max_classes:
+        raise ValueError(f"{c} classes: the dense grid is limited to {max_classes}")
     grid = dictionary.select(F.col("label_idx").cast("int").alias("true_idx"),
                              F.explode(F.sequence(F.lit(0), F.lit(max(c - 1, 0)))).alias("pred_idx"))
     if c == 0:
@@ -164,14 +167,15 @@ def top_confusions(counts: DataFrame, dictionary: DataFrame, n: int = 10) -> Dat
                  .select("true_idx", "pred_idx", "true_label", "pred_label", "n"))
 
 
-def hardest_classes(errors: DataFrame, n: int | None = 20) -> DataFrame:
+def hardest_classes(errors: DataFrame, n: int | None = 20, n_classes: int | None = None) -> DataFrame:
     """The ``n`` classes with most errors, listed in ascending error order.
 
     Ties: errors ascending, class index ascending, keep the last ``n`` (Q17).
     When ``n`` is falsy or not below the number of classes, every class is
     kept in dictionary order (``rank = class_idx``), as the reference does.
     """
-    n_classes = check_dictionary(errors.select("class_idx"), MAX_DENSE_CLASSES)
+    if n_classes is None:
+        n_classes = check_dictionary(errors.select("class_idx"), MAX_DENSE_CLASSES)
     if not n or n >= n_classes:
         return errors.select(F.col("class_idx").alias("rank"), "class_idx", "label", "errors")
     top = errors.orderBy(F.col("errors").desc(), F.col("class_idx").desc()).limit(n)

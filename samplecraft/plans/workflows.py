@@ -86,9 +86,10 @@ def analyze(scored: DataFrame, dictionary: DataFrame, top_classes: int = 20, top
     materialised once with a reliable checkpoint.
     """
     counts = E.confusion_counts(scored).checkpoint(eager=True)
-    cm = E.confusion_matrix(counts, dictionary)
+    n_classes = C.check_dictionary(dictionary, E.MAX_DENSE_CLASSES)  # counted once
+    cm = E.confusion_matrix(counts, dictionary, n_classes=n_classes)
     errors = E.class_errors(counts, dictionary)
-    hard = E.hardest_classes(errors, top_classes)
+    hard = E.hardest_classes(errors, top_classes, n_classes=n_classes)
     sub = E.submatrix(cm, hard)
     return {
         "metrics": E.epoch_metrics(scored),
