@@ -20,6 +20,7 @@ from ..schemas import HISTORY_COLUMNS, HISTORY_METRICS, RUNS_COLUMNS
 #   footer:  "Обучение завершено за <S> секунд."
 #   list keys: train_losses, train_accs, val_losses, val_accs
 HEADER_RE = r"^\s*(.+?) на (\S+) класс\S* (\d+) эпох батч (\d+):"
+HEADER_SPLIT_RE = r"(?m)(?=^[^\n]+ на \S+ класс\S* \d+ эпох батч \d+:)"
 SECONDS_RE = r"([\d.]+) секунд"
 ALL_CLASSES_WORD = "всех"
 HEADER_FMT = "%s на %s классах %d эпох батч %d:"
@@ -56,14 +57,20 @@ def scan_run_log(spark: SparkSession, path: str, line_sep: str = "\n") -> tuple[
 
     ``run_id`` = model, class scope, epochs and batch joined by spaces; when
     the same header appears more than once, later blocks get ``#2``, ``#3``...
-    in file order.  ``line_sep='\r\n'`` reads logs with Windows line ends.
+    in file order.  Text is read in blank-line separated chunks (so files
+    split across tasks) and every chunk is also cut before each header line,
+    so Windows line ends or a missing blank line between runs still give one
+    block per run.
     """
-    blocks = spark.read.text(path, lineSep=line_sep * 2)
-    blocks = blocks.select(F.regexp_replace("value", "\r", "").alias("value"),
+    chunks = spark.read.text(path, lineSep=line_sep * 2)
+    chunks = chunks.select(F.regexp_replace("value", "\r", "").alias("value"),
                            F.input_file_name().alias("__file"),
                            F.monotonically_increasing_id().alias("__pos"))  # file order, for repeats only
+    # A chunk may hold several runs (Windows line ends, or no blank line between runs):
+    # cut it before every header line.
+    blocks = chunks.select("__file", "__pos", F.posexplode(F.split("value", HEADER_SPLIT_RE)).alias("__sub", "value"))
     parsed = parse_run_blocks(blocks.where(F.trim("value") != ""))
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("__file", "__pos"))
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("__file", "__pos", "__sub"))
     parsed = parsed.withColumn("__nth", nth).withColumn(
         "run_id", F.when(F.col("__nth") > 1, F.concat("run_id", F.lit("#"), F.col("__nth").cast("string")))
                    .otherwise(F.col("run_id")))

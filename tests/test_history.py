@@ -209,3 +209,18 @@ def test_run_log_repeated_header_and_crlf(spark):
     first = {r.epoch: r.val_loss for r in hist.where(F.col("run_id") == "M 3 2 8").collect()}
     assert first == {1: 0.9, 2: 0.8}
     assert hist.count() == 4
+
+
+def test_run_log_crlf_and_missing_blank_lines_without_options(spark):
+    block = ("M на 3 классах 2 эпох батч 8:\ntrain_losses = [1.0, 0.5]\ntrain_accs = [0.1, 0.2]\n"
+             "val_losses = [0.9, 0.8]\nval_accs = [0.3, 0.4]\nОбучение завершено за 1.50 секунд.")
+    other = block.replace("M на 3", "N на всех").replace("0.9", "0.7")
+    d = tempfile.mkdtemp(prefix="runlog-crlf-")
+    with open(os.path.join(d, "a.txt"), "w", encoding="utf-8", newline="") as fh:
+        fh.write((block + "\n\n" + other + "\n").replace("\n", "\r\n"))   # Windows line ends
+    with open(os.path.join(d, "b.txt"), "w", encoding="utf-8") as fh:
+        fh.write(other.replace("N на", "K на") + "\n" + block.replace("M на", "J на") + "\n")  # no blank line
+    runs, hist = RL.scan_run_log(spark, d)
+    assert sorted(r.model for r in runs.collect()) == ["J", "K", "M", "N"]
+    assert hist.count() == 8
+    assert {r.epoch: r.val_loss for r in hist.where(F.col("run_id").startswith("N ")).collect()} == {1: 0.7, 2: 0.8}
