@@ -46,10 +46,25 @@ def scan_images(spark: SparkSession, path: str, invalid: str = "drop") -> DataFr
     return apply_numpy_steps(raw, [], "tensor")
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+
+
+def path_key(c) -> F.Column:
+    """A path without its URI scheme and authority (``file:``, ``hdfs://nn:8020``,
+    ``s3a://bucket``), so metadata paths and image-source origins compare."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(col, _SCHEME, "")
+
+
 def attach_images(meta: DataFrame, images: DataFrame, path_col: str = "image_path") -> DataFrame:
-    """Join scanned tensors to metadata rows by path (``file:`` URI prefix ignored)."""
-    norm = images.select(F.regexp_replace("path", r"^file:(//)?", "").alias(path_col), "tensor")
-    return meta.join(norm, path_col, "left")
+    """Join scanned tensors to metadata rows by path (scheme and authority ignored).
+
+    Both sides are table-sized, so this is a shuffle join on the path; paths
+    are unique per image, and AQE splits a skewed partition if copies repeat.
+    """
+    norm = images.select(path_key("path").alias("__pk"), "tensor")
+    m = meta.withColumn("__pk", path_key(path_col))
+    return m.join(norm, "__pk", "left").drop("__pk")
 
 
 # ---- PNG writing (fixtures only) ------------------------------------------

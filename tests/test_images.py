@@ -47,3 +47,9 @@ def test_pipeline_reads_raw_images_like_tensors(spark):
         assert (via_raw[k] is None) == (via_tensor[k] is None)
         if via_raw[k] is not None:
             assert via_raw[k].height == 4 and list(via_raw[k].data) == list(via_tensor[k].data)
+
+
+def test_path_key_drops_scheme_and_authority(spark):
+    df = spark.createDataFrame([("file:/a/b.png",), ("file:///a/b.png",), ("hdfs://nn:8020/a/b.png",),
+                                ("s3a://bucket/a/b.png",), ("/a/b.png",)], "p string")
+    assert {r.k for r in df.select(IMG.path_key("p").alias("k")).collect()} == {"/a/b.png"}
