@@ -18,7 +18,7 @@ from .classes import check_dictionary, decode_labels
 from .sampling import random_sample
 
 MAX_DENSE_CLASSES = 5_000
-MAX_ARROW_HEAD = 50_000_000  # doubles in a broadcast head
+MAX_ARROW_HEAD = 16_000_000  # doubles in a broadcast head (128 MB)
 
 
 def score(df: DataFrame, label_col: str = "label_idx", logits_col: str = "logits",

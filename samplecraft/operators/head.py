@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ..schemas import HEAD, HISTORY, RUNS
 from ..session import ship_package
 
-MAX_HEAD_PARAMS = 50_000_000
+MAX_HEAD_PARAMS = 16_000_000  # C x (D + 1) doubles kept on the driver and broadcast (128 MB)
 
 
 @dataclass
