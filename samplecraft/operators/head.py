@@ -13,8 +13,10 @@ rate, early stop, best checkpoint) run live on the per-epoch metrics.
 
 Mini-batches: ``steps_per_epoch = k`` assigns each row to batch
 ``pmod(xxhash64(seed, epoch, key), k)``, a fresh seeded split every epoch
-that costs no shuffle; ``k = 1`` is full-batch (train metrics measured with
-the weights before the update).
+that costs no shuffle.  Each epoch caches the features sorted by (batch, key)
+inside their partitions, so the in-memory column statistics let a step read
+about 1/k of them.  ``k = 1`` is full-batch (train metrics measured with the
+weights before the update).
 """
 
 from __future__ import annotations
