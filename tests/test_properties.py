@@ -78,7 +78,7 @@ values = st.one_of(st.sampled_from([1.0, 0.9, 0.8, 0.85, 0.95, 0.5]), st.floats(
                    st.just(float("nan")))
 
 
-@settings(max_examples=3, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(values, min_size=1, max_size=25), min_size=40, max_size=40))
 def test_epoch_rules_match_loop_model(spark, runs):
     rows = [(f"r{i}", e + 1, v) for i, losses in enumerate(runs) for e, v in enumerate(losses)]
@@ -110,7 +110,7 @@ from samplecraft.operators import classes as C  # noqa: E402
 from samplecraft.operators import evaluate as E  # noqa: E402
 
 
-@settings(max_examples=3, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 @given(st.integers(2, 12), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), min_size=1, max_size=400),
        st.integers(1, 15), st.integers(1, 12))
 def test_analysis_matches_numpy_model(spark, n_cls, pairs, top_err, top_cls):
