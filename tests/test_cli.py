@@ -36,7 +36,7 @@ def test_cli_end_to_end(spark, capsys):
 def test_cli_runlog_on_golden_log(spark, capsys):
     from test_history import RUNS, _ref_layout_log, golden
     d = tempfile.mkdtemp(prefix="cli-log-")
-    with open(os.path.join(d, "tests.txt"), "w", encoding="utf-8") as fh:
+    with open(os.path.join(d, "runs.log"), "w", encoding="utf-8") as fh:
         fh.write(_ref_layout_log(golden(spark), RUNS))
     cli.main(["runlog", "--path", d], spark)
     out = capsys.readouterr().out

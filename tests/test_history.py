@@ -168,7 +168,7 @@ def _ref_layout_log(h, runs) -> str:
 def test_run_log_scan_reads_defective_log(spark):
     h = golden(spark)
     d = tempfile.mkdtemp(prefix="runlog-test-")
-    with open(os.path.join(d, "tests.txt"), "w", encoding="utf-8") as fh:
+    with open(os.path.join(d, "runs.log"), "w", encoding="utf-8") as fh:
         fh.write(_ref_layout_log(h, RUNS))
     runs, hist = RL.scan_run_log(spark, d)
     assert runs.count() == 7 and hist.count() == 67
