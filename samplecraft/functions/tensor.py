@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..util import as_col
 
-# ImageNet channel statistics used by the reference's Normalize step.
+# ImageNet channel statistics used by the source pipeline's normalise step.
 IMAGENET_MEAN = (0.485, 0.456, 0.406)
 IMAGENET_STD = (0.229, 0.224, 0.225)
 

@@ -1,7 +1,7 @@
 """The class dictionary and label lookups.
 
 One dictionary is built from the training split and used everywhere
-(a stated divergence: the reference builds one per split and only warns on
+(a stated divergence: the source pipeline builds one per split and only warns on
 a mismatch).  Test labels missing from it get ``label_idx = NULL``.
 """
 

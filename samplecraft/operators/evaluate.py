@@ -172,7 +172,7 @@ def hardest_classes(errors: DataFrame, n: int | None = 20, n_classes: int | None
 
     Ties: errors ascending, class index ascending, keep the last ``n`` (Q17).
     When ``n`` is falsy or not below the number of classes, every class is
-    kept in dictionary order (``rank = class_idx``), as the reference does.
+    kept in dictionary order (``rank = class_idx``), as the source pipeline does.
     """
     if n_classes is None:
         n_classes = check_dictionary(errors.select("class_idx"), MAX_DENSE_CLASSES)

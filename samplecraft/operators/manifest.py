@@ -19,7 +19,7 @@ def parse_manifest(lines: DataFrame, root: str, ext: str = ".jpg", line_col: str
     with the line plus ``ext``, backslashes turned into slashes (the label is
     cut before that).  A line starting with '/' has an empty label; such rows
     are returned only with ``rejects=True`` (a stated divergence: the
-    reference would keep them with label '').
+    source pipeline would keep them with label '').
     """
     line = F.col(line_col)
     parsed = lines.select(join_path(root, line, ext).alias("image_path"),
