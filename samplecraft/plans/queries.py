@@ -924,3 +924,34 @@ def q_pipeline_small_train(spark, sf):
     """I9, the small three-class run's preset: resize, flip, rotate (10), unit, normalise."""
     t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
     return explode_tensor(T.pipeline(t, T.small_train_preset(2, seed=X.SEED, epoch=1, key="key")))
+
+
+@register("head_gradient", _with(_head_sql()) + """, mx AS (
+  SELECT id, max(logit) AS m FROM lin GROUP BY id),
+e AS (
+  SELECT lin.id, lin.label_idx, lin.class_idx, exp(lin.logit - mx.m) AS ex FROM lin JOIN mx ON mx.id = lin.id),
+p AS (
+  SELECT id, class_idx, ex / sum(ex) OVER (PARTITION BY id)
+         - CASE WHEN class_idx = label_idx THEN 1.0 ELSE 0.0 END AS dz FROM e),
+g AS (
+  SELECT p.class_idx, t.j, sum(p.dz * CAST(emb.embedding[t.j + 1] AS DOUBLE)) AS grad
+  FROM p JOIN embeddings emb ON emb.vec_id = p.id, range(64) t(j) GROUP BY 1, 2
+  UNION ALL
+  SELECT class_idx, 64 AS j, sum(dz) AS grad FROM p GROUP BY 1)
+SELECT CAST(class_idx AS INTEGER) AS class_idx, CAST(j AS INTEGER) AS j, round(grad, 4) AS grad FROM g""")
+def q_head_gradient(spark, sf):
+    """D4's core step: the full-batch gradient of the summed softmax loss at the
+    fixture head, computed by the training kernel (per-partition Arrow sums and
+    the two-level block reduce).  Row j = 64 holds the bias gradient."""
+    import numpy as np
+    w, b = X.fixture_head()
+    feats = _features(spark, sf).select("features", "label_idx")
+    HD.ship_package(spark)
+    sums = HD._sums(feats, np.asarray(w), np.asarray(b), "features", "label_idx", True)
+    n_cls, dim = len(w), len(w[0])
+    gw = sums.grad[: n_cls * dim].reshape(n_cls, dim)
+    gb = sums.grad[n_cls * dim:]
+    rows = [(c, j, float(gw[c, j])) for c in range(n_cls) for j in range(dim)] + \
+           [(c, dim, float(gb[c])) for c in range(n_cls)]
+    df = spark.createDataFrame(rows, "class_idx int, j int, grad double")  # model-sized: C x (D + 1)
+    return df.select("class_idx", "j", F.round("grad", 4).alias("grad"))
