@@ -189,6 +189,20 @@ def _sums(df: DataFrame, weights, bias, features_col, label_col, with_grad) -> _
                  float(tot[3]), int(round(tot[4])), int(round(tot[5])))
 
 
+def adam_step(params: np.ndarray, grad: np.ndarray, m: np.ndarray, v: np.ndarray, t: int, lr: float,
+              betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8):
+    """One Adam update (Kingma & Ba, 2014); ``grad`` already includes any L2 term.
+
+    Returns ``(params, m, v)``.
+    """
+    b1, b2 = betas
+    m = b1 * m + (1 - b1) * grad
+    v = b2 * v + (1 - b2) * grad * grad
+    m_hat = m / (1 - b1 ** t)
+    v_hat = v / (1 - b2 ** t)
+    return params - lr * m_hat / (np.sqrt(v_hat) + eps), m, v
+
+
 def _check_features(df: DataFrame, features_col: str) -> int:
     sizes = df.select(F.size(features_col).alias("d")).distinct().limit(2).collect()
     if len(sizes) != 1:
@@ -247,7 +261,6 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     b = rng.uniform(-bound, bound, size=n_classes)
     m = np.zeros(n_classes * dim + n_classes)
     v = np.zeros_like(m)
-    b1, b2 = opts.betas
     t = 0
     lr = opts.lr
     best, bad, plateau_best, plateau_bad = math.inf, 0, math.inf, 0
@@ -341,11 +354,7 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             params = np.concatenate([w.reshape(-1), b])
             g = sums.grad / sums.n + opts.weight_decay * params
             t += 1
-            m = b1 * m + (1 - b1) * g
-            v = b2 * v + (1 - b2) * g * g
-            m_hat = m / (1 - b1 ** t)
-            v_hat = v / (1 - b2 ** t)
-            params = params - lr * m_hat / (np.sqrt(v_hat) + opts.adam_eps)
+            params, m, v = adam_step(params, g, m, v, t, lr, opts.betas, opts.adam_eps)
             w = params[: n_classes * dim].reshape(n_classes, dim)
             b = params[n_classes * dim:]
         if stopped:

@@ -926,7 +926,7 @@ def q_pipeline_small_train(spark, sf):
     return explode_tensor(T.pipeline(t, T.small_train_preset(2, seed=X.SEED, epoch=1, key="key")))
 
 
-@register("head_gradient", _with(_head_sql()) + """, mx AS (
+_GRAD_SQL = _head_sql() + """, mx AS (
   SELECT id, max(logit) AS m FROM lin GROUP BY id),
 e AS (
   SELECT lin.id, lin.label_idx, lin.class_idx, exp(lin.logit - mx.m) AS ex FROM lin JOIN mx ON mx.id = lin.id),
@@ -937,7 +937,10 @@ g AS (
   SELECT p.class_idx, t.j, sum(p.dz * CAST(emb.embedding[t.j + 1] AS DOUBLE)) AS grad
   FROM p JOIN embeddings emb ON emb.vec_id = p.id, range(64) t(j) GROUP BY 1, 2
   UNION ALL
-  SELECT class_idx, 64 AS j, sum(dz) AS grad FROM p GROUP BY 1)
+  SELECT class_idx, 64 AS j, sum(dz) AS grad FROM p GROUP BY 1)"""
+
+
+@register("head_gradient", _with(_GRAD_SQL) + """
 SELECT CAST(class_idx AS INTEGER) AS class_idx, CAST(j AS INTEGER) AS j, round(grad, 4) AS grad FROM g""")
 def q_head_gradient(spark, sf):
     """D4's core step: the full-batch gradient of the summed softmax loss at the
@@ -955,3 +958,40 @@ def q_head_gradient(spark, sf):
            [(c, dim, float(gb[c])) for c in range(n_cls)]
     df = spark.createDataFrame(rows, "class_idx int, j int, grad double")  # model-sized: C x (D + 1)
     return df.select("class_idx", "j", F.round("grad", 4).alias("grad"))
+
+
+def _adam_sql() -> str:
+    d = "CAST({} AS DOUBLE)".format
+    w0 = (f"CASE WHEN j < 64 THEN CAST(((31 * class_idx + 17 * j) % 11) - 5 AS DOUBLE) / 10.0 "
+          f"ELSE CAST(class_idx AS DOUBLE) / 100.0 END")
+    return _with(_GRAD_SQL) + f""", n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings),
+gw AS (
+  SELECT class_idx, j, {w0} AS w0, grad / n.n + {d('1e-4')} * ({w0}) AS gg FROM g, n),
+st AS (
+  SELECT class_idx, j, w0,
+         (({d('1.0')} - {d('0.9')}) * gg) / ({d('1.0')} - {d('0.9')}) AS m_hat,
+         ((({d('1.0')} - {d('0.999')}) * gg) * gg) / ({d('1.0')} - {d('0.999')}) AS v_hat
+  FROM gw)
+SELECT CAST(class_idx AS INTEGER) AS class_idx, CAST(j AS INTEGER) AS j,
+       round(w0 - ({d('0.001')} * m_hat) / (sqrt(v_hat) + {d('1e-8')}), 6) AS w
+FROM st"""
+
+
+@register("head_adam_step", _adam_sql())
+def q_head_adam_step(spark, sf):
+    """D4's update rule: one Adam step (lr 1e-3, L2 1e-4 in the gradient, zero
+    moments) from the fixture head, on the full-batch gradient of the training
+    kernel.  Row j = 64 holds the bias."""
+    import numpy as np
+    w, b = X.fixture_head()
+    feats = _features(spark, sf).select("features", "label_idx")
+    HD.ship_package(spark)
+    sums = HD._sums(feats, np.asarray(w), np.asarray(b), "features", "label_idx", True)
+    params = np.concatenate([np.asarray(w).reshape(-1), np.asarray(b)])
+    g = sums.grad / sums.n + 1e-4 * params
+    new, _, _ = HD.adam_step(params, g, np.zeros_like(params), np.zeros_like(params), 1, 1e-3)
+    n_cls, dim = len(w), len(w[0])
+    rows = [(c, j, float(new[c * dim + j])) for c in range(n_cls) for j in range(dim)] + \
+           [(c, dim, float(new[n_cls * dim + c])) for c in range(n_cls)]
+    df = spark.createDataFrame(rows, "class_idx int, j int, w double")  # model-sized: C x (D + 1)
+    return df.select("class_idx", "j", F.round("w", 6).alias("w"))
