@@ -86,3 +86,25 @@ def test_progress_is_persisted(spark):
     heads = SRC.read_head(spark, wp)
     assert heads.groupBy("run_id", "kind").count().count() == 4
     assert heads.count() == 12
+
+
+def test_live_epoch_rules_agree_with_history_operators(spark):
+    """fit_head decides LR cuts, early stop and best epochs on the driver as it
+    trains; the Spark operators must reach the same decisions on its history."""
+    from samplecraft.operators import history as H
+    df = spark.range(3000).select(
+        F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(4))).cast("int").alias("label_idx"),
+        F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1000)) / 1000.0 for j in range(8)]).alias("features"))
+    res = HD.fit_head(df.where("id % 4 != 0"), df.where("id % 4 = 0"), 4,
+                      opts=HD.HeadOptions(lr=0.3, epochs=40, patience=5, plateau_patience=2))
+    hist = res.history.orderBy("epoch").collect()
+    h = res.history.drop("lr", "improved")
+    flags = [r.improved for r in H.running_best(h).orderBy("epoch").collect()]
+    assert flags == [r.improved for r in hist]
+    stop = H.early_stop(h, 5).agg(F.max("epoch")).first()[0]
+    assert stop == len(hist) and (len(hist) == 40 or not any(r.improved for r in hist[-5:]))
+    lr_after = {r.epoch: r.lr for r in H.plateau_lr(h, lr=0.3, patience=2).collect()}
+    for prev, cur in zip(hist, hist[1:]):
+        assert cur.lr == lr_after[prev.epoch]   # the rate used in epoch e+1 is the rate after epoch e
+    best = H.best_checkpoint(h, 5).first()
+    assert best.best_epoch == max(r.epoch for r in hist if r.improved)
