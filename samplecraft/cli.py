@@ -115,8 +115,10 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--table", required=True)
     a.add_argument("-n", type=int, default=5)
     a.add_argument("--seed", type=int, default=42)
+    helps = {"train": "fit a linear head on a feature table (history and heads written as it goes)",
+             "analyze": "score the test split and write every error-analysis table"}
     for name in ("train", "analyze"):
-        a = sub.add_parser(name)
+        a = sub.add_parser(name, help=helps[name])
         a.add_argument("--table", required=True)
         a.add_argument("--features", required=True)
         a.add_argument("--heads", required=True)
