@@ -284,8 +284,11 @@ def _read_images(icol, n):
     ok = np.asarray(icol.is_valid().to_numpy(zero_copy_only=False), dtype=bool) \
         & np.asarray(data.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
     for r in range(n):
+        if not ok[r]:  # NULL image (e.g. no file for this row): its fields are undefined
+            yield None
+            continue
         h, w, c = int(hs[r]), int(ws[r]), int(cs[r])
-        if not ok[r] or h <= 0 or w <= 0 or c <= 0 or offs[r + 1] - offs[r] != h * w * c:
+        if h <= 0 or w <= 0 or c <= 0 or offs[r + 1] - offs[r] != h * w * c:
             yield None
             continue
         a = raw[offs[r]:offs[r + 1]].reshape(h, w, c)

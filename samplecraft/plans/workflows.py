@@ -22,6 +22,8 @@ from ..operators import evaluate as E
 from ..operators import head as HD
 from ..operators import manifest as M
 from ..operators import sampling as S
+from ..operators import tensors as T
+from ..sources import images as IMG
 from ..sources import metadata as SRC
 
 
@@ -69,6 +71,32 @@ def training_tables(spark: SparkSession, path: str, classes: Sequence[str] | Non
     return TrainingTables(d, C.encode_labels(train, d), C.encode_labels(test, d), C.class_consistency(train, test))
 
 
+@dataclass
+class Tensors:
+    tensors: DataFrame   # encoded rows + ``tensor`` (NULL when the file is missing or undecodable)
+    n_invalid: int
+
+
+def tensors(spark: SparkSession, encoded: DataFrame, image_dir: str, train: bool, size: int = 224,
+            seed: int = 42, epoch: int = 0) -> Tensors:
+    """Encoded rows -> model-ready tensors.
+
+    Images are read as raw bytes, joined to the rows by path, and the train or
+    eval preset runs in one fused NumPy stage (channel fix included).  Rows
+    whose image is missing or undecodable keep ``tensor = NULL`` and are
+    counted, where the original loader would have stopped.
+    """
+    raw = IMG.read_images(spark, image_dir, invalid="flag").select(
+        IMG.path_key("path").alias("__pk"), F.col("image"))
+    rows = encoded.withColumn("__pk", IMG.path_key("image_path"))
+    joined = rows.join(raw, "__pk", "left").drop("__pk")
+    steps = (T.train_preset(size, seed=seed, epoch=epoch, key="image_path") if train
+             else T.eval_preset(size))
+    out = T.pipeline(joined, steps, tensor_col="image").withColumnRenamed("image", "tensor")
+    n_invalid = out.where(F.col("tensor").isNull()).count()
+    return Tensors(out, n_invalid)
+
+
 def train(train_features: DataFrame, val_features: DataFrame, n_classes: int, history_path: str | None = None,
           head_path: str | None = None, opts: HD.HeadOptions | None = None, key: str = "id",
           features_col: str = "features", label_col: str = "label_idx") -> HD.FitResult:

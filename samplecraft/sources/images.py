@@ -30,7 +30,9 @@ def read_images(spark: SparkSession, path: str, invalid: str = "drop") -> DataFr
     """
     if invalid not in ("drop", "flag"):
         raise ValueError("invalid must be 'drop' or 'flag'")
-    raw = spark.read.format("image").option("dropInvalid", invalid == "drop").load(path)
+    raw = (spark.read.format("image").option("dropInvalid", invalid == "drop")
+           .option("recursiveFileLookup", "true")  # images live in class/ sub-folders
+           .load(path))
     return raw.select(F.col("image.origin").alias("path"), F.col("image").alias("image"))
 
 

@@ -46,3 +46,30 @@ def test_end_to_end(spark):
     assert out["hardest"].count() == 2 and out["hardest_matrix"].count() == 4
     assert np.isclose(out["confusion"].agg(F.sum("n")).first()[0], 30)
     assert res.run.first().seconds > 0
+
+
+def test_tensors_from_images(spark):
+    from samplecraft.sources import images as IMG
+    d = tempfile.mkdtemp(prefix="wf-img-")
+    img_dir = os.path.join(d, "images")
+    os.makedirs(os.path.join(img_dir, "a"))
+    os.makedirs(os.path.join(img_dir, "b"))
+    rng = np.random.default_rng(2)
+    for c in ("a", "b"):
+        for i in range(3):
+            with open(os.path.join(img_dir, c, f"{i}.png"), "wb") as fh:
+                fh.write(IMG.png_bytes(rng.integers(0, 256, (10, 12, 3)).astype(np.uint8)))
+    with open(os.path.join(img_dir, "b", "3.png"), "wb") as fh:
+        fh.write(b"broken")
+    with open(os.path.join(d, "train.txt"), "w") as fh:
+        fh.write("a/0\na/1\na/2\nb/0\nb/1\nb/2\nb/3\nb/9\n")   # b/3 broken, b/9 missing
+    out = scratch_path(spark, "wf-img-meta")
+    WF.prepare_metadata(spark, {"train": os.path.join(d, "train.txt")}, img_dir, out, ".png")
+    tables = WF.training_tables(spark, out)
+    res = WF.tensors(spark, tables.train, img_dir, train=True, size=8, seed=1, epoch=1)
+    rows = res.tensors.collect()
+    assert len(rows) == 8 and res.n_invalid == 2
+    good = [r for r in rows if r.tensor is not None]
+    assert all(r.tensor.height == 8 and r.tensor.width == 8 and r.tensor.channels == 3 for r in good)
+    ev = WF.tensors(spark, tables.train, img_dir, train=False, size=5)
+    assert ev.n_invalid == 2 and {r.tensor.height for r in ev.tensors.collect() if r.tensor} == {5}
