@@ -74,7 +74,7 @@ def training_tables(spark: SparkSession, path: str, classes: Sequence[str] | Non
 @dataclass
 class Tensors:
     tensors: DataFrame   # encoded rows + ``tensor`` (NULL when the file is missing or undecodable)
-    n_invalid: int
+    invalid: DataFrame   # the encoded rows without a usable image (lazy; count it if needed)
 
 
 def tensors(spark: SparkSession, encoded: DataFrame, image_dir: str, train: bool, size: int = 224,
@@ -83,8 +83,9 @@ def tensors(spark: SparkSession, encoded: DataFrame, image_dir: str, train: bool
 
     Images are read as raw bytes, joined to the rows by path, and the train or
     eval preset runs in one fused NumPy stage (channel fix included).  Rows
-    whose image is missing or undecodable keep ``tensor = NULL`` and are
-    counted, where the original loader would have stopped.
+    whose image is missing or undecodable keep ``tensor = NULL`` and are also
+    listed in ``invalid`` (from the join alone, without running the
+    pipeline), where the original loader would have stopped.
     """
     raw = IMG.read_images(spark, image_dir, invalid="flag").select(
         IMG.path_key("path").alias("__pk"), F.col("image"))
@@ -93,8 +94,8 @@ def tensors(spark: SparkSession, encoded: DataFrame, image_dir: str, train: bool
     steps = (T.train_preset(size, seed=seed, epoch=epoch, key="image_path") if train
              else T.eval_preset(size))
     out = T.pipeline(joined, steps, tensor_col="image").withColumnRenamed("image", "tensor")
-    n_invalid = out.where(F.col("tensor").isNull()).count()
-    return Tensors(out, n_invalid)
+    bad = joined.where(F.col("image").isNull() | (F.col("image.height") <= 0)).drop("image")
+    return Tensors(out, bad)
 
 
 def train(train_features: DataFrame, val_features: DataFrame, n_classes: int, history_path: str | None = None,

@@ -68,8 +68,8 @@ def test_tensors_from_images(spark):
     tables = WF.training_tables(spark, out)
     res = WF.tensors(spark, tables.train, img_dir, train=True, size=8, seed=1, epoch=1)
     rows = res.tensors.collect()
-    assert len(rows) == 8 and res.n_invalid == 2
+    assert len(rows) == 8 and res.invalid.count() == 2
     good = [r for r in rows if r.tensor is not None]
     assert all(r.tensor.height == 8 and r.tensor.width == 8 and r.tensor.channels == 3 for r in good)
     ev = WF.tensors(spark, tables.train, img_dir, train=False, size=5)
-    assert ev.n_invalid == 2 and {r.tensor.height for r in ev.tensors.collect() if r.tensor} == {5}
+    assert ev.invalid.count() == 2 and {r.tensor.height for r in ev.tensors.collect() if r.tensor} == {5}
