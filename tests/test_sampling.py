@@ -74,3 +74,16 @@ def test_shuffle_fallback_equals_bucket_path_and_handles_hot_keys(spark):
     ks = [k for k, _ in outs[0] if k == -1]
     idx = sorted(i for k, i in outs[0] if k == -1)
     assert len(ks) == 300 and idx == list(range(idx[0], idx[0] + 300))  # copies are contiguous
+
+
+def test_empty_inputs(spark):
+    from samplecraft.operators import classes as C
+    from samplecraft.operators import evaluate as E
+    df = spark.range(10).where("id < 0").select(F.col("id"), F.lit("x").alias("label"))
+    assert S.shuffle_batches(df, 4, key="id").count() == 0
+    assert S.sequential_batches(df, 4, key="id").count() == 0
+    assert S.key_order_index(df, "id", method="sort").count() == 0
+    d = C.class_dictionary(df)
+    assert d.count() == 0
+    empty_counts = spark.createDataFrame([], "true_idx int, pred_idx int, n long")
+    assert E.confusion_matrix(empty_counts, d).count() == 0
