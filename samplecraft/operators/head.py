@@ -333,38 +333,40 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         bad += 1
         return opts.patience is not None and bad >= opts.patience
 
-    stopped = False
-    for epoch in range(1, opts.epochs + 1):
-        for step in range(k):
-            part = batch(epoch, step)
-            if step == 0 and epoch > 1:
-                sums = _sums(part.unionByName(va), w, b, features_col, label_col, True)
-                stopped = close_epoch(epoch - 1, sums)
-                if stopped:
-                    break
-            else:
-                sums = _sums(part, w, b, features_col, label_col, True)
-            if step == 0:
-                totals[:] = [0.0, 0, 0]
-            if sums.n == 0:
-                continue
-            totals[0] += sums.loss
-            totals[1] += sums.correct
-            totals[2] += sums.n
-            params = np.concatenate([w.reshape(-1), b])
-            g = sums.grad / sums.n + opts.weight_decay * params
-            t += 1
-            params, m, v = adam_step(params, g, m, v, t, lr, opts.betas, opts.adam_eps)
-            w = params[: n_classes * dim].reshape(n_classes, dim)
-            b = params[n_classes * dim:]
-        if stopped:
-            break
-    if not stopped and opts.epochs >= 1:
-        close_epoch(len(history) + 1, _sums(va, w, b, features_col, label_col, False))
-    for ep in epoch_cache.values():
-        ep.unpersist()
-    tr.unpersist()
-    va.unpersist()
+    try:
+        stopped = False
+        for epoch in range(1, opts.epochs + 1):
+            for step in range(k):
+                part = batch(epoch, step)
+                if step == 0 and epoch > 1:
+                    sums = _sums(part.unionByName(va), w, b, features_col, label_col, True)
+                    stopped = close_epoch(epoch - 1, sums)
+                    if stopped:
+                        break
+                else:
+                    sums = _sums(part, w, b, features_col, label_col, True)
+                if step == 0:
+                    totals[:] = [0.0, 0, 0]
+                if sums.n == 0:
+                    continue
+                totals[0] += sums.loss
+                totals[1] += sums.correct
+                totals[2] += sums.n
+                params = np.concatenate([w.reshape(-1), b])
+                g = sums.grad / sums.n + opts.weight_decay * params
+                t += 1
+                params, m, v = adam_step(params, g, m, v, t, lr, opts.betas, opts.adam_eps)
+                w = params[: n_classes * dim].reshape(n_classes, dim)
+                b = params[n_classes * dim:]
+            if stopped:
+                break
+        if not stopped and opts.epochs >= 1:
+            close_epoch(len(history) + 1, _sums(va, w, b, features_col, label_col, False))
+    finally:  # release the caches even if training stops with an error
+        for ep in epoch_cache.values():
+            ep.unpersist()
+        tr.unpersist()
+        va.unpersist()
     persist_head("final", w, b)
     seconds = round(time.time() - started, 2)  # F8: elapsed wall-clock, 2 decimals
 
