@@ -52,3 +52,33 @@ def test_python_stages_work_from_a_foreign_directory(tmp_path):
     out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True,
                          timeout=600)
     assert "ROWS 8000" in out.stdout, out.stderr[-2000:]
+
+
+SURVEY_KEYS = """manifest_lines manifest_parse manifest_tag metadata_roundtrip metadata_scan image_scan
+run_log_scan history_roundtrip head_roundtrip split_filter class_filter preview random_sample row_fetch
+class_consistency label_encode label_decode class_dictionary dataset_stats epoch_metrics batch_metrics
+confusion_counts confusion_matrix class_errors running_best patience_counter early_stop plateau_lr
+best_checkpoint top_confusions hardest_classes hardest_submatrix examples_correct examples_incorrect
+combine_splits linear_logits argmax_predict cross_entropy tensor_resize tensor_unit tensor_normalize
+tensor_denormalize tensor_hflip tensor_rotate tensor_crop tensor_jitter pipeline_eval pipeline_train
+shuffle_batches sequential_batches score_rows fit_head history_from_events history_arrays history_series
+heatmap_cells run_summary""".split()
+
+
+def test_every_survey_query_key_is_registered():
+    entry = importlib.import_module("__spark_entry__")
+    assert not set(SURVEY_KEYS) - set(entry.queries())
+
+
+def test_bench_prints_one_json_line_even_on_errors(tmp_path):
+    import json
+    import subprocess
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=str(tmp_path / "sf9"), BENCH_REPEAT="1",
+               BENCH_QUERIES="preview,random_sample", BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(repo, "bench.py")], cwd=str(tmp_path), env=env,
+                         capture_output=True, text=True, timeout=600)
+    lines = [x for x in out.stdout.splitlines() if x.strip()]
+    assert len(lines) == 1, out.stderr[-2000:]
+    d = json.loads(lines[0])
+    assert d["unit"] == "sec" and set(d["queries"]) == {"preview", "random_sample"} and "errors" in d
