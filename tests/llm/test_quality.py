@@ -1,0 +1,65 @@
+import re
+from collections import Counter
+
+import numpy as np
+
+from samplecraft.llm import quality
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    text = text or ""
+    words = WORD.findall(text)
+    out = {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text))}
+    seen, dup, dup_chars = set(), 0, 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            if line in seen:
+                dup += 1
+                dup_chars += sum(map(len, WORD.findall(line)))
+            seen.add(line)
+    out |= {"n_dup_lines": dup, "dup_line_chars": dup_chars}
+
+    def covered(n):
+        grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
+        many = Counter(grams)
+        return {i + k for i, g in enumerate(grams) if many[g] > 1 for k in range(n)}
+
+    out["n_repeat_words"] = len(covered(3))
+    for n in quality.NGRAM_LIMITS:
+        out[f"dup_{n}gram_chars"] = sum(len(words[i]) for i in covered(n))
+    return out
+
+
+def texts():
+    rng = np.random.default_rng(5)
+    vocab = ["a", "bb", "é", "ü#", "日本", "x|y", "the", "of"]
+    out = [None, "", " \n\t\n", "one", "a b c a b c a b c", "l\nl\nl \n l\n\n\n", "a\u0085b c \x0bd\x0c", "\nsame\nsame"]
+    for _ in range(60):
+        k = int(rng.integers(0, 120))
+        out.append("".join(str(rng.choice(vocab)) + str(rng.choice([" ", "\n", "  ", "\r\n"])) for _ in range(k)))
+    out.append(" ".join(out[-1].split() * 40))
+    return out + out[-3:]
+
+
+def test_counts_and_verdict(spark):
+    rows = [(i, t, 1) for i, t in enumerate(texts())] + [(None, "no id", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int").repartition(3)
+    got = {r.doc_id: r.asDict() for r in quality.score(df).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        want = brute(t)
+        assert {k: got[i][k] for k in want} == want, (i, t)
+        base = want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"]
+        assert got[i]["base_failed"] == base and not (base and got[i]["kept"])
+
+
+def test_kept_documents(spark):
+    good = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, good, 7), (2, good[:50], 7), (2, None, 7), (3, "\n".join([good[:200]] * 5 + [good]), 7), (4, good, 8), (4, good, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ql int")
+    out = quality.kept_documents(df)
+    assert out.columns == df.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4, 4]
+    assert quality.kept_documents(df.limit(0)).count() == 0 and quality.score(df.limit(0)).count() == 0
