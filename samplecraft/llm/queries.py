@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import packing, quality, urlcascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,42 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+#: A page whose title has a run of symbols puts its key on the list.
+SPAM_TITLE = r"<title>[^<]*(%%%|###|[*][*][*]|[$][$][$])"
+
+
+def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = urlcascade.judge(pages, F.col("html").rlike(SPAM_TITLE))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = f"""
+WITH r AS (SELECT page_id, html,
+                  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+           FROM pages),
+     p AS (SELECT page_id, coalesce(regexp_matches(html, '{SPAM_TITLE}'), false) AS spam,
+                  translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+           FROM r),
+     l AS (SELECT host || path AS k, bool_or(spam) AS listed FROM p GROUP BY 1),
+     v AS (SELECT p.*, listed,
+                  CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/')
+                            THEN 'example.net/en/'
+                       WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/')
+                            THEN 'example.com/de/'
+                       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                       WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+           FROM p JOIN l ON l.k = host || path)
+SELECT page_id, host, path, rule,
+       CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
+                 WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block'
+                 ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict
+FROM v
+"""
+
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
-           "op2_repetition_coverage": op2_repetition_coverage}
-ORACLES: dict[str, str] = {}
+           "op2_repetition_coverage": op2_repetition_coverage,
+           "op10_bloom_cascade": op10_bloom_cascade}
+ORACLES: dict[str, str] = {"op10_bloom_cascade": OP10_SQL}
