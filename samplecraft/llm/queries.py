@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, urlcascade
+from ..session import scratch_path
+from . import packing, quality, urlcascade, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,24 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(warc.chunk_table(warc.plan_records(table(spark, sf_dir, "pages"))), path)
+    return warc.read_payloads(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
+                                                  "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+     f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
+"""
+
+
 #: A page whose title has a run of symbols puts its key on the list.
 SPAM_TITLE = r"<title>[^<]*(%%%|###|[*][*][*]|[$][$][$])"
 
@@ -62,5 +81,6 @@ FROM v
 
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op2_repetition_coverage": op2_repetition_coverage,
+           "op6_warc_chunks": op6_warc_chunks,
            "op10_bloom_cascade": op10_bloom_cascade}
-ORACLES: dict[str, str] = {"op10_bloom_cascade": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_warc_chunks": OP6_SQL, "op10_bloom_cascade": OP10_SQL}
