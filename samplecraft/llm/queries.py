@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import packing, quality, urlcascade, warc
+from . import decontaminate, packing, quality, urlcascade, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(found).drop("text_hash")
+
+
 def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(warc.chunk_table(warc.plan_records(table(spark, sf_dir, "pages"))), path)
@@ -81,6 +86,7 @@ FROM v
 
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op2_repetition_coverage": op2_repetition_coverage,
+           "op3_decontamination": op3_decontamination,
            "op6_warc_chunks": op6_warc_chunks,
            "op10_bloom_cascade": op10_bloom_cascade}
 ORACLES: dict[str, str] = {"op6_warc_chunks": OP6_SQL, "op10_bloom_cascade": OP10_SQL}
