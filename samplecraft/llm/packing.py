@@ -17,110 +17,133 @@ Repeated rows are packed once each.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path, ship_package
-from .text import find_words, sub_batches, word_ids
+from .text import LOWER, find_words, sub_batches, word_ids
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+_BLOCK = 2000
 RANK_ROWS = 65_536
 _END_OF_WORD = "</w>"
 
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
 class WordTokenizer:
     """Ids of whole texts, by way of their distinct white-space-free runs.
 
     Exact for a tokenizer whose normaliser and pre-tokenizer never look across
-    ASCII white space and drop it; each distinct run is encoded once.
+    ASCII white space and drop it, and which cuts between a letter and a
+    punctuation mark.  Distinct runs are encoded once per batch; the first
+    ``CACHE_WORDS`` of them stay for later batches and tasks of the worker.
     """
 
+    @staticmethod
+    def of(path: str) -> WordTokenizer:
+        """The Python worker's own one, kept between tasks."""
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = WordTokenizer(path)
+        return _TOKENIZERS[path]
+
     def __init__(self, path: str):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        norm = json.loads(self.tok.to_str())["normalizer"] or {}
+        self.lower = "Lowercase" in {x.get("type") for x in norm.get("normalizers", [norm])}
+        self.marks = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith(_END_OF_WORD)]] = True
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.lens = np.zeros(0, np.int64)
         self.offs = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encode_each(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, concatenated ids) of new words.
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lengths, offsets into the ids, ids) of new words.
 
-        Plain runs (letters, maybe closing punctuation) are encoded many at a
-        time and cut apart at the tokens that close a pre-token, if their
-        number is the expected one; all others one by one.
+        Plain runs (letters, maybe closing marks) are encoded many at a time
+        and cut apart at the tokens that close a pre-token, if their number is
+        the expected one; all others one by one.
         """
-        import pyarrow.compute as pc
         col = pa.array(words, pa.large_string())
-        one = pc.match_substring_regex(col, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        one = pc.match_substring_regex(col, r"^(\p{L}+|[.,!;:?]+)$").to_numpy(zero_copy_only=False)
         two = pc.match_substring_regex(col, r"^\p{L}+[.,!;:?]+$").to_numpy(zero_copy_only=False)
         ends = one.astype(np.int64) + 2 * two
-        lens = np.zeros(len(words), np.int64)
-        parts: dict[int, np.ndarray] = {}
+        lens, offs = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat: list[np.ndarray] = []
+        at = 0
         plain = np.flatnonzero(ends)
-        single = list(np.flatnonzero(ends == 0))
-        blocks = [plain[i:i + 2000] for i in range(0, len(plain), 2000)]
-        for block, enc in zip(blocks, self.tok.encode_batch_fast(
-                ["\n".join(words[i] for i in b) for b in blocks], add_special_tokens=False)):
+        single = [np.flatnonzero(ends == 0)]
+        for lo in range(0, len(plain), _BLOCK):
+            block = plain[lo:lo + _BLOCK]
+            enc = self.tok.encode_batch_fast(["\n".join([words[i] for i in block])], add_special_tokens=False)[0]
             ids = np.array(enc.ids, np.uint32)
             stops = np.flatnonzero(self.closes[ids]) + 1
             upto = np.cumsum(ends[block])
             if len(stops) != upto[-1] or stops[-1] != len(ids):
-                single.extend(block)
+                single.append(block)
                 continue
             cut = np.concatenate([[0], stops[upto - 1]])
-            lens[block] = np.diff(cut)
-            for k, i in enumerate(block):
-                parts[i] = ids[cut[k]:cut[k + 1]]
-        for i, ids in zip(single, self._encode_each([words[i] for i in single])):
-            parts[i], lens[i] = ids, len(ids)
-        flat = np.concatenate([parts[i] for i in range(len(words))]) if words else np.zeros(0, np.uint32)
-        return lens, flat
+            lens[block], offs[block] = np.diff(cut), at + cut[:-1]
+            flat.append(ids)
+            at += len(ids)
+        rest = np.concatenate(single)
+        for lo in range(0, len(rest), _BLOCK):
+            block = rest[lo:lo + _BLOCK]
+            got = [e.ids for e in self.tok.encode_batch_fast([words[i] for i in block], add_special_tokens=False)]
+            lens[block] = [len(x) for x in got]
+            offs[block] = at + np.cumsum(lens[block]) - lens[block]
+            flat.append(np.array([i for x in got for i in x], np.uint32))
+            at += len(flat[-1])
+        return lens, offs, np.concatenate(flat) if flat else np.zeros(0, np.uint32)
 
     def encode_column(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows with ``end_id`` after each, row offsets into them)."""
-        w = find_words(col)
+        w = find_words(col, split_marks=True)
+        raw = w.data.tobytes()
+        if self.lower and not any(m in raw for m in self.marks):
+            w = w._replace(data=LOWER[w.data])  # added tokens are looked for before lower-casing
         ids, distinct = word_ids(w)
         words = distinct.to_pylist()
-        if len(self.index) + len(words) > CACHE_WORDS:
-            self._clear()
-        new = [x for x in words if x not in self.index]
-        if new:
-            lens, flat = self._encode(new)
-            base = len(self.lens)
-            self.index.update(zip(new, range(base, base + len(new))))
-            self.offs = np.concatenate([self.offs, len(self.ids) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.ids = np.concatenate([self.ids, flat])
+        slot = np.fromiter((self.index.get(x, -1) for x in words), np.int64, len(words))
+        new = np.flatnonzero(slot < 0)
+        known, all_lens, all_offs, all_ids = len(self.lens), self.lens, self.offs, self.ids
+        if len(new):
+            fresh = [words[i] for i in new]
+            lens, offs, flat = self._encode(fresh)
+            slot[new] = np.arange(known, known + len(new))
+            all_offs = np.concatenate([all_offs, len(all_ids) + offs])
+            all_lens, all_ids = np.concatenate([all_lens, lens]), np.concatenate([all_ids, flat])
+            if known < CACHE_WORDS:
+                self.index.update(zip(fresh, range(known, known + len(new))))
+                self.lens, self.offs, self.ids = all_lens, all_offs, all_ids
         n_docs = len(w.doc_off) - 1
-        slot = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         at = slot[ids] if len(ids) else ids
-        lens, offs = self.lens[at], self.offs[at]
+        lens, offs = all_lens[at], all_offs[at]
         upto = np.concatenate([[0], np.cumsum(lens)])
         doc_off = upto[w.word_off] + np.arange(n_docs + 1)
         out = np.full(int(upto[-1]) + n_docs, end_id, np.uint32)
         total = int(upto[-1])
         if total:
             place = np.arange(total)
-            src = self.ids[place + np.repeat(offs - upto[:-1], lens)]
+            src = all_ids[place + np.repeat(offs - upto[:-1], lens)]
             out[place + np.repeat(w.doc, lens)] = src
         return out, doc_off
 
@@ -141,7 +164,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches):
-        tok = WordTokenizer(tokenizer_path)
+        tok = WordTokenizer.of(tokenizer_path)
         for whole in batches:
             for batch in sub_batches(whole, "text"):
                 ids, off = tok.encode_column(batch.column(1), end_id)

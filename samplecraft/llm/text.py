@@ -17,6 +17,13 @@ BATCH_BYTES = 4 << 20
 #: ASCII white space: 0x20 and 0x09-0x0D
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[ord(c) for c in ".,;:!?"]] = True
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+#: A-Z to a-z, other bytes as they are
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Words(NamedTuple):
@@ -41,18 +48,25 @@ def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def find_words(col: pa.Array) -> Words:
-    """The runs of non-space bytes of every row."""
+def find_words(col: pa.Array, split_marks: bool = False) -> Words:
+    """The runs of non-space bytes of every row.
+
+    ``split_marks``: also cut between an ASCII letter and one of ``. , ; : ! ?``.
+    """
     data, off = byte_view(col)
     word = ~_SPACE[data]
-    prev = np.empty_like(word)
-    prev[1:], prev[:1] = word[:-1], False
-    prev[off[:-1][off[:-1] < len(data)]] = False
-    starts = np.flatnonzero(word & ~prev)
-    nxt = np.empty_like(word)
-    nxt[:-1], nxt[-1:] = word[1:], False
-    nxt[off[1:][off[1:] > 0] - 1] = False
-    ends = np.flatnonzero(word & ~nxt) + 1
+    first = word.copy()
+    if split_marks:
+        cut = _MARKS[data[1:]] & _LETTERS[data[:-1]]
+        first[1:] &= ~word[:-1] | cut
+    else:
+        first[1:] &= ~word[:-1]
+    head = off[:-1][off[:-1] < len(data)]
+    first[head] = word[head]
+    starts = np.flatnonzero(first)
+    last = word.copy()
+    last[:-1] &= ~word[1:] | first[1:]
+    ends = np.flatnonzero(last) + 1
     word_off = np.searchsorted(starts, off, side="left")
     doc = np.repeat(np.arange(len(off) - 1), np.diff(word_off))
     return Words(data, off, word, starts, ends, doc, word_off)
