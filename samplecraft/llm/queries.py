@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, packing, quality, urlcascade, warc
+from . import decontaminate, jaccard, packing, quality, urlcascade, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
 
 
+def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 #: A page whose title has a run of symbols puts its key on the list.
 SPAM_TITLE = r"<title>[^<]*(%%%|###|[*][*][*]|[$][$][$])"
 
@@ -88,5 +92,6 @@ QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op2_repetition_coverage": op2_repetition_coverage,
            "op3_decontamination": op3_decontamination,
            "op6_warc_chunks": op6_warc_chunks,
+           "op8_parity_sketch_join": op8_parity_sketch_join,
            "op10_bloom_cascade": op10_bloom_cascade}
 ORACLES: dict[str, str] = {"op6_warc_chunks": OP6_SQL, "op10_bloom_cascade": OP10_SQL}

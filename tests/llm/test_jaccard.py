@@ -1,0 +1,121 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from samplecraft.llm import jaccard as J
+from samplecraft.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute(rows):
+    sets = [(d, shingles(t)) for d, t in rows]
+    parent = {d: d for d, _ in sets if d is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and a is not None and b is not None and 100 * len(x & y) >= 80 * len(x | y):
+                ra, rb = find(a), find(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    return sorted(((d, len(s), None if d is None else find(d)) for d, s in sets), key=str)
+
+
+def corpus(seed, n=60):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(300)] + ["É", "The", "x,"]
+    line = " ".join(r.choice(vocab) for _ in range(12))
+    rows, k = [], 0
+    for _ in range(n):
+        words = [r.choice(vocab) for _ in range(r.choice([1, 3, 4, 5, 6, 9, 14, 30, 60, 200]))]
+        if r.random() < 0.5:
+            words = line.split() + words
+        for _ in range(r.choice([1, 1, 1, 2, 5, 8])):
+            rows.append((k, " ".join(words).upper() if r.random() < 0.2 else " \n".join(words)))
+            k += 1
+            for _ in range(r.randrange(0, max(1, len(words) // 12) + 1)):  # drifts: chains of links
+                words[r.randrange(len(words))] = r.choice(vocab)
+    r.shuffle(rows)
+    ids = list(range(len(rows)))
+    r.shuffle(ids)
+    return [(i, t) for i, (_, t) in zip(ids, rows)]
+
+
+@pytest.mark.parametrize("seed,common", [(1, 256), (2, 256), (3, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, common):
+    monkeypatch.setattr(J, "COMMON", common)
+    rows = corpus(seed) + [(None, "one two three four five six"), (1000, None), (1001, ""), (1002, " \n"),
+                           (1003, "one two three four five six")]
+    rows += [rows[0], rows[5], (rows[3][0], rows[7][1]), (rows[9][0], "and quite another text for this id")]
+    df = spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id long, text string, n int").repartition(4)
+    got = sorted((tuple(r) for r in J.join_components(df).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_every_similar_pair_shares_a_key():
+    rng = np.random.default_rng(3)
+    bands = J.Bands()
+    for common_share in (0.0, 0.3, 0.9, 1.0):
+        common = rng.random(J.COUNTERS) < common_share
+        for _ in range(300):
+            n = int(rng.choice([4, 5, 7, 9, 10, 20, 50, 120, 400]))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            most = (len(a) * 20) // 100
+            drop = int(rng.integers(0, most + 1))
+            b = a[drop:]
+            extra = int(len(b) * 100 // 80 - len(a))
+            if extra > 0:
+                b = np.unique(np.concatenate([b, rng.integers(0, 2**63, rng.integers(0, extra + 1)).astype(np.uint64)]))
+            inter = len(np.intersect1d(a, b))
+            if 100 * inter < 80 * (len(a) + len(b) - inter) or len(a) == len(b) == inter:
+                continue
+            assert len(np.intersect1d(J.sketch_keys(a, common, bands), J.sketch_keys(b, common, bands)))
+
+
+def test_sketch_distance_is_a_lower_bound():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**63, 200).astype(np.uint64)
+    b = np.concatenate([a[:170], rng.integers(0, 2**63, 25).astype(np.uint64)])
+
+    def parts(s, p=64):
+        out = np.zeros(p, np.uint64)
+        h = J.mix64(s)
+        np.bitwise_xor.at(out, (((h >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)).astype(int), J.mix64(h))
+        return out
+
+    assert (parts(a) != parts(b)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_shingle_sets():
+    texts = [None, "", "a B c", "a b C", "a b c d e", "a b c d e f a b c d e", " A\tb\nc d e "]
+    got = list(J.shingle_sets(pa.array(texts, pa.large_string())))
+    assert [len(s) for s in got] == [len(shingles(t)) for t in texts]
+    assert (got[2] == got[3]).all() and (got[4] == got[6]).all() and len(np.intersect1d(got[2], got[4])) == 0
+
+
+def test_one_of_each_and_empty(spark):
+    rows = corpus(7, 20) + [(500, ""), (501, None), (None, "x y")]
+    rows += [rows[0], rows[1]]
+    df = spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id long, text string, _jc_id int")
+    kept = J.one_of_each(df)
+    want = sorted({d for d, _, c in brute(rows) if d == c}, key=str)
+    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == want + ([None] if None not in want else [])
+    assert J.join_components(df.limit(0)).count() == 0
+
+
+def test_components_on_paths(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 99), (7, 7)] + [(200, 200 + i) for i in range(1, 50)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(41)} == {0} and got[100] == 99 and {got[200 + i] for i in range(50)} == {200}
