@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard, packing, quality, urlcascade, warc
+from . import decontaminate, jaccard, linespread, packing, quality, urlcascade, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,30 @@ def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
 
+def op9_distinct_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = linespread.mark(table(spark, sf_dir, "documents"))
+    return marked.select(
+        "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.coalesce(F.array_size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.md5(linespread.cleaned("text", "removed").cast("binary")).alias("clean_md5"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS a
+           FROM documents),
+     l AS (SELECT rid, source, i, a[i] AS line, CASE WHEN i > 1 THEN a[i - 1] ELSE '' END AS prev,
+                  CASE WHEN i < len(a) THEN a[i + 1] ELSE '' END AS next
+           FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM d WHERE text IS NOT NULL)),
+     b AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+           HAVING count(DISTINCT source) >= 10 AND 2 * count(DISTINCT {'p': prev, 'n': next}) >= count(*)),
+     r AS (SELECT rid, count(*) FILTER (b.line IS NOT NULL) AS n_removed,
+                  coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (b.line IS NULL), '') AS clean
+           FROM l LEFT JOIN b ON b.line = l.line GROUP BY rid)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, md5(clean) AS clean_md5
+FROM d LEFT JOIN r USING (rid)
+"""
+
+
 #: A page whose title has a run of symbols puts its key on the list.
 SPAM_TITLE = r"<title>[^<]*(%%%|###|[*][*][*]|[$][$][$])"
 
@@ -93,5 +117,6 @@ QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op3_decontamination": op3_decontamination,
            "op6_warc_chunks": op6_warc_chunks,
            "op8_parity_sketch_join": op8_parity_sketch_join,
+           "op9_distinct_site_spread": op9_distinct_site_spread,
            "op10_bloom_cascade": op10_bloom_cascade}
-ORACLES: dict[str, str] = {"op6_warc_chunks": OP6_SQL, "op10_bloom_cascade": OP10_SQL}
+ORACLES: dict[str, str] = {"op9_distinct_site_spread": OP9_SQL, "op6_warc_chunks": OP6_SQL, "op10_bloom_cascade": OP10_SQL}
