@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import cdc, decontaminate, jaccard, linespread, packing, quality, urlcascade, warc
+from . import cdc, decontaminate, html_crf, jaccard, linespread, packing, quality, urlcascade, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.repeated_spans(table(spark, sf_dir, "documents")).drop("t")
 
 
+def op5_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_crf.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(warc.chunk_table(warc.plan_records(table(spark, sf_dir, "pages"))), path)
@@ -120,6 +125,7 @@ QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op2_repetition_coverage": op2_repetition_coverage,
            "op3_decontamination": op3_decontamination,
            "op4_chunk_dedup": op4_chunk_dedup,
+           "op5_html_crf": op5_html_crf,
            "op6_warc_chunks": op6_warc_chunks,
            "op8_parity_sketch_join": op8_parity_sketch_join,
            "op9_distinct_site_spread": op9_distinct_site_spread,
