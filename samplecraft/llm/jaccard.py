@@ -295,7 +295,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               .select("key", F.coalesce("rep", "id").alias("id")).distinct())
     groups = stored(groups, "groups")
     sets = stored(_sets_of(texts, groups.select("id").distinct()), "sets")
-    comp = docs.sparkSession.createDataFrame([], "node long, comp long")
+    comp = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
     low, high, alone = 0, 1, True
     while True:
         mixed = _mixed(groups, comp)

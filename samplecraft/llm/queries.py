@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import cdc, decontaminate, html_crf, jaccard, linespread, packing, quality, urlcascade, warc
+from . import cdc, decontaminate, html_crf, jaccard, linespread, packing, quality, secrets, urlcascade, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
 
 
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
@@ -127,6 +131,7 @@ QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op4_chunk_dedup": op4_chunk_dedup,
            "op5_html_crf": op5_html_crf,
            "op6_warc_chunks": op6_warc_chunks,
+           "op7_secret_forest": op7_secret_forest,
            "op8_parity_sketch_join": op8_parity_sketch_join,
            "op9_distinct_site_spread": op9_distinct_site_spread,
            "op10_bloom_cascade": op10_bloom_cascade}
