@@ -1,12 +1,15 @@
 """Seeded sampling, dense row index and mini-batches.
 
 Randomness is an md5 order key (see ``functions.draws``), so results do not
-depend on partitioning.  A dense index never pulls the table into one task:
-rows are ranked inside buckets that are monotone in the order (hash prefix
-for D1, outlier-clamped key ranges for a numeric D2 key) and shifted by
-broadcast bucket offsets; any other order, or one with a hot bucket, is
-range-sorted with sampled boundaries and a positional tiebreak, materialised
-once with a reliable checkpoint, and shifted by per-partition offsets.
+depend on partitioning.  Rows with equal keys are ordered by a hash of all
+their columns, so only rows that are equal in every column are
+interchangeable, and a retried or re-read plan gives the same batches.
+
+A dense index never pulls the table into one task.  D1 ranks rows inside
+buckets of their order hash and shifts them by broadcast bucket offsets.  Any
+other order, or a hash order with a hot bucket, is range-sorted with sampled
+boundaries, materialised once with a reliable checkpoint, and shifted by
+per-partition offsets; both ways give the same index.
 """
 
 from __future__ import annotations
@@ -18,132 +21,102 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.draws import order_hash
 from ..session import ensure_checkpoint_dir
+from ..util import row_hash, unused_name
 
-_H = "__order_hash"
+TOP_N_ROWS = 1_000_000  # a larger sample is cut from the distributed index instead of a top-n merge
 
 
 def random_sample(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "id") -> DataFrame:
     """``n`` rows in seeded random order (fewer when the table is smaller).
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: every partition
-    keeps its own top ``n``; no full sort, no shuffle of the table.
+    keeps its own top ``n``; no full sort, no shuffle of the table.  Its last
+    merge is one task, so a sample above ``TOP_N_ROWS`` is taken by position
+    from the distributed index of the same order.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return (df.withColumn(_H, order_hash(seed, *keys))
-              .orderBy(F.col(_H), *[F.col(k) for k in keys])
-              .limit(n).drop(_H))
+    h, tie = unused_name(df, "_order_hash"), unused_name(df, "_tie")
+    tagged = df.withColumn(tie, row_hash(df)).withColumn(h, order_hash(seed, *keys))
+    order = [F.col(h), *[F.col(k) for k in keys], F.col(tie)]
+    if n > TOP_N_ROWS:
+        idx = unused_name(tagged, "_row_idx")
+        return dense_index(tagged, order, idx).where(F.col(idx) < n).drop(h, tie, idx)
+    return tagged.orderBy(*order).limit(n).drop(h, tie)
 
 
 def dense_index(df: DataFrame, order: Sequence, index_col: str = "row_idx") -> DataFrame:
-    """Add a dense 0-based ``index_col`` following ``order``.
+    """Add a dense 0-based ``index_col`` following ``order`` (Spark's order: NULLs first, NaN last).
 
-    A positional tiebreak is appended to the sort, so every sort key is
-    unique and the sampled range partitioning can split even a key (or a
-    group of identical copies) that holds a large share of the rows; it
-    only orders rows that ``order`` leaves tied.  Cost: one sampled range
-    shuffle + sort, one checkpoint write, one tiny count job.
+    The sort ends with a hash of the whole row and the row's position, so
+    every sort key is unique and the sampled range partitioning can split even
+    a key (or a group of identical copies) that holds a large share of the
+    rows.  Cost: one sampled range shuffle + sort, one checkpoint write, one
+    tiny count job.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    cols = list(df.columns)
-    tagged_in = df.withColumn("__tb", F.monotonically_increasing_id())
-    ordered = tagged_in.orderBy(*order, F.col("__tb")).drop("__tb").checkpoint(eager=True)
-    pid = F.spark_partition_id()
+    ensure_checkpoint_dir(df.sparkSession)
+    cols = [c for c in df.columns if c.lower() != index_col.lower()]
+    tie, place = unused_name(df, "_tie"), unused_name(df, "_place")
+    tagged_in = df.withColumn(tie, row_hash(df)).withColumn(place, F.monotonically_increasing_id())
+    ordered = tagged_in.orderBy(*order, F.col(tie), F.col(place)).select(*cols).checkpoint(eager=True)
+    pid, pos, n, off = (unused_name(ordered, x) for x in ("_pid", "_pos", "_n", "_off"))
+    here = F.spark_partition_id()
     tagged = ordered.select(
-        "*", pid.alias("__pid"),
-        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("__pos"))
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+        "*", here.alias(pid),
+        (F.monotonically_increasing_id() - F.shiftleft(here.cast("long"), 33)).alias(pos))
+    counts = tagged.groupBy(pid).agg(F.count(F.lit(1)).alias(n))
     # One row per partition: a proven small side.
     offsets = counts.select(
-        "__pid",
-        F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"))
-    out = tagged.join(F.broadcast(offsets), "__pid")
-    return out.select(*[F.col(c) for c in cols if not c.startswith("__")],
-                      (F.col("__off") + F.col("__pos")).cast("long").alias(index_col))
+        pid, F.coalesce(F.sum(n).over(Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0)).alias(off))
+    out = tagged.join(F.broadcast(offsets), pid)
+    return out.select(*cols, (F.col(off) + F.col(pos)).cast("long").alias(index_col))
 
 
 HOT_BUCKET_ROWS = 1_000_000
 
 
-def bucketed_index(df: DataFrame, bucket: Column, order: Sequence[Column], max_buckets: int,
-                   index_col: str = "row_idx", hot_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
-    """Dense 0-based rank by ``order``, given a ``bucket`` that is monotone in that order.
+def hash_order_index(df: DataFrame, hash_col: Column, key: str, index_col: str = "row_idx",
+                     prefix_digits: int = 4, hot_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
+    """Dense 0-based rank by (hex hash, key): buckets are the first ``prefix_digits``
+    hex digits, near-equal when the key is unique.
 
     Bucket row counts come first (one light scan, partial aggregation, at
-    most ``max_buckets`` rows to the driver).  Normally they become broadcast
-    offsets for a ``row_number`` inside each bucket: one shuffle, no global
-    sort, no checkpoint.  If a bucket holds more than ``hot_rows`` rows and
-    far more than its share (a key repeated on a large share of the rows),
-    ranking falls back to ``dense_index``, whose sampled range sort splits
-    any group across tasks.
+    most ``16 ** prefix_digits`` rows to the driver).  Normally they become
+    broadcast offsets for a ``row_number`` inside each bucket: one shuffle, no
+    global sort, no checkpoint.  If a bucket holds more than ``hot_rows`` rows
+    and far more than its share (a key repeated on a large share of the rows),
+    ``dense_index`` ranks the same order, splitting the group across tasks.
     """
-    h = df.withColumn("__b", F.coalesce(bucket.cast("int"), F.lit(0)))  # non-null: no re-evaluated filter
-    counts = h.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).toArrow()  # <= max_buckets rows, columnar
-    b = np.asarray(counts.column("__b").to_numpy(), dtype=np.int32)
-    c = np.asarray(counts.column("__n").to_numpy(), dtype=np.int64)
-    if len(c) and c.max() > max(hot_rows, 8 * c.sum() / max_buckets):
-        return dense_index(h, order, index_col)
-    order_b = np.argsort(b, kind="stable")
-    b, c = b[order_b], c[order_b]
-    start = np.concatenate([[0], np.cumsum(c)[:-1]]).astype(np.int64) if len(c) else np.zeros(0, np.int64)
-    off_df = df.sparkSession.createDataFrame(pa.table({"__b": pa.array(b, pa.int32()),
-                                                       "__off": pa.array(start, pa.int64())}))
-    ranked = h.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1)
-    out = ranked.join(F.broadcast(off_df), "__b")
-    keep = [c for c in df.columns if not c.startswith("__")]
-    return out.select(*[F.col(c) for c in keep], (F.col("__off") + F.col("__r")).cast("long").alias(index_col))
-
-
-def hash_order_index(df: DataFrame, hash_col, key: str, index_col: str = "row_idx",
-                     prefix_digits: int = 4, hot_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
-    """Dense rank by (hex hash, key): buckets are the first ``prefix_digits``
-    hex digits, near-equal when the key is unique (see ``bucketed_index``)."""
     if not 1 <= prefix_digits <= 5:
-        raise ValueError("prefix_digits must be 1..5")
-    h = df.withColumn("__h", hash_col)
-    bucket = F.conv(F.substring("__h", 1, prefix_digits), 16, 10)
-    return bucketed_index(h, bucket, [F.col("__h"), F.col(key)], 16 ** prefix_digits, index_col, hot_rows)
-
-
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-
-
-def key_order_index(df: DataFrame, key: str, index_col: str = "row_idx", method: str = "auto",
-                    n_buckets: int = 65536, tail: float = 0.001) -> DataFrame:
-    """Dense rank by ``key``.
-
-    ``method='buckets'`` (the ``auto`` choice for numeric keys): keys are cut
-    into equal-width buckets between the approximate ``tail`` and
-    ``1 - tail`` quantiles (one small aggregate), with keys outside going to
-    the two edge buckets, so outliers cannot stretch the range; then
-    ``bucketed_index``, which falls back to the sort below if a dense
-    cluster of keys still makes one bucket hot.
-
-    ``method='sort'`` (the ``auto`` choice for other keys): range sort with
-    sampled boundaries and a positional tiebreak, materialised once with a
-    reliable checkpoint (``dense_index``).
-    """
-    numeric = isinstance(df.schema[key].dataType, _NUMERIC)
-    if method not in ("auto", "sort", "buckets"):
-        raise ValueError("method must be 'auto', 'sort' or 'buckets'")
-    if method == "sort" or not numeric:
-        return dense_index(df, [F.col(key)], index_col)
-    q = df.agg(F.percentile_approx(F.col(key).cast("double"), [tail, 1.0 - tail], 10000).alias("q")).first()["q"]
-    if q is None:
-        return df.withColumn(index_col, F.lit(None).cast("long")).limit(0)
-    lo, hi = q
-    inner = n_buckets - 2
-    width = (hi - lo) / inner if hi > lo else 1.0
-    k = F.col(key).cast("double")
-    bucket = (F.when(k < F.lit(lo), F.lit(0))
-               .when(k > F.lit(hi), F.lit(n_buckets - 1))
-               .otherwise(F.least(F.floor((k - F.lit(lo)) / F.lit(width)), F.lit(inner - 1)) + 1))
-    return bucketed_index(df, bucket, [F.col(key)], n_buckets, index_col)
+        raise ValueError("prefix_digits must be 1..5 (the bucket table is kept on the driver)")
+    cols = [c for c in df.columns if c.lower() != index_col.lower()]
+    max_buckets = 16 ** prefix_digits
+    h, tie, b, r, off = (unused_name(df, x) for x in ("_h", "_tie", "_bucket", "_rank", "_off"))
+    tagged = df.withColumn(tie, row_hash(df)).withColumn(h, hash_col)
+    # a NULL bucket cannot occur (an md5 is never NULL), but a nullable one would be re-evaluated in joins
+    tagged = tagged.withColumn(b, F.coalesce(F.conv(F.substring(h, 1, prefix_digits), 16, 10).cast("int"), F.lit(0)))
+    order = [F.col(h), F.col(key), F.col(tie)]
+    counts = tagged.groupBy(b).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    bucket = np.asarray(counts.column(b).to_numpy(), dtype=np.int32)
+    n = np.asarray(counts.column("n").to_numpy(), dtype=np.int64)
+    if len(n) and n.max() > max(hot_rows, 8 * n.sum() / max_buckets):
+        return dense_index(tagged, order, index_col).select(*cols, index_col)
+    by = np.argsort(bucket, kind="stable")
+    start = np.cumsum(n[by]) - n[by]
+    offsets = df.sparkSession.createDataFrame(pa.table({b: pa.array(bucket[by], pa.int32()),
+                                                        off: pa.array(start.astype(np.int64), pa.int64())}))
+    ranked = tagged.withColumn(r, F.row_number().over(Window.partitionBy(b).orderBy(*order)) - 1)
+    out = ranked.join(F.broadcast(offsets), b)
+    return out.select(*cols, (F.col(off) + F.col(r)).cast("long").alias(index_col))
+
+
+def key_order_index(df: DataFrame, key: str, index_col: str = "row_idx") -> DataFrame:
+    """Dense rank by ``key``, of any sortable type: NULL keys come first, equal keys are
+    ordered by their other columns (``dense_index``)."""
+    return dense_index(df, [F.col(key)], index_col)
 
 
 def _with_batch(df: DataFrame, size: int) -> DataFrame:
@@ -178,5 +151,5 @@ def fetch_rows(df: DataFrame, indices, index_col: str = "row_idx") -> DataFrame:
     if not idx:
         return df.limit(0)
     spark = df.sparkSession
-    keys = spark.createDataFrame([(i,) for i in idx], f"{index_col} long")
-    return df.join(F.broadcast(keys), index_col, "left_semi")
+    keys = spark.createDataFrame([(i,) for i in idx], f"{index_col} long")  # the caller's list: driver-sized
+    return df.join(keys, index_col, "left_semi")

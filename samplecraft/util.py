@@ -20,3 +20,18 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str) -> int:
     if n > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; refusing to broadcast/expand")
     return n
+
+
+def unused_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame, salt: int = 0) -> Column:
+    """A 64-bit hash of all columns that can be hashed (maps cannot)."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.lit(salt), *cols)

@@ -31,7 +31,7 @@ def test_counts_combine_map_side(spark):
 def test_shuffle_batches_window_is_bucketed(spark):
     p = plan(q("shuffle_batches")(spark, SF))
     windows = re.findall(r"Window \[row_number\(\) windowspecdefinition\(([^,]*),", p)
-    assert windows and all("__b" in w for w in windows)   # partitioned by bucket, never global
+    assert windows and all("_bucket" in w for w in windows)   # partitioned by bucket, never global
     assert "BroadcastHashJoin" in p
 
 

@@ -1,6 +1,10 @@
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from samplecraft.functions.draws import order_hash
 from samplecraft.operators import sampling as S
+from samplecraft.util import row_hash
 
 
 def frame(spark, n=1000, parts=4):
@@ -38,21 +42,54 @@ def test_sequential_batches_and_fetch(spark):
     assert got == [5, 299]
 
 
-def test_dense_index_generic_order_and_numeric_buckets(spark):
+def test_dense_index_generic_order(spark):
     df = spark.range(500).repartition(7).select(F.format_string("k%05d", F.col("id") * 7 % 500).alias("s"),
                                                 (F.col("id") * 3).alias("n"))
     by_str = S.dense_index(df, [F.col("s")])
     got = sorted((r.row_idx, r.s) for r in by_str.collect())
     assert [s for _, s in got] == sorted(r.s for r in df.collect())
     assert [i for i, _ in got] == list(range(500))
-    for method in ("sort", "buckets"):
-        by_num = S.key_order_index(df, "n", method=method, n_buckets=16)
-        got = sorted((r.row_idx, r.n) for r in by_num.collect())
-        assert got == [(i, 3 * i) for i in range(500)]
     outlier = df.union(spark.createDataFrame([("zz", 10 ** 15)], "s string, n long"))
-    got = sorted((r.row_idx, r.n) for r in S.key_order_index(outlier, "n", method="buckets").collect())
-    assert got[-1] == (500, 10 ** 15) and got[:3] == [(0, 0), (1, 3), (2, 6)]
-    assert S.key_order_index(df, "s").count() == 500  # non-numeric falls back to the sort path
+    got = sorted((r.row_idx, r.n) for r in S.key_order_index(outlier, "n").collect())
+    assert got == [(i, 3 * i) for i in range(500)] + [(500, 10 ** 15)]
+    assert S.key_order_index(df, "s").count() == 500
+
+
+def _ranked(df, order):
+    """The reference ranking: one global window."""
+    w = Window.orderBy(*order, row_hash(df))
+    return sorted((str(tuple(r[:-1])), r[-1]) for r in df.select("*", F.row_number().over(w) - 1).collect())
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+@pytest.mark.parametrize("kind", ["nulls", "all_null", "repeated", "nan", "strings"])
+def test_index_with_null_and_repeated_keys(spark, kind, parts):
+    k = {"nulls": F.when(F.col("id") % 5 > 0, 100 - F.col("id")), "all_null": F.lit(None).cast("long"),
+         "repeated": F.col("id") % 4, "strings": F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), F.col("id") % 9)),
+         "nan": F.when(F.col("id") % 6 == 0, F.lit(float("nan"))).when(F.col("id") % 6 > 1, F.col("id") / 3)}[kind]
+    df = spark.range(40).select(k.alias("k"), (F.col("id") % 11).alias("__src"), F.lit("x").alias("_tie"),
+                                F.lit(1).alias("__p0__x"), F.col("id").alias("_bucket"))
+    df = df.union(df.limit(6)).repartition(parts)
+    got = S.key_order_index(df, "k")
+    assert got.columns == df.columns + ["row_idx"]
+    rows = sorted((str(tuple(r[:-1])), r[-1]) for r in got.collect())
+    assert [i for _, i in sorted(rows, key=lambda x: x[1])] == list(range(46))
+    assert sorted(i for _, i in rows) == sorted(i for _, i in _ranked(df, [F.col("k")]))
+    assert rows == _ranked(df, [F.col("k")])
+    h = order_hash(9, F.lit(0), "k")
+    want = _ranked(df, [h, F.col("k")])
+    for hot in (S.HOT_BUCKET_ROWS, 0):
+        b = S.shuffle_batches(df, 7, seed=9, key="k", hot_rows=hot)
+        assert b.columns == df.columns + ["row_idx", "batch_id"]
+        assert sorted((str(tuple(r[:-2])), r[-2]) for r in b.collect()) == want
+
+
+def test_large_sample_is_cut_from_the_index(spark, monkeypatch):
+    df = frame(spark, 200)
+    small = {r.id for r in S.random_sample(df, 50, 3, "id").collect()}
+    monkeypatch.setattr(S, "TOP_N_ROWS", 10)
+    big = S.random_sample(df, 50, 3, "id")
+    assert big.columns == df.columns and {r.id for r in big.collect()} == small
 
 
 def test_shuffle_fallback_equals_bucket_path_and_handles_hot_keys(spark):
@@ -82,7 +119,7 @@ def test_empty_inputs(spark):
     df = spark.range(10).where("id < 0").select(F.col("id"), F.lit("x").alias("label"))
     assert S.shuffle_batches(df, 4, key="id").count() == 0
     assert S.sequential_batches(df, 4, key="id").count() == 0
-    assert S.key_order_index(df, "id", method="sort").count() == 0
+    assert S.key_order_index(df, "id").count() == 0
     d = C.class_dictionary(df)
     assert d.count() == 0
     empty_counts = spark.createDataFrame([], "true_idx int, pred_idx int, n long")
