@@ -7,6 +7,8 @@ of every query therefore grows with those tables.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +67,14 @@ def samples(ev: DataFrame) -> DataFrame:
 
 # ---- predictions ------------------------------------------------------------
 
-def predictions_input(emb: DataFrame) -> DataFrame:
-    """``id, label_idx, logits``: the first ten vector elements act as class scores."""
+def predictions_input(emb: DataFrame, dim: int = 64) -> DataFrame:
+    """``id, label_idx, logits``: the score of class c is the sum of the vector elements
+    c, c + 10, c + 20, ... (0-based), added in that order, so every element counts."""
+    def score(c):
+        terms = [F.get("embedding", F.lit(j)).cast("double") for j in range(c, dim, N_LOGITS)]
+        return functools.reduce(lambda a, b: a + b, terms)
     return emb.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label_idx"),
-                      F.slice("embedding", 1, N_LOGITS).cast("array<double>").alias("logits"))
+                      F.array(*[score(c) for c in range(N_LOGITS)]).alias("logits"))
 
 
 def class_names(emb: DataFrame) -> DataFrame:
@@ -93,13 +99,15 @@ def tensors_8x8(emb: DataFrame, eight_bit: bool = False) -> DataFrame:
     return emb.select(F.col("vec_id").alias("key"), make_tensor(F.lit(8), F.lit(8), F.lit(1), data).alias("tensor"))
 
 
-def tensors_4x4x3(emb: DataFrame, eight_bit: bool = False) -> DataFrame:
-    """``key, tensor``: the vector read as 4 x 4 x 4 with the fourth channel dropped."""
-    data = F.transform(F.sequence(F.lit(0), F.lit(47)),
-                       lambda i: F.element_at("embedding", (F.floor(i / 3) * 4 + F.pmod(i, F.lit(3)) + 1).cast("int")))
+def tensors_8x8x3(emb: DataFrame, eight_bit: bool = False) -> DataFrame:
+    """``key, tensor``: the 64-vector as an 8 x 8 x 3 tensor; channel c is the vector turned
+    by 21 c places, so each channel holds every element."""
+    data = F.col("embedding")
     if eight_bit:
         data = F.transform(data, lambda v: F.floor((v.cast("double") + 1.0) * 127.5))
-    return emb.select(F.col("vec_id").alias("key"), make_tensor(F.lit(4), F.lit(4), F.lit(3), data).alias("tensor"))
+    data = F.transform(F.sequence(F.lit(0), F.lit(191)),
+                       lambda i: F.get(data, F.pmod(F.floor(i / 3) + 21 * F.pmod(i, F.lit(3)), F.lit(64)).cast("int")))
+    return emb.select(F.col("vec_id").alias("key"), make_tensor(F.lit(8), F.lit(8), F.lit(3), data).alias("tensor"))
 
 
 # ---- histories ------------------------------------------------------------

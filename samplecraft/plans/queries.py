@@ -57,7 +57,8 @@ SQL_PRED = """pred AS (
   SELECT id, label_idx, logits,
          CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred_idx
   FROM (SELECT vec_id AS id, CAST(label AS INTEGER) AS label_idx,
-               list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits
+               list_value(""" + ", ".join(" + ".join(f"CAST(embedding[{j + 1}] AS DOUBLE)" for j in range(c, 64, 10))
+                                          for c in range(10)) + """) AS logits
         FROM embeddings))"""
 
 SQL_DICT = """dict AS (
@@ -597,7 +598,7 @@ def _u_sql(tag: str, epoch: int = 1) -> str:
             " / CAST(4294967296.0 AS DOUBLE))")
 
 
-_EMB_4x4x3 = "embedding[(i // 3) * 4 + i % 3 + 1]"
+_EMB_8x8x3 = "embedding[(i // 3 + 21 * (i % 3)) % 64 + 1]"
 _MEAN_C = ("CASE i % 3 WHEN 0 THEN CAST(0.485 AS DOUBLE) WHEN 1 THEN CAST(0.456 AS DOUBLE) "
            "ELSE CAST(0.406 AS DOUBLE) END")
 _STD_C = ("CASE i % 3 WHEN 0 THEN CAST(0.229 AS DOUBLE) WHEN 1 THEN CAST(0.224 AS DOUBLE) "
@@ -619,49 +620,86 @@ def q_tensor_unit(spark, sf):
 
 @register("tensor_normalize", f"""
 SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
-       {_r6f(f"(CAST({_EMB_4x4x3} AS DOUBLE) - {_MEAN_C}) / {_STD_C}")} AS value
-FROM embeddings, range(48) t(i)""")
+       {_r6f(f"(CAST({_EMB_8x8x3} AS DOUBLE) - {_MEAN_C}) / {_STD_C}")} AS value
+FROM embeddings, range(192) t(i)""")
 def q_tensor_normalize(spark, sf):
-    t = X.tensors_4x4x3(X.embeddings(spark, sf))
+    t = X.tensors_8x8x3(X.embeddings(spark, sf))
     return explode_tensor(t.select("key", TX.normalize("tensor").alias("tensor")))
 
 
 @register("tensor_denormalize", f"""
 SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
-       {_r6f(f"least(greatest({_STD_C} * CAST({_EMB_4x4x3} AS DOUBLE) + {_MEAN_C}, CAST(0.0 AS DOUBLE)), CAST(1.0 AS DOUBLE))")} AS value
-FROM embeddings, range(48) t(i)""")
+       {_r6f(f"least(greatest({_STD_C} * CAST({_EMB_8x8x3} AS DOUBLE) + {_MEAN_C}, CAST(0.0 AS DOUBLE)), CAST(1.0 AS DOUBLE))")} AS value
+FROM embeddings, range(192) t(i)""")
 def q_tensor_denormalize(spark, sf):
-    t = X.tensors_4x4x3(X.embeddings(spark, sf))
-    return explode_tensor(t.select("key", TX.denormalize("tensor").alias("tensor")))
+    t = X.tensors_8x8x3(X.embeddings(spark, sf))
+    return explode_tensor(T.apply_step(t, T.denormalize()))
 
 
 @register("tensor_hflip", f"""
 SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
        round(CAST(CASE WHEN {_u_sql("flip")} < CAST(0.5 AS DOUBLE)
-                       THEN embedding[((i // 12) * 4 + 3 - (i % 12) // 3) * 4 + i % 3 + 1]
-                       ELSE {_EMB_4x4x3} END AS DOUBLE), 6) AS value
-FROM embeddings, range(48) t(i)""")
+                       THEN embedding[((i // 24) * 8 + 7 - (i % 24) // 3 + 21 * (i % 3)) % 64 + 1]
+                       ELSE {_EMB_8x8x3} END AS DOUBLE), 6) AS value
+FROM embeddings, range(192) t(i)""")
 def q_tensor_hflip(spark, sf):
-    t = X.tensors_4x4x3(X.embeddings(spark, sf))
-    return explode_tensor(T.apply_step(t, T.random_hflip(0.5, X.SEED, 1, "key"), prefer="catalyst"))
+    t = X.tensors_8x8x3(X.embeddings(spark, sf))
+    return explode_tensor(T.apply_step(t, T.random_hflip(0.5, X.SEED, 1, "key")))
 
 
-def _block_mean_sql(src: str, width: int, channels: int) -> str:
-    """Bilinear 2x downscale of one output element ``i`` (weights 0.5 / 0.5)."""
-    ow = width // 2
-    pos = f"(i // {channels})"
-    y, x, c = f"({pos} // {ow})", f"({pos} % {ow})", f"(i % {channels})"
-    def at(dy, dx):
-        return src.format(j=f"(((2 * {y} + {dy}) * {width} + 2 * {x} + {dx}) * {channels} + {c})")
-    top = f"({at(0, 0)} * 0.5 + {at(0, 1)} * 0.5)"
-    bottom = f"({at(1, 0)} * 0.5 + {at(1, 1)} * 0.5)"
-    return f"({top} * 0.5 + {bottom} * 0.5)"
+def _dbl(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
 
 
-@register("tensor_resize", f"""
-SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
-       {_r6f(_block_mean_sql("CAST(embedding[{j} + 1] AS DOUBLE)", 8, 1))} AS value
-FROM embeddings, range(16) t(i)""")
+def _filter_sql(o: str, n_in: str, n_out: int, value, levels: bool) -> str:
+    """One pass of the resize: the triangle filter at output place ``o``, widened by the scale
+    when the axis shrinks; ``value(k)`` is the source value at ``k``."""
+    scale = f"({_dbl(n_in)} / {n_out})"
+    wide = f"greatest({scale}, {_dbl('1.0')})"
+    centre = f"(({_dbl(o)} + 0.5) * {scale})"
+    taps = (f"range(CAST(greatest(floor({centre} - {wide} + 0.5), 0) AS BIGINT), "
+            f"CAST(least(floor({centre} + {wide} + 0.5), {n_in}) AS BIGINT))")
+    weight = f"greatest({_dbl('1.0')} - abs((k - {centre} + 0.5) / {wide}), {_dbl('0.0')})"
+    total = f"list_sum(list_transform({taps}, lambda k: {weight}))"
+    out = f"list_sum(list_transform({taps}, lambda k: {value('k')} * ({weight} / {total})))"
+    return f"least(greatest(floor({out} + 0.5), {_dbl('0.0')}), {_dbl('255.0')})" if levels else out
+
+
+def _resize_sql(base: str, channels: int, out: int, pixel, levels: bool) -> str:
+    """CTEs from ``base`` (key, embedding, top, lft, ch, cw) to ``rz`` (key, Y, X, c, v):
+    along the rows of the box, then down its columns."""
+    across = _filter_sql("X", "cw", out, lambda k: pixel("top + yy", f"lft + {k}"), levels)
+    down = _filter_sql("Y", "ch", out, lambda k: f"col[{k} + 1]", levels)
+    return f"""
+rx AS (
+  SELECT key, ch, yy, X, c, {across} AS v
+  FROM (SELECT * FROM {base}, range(8) r(yy), range({out}) q(X), range({channels}) cc(c) WHERE yy < ch)),
+rc AS (SELECT key, X, c, ch, list(v ORDER BY yy) AS col FROM rx GROUP BY key, X, c, ch),
+rz AS (SELECT key, Y, X, c, {down} AS v FROM (SELECT * FROM rc, range({out}) q(Y)))"""
+
+
+def _pixel1(y: str, x: str) -> str:
+    """The 8 x 8 x 1 tensor."""
+    return f"CAST(embedding[({y}) * 8 + ({x}) + 1] AS DOUBLE)"
+
+
+def _pixel3(y: str, x: str) -> str:
+    """The 8-bit 8 x 8 x 3 tensor."""
+    return f"floor((CAST(embedding[(({y}) * 8 + ({x}) + 21 * c) % 64 + 1] AS DOUBLE) + 1) * 127.5)"
+
+
+_WHOLE = "SELECT vec_id AS key, embedding, 0 AS top, 0 AS lft, 8 AS ch, 8 AS cw FROM embeddings"
+_NORM = (f"(v / {_dbl('255.0')} - CASE c WHEN 0 THEN {_dbl('0.485')} WHEN 1 THEN {_dbl('0.456')} ELSE {_dbl('0.406')} END)"
+         f" / CASE c WHEN 0 THEN {_dbl('0.229')} WHEN 1 THEN {_dbl('0.224')} ELSE {_dbl('0.225')} END")
+
+
+def _tensor_rows(table: str, size: int, channels: int, value: str) -> str:
+    return f"""
+SELECT key, CAST((Y * {size} + X) * {channels} + c AS INTEGER) AS i, {_r6f(value)} AS value FROM {table}"""
+
+
+@register("tensor_resize", _with(f"base AS ({_WHOLE})", _resize_sql("base", 1, 4, _pixel1, False).strip())
+          + _tensor_rows("rz", 4, 1, "v"))
 def q_tensor_resize(spark, sf):
     t = X.tensors_8x8(X.embeddings(spark, sf))
     return explode_tensor(T.apply_step(t, T.resize(4, 4)))
@@ -685,141 +723,94 @@ def q_tensor_jitter(spark, sf):
     return explode_tensor(T.apply_step(t, T.color_jitter(0.2, 0.0, 0.0, X.SEED, 1, "key")))
 
 
-def _crop_sql() -> str:
-    """Random resized crop of the 8 x 8 x 1 tensor to 4 x 4 (scale 0.8..1, ratio 3/4..4/3)."""
+def _box_sql() -> str:
+    """CTEs to ``box`` (key, embedding, top, lft, ch, cw): the random crop of an 8 x 8 image
+    (scale 0.8..1, ratio 3/4..4/3)."""
     u = {t: _u_sql("crop_" + t) for t in ("area", "ratio", "top", "left")}
     return f"""
-WITH p0 AS (
-  SELECT vec_id, embedding,
+p0 AS (
+  SELECT vec_id AS key, embedding,
          64 * (CAST(0.8 AS DOUBLE) + {u["area"]} * (CAST(1.0 AS DOUBLE) - CAST(0.8 AS DOUBLE))) AS area,
          exp(ln(CAST(3 AS DOUBLE) / 4) + {u["ratio"]} * (ln(CAST(4 AS DOUBLE) / 3) - ln(CAST(3 AS DOUBLE) / 4))) AS ar,
          {u["top"]} AS ut, {u["left"]} AS ul
   FROM embeddings),
 p1 AS (
-  SELECT vec_id, embedding, ut, ul,
+  SELECT key, embedding, ut, ul,
          CAST(least(greatest(floor(sqrt(area * ar) + 0.5), 1), 8) AS BIGINT) AS cw,
          CAST(least(greatest(floor(sqrt(area / ar) + 0.5), 1), 8) AS BIGINT) AS ch
   FROM p0),
-p2 AS (
-  SELECT vec_id, embedding, cw, ch,
+box AS (
+  SELECT key, embedding, cw, ch,
          CAST(floor(ut * (8 - ch + 1)) AS BIGINT) AS top, CAST(floor(ul * (8 - cw + 1)) AS BIGINT) AS lft
-  FROM p1),
-g AS (
-  SELECT vec_id, embedding, top, lft, i,
-         greatest((CAST(i // 4 AS DOUBLE) + 0.5) * (CAST(ch AS DOUBLE) / 4) - 0.5, CAST(0.0 AS DOUBLE)) AS sy,
-         greatest((CAST(i % 4 AS DOUBLE) + 0.5) * (CAST(cw AS DOUBLE) / 4) - 0.5, CAST(0.0 AS DOUBLE)) AS sx,
-         ch, cw
-  FROM p2, range(16) t(i)),
-g2 AS (
-  SELECT *, CAST(least(floor(sy), ch - 1) AS BIGINT) AS y0, CAST(least(floor(sx), cw - 1) AS BIGINT) AS x0 FROM g),
-g3 AS (
-  SELECT *, least(y0 + 1, ch - 1) AS y1, least(x0 + 1, cw - 1) AS x1, sy - y0 AS ly, sx - x0 AS lx FROM g2)
-SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
-       round(CAST(CAST(
-         (CAST(embedding[(top + y0) * 8 + lft + x0 + 1] AS DOUBLE) * (1.0 - lx)
-          + CAST(embedding[(top + y0) * 8 + lft + x1 + 1] AS DOUBLE) * lx) * (1.0 - ly)
-         + (CAST(embedding[(top + y1) * 8 + lft + x0 + 1] AS DOUBLE) * (1.0 - lx)
-          + CAST(embedding[(top + y1) * 8 + lft + x1 + 1] AS DOUBLE) * lx) * ly
-       AS FLOAT) AS DOUBLE), 6) AS value
-FROM g3"""
+  FROM p1)"""
 
 
-@register("tensor_crop", _crop_sql())
+@register("tensor_crop", _with(_box_sql().strip(), _resize_sql("box", 1, 4, _pixel1, False).strip())
+          + _tensor_rows("rz", 4, 1, "v"))
 def q_tensor_crop(spark, sf):
     t = X.tensors_8x8(X.embeddings(spark, sf))
     return explode_tensor(T.apply_step(t, T.random_resized_crop(4, seed=X.SEED, epoch=1, key="key")))
 
 
-_EMB8_4x4x3 = "CAST(CAST(floor((CAST(embedding[({j} // 3) * 4 + {j} % 3 + 1] AS DOUBLE) + 1) * 127.5) AS FLOAT) AS DOUBLE)"
+@register("pipeline_eval", _with(f"base AS ({_WHOLE})", _resize_sql("base", 3, 4, _pixel3, True).strip())
+          + _tensor_rows("rz", 4, 3, _NORM))
+def q_pipeline_eval(spark, sf):
+    t = X.tensors_8x8x3(X.embeddings(spark, sf), eight_bit=True)
+    return explode_tensor(T.pipeline(t, T.eval_preset(4)))
 
 
-@register("pipeline_eval", f"""
-SELECT vec_id AS key, CAST(i AS INTEGER) AS i,
-       {_r6f(f"({_block_mean_sql(_EMB8_4x4x3, 4, 3)} / CAST(255.0 AS DOUBLE) - {_MEAN_C}) / {_STD_C}")} AS value
-FROM embeddings, range(12) t(i)""")
-def q_pipeline_eval(spark, sf):
-    t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
-    return explode_tensor(T.pipeline(t, T.eval_preset(2)))
+def _turn_sql(src: str, size: int, angle: float, tags: str) -> str:
+    """CTEs from ``src`` (key, Y, X, c, v) to ``rot``: flip, then rotate within +-``angle`` degrees."""
+    mid = (size - 1) / 2
+    return f"""
+draws AS (
+  SELECT vec_id AS key, {_u_sql("flip")} AS uf,
+         ({_dbl(-angle)} + {_u_sql("rotate")} * {_dbl(2 * angle)}) * (pi() / 180.0) AS t{tags} FROM embeddings),
+fl AS (
+  SELECT a.key, a.Y, a.X, a.c, CASE WHEN d.uf < {_dbl('0.5')} THEN m.v ELSE a.v END AS v
+  FROM {src} a JOIN draws d ON d.key = a.key
+  JOIN {src} m ON m.key = a.key AND m.Y = a.Y AND m.X = {size - 1} - a.X AND m.c = a.c),
+rsrc AS (
+  SELECT fl.key, Y, X, c,
+         CAST(floor((({mid} + ({_dbl('X')} - {mid}) * cos(t)) - ({_dbl('Y')} - {mid}) * sin(t)) + 0.5) AS BIGINT) AS rx,
+         CAST(floor((({mid} + ({_dbl('X')} - {mid}) * sin(t)) + ({_dbl('Y')} - {mid}) * cos(t)) + 0.5) AS BIGINT) AS ry
+  FROM fl JOIN draws d ON d.key = fl.key),
+rot AS (
+  SELECT s.key, s.Y, s.X, s.c,
+         CASE WHEN s.rx BETWEEN 0 AND {size - 1} AND s.ry BETWEEN 0 AND {size - 1} THEN fl.v ELSE {_dbl('0.0')} END AS v
+  FROM rsrc s LEFT JOIN fl ON fl.key = s.key AND fl.Y = s.ry AND fl.X = s.rx AND fl.c = s.c)"""
 
 
 def _train_pipeline_sql() -> str:
-    """The training preset (size 4) on the 8-bit 4 x 4 x 3 tensor, step by step:
+    """The training preset (size 4) on the 8-bit 8 x 8 x 3 tensor, step by step:
     random resized crop, flip, rotation (+-15), brightness / contrast / saturation,
-    unit scale, normalise."""
-    u = {t: _u_sql(t) for t in ("crop_area", "crop_ratio", "crop_top", "crop_left", "flip", "rotate",
-                                "brightness", "contrast", "saturation")}
-    d = "CAST({} AS DOUBLE)".format
-
-    def px(y, x):  # 8-bit input value at (y, x, c), c from the row
-        return f"CAST(floor((CAST(embedding[(({y}) * 4 + ({x})) * 4 + c + 1] AS DOUBLE) + 1) * 127.5) AS DOUBLE)"
-
-    def gray(tbl):
-        return (f"(max(CASE WHEN c = 0 THEN v END) * {d('0.299')} + max(CASE WHEN c = 1 THEN v END) * {d('0.587')})"
-                f" + max(CASE WHEN c = 2 THEN v END) * {d('0.114')}")
-
-    factor = f"({d('0.8')} + {{}} * ({d('1.2')} - {d('0.8')}))"
-    return f"""
-WITH base AS (
-  SELECT vec_id AS key, embedding,
-         16 * ({d('0.8')} + {u["crop_area"]} * ({d('1.0')} - {d('0.8')})) AS area,
-         exp(ln({d('3')} / 4) + {u["crop_ratio"]} * (ln({d('4')} / 3) - ln({d('3')} / 4))) AS ar,
-         {u["crop_top"]} AS ut, {u["crop_left"]} AS ul, {u["flip"]} AS uf,
-         ({d('-15.0')} + {u["rotate"]} * {d('30.0')}) * (pi() / 180.0) AS t,
-         {factor.format(u["brightness"])} AS fb, {factor.format(u["contrast"])} AS fc,
-         {factor.format(u["saturation"])} AS fs
-  FROM embeddings),
-box AS (
-  SELECT *, CAST(least(greatest(floor(sqrt(area * ar) + 0.5), 1), 4) AS BIGINT) AS cw,
-            CAST(least(greatest(floor(sqrt(area / ar) + 0.5), 1), 4) AS BIGINT) AS ch FROM base),
-box2 AS (
-  SELECT *, CAST(floor(ut * (4 - ch + 1)) AS BIGINT) AS top, CAST(floor(ul * (4 - cw + 1)) AS BIGINT) AS lft FROM box),
-grid AS (
-  SELECT box2.*, yy.Y, xx.X, cc.c,
-         greatest((CAST(yy.Y AS DOUBLE) + 0.5) * (CAST(ch AS DOUBLE) / 4) - 0.5, {d('0.0')}) AS sy,
-         greatest((CAST(xx.X AS DOUBLE) + 0.5) * (CAST(cw AS DOUBLE) / 4) - 0.5, {d('0.0')}) AS sx
-  FROM box2, range(4) yy(Y), range(4) xx(X), range(3) cc(c)),
-grid2 AS (
-  SELECT *, CAST(least(floor(sy), ch - 1) AS BIGINT) AS y0, CAST(least(floor(sx), cw - 1) AS BIGINT) AS x0 FROM grid),
-grid3 AS (
-  SELECT *, least(y0 + 1, ch - 1) AS y1, least(x0 + 1, cw - 1) AS x1, sy - y0 AS ly, sx - x0 AS lx FROM grid2),
-a AS (
-  SELECT key, Y, X, c, uf, t, fb, fc, fs,
-         ({px("top + y0", "lft + x0")} * (1.0 - lx) + {px("top + y0", "lft + x1")} * lx) * (1.0 - ly)
-         + ({px("top + y1", "lft + x0")} * (1.0 - lx) + {px("top + y1", "lft + x1")} * lx) * ly AS v
-  FROM grid3),
-b AS (
-  SELECT a.key, a.Y, a.X, a.c, a.t, a.fb, a.fc, a.fs,
-         CASE WHEN a.uf < {d('0.5')} THEN m.v ELSE a.v END AS v
-  FROM a JOIN a m ON m.key = a.key AND m.Y = a.Y AND m.X = 3 - a.X AND m.c = a.c),
-rsrc AS (
-  SELECT key, Y, X, c, fb, fc, fs,
-         CAST(floor(((1.5 + (CAST(X AS DOUBLE) - 1.5) * cos(t)) - (CAST(Y AS DOUBLE) - 1.5) * sin(t)) + 0.5) AS BIGINT) AS rx,
-         CAST(floor(((1.5 + (CAST(X AS DOUBLE) - 1.5) * sin(t)) + (CAST(Y AS DOUBLE) - 1.5) * cos(t)) + 0.5) AS BIGINT) AS ry
-  FROM b),
-r AS (
-  SELECT s.key, s.Y, s.X, s.c, s.fb, s.fc, s.fs,
-         CASE WHEN s.rx BETWEEN 0 AND 3 AND s.ry BETWEEN 0 AND 3 THEN b.v ELSE {d('0.0')} END AS v
-  FROM rsrc s LEFT JOIN b ON b.key = s.key AND b.Y = s.ry AND b.X = s.rx AND b.c = s.c),
-j1 AS (SELECT key, Y, X, c, fc, fs, least(greatest(v * fb, {d('0.0')}), {d('255.0')}) AS v FROM r),
-g1 AS (SELECT key, Y, X, {gray("j1")} AS g FROM j1 GROUP BY key, Y, X),
-m1 AS (SELECT key, floor(avg(g) + 0.5) AS gm FROM g1 GROUP BY key),
-j2 AS (
-  SELECT j1.key, Y, X, c, fs, least(greatest(fc * v + (1.0 - fc) * gm, {d('0.0')}), {d('255.0')}) AS v
-  FROM j1 JOIN m1 ON m1.key = j1.key),
-g2 AS (SELECT key, Y, X, {gray("j2")} AS g FROM j2 GROUP BY key, Y, X),
-j3 AS (
-  SELECT j2.key, j2.Y, j2.X, c, least(greatest(fs * v + (1.0 - fs) * g, {d('0.0')}), {d('255.0')}) AS v
-  FROM j2 JOIN g2 ON g2.key = j2.key AND g2.Y = j2.Y AND g2.X = j2.X)
-SELECT key, CAST((Y * 4 + X) * 3 + c AS INTEGER) AS i,
-       round(CAST(CAST((v / {d('255.0')} - CASE c WHEN 0 THEN {d('0.485')} WHEN 1 THEN {d('0.456')} ELSE {d('0.406')} END)
-                       / CASE c WHEN 0 THEN {d('0.229')} WHEN 1 THEN {d('0.224')} ELSE {d('0.225')} END
-                  AS FLOAT) AS DOUBLE), 6) AS value
-FROM j3"""
+    unit scale, normalise; whole levels after each image step."""
+    def factor(tag):
+        return f"({_dbl('0.8')} + {_u_sql(tag)} * ({_dbl('1.2')} - {_dbl('0.8')}))"
+
+    def level(x):
+        return f"floor(least(greatest({x}, {_dbl('0.0')}), {_dbl('255.0')}))"
+
+    def gray(src):
+        ch = [f"max(CASE WHEN c = {k} THEN v END)" for k in range(3)]
+        return (f"SELECT key, Y, X, floor(({ch[0]} * 19595.0 + {ch[1]} * 38470.0 + {ch[2]} * 7471.0 + 32768.0) / 65536.0) AS g "
+                f"FROM {src} GROUP BY key, Y, X")
+
+    tags = "".join(f", {factor(t)} AS {n}" for t, n in (("brightness", "fb"), ("contrast", "fc"), ("saturation", "fs")))
+    return _with(_box_sql().strip(), _resize_sql("box", 3, 4, _pixel3, True).strip(), _turn_sql("rz", 4, 15.0, tags).strip(),
+                 f"j1 AS (SELECT r.key, Y, X, c, {level('v * fb')} AS v FROM rot r JOIN draws d ON d.key = r.key)",
+                 f"g1 AS ({gray('j1')})", "m1 AS (SELECT key, floor(avg(g) + 0.5) AS gm FROM g1 GROUP BY key)",
+                 f"j2 AS (SELECT j1.key, Y, X, c, {level('fc * v + (1.0 - fc) * gm')} AS v "
+                 "FROM j1 JOIN m1 ON m1.key = j1.key JOIN draws d ON d.key = j1.key)",
+                 f"g2 AS ({gray('j2')})",
+                 f"j3 AS (SELECT j2.key, j2.Y, j2.X, c, {level('fs * v + (1.0 - fs) * g')} AS v FROM j2 "
+                 "JOIN g2 ON g2.key = j2.key AND g2.Y = j2.Y AND g2.X = j2.X JOIN draws d ON d.key = j2.key)") \
+        + _tensor_rows("j3", 4, 3, _NORM)
 
 
 @register("pipeline_train", _train_pipeline_sql())
 def q_pipeline_train(spark, sf):
-    t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
+    t = X.tensors_8x8x3(X.embeddings(spark, sf), eight_bit=True)
     return explode_tensor(T.pipeline(t, T.train_preset(4, seed=X.SEED, epoch=1, key="key")))
 
 
@@ -883,46 +874,16 @@ def q_image_scan(spark, sf):
 
 
 def _small_train_pipeline_sql() -> str:
-    """The small-run preset (size 2) on the 8-bit 4 x 4 x 3 tensor: resize, flip,
+    """The small-run preset (size 2) on the 8-bit 8 x 8 x 3 tensor: resize, flip,
     rotation (+-10), unit scale, normalise."""
-    d = "CAST({} AS DOUBLE)".format
-
-    def px(y, x):
-        return f"CAST(floor((CAST(embedding[(({y}) * 4 + ({x})) * 4 + c + 1] AS DOUBLE) + 1) * 127.5) AS DOUBLE)"
-
-    return f"""
-WITH base AS (
-  SELECT vec_id AS key, embedding, {_u_sql("flip")} AS uf,
-         ({d('-10.0')} + {_u_sql("rotate")} * {d('20.0')}) * (pi() / 180.0) AS t
-  FROM embeddings),
-a AS (
-  SELECT key, uf, t, yy.Y, xx.X, cc.c,
-         ({px("2 * yy.Y", "2 * xx.X")} * 0.5 + {px("2 * yy.Y", "2 * xx.X + 1")} * 0.5) * 0.5
-         + ({px("2 * yy.Y + 1", "2 * xx.X")} * 0.5 + {px("2 * yy.Y + 1", "2 * xx.X + 1")} * 0.5) * 0.5 AS v
-  FROM base, range(2) yy(Y), range(2) xx(X), range(3) cc(c)),
-b AS (
-  SELECT a.key, a.t, a.Y, a.X, a.c, CASE WHEN a.uf < {d('0.5')} THEN m.v ELSE a.v END AS v
-  FROM a JOIN a m ON m.key = a.key AND m.Y = a.Y AND m.X = 1 - a.X AND m.c = a.c),
-rsrc AS (
-  SELECT key, Y, X, c,
-         CAST(floor(((0.5 + (CAST(X AS DOUBLE) - 0.5) * cos(t)) - (CAST(Y AS DOUBLE) - 0.5) * sin(t)) + 0.5) AS BIGINT) AS rx,
-         CAST(floor(((0.5 + (CAST(X AS DOUBLE) - 0.5) * sin(t)) + (CAST(Y AS DOUBLE) - 0.5) * cos(t)) + 0.5) AS BIGINT) AS ry
-  FROM b),
-r AS (
-  SELECT s.key, s.Y, s.X, s.c,
-         CASE WHEN s.rx BETWEEN 0 AND 1 AND s.ry BETWEEN 0 AND 1 THEN b.v ELSE {d('0.0')} END AS v
-  FROM rsrc s LEFT JOIN b ON b.key = s.key AND b.Y = s.ry AND b.X = s.rx AND b.c = s.c)
-SELECT key, CAST((Y * 2 + X) * 3 + c AS INTEGER) AS i,
-       round(CAST(CAST((v / {d('255.0')} - CASE c WHEN 0 THEN {d('0.485')} WHEN 1 THEN {d('0.456')} ELSE {d('0.406')} END)
-                       / CASE c WHEN 0 THEN {d('0.229')} WHEN 1 THEN {d('0.224')} ELSE {d('0.225')} END
-                  AS FLOAT) AS DOUBLE), 6) AS value
-FROM r"""
+    return _with(f"base AS ({_WHOLE})", _resize_sql("base", 3, 2, _pixel3, True).strip(),
+                 _turn_sql("rz", 2, 10.0, "").strip()) + _tensor_rows("rot", 2, 3, _NORM)
 
 
 @register("pipeline_small_train", _small_train_pipeline_sql())
 def q_pipeline_small_train(spark, sf):
     """I9, the small three-class run's preset: resize, flip, rotate (10), unit, normalise."""
-    t = X.tensors_4x4x3(X.embeddings(spark, sf), eight_bit=True)
+    t = X.tensors_8x8x3(X.embeddings(spark, sf), eight_bit=True)
     return explode_tensor(T.pipeline(t, T.small_train_preset(2, seed=X.SEED, epoch=1, key="key")))
 
 

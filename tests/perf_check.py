@@ -69,7 +69,7 @@ def elementwise(spark):
     from samplecraft.operators import tensors as T
     from samplecraft.plans import fixtures as X
     emb = _replicate(X.embeddings(spark, SF), "vec_id", 5)
-    big = T.apply_numpy_steps(X.tensors_4x4x3(emb, eight_bit=True), [T.resize(96, 96)]).cache()
+    big = T.apply_numpy_steps(X.tensors_8x8x3(emb, eight_bit=True), [T.resize(96, 96)]).cache()
     big.count()
     for _ in range(2):
         _timed("unit + normalise, 10k x 96x96x3, Catalyst lambdas",
@@ -82,7 +82,7 @@ def tensors(spark):
     from samplecraft.operators import tensors as T
     from samplecraft.plans import fixtures as X
     for k in (10, 100):
-        t = X.tensors_4x4x3(_replicate(X.embeddings(spark, SF), "vec_id", k), eight_bit=True)
+        t = X.tensors_8x8x3(_replicate(X.embeddings(spark, SF), "vec_id", k), eight_bit=True)
         n = t.count()
         steps = [T.resize(64, 64)] + T.train_preset(56, seed=1, epoch=1, key="key")
         t0 = time.perf_counter()

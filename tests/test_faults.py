@@ -41,7 +41,7 @@ def keep(df):
 emb = X.embeddings(spark, SF)
 ev = X.events(spark, SF)
 checks = {}
-t = X.tensors_4x4x3(emb, eight_bit=True)
+t = X.tensors_8x8x3(emb, eight_bit=True)
 run = lambda d: sorted((r.key, tuple(r.tensor.data)) for r in T.pipeline(d, T.train_preset(4, 7, 1, "key")).collect())
 checks["pipeline"] = run(keep(t)) == run(lose(t))
 s = X.samples(ev).select("id", "label")

@@ -43,9 +43,12 @@ def test_flip_twice_is_identity_and_matches_numpy(spark):
 def test_resize_identity_and_block_means():
     img = np.arange(16, dtype=np.float64).reshape(4, 4, 1)
     assert np.array_equal(T.resize_image(img, 4, 4), img)
-    small = T.resize_image(img, 2, 2)[..., 0]
-    assert np.allclose(small, [[2.5, 4.5], [10.5, 12.5]])
-    up = T.resize_image(np.array([[0.0, 1.0]]).reshape(1, 2, 1), 1, 4)[0, :, 0]
+    line = np.zeros((1, 8, 1))
+    line[0, 3] = 8.0  # inner weights of a halving: 1/8, 3/8, 3/8, 1/8
+    assert np.allclose(T.resize_image(line, 1, 4)[0, :, 0], [0.0, 3.0, 1.0, 0.0])
+    assert np.allclose(T.resize_image(np.full((7, 5, 2), 3.0), 3, 2), 3.0)
+    assert np.array_equal(T.resize_image(np.array([[0.0, 3.0]]).reshape(1, 2, 1), 1, 1, levels=True)[0, 0], [2.0])
+    up = T.resize_image(np.array([[0.0, 1.0]]).reshape(1, 2, 1), 1, 4)[0, :, 0]  # enlarging: plain bilinear
     assert np.allclose(up, [0.0, 0.25, 0.75, 1.0])
 
 
@@ -123,26 +126,28 @@ def test_numpy_and_catalyst_elementwise_steps_agree(spark):
     assert all(np.allclose(back[k], src[k] / 255.0, atol=1e-6) for k in back)
 
 
+def _filtered(line, n_out):
+    """One axis by the definition: a triangle of half width max(scale, 1) around each centre."""
+    scale = len(line) / n_out
+    wide = max(scale, 1.0)
+    out = []
+    for o in range(n_out):
+        c = (o + 0.5) * scale
+        w = [max(0.0, 1 - abs(k + 0.5 - c) / wide) for k in range(len(line))]
+        out.append(sum(a * b for a, b in zip(w, line)) / sum(w))
+    return out
+
+
 def test_kernels_against_straightforward_formulas():
-    """The in-place kernels keep the plain formulas' operation order: equal bit for bit."""
     import math
     rng = np.random.default_rng(11)
-    for _ in range(60):
+    for _ in range(40):
         h, w = int(rng.integers(1, 20)), int(rng.integers(1, 20))
         img = rng.integers(0, 256, (h, w, 3)).astype(np.float64)
         oh, ow = int(rng.integers(1, 25)), int(rng.integers(1, 25))
-
-        def axis(n_in, n_out):
-            src = np.maximum((np.arange(n_out) + 0.5) * (n_in / n_out) - 0.5, 0.0)
-            i0 = np.minimum(np.floor(src).astype(np.int64), n_in - 1)
-            return i0, np.minimum(i0 + 1, n_in - 1), src - i0
-        if (h, w) != (oh, ow):
-            y0, y1, ly = axis(h, oh)
-            x0, x1, lx = axis(w, ow)
-            lx, ly = lx[None, :, None], ly[:, None, None]
-            top = img[y0][:, x0] * (1.0 - lx) + img[y0][:, x1] * lx
-            bottom = img[y1][:, x0] * (1.0 - lx) + img[y1][:, x1] * lx
-            assert np.array_equal(T.resize_image(img, oh, ow), top * (1.0 - ly) + bottom * ly)
+        across = np.array([[_filtered(img[y, :, c], ow) for c in range(3)] for y in range(h)]).transpose(0, 2, 1)
+        both = np.array([[_filtered(across[:, x, c], oh) for c in range(3)] for x in range(ow)]).transpose(2, 0, 1)
+        assert np.allclose(T.resize_image(img, oh, ow), both)
         deg = float(rng.uniform(-90, 90))
         t = math.radians(deg)
         cy, cx = (h - 1) / 2.0, (w - 1) / 2.0
@@ -153,3 +158,44 @@ def test_kernels_against_straightforward_formulas():
         ref = np.zeros_like(img)
         ref[inside] = img[sy[inside], sx[inside]]
         assert np.array_equal(T.rotate_image(img, deg), ref)
+
+
+def test_stacks_equal_single_images():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 256, (5, 9, 7, 3)).astype(np.float64)
+    deg, f = rng.uniform(-30, 30, 5), rng.uniform(0.8, 1.2, (3, 5))
+    for levels in (False, True):
+        a, j = T.resize_image(x, 4, 12, levels), T.jitter_image(x, *f, 255.0, levels)
+        for n in range(5):
+            assert np.array_equal(a[n], T.resize_image(x[n], 4, 12, levels))
+            assert np.allclose(j[n], T.jitter_image(x[n], *f[:, n], 255.0, levels))
+    assert all(np.array_equal(T.rotate_image(x, deg)[n], T.rotate_image(x[n], deg[n])) for n in range(5))
+
+
+def test_mixed_shapes_user_columns_and_output_bytes(spark):
+    a = tensors(spark, n=30, h=4, w=5)
+    b = tensors(spark, n=30, h=3, w=3, c=1).withColumn("key", F.col("key") + 100)
+    df = a.union(b).withColumn("__p0__x", F.col("key") * 2).withColumn("_p0_flip", F.lit("mine")).repartition(2, "key")
+    df = df.withColumn("tensor", F.when(F.col("key") == 7, None).otherwise(F.col("tensor")))
+    src = as_np(df.filter("tensor is not null"))
+    steps = [T.random_hflip(1.0, key="key"), T.numpy_step(lambda i: i[: 1 + int(i[0, 0, 0]) % 2]), T.resize(6, 6)]
+    out = T.apply_numpy_steps(df, steps, stack_bytes=2000, output_bytes=5000)
+    assert out.columns == df.columns
+    rows = {r.key: r for r in out.collect()}
+    assert len(rows) == 60 and rows[7].tensor is None and all(r["__p0__x"] == 2 * k and r["_p0_flip"] == "mine" for k, r in rows.items())
+    for k, img in src.items():
+        want = img[:, ::-1]
+        want = T.resize_image(want[: 1 + int(want[0, 0, 0]) % 2], 6, 6)
+        assert np.allclose(np.array(rows[k].tensor.data).reshape(6, 6, -1), want, atol=1e-3)
+
+
+def test_output_batches_are_cut_by_bytes():
+    import pyarrow as pa
+    n = 400
+    data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 16), pa.array(np.ones(16 * n, np.float32)))
+    one = pa.array(np.full(n, 4, np.int32))
+    t = pa.StructArray.from_arrays([one, one, pa.array(np.ones(n, np.int32)), data], names=["height", "width", "channels", "data"])
+    rb = pa.RecordBatch.from_arrays([t], names=["tensor"])
+    run = T._tensor_kernel([T.resize(256, 256)], "tensor", [{}], "tensor", T.STACK_BYTES, T.OUTPUT_BYTES)
+    sizes = [(b.num_rows, len(b.column(0).field("data").flatten()) * 4) for b in run([rb])]
+    assert sum(k for k, _ in sizes) == n and max(s for _, s in sizes) <= T.OUTPUT_BYTES and len(sizes) > 1
