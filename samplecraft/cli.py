@@ -73,7 +73,13 @@ def cmd_train(spark, args) -> None:
     else:
         opts = HD.HeadOptions(lr=args.lr, epochs=args.epochs, patience=args.patience,
                               steps_per_epoch=args.steps, seed=args.seed, run_id=args.run_id)
+    opts.batch_size = args.batch_size
+    SRC.write_dictionary(tables.dictionary, args.run_id, args.heads)
     res = WF.train(train, val, n_classes, args.history, args.heads, opts)  # fit_head caches its own copy
+    if res.skipped_train or res.skipped_val:
+        print(f"rows without a usable vector: {res.skipped_train} train, {res.skipped_val} test")
+    if args.log:
+        RL.write_run_log(res.run, res.history.drop("lr", "improved"), args.log)
     for name, row in H.history_arrays(res.history.drop("lr", "improved")).first().asDict().items():
         if name != "run_id":
             print(f"{name} = {row}")
@@ -81,9 +87,13 @@ def cmd_train(spark, args) -> None:
 
 
 def cmd_analyze(spark, args) -> None:
-    tables = WF.training_tables(spark, args.table)
+    # the names and numbers of the classes are those the head was trained with
+    tables = WF.training_tables(spark, args.table, dictionary=SRC.read_dictionary(spark, args.heads, args.run_id))
     _, val = _encoded_features(spark, args, tables)
     w, b = HD.head_arrays(SRC.read_head(spark, args.heads, args.run_id, args.kind), args.run_id, args.kind)
+    n_classes = tables.dictionary.count()
+    if n_classes != len(b):
+        raise ValueError(f"run {args.run_id}: the head has {len(b)} classes, its dictionary {n_classes}")
     scored = E.score(val, features_col="features", weights=w.tolist(), bias=b.tolist()).cache()
     out = WF.analyze(scored, tables.dictionary, args.top_classes, args.top_errors, args.examples, args.seed)
     _show(out["metrics"])
@@ -131,6 +141,8 @@ def parser() -> argparse.ArgumentParser:
             a.add_argument("--lr", type=float, default=1e-3)
             a.add_argument("--patience", type=int, default=5)
             a.add_argument("--steps", type=int, default=1, help="optimisation steps per epoch")
+            a.add_argument("--batch-size", type=int, help="rows per optimisation step, on average (sets --steps)")
+            a.add_argument("--log", help="also write the run as a run-log text folder")
             a.add_argument("--small", action="store_true", help="no weight decay, schedule or early stop")
         else:
             a.add_argument("--kind", default="best", choices=("best", "final"))

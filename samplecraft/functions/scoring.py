@@ -25,11 +25,18 @@ def dot(a, b) -> Column:
     return _array_sum(F.zip_with(as_col(a), as_col(b), lambda x, y: x.cast("double") * y.cast("double")))
 
 
+def usable_vector(features, dim: int) -> Column:
+    """Is the vector there, of length ``dim`` and without NULL elements?"""
+    x = as_col(features)
+    return F.coalesce(x.isNotNull() & (F.size(x) == dim) & ~F.exists(x, lambda v: v.isNull()), F.lit(False))
+
+
 def linear_logits(features, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
     """``W x + b`` for a head given as driver-side lists (C rows of D weights).
 
     The head is a model parameter (C x D doubles), embedded in the plan as a
-    literal; its size is checked.
+    literal; its size is checked.  NULL for a vector of another length or with
+    NULL elements.
     """
     n_classes = len(weights)
     if n_classes == 0 or len(bias) != n_classes:
@@ -39,7 +46,7 @@ def linear_logits(features, weights: Sequence[Sequence[float]], bias: Sequence[f
     w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights])
     b = F.array(*[F.lit(float(v)) for v in bias])
     x = as_col(features)
-    return F.when(x.isNotNull(), F.transform(w, lambda row, c: dot(row, x) + F.element_at(b, c + 1)))
+    return F.when(usable_vector(x, len(weights[0])), F.transform(w, lambda row, c: dot(row, x) + F.element_at(b, c + 1)))
 
 
 def argmax(logits) -> Column:

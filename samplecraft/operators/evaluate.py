@@ -27,7 +27,8 @@ def score(df: DataFrame, label_col: str = "label_idx", logits_col: str = "logits
     """D3: logits (from a linear head when given), predicted class, loss and correct flag.
 
     One narrow stage, no shuffle.  ``loss`` and ``correct`` are NULL when the
-    label is NULL (unknown class).  With a head, rows are scored by one
+    label is NULL (unknown class).  A vector that is NULL, of another length
+    than the head's or has NULL elements gets NULL scores.  With a head, rows are scored by one
     ``mapInArrow`` that multiplies each Arrow batch by the head in NumPy (the
     head travels once per executor as a broadcast variable): Catalyst array
     lambdas are interpreted, C x D steps per row, and were 12x slower even
@@ -37,7 +38,9 @@ def score(df: DataFrame, label_col: str = "label_idx", logits_col: str = "logits
     if weights is not None:
         if features_col is None:
             raise ValueError("features_col is required with a head")
-        if method in ("arrow", "auto"):
+        if method not in ("arrow", "auto", "catalyst"):
+            raise ValueError("method must be 'auto', 'arrow' or 'catalyst'")
+        if method != "catalyst":
             return _score_arrow(df, label_col, logits_col, features_col, weights, bias)
         df = df.withColumn(logits_col, linear_logits(features_col, weights, bias))
     z = F.col(logits_col)
@@ -72,11 +75,14 @@ def _score_arrow(df: DataFrame, label_col: str, logits_col: str, features_col: s
         for rb in batches:
             n = rb.num_rows
             feats = rb.column(rb.schema.get_field_index(features_col))
-            ok = np.asarray(feats.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+            size = feats.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            ok = size == dim
             x = np.zeros((n, dim))
             if ok.any():
-                x[ok] = feats.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False) \
-                    .astype(np.float64).reshape(int(ok.sum()), dim)
+                flat = feats.filter(pa.array(ok)).flatten()
+                whole = np.asarray(flat.is_valid().to_numpy(zero_copy_only=False)).reshape(-1, dim).all(axis=1)
+                x[ok] = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                ok[ok] = whole
             z = x @ wv.T + bv
             m = z.max(axis=1)
             lse = np.log(np.exp(z - m[:, None]).sum(axis=1)) + m

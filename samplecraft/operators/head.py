@@ -2,38 +2,44 @@
 
 Each optimisation step is one Spark job over the cached features: a
 ``mapInArrow`` stage computes, per partition, the summed gradient of the
-softmax cross-entropy, the loss sum, the correct count and the row count,
-packed into blocks of ``BLOCK`` doubles; a ``repartition`` by block and a
-second Arrow pass add the blocks up (a two-level reduce spread over tasks),
-so only C x (D + 1) + 6 numbers reach the driver.  The cached features are
-coalesced to the cluster's parallelism, which bounds the number of partial
-vectors per step.  The driver applies Adam (Kingma & Ba, 2014) with L2 added to the
-gradient, and the epoch rules of ``operators.history`` (plateau learning
-rate, early stop, best checkpoint) run live on the per-epoch metrics.
-
-Mini-batches: ``steps_per_epoch = k`` assigns each row to batch
+softmax cross-entropy, the loss sum, the correct count and the row count; a
+``groupBy`` over the value's number adds the partitions up, in partition
+order, so a rerun gives the same bits.  Only C x (D + 1) + 6 sums reach the
+driver, which holds the parameters, applies Adam (Kingma & Ba, 2014) with L2
+added to the gradient, and runs the epoch rules of ``operators.history``
+(plateau learning rate, early stop, best checkpoint) live on the per-epoch
+metrics.
+
+Rows without a usable label (0..C-1) or a vector of the head's length, without
+NULL elements, take no part; they are counted in the result.
+
+Mini-batches: ``steps_per_epoch = k`` (or ``batch_size``, which sets k to the
+number of such batches) assigns each row to batch
 ``pmod(xxhash64(seed, epoch, key), k)``, a fresh seeded split every epoch
-that costs no shuffle.  Each epoch caches the features sorted by (batch, key)
-inside their partitions, so the in-memory column statistics let a step read
-about 1/k of them.  ``k = 1`` is full-batch (train metrics measured with the
-weights before the update).
+that costs no shuffle; batches have that size on average.  Each epoch caches
+the features sorted by (batch, key) inside their partitions, so the in-memory
+column statistics let a step read about 1/k of them.  ``k = 1`` is full-batch
+(train metrics measured with the weights before the update).
 """
 
 from __future__ import annotations
 
 import math
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scoring import usable_vector
 from ..schemas import HEAD, HISTORY, RUNS
 from ..session import ship_package
+from ..sources.metadata import write_head, write_history
 
 MAX_HEAD_PARAMS = 16_000_000  # C x (D + 1) doubles kept on the driver and broadcast (128 MB)
 
@@ -48,11 +54,11 @@ class HeadOptions:
     plateau_patience: int = 3
     plateau_threshold: float = 1e-4
     steps_per_epoch: int = 1
+    batch_size: int | None = None     # rows per step on average; sets the steps of an epoch
     seed: int = 42
     betas: tuple[float, float] = (0.9, 0.999)
     adam_eps: float = 1e-8
     run_id: str = "run"
-    partitions: int | None = None     # cap on feature partitions (default: cluster parallelism)
     deterministic: bool = True        # sort rows inside partitions: bit-identical reruns and retries
 
 
@@ -63,96 +69,74 @@ class FitResult:
     weights: np.ndarray  # final (C, D)
     bias: np.ndarray     # final (C,)
     run: DataFrame       # one ``runs`` row: model, classes, epochs asked, seconds
+    skipped_train: int   # rows left out for their label or vector
+    skipped_val: int
 
 
-BLOCK = 4096  # doubles per reduction row
 BROADCAST_HEAD_MIN = 65_536  # weights above this are shipped as a broadcast variable
 
 
-def _sums_kernel(weights, bias, features_col: str, label_col: str, with_grad: bool):
-    """Per-partition sums, packed as ``(blk, vals ARRAY<DOUBLE>)`` rows of ``BLOCK`` values.
+def _sums_kernel(weights, bias):
+    """Per-partition sums of the columns ``x`` (vector), ``y`` (label) and ``val``: one (src, vals) row.
 
     Flat layout: gradient of the summed training loss (C x D weights, then C
     biases), then loss sum, correct count and rows of training rows, then the
-    same three for validation rows (``__val`` true), which add no gradient.
-    ``weights`` is a (C, D) array or a broadcast variable holding ``(W, b)``.
+    same three for validation rows, which add no gradient.  ``weights`` is a
+    (C, D) array or a broadcast variable holding ``(W, b)``.
     """
     shared = not isinstance(weights, np.ndarray)
-    n_classes, dim = (weights.value[0] if shared else weights).shape
-    k_grad = n_classes * dim + n_classes if with_grad else 0
 
     def run(batches):
         w_arr, b_arr = weights.value if shared else (weights, bias)
+        n_classes, dim = w_arr.shape
         g_w = np.zeros((n_classes, dim))
         g_b = np.zeros(n_classes)
         tot = np.zeros(6)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            feats = rb.column(rb.schema.get_field_index(features_col))
-            x = feats.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim)
-            y = rb.column(rb.schema.get_field_index(label_col)).to_numpy(zero_copy_only=False).astype(np.int64)
-            vi = rb.schema.get_field_index("__val")
-            is_val = (np.asarray(rb.column(vi).to_numpy(zero_copy_only=False), dtype=bool) if vi >= 0
-                      else np.zeros(rb.num_rows, dtype=bool))
+            x = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim)
+            y = rb.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            is_val = np.asarray(rb.column(2).to_numpy(zero_copy_only=False), dtype=bool)
             z = x @ w_arr.T + b_arr
             m = z.max(axis=1, keepdims=True)
             e = np.exp(z - m)
             s = e.sum(axis=1, keepdims=True)
-            rows = np.arange(len(y))
-            loss = np.log(s[:, 0]) + m[:, 0] - z[rows, y]
+            loss = np.log(s[:, 0]) + m[:, 0] - z[np.arange(len(y)), y]
             hit = np.argmax(z, axis=1) == y
             for j, mask in enumerate((~is_val, is_val)):
                 tot[3 * j] += float(loss[mask].sum())
                 tot[3 * j + 1] += float(hit[mask].sum())
                 tot[3 * j + 2] += float(mask.sum())
-            if with_grad and (~is_val).any():
+            if (~is_val).any():
                 p = (e / s)[~is_val]
                 p[np.arange(p.shape[0]), y[~is_val]] -= 1.0
                 g_w += p.T @ x[~is_val]
                 g_b += p.sum(axis=0)
-        vals = np.concatenate([g_w.reshape(-1), g_b]) if with_grad else np.zeros(0)
         ctx = TaskContext.get()
-        yield _pack(np.concatenate([vals, tot]), ctx.partitionId() if ctx is not None else 0)
-
-    return run, k_grad
-
-
-def _pack(vals: np.ndarray, src: int = 0) -> pa.RecordBatch:
-    n_blk = max(1, -(-len(vals) // BLOCK))
-    offsets = np.minimum(np.arange(n_blk + 1) * BLOCK, len(vals)).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vals, pa.float64()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(n_blk, dtype=np.int32)), pa.array(np.full(n_blk, src, dtype=np.int32)), lists],
-        names=["blk", "src", "vals"])
-
-
-def _add_blocks(batches):
-    """Element-wise sum of each block's partial arrays, added in source-partition
-    order, so the floating-point result does not depend on shuffle fetch order
-    (reruns of a training job give identical heads)."""
-    parts: dict[int, list] = {}
-    for rb in batches:
-        blks = rb.column(0).to_numpy(zero_copy_only=False)
-        srcs = rb.column(1).to_numpy(zero_copy_only=False)
-        lists = rb.column(2)
-        offs = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy(zero_copy_only=False)
-        for i, blk in enumerate(blks):
-            parts.setdefault(int(blk), []).append((int(srcs[i]), flat[offs[i]:offs[i + 1]].copy()))
-    if parts:
-        keys = sorted(parts)
-        sums = []
-        for k in keys:
-            acc = None
-            for _, piece in sorted(parts[k], key=lambda x: x[0]):
-                acc = piece if acc is None else acc + piece
-            sums.append(acc)
-        offsets = np.cumsum([0] + [len(a) for a in sums]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sums)))
+        vals = np.concatenate([g_w.reshape(-1), g_b, tot])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int32()), pa.array(np.zeros(len(keys), np.int32)), lists],
-            names=["blk", "src", "vals"])
+            [pa.array([ctx.partitionId() if ctx is not None else 0], pa.int32()),
+             pa.ListArray.from_arrays(pa.array([0, len(vals)], pa.int32()), pa.array(vals))], names=["src", "vals"])
+
+    return run
+
+
+def training_rows(df: DataFrame, n_classes: int, dim: int, features_col: str, label_col: str,
+                  val: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(x, y, val) of the rows that can train or test a (``n_classes``, ``dim``) head."""
+    y = F.col(label_col).cast("int")
+    return df.where(usable_vector(features_col, dim) & (y >= 0) & (y < n_classes)).select(
+        *keep, F.col(features_col).cast("array<double>").alias("x"), y.alias("y"), F.lit(val).alias("val"))
+
+
+def sums(rows: DataFrame, weights, bias=None) -> DataFrame:
+    """(i, v): the gradient and totals of ``_sums_kernel`` over all of ``training_rows``."""
+    ship_package(rows.sparkSession)
+    parts = rows.select("x", "y", "val").mapInArrow(_sums_kernel(weights, bias), "src int, vals array<double>")
+    each = parts.select("src", F.posexplode("vals").alias("i", "v"))
+    in_order = F.array_sort(F.collect_list(F.struct("src", "v")))  # one entry per partition
+    return each.groupBy("i").agg(F.aggregate(in_order, F.lit(0.0), lambda a, e: a + e["v"]).alias("v"))
 
 
 @dataclass
@@ -166,32 +150,23 @@ class _Sums:
     val_n: int
 
 
-def _sums(df: DataFrame, weights, bias, features_col, label_col, with_grad) -> _Sums:
-    """One Spark job: per-partition packed sums, shuffled by block and added per
-    block in Arrow batches, so no task receives more than one block from each
-    partition; only K + 6 numbers reach the driver."""
+def _sums(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> _Sums:
+    """One Spark job; the C x (D + 1) + 6 sums reach the driver as columns."""
     # Large heads travel once per executor as a broadcast; small ones ride in the task closure.
-    head = (df.sparkSession.sparkContext.broadcast((weights, bias))
-            if weights.size > BROADCAST_HEAD_MIN else None)
-    fn, k = _sums_kernel(head if head is not None else weights, None if head is not None else bias,
-                         features_col, label_col, with_grad)
-    n_blk = max(1, -(-(k + 6) // BLOCK))
-    cols = [features_col, label_col] + (["__val"] if "__val" in df.columns else [])
-    schema = "blk int, src int, vals array<double>"
-    parts = df.select(*cols).mapInArrow(fn, schema)
-    summed = parts.repartition(n_blk, "blk").mapInArrow(_add_blocks, schema)
-    rows = summed.collect()
+    head = rows.sparkSession.sparkContext.broadcast((weights, bias)) if weights.size > BROADCAST_HEAD_MIN else None
+    got = sums(rows, head if head is not None else weights, bias).toArrow()
     if head is not None:
         head.destroy()
-    flat = np.concatenate([np.asarray(r["vals"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["blk"])])
-    tot = flat[k:k + 6]
+    k = weights.size + len(bias)
+    flat = np.zeros(k + 6)
+    flat[got.column("i").to_numpy()] = got.column("v").to_numpy()
+    tot = flat[k:]
     return _Sums(flat[:k], float(tot[0]), int(round(tot[1])), int(round(tot[2])),
                  float(tot[3]), int(round(tot[4])), int(round(tot[5])))
 
 
-def adam_step(params: np.ndarray, grad: np.ndarray, m: np.ndarray, v: np.ndarray, t: int, lr: float,
-              betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8):
-    """One Adam update (Kingma & Ba, 2014); ``grad`` already includes any L2 term.
+def adam_step(params, grad, m, v, t: int, lr: float, betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8):
+    """One Adam update (Kingma & Ba, 2014) of arrays or of columns; ``grad`` already includes any L2 term.
 
     Returns ``(params, m, v)``.
     """
@@ -200,65 +175,71 @@ def adam_step(params: np.ndarray, grad: np.ndarray, m: np.ndarray, v: np.ndarray
     v = b2 * v + (1 - b2) * grad * grad
     m_hat = m / (1 - b1 ** t)
     v_hat = v / (1 - b2 ** t)
-    return params - lr * m_hat / (np.sqrt(v_hat) + eps), m, v
+    return params - lr * m_hat / (v_hat ** 0.5 + eps), m, v
 
 
-def _check_features(df: DataFrame, features_col: str) -> int:
-    sizes = df.select(F.size(features_col).alias("d")).distinct().limit(2).collect()
-    if len(sizes) != 1:
-        raise ValueError(f"{features_col} must have one fixed length, found {[r['d'] for r in sizes]}")
-    return int(sizes[0]["d"])
+def _vector_length(df: DataFrame, features_col: str) -> int:
+    """The most frequent vector length (the longer of two equally frequent ones)."""
+    n = F.size(features_col).alias("d")
+    top = (df.where(F.col(features_col).isNotNull()).groupBy(n).agg(F.count(F.lit(1)).alias("c"))
+           .orderBy(F.col("c").desc(), F.col("d").desc()).limit(1).collect())
+    if not top:
+        raise ValueError(f"no row has a {features_col} vector")
+    return int(top[0]["d"])
 
 
 def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str = "features",
              label_col: str = "label_idx", key: str = "id", opts: HeadOptions | None = None,
              model: str = "linear-head", history_path: str | None = None,
-             head_path: str | None = None) -> FitResult:
+             head_path: str | None = None, initial: tuple[np.ndarray, np.ndarray] | None = None) -> FitResult:
     """Train the head; returns per-epoch history, the best / final heads and a run row.
 
+    ``initial`` gives the first (C x D weights, C biases); else they are drawn
+    from ``opts.seed`` and D is the most frequent vector length of ``train``.
+
     Validation of epoch e and the first step of epoch e + 1 use the same
     weights, so they share one Spark job; if epoch e stops the run, that
     step's gradient is simply not applied.
 
-    With ``history_path`` each epoch's row is appended as soon as the epoch
-    closes; with ``head_path`` the best head is rewritten on every
-    improvement (only this run's ``best`` partition) and the final head is
-    written at the end, so an interrupted run keeps its progress.
+    With ``history_path`` this run's rows are rewritten as each epoch closes;
+    with ``head_path`` the best head is rewritten on every improvement (only
+    this run's ``best`` partition) and the final head is written at the end,
+    so an interrupted run keeps its progress and a rerun replaces it.
     """
     opts = opts or HeadOptions()
     spark = train.sparkSession
-    ship_package(spark)
     started = time.time()
-    tr = train.where(F.col(label_col).isNotNull()).select(
-        key, F.col(features_col).cast("array<double>").alias(features_col),
-        F.col(label_col).cast("int").alias(label_col), F.lit(False).alias("__val"))
-    va_key = F.col(key) if key in val.columns else F.lit(None).cast(tr.schema[key].dataType)
-    va = val.where(F.col(label_col).isNotNull()).select(
-        va_key.alias(key), F.col(features_col).cast("array<double>").alias(features_col),
-        F.col(label_col).cast("int").alias(label_col), F.lit(True).alias("__val"))
-    cap = opts.partitions or spark.sparkContext.defaultParallelism
-    if tr.rdd.getNumPartitions() > cap:  # bound the per-step reduction (P x K values); no shuffle
-        tr = tr.coalesce(cap)
-    if va.rdd.getNumPartitions() > cap:
-        va = va.coalesce(cap)
-    if opts.deterministic:
-        # Row order inside a partition decides the floating-point summation order; after a
-        # lost task an upstream shuffle may deliver rows in another order, so fix it.
-        tr = tr.sortWithinPartitions(key)
-        va = va.sortWithinPartitions(key)
-    k = max(1, int(opts.steps_per_epoch))
-    # k == 1: the features stay cached.  k > 1: the base copy goes to disk only and
-    # each epoch caches its own batch-sorted copy (see batch()), so memory holds one copy.
-    tr = tr.cache() if k == 1 else tr.persist(StorageLevel.DISK_ONLY)
-    va = va.cache()
-    dim = _check_features(tr, features_col)  # also fills the cache
+    order = key if key in train.columns else None
+    cols = [features_col, label_col]
+    tr_all = train.select(*([F.col(key).alias("k")] if order else []), *cols).cache()
+    va_all = val.select(*([F.col(key).alias("k")] if key in val.columns else []), *cols).cache()
+    w, b = (np.array(x, dtype=np.float64) for x in initial) if initial is not None else (None, None)
+    if w is not None and (w.ndim != 2 or w.shape[0] != n_classes or b.shape != (n_classes,)):
+        raise ValueError("initial must be (C x D weights, C biases)")
+    dim = w.shape[1] if w is not None else _vector_length(tr_all, features_col)
     if n_classes * (dim + 1) > MAX_HEAD_PARAMS:
         raise ValueError("head too large for driver-side updates")
 
-    rng = np.random.default_rng(opts.seed)
-    bound = 1.0 / math.sqrt(dim)
-    w = rng.uniform(-bound, bound, size=(n_classes, dim))
-    b = rng.uniform(-bound, bound, size=n_classes)
+    def usable(df, is_val):
+        rows = training_rows(df, n_classes, dim, features_col, label_col, is_val, ["k"] if "k" in df.columns else [])
+        # Row order inside a partition decides the floating-point summation order; after a
+        # lost task an upstream shuffle may deliver rows in another order, so fix it.
+        return rows.sortWithinPartitions("k") if opts.deterministic and "k" in df.columns else rows
+
+    tr, va = usable(tr_all, False).cache(), usable(va_all, True).cache()
+    n_train, n_val = tr.count(), va.count()
+    skipped_train, skipped_val = tr_all.count() - n_train, va_all.count() - n_val
+    tr_all.unpersist()
+    va_all.unpersist()
+    k = max(1, -(-n_train // opts.batch_size)) if opts.batch_size else max(1, int(opts.steps_per_epoch))
+    if k > 1 and "k" not in tr.columns:
+        raise ValueError(f"mini-batches need the key column {key}")
+
+    if w is None:
+        rng = np.random.default_rng(opts.seed)
+        bound = 1.0 / math.sqrt(dim)
+        w = rng.uniform(-bound, bound, size=(n_classes, dim))
+        b = rng.uniform(-bound, bound, size=n_classes)
     m = np.zeros(n_classes * dim + n_classes)
     v = np.zeros_like(m)
     t = 0
@@ -268,17 +249,15 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     history = []
     totals = [0.0, 0, 0]
 
-    def persist_epoch(row):
+    def persist_epochs():
         if history_path:
-            one = spark.createDataFrame([tuple(row[c] for c in HISTORY.fieldNames())], HISTORY)
-            one.write.mode("append").partitionBy("run_id").parquet(history_path)
+            write_history(spark.createDataFrame([tuple(r[c] for c in HISTORY.fieldNames()) for r in history], HISTORY),
+                          history_path)
 
     def persist_head(kind, hw, hb):
         if head_path:
             rows = [(opts.run_id, kind, c, float(hb[c]), [float(x) for x in hw[c]]) for c in range(n_classes)]
-            (spark.createDataFrame(rows, HEAD).write.mode("overwrite")
-                  .option("partitionOverwriteMode", "dynamic")
-                  .partitionBy("run_id", "kind").parquet(head_path))
+            write_head(spark.createDataFrame(rows, HEAD), head_path)
 
     epoch_cache = {}
 
@@ -297,20 +276,19 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             for old in epoch_cache.values():
                 old.unpersist()
             epoch_cache.clear()
-            bid = F.pmod(F.xxhash64(F.lit(opts.seed), F.lit(epoch), F.col(key)), F.lit(k)).cast("int")
-            epoch_cache[epoch] = tr.withColumn("__bid", bid).sortWithinPartitions("__bid", key).cache()
-        ep = epoch_cache[epoch]
-        return ep.where(F.col("__bid") == step).drop("__bid")
+            bid = F.pmod(F.xxhash64(F.lit(opts.seed), F.lit(epoch), F.col("k")), F.lit(k)).cast("int")
+            epoch_cache[epoch] = tr.withColumn("batch", bid).sortWithinPartitions("batch", "k").cache()
+        return epoch_cache[epoch].where(F.col("batch") == step)
 
-    def close_epoch(epoch, sums) -> bool:
+    def close_epoch(epoch, got) -> bool:
         """Record epoch ``epoch`` from its validation sums; True = stop training."""
         nonlocal lr, best, bad, plateau_best, plateau_bad, best_w, best_b
-        vn = sums.val_n
-        val_loss = sums.val_loss / vn if vn else float("nan")
+        vn = got.val_n
+        val_loss = got.val_loss / vn if vn else float("nan")
         ltot, ctot, ntot = totals
         row = dict(run_id=opts.run_id, epoch=epoch, train_loss=ltot / ntot if ntot else None,
                    train_acc=ctot / ntot if ntot else None, val_loss=val_loss if vn else None,
-                   val_acc=sums.val_correct / vn if vn else None, lr=lr)
+                   val_acc=got.val_correct / vn if vn else None, lr=lr)
         if opts.plateau_factor is not None:  # same rule as operators.history.plateau_lr
             if val_loss < plateau_best * (1.0 - opts.plateau_threshold):
                 plateau_best, plateau_bad = val_loss, 0
@@ -324,7 +302,7 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
         improved = val_loss < best
         row["improved"] = bool(improved)
         history.append(row)
-        persist_epoch(row)
+        persist_epochs()
         if improved:
             best, bad = val_loss, 0
             best_w, best_b = w.copy(), b.copy()
@@ -339,21 +317,21 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             for step in range(k):
                 part = batch(epoch, step)
                 if step == 0 and epoch > 1:
-                    sums = _sums(part.unionByName(va), w, b, features_col, label_col, True)
-                    stopped = close_epoch(epoch - 1, sums)
+                    got = _sums(part.select("x", "y", "val").unionByName(va.select("x", "y", "val")), w, b)
+                    stopped = close_epoch(epoch - 1, got)
                     if stopped:
                         break
                 else:
-                    sums = _sums(part, w, b, features_col, label_col, True)
+                    got = _sums(part, w, b)
                 if step == 0:
                     totals[:] = [0.0, 0, 0]
-                if sums.n == 0:
+                if got.n == 0:
                     continue
-                totals[0] += sums.loss
-                totals[1] += sums.correct
-                totals[2] += sums.n
+                totals[0] += got.loss
+                totals[1] += got.correct
+                totals[2] += got.n
                 params = np.concatenate([w.reshape(-1), b])
-                g = sums.grad / sums.n + opts.weight_decay * params
+                g = got.grad / got.n + opts.weight_decay * params
                 t += 1
                 params, m, v = adam_step(params, g, m, v, t, lr, opts.betas, opts.adam_eps)
                 w = params[: n_classes * dim].reshape(n_classes, dim)
@@ -361,7 +339,7 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             if stopped:
                 break
         if not stopped and opts.epochs >= 1:
-            close_epoch(len(history) + 1, _sums(va, w, b, features_col, label_col, False))
+            close_epoch(len(history) + 1, _sums(va, w, b))
     finally:  # release the caches even if training stops with an error
         for ep in epoch_cache.values():
             ep.unpersist()
@@ -381,10 +359,9 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             continue
         head_rows += [(opts.run_id, kind, c, float(hb[c]), [float(x) for x in hw[c]]) for c in range(n_classes)]
     head_df = spark.createDataFrame(head_rows, HEAD)
-    n_train = int(totals[2]) if totals[2] else None
-    per_step = -(-n_train // k) if n_train else None  # rows per step (the last step may be smaller)
+    per_step = opts.batch_size or (-(-n_train // k) if n_train else None)  # rows per step, on average
     run_df = spark.createDataFrame([(opts.run_id, model, n_classes, opts.epochs, per_step, seconds)], RUNS)
-    return FitResult(hist_df, head_df, w, b, run_df)
+    return FitResult(hist_df, head_df, w, b, run_df, skipped_train, skipped_val)
 
 
 def head_arrays(head: DataFrame, run_id: str, kind: str):

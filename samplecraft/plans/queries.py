@@ -826,13 +826,67 @@ def _features(spark, sf):
                       F.col("label").cast("int").alias("label_idx"))
 
 
-@register("fit_head")
+_FIT_LR, _FIT_DECAY = 0.05, 1e-4
+
+
+def _fit_sql() -> str:
+    """Two full-batch epochs from zero weights, chained: each step is the softmax gradient of the
+    training rows, one Adam update, and the metrics of the validation rows."""
+    def scores(name, weights, rows):
+        return f"""{name} AS (
+  SELECT r.id, r.y, wt.class_idx, sum(wt.w * r.x) AS z FROM {rows} r JOIN {weights} wt ON wt.j = r.j GROUP BY ALL)"""
+
+    def metrics(name, zs):
+        return f"""{name}p AS (
+  SELECT id, y, class_idx, z, max(z) OVER (PARTITION BY id) AS m,
+         row_number() OVER (PARTITION BY id ORDER BY z DESC, class_idx) AS rk FROM {zs}),
+{name}e AS (SELECT id, y, class_idx, z, m, rk, sum(exp(z - m)) OVER (PARTITION BY id) AS s FROM {name}p),
+{name}m AS (
+  SELECT sum(CASE WHEN class_idx = y THEN ln(s) + m - z END) / count(DISTINCT id) AS loss,
+         sum(CASE WHEN rk = 1 AND class_idx = y THEN 1 ELSE 0 END) / {_dbl('count(DISTINCT id)')} AS acc,
+         count(DISTINCT id) AS n FROM {name}e)"""
+
+    def step(k, zs, before, moments):
+        t = f"s{k}"
+        return f"""{metrics(t, zs)},
+{t}g AS (
+  SELECT e.class_idx, r.j, sum((exp(e.z - e.m) / e.s - CASE WHEN e.class_idx = e.y THEN 1 ELSE 0 END) * r.x) AS g
+  FROM {t}e e JOIN tr r ON r.id = e.id GROUP BY ALL),
+{t}u AS (
+  SELECT b.class_idx, b.j, b.w, g.g / (SELECT n FROM {t}m) + {_dbl(_FIT_DECAY)} * b.w AS g, {moments}
+  FROM {before} b JOIN {t}g g ON g.class_idx = b.class_idx AND g.j = b.j),
+w{k} AS (
+  SELECT class_idx, j, m, v,
+         w - {_dbl(_FIT_LR)} * (m / (1 - power({_dbl('0.9')}, {k}))) / (sqrt(v / (1 - power({_dbl('0.999')}, {k}))) + {_dbl('1e-8')}) AS w
+  FROM (SELECT class_idx, j, w, {_dbl('0.9')} * m0 + (1 - {_dbl('0.9')}) * g AS m,
+               {_dbl('0.999')} * v0 + (1 - {_dbl('0.999')}) * g * g AS v FROM {t}u))"""
+
+    rows = """rows AS (
+  SELECT vec_id AS id, CAST(label AS INTEGER) AS y, j,
+         CASE WHEN j < 64 THEN CAST(embedding[j + 1] AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS x
+  FROM embeddings, range(65) t(j)),
+tr AS (SELECT * FROM rows WHERE id % 4 <> 0),
+va AS (SELECT * FROM rows WHERE id % 4 = 0),
+w0 AS (SELECT c AS class_idx, j, CAST(0 AS DOUBLE) AS w FROM range(10) a(c), range(65) b(j))"""
+    zero = f"{_dbl(0)} AS m0, {_dbl(0)} AS v0"
+    return _with(rows, scores("z1", "w0", "tr"), step(1, "z1", "w0", zero), scores("q1", "w1", "va"), metrics("v1", "q1"),
+                 scores("z2", "w1", "tr"), step(2, "z2", "w1", "b.m AS m0, b.v AS v0"), scores("q2", "w2", "va"),
+                 metrics("v2", "q2")) + "\nUNION ALL".join(f"""
+SELECT 'embeddings' AS run_id, CAST({k} AS INTEGER) AS epoch, round(s.loss, 6) AS train_loss, round(s.acc, 6) AS train_acc,
+       round(v.loss, 6) AS val_loss, round(v.acc, 6) AS val_acc, {_dbl(_FIT_LR)} AS lr FROM s{k}m s, v{k}m v"""
+                                                        for k in (1, 2))
+
+
+@register("fit_head", _fit_sql())
 def q_fit_head(spark, sf):
+    """Two full-batch epochs from zero weights."""
+    import numpy as np
     feats = _features(spark, sf)
     test = X.is_test_split(F.col("id"))
-    res = HD.fit_head(feats.where(~test), feats.where(test), X.N_LOGITS,
-                      opts=HD.HeadOptions(epochs=5, steps_per_epoch=2, run_id="embeddings"))
-    return res.history
+    res = HD.fit_head(feats.where(~test), feats.where(test), X.N_LOGITS, initial=(np.zeros((X.N_LOGITS, 64)), np.zeros(X.N_LOGITS)),
+                      opts=HD.HeadOptions(lr=_FIT_LR, weight_decay=_FIT_DECAY, epochs=2, run_id="embeddings"))
+    return res.history.select("run_id", "epoch", *[r6(F.col(c)).alias(c) for c in
+                                                   ("train_loss", "train_acc", "val_loss", "val_acc")], "lr")
 
 
 @register("head_roundtrip", """
@@ -905,20 +959,21 @@ g AS (
 SELECT CAST(class_idx AS INTEGER) AS class_idx, CAST(j AS INTEGER) AS j, round(grad, 4) AS grad FROM g""")
 def q_head_gradient(spark, sf):
     """D4's core step: the full-batch gradient of the summed softmax loss at the
-    fixture head, computed by the training kernel (per-partition Arrow sums and
-    the two-level block reduce).  Row j = 64 holds the bias gradient."""
+    fixture head, from the training kernel's per-partition sums.  Row j = 64
+    holds the bias gradient."""
+    return _gradient(spark, sf).select("class_idx", "j", F.round("grad", 4).alias("grad"))
+
+
+def _gradient(spark, sf):
     import numpy as np
-    w, b = X.fixture_head()
-    feats = _features(spark, sf).select("features", "label_idx")
-    HD.ship_package(spark)
-    sums = HD._sums(feats, np.asarray(w), np.asarray(b), "features", "label_idx", True)
-    n_cls, dim = len(w), len(w[0])
-    gw = sums.grad[: n_cls * dim].reshape(n_cls, dim)
-    gb = sums.grad[n_cls * dim:]
-    rows = [(c, j, float(gw[c, j])) for c in range(n_cls) for j in range(dim)] + \
-           [(c, dim, float(gb[c])) for c in range(n_cls)]
-    df = spark.createDataFrame(rows, "class_idx int, j int, grad double")  # model-sized: C x (D + 1)
-    return df.select("class_idx", "j", F.round("grad", 4).alias("grad"))
+    w, b = (np.asarray(x) for x in X.fixture_head())
+    n_cls, dim = w.shape
+    rows = HD.training_rows(_features(spark, sf), n_cls, dim, "features", "label_idx")
+    i = F.col("i")
+    in_w = i < n_cls * dim
+    return HD.sums(rows, w, b).where(i < n_cls * (dim + 1)).select(
+        F.when(in_w, F.floor(i / dim)).otherwise(i - n_cls * dim).cast("int").alias("class_idx"),
+        F.when(in_w, i % dim).otherwise(dim).cast("int").alias("j"), F.col("v").alias("grad"))
 
 
 def _adam_sql() -> str:
@@ -943,16 +998,20 @@ def q_head_adam_step(spark, sf):
     """D4's update rule: one Adam step (lr 1e-3, L2 1e-4 in the gradient, zero
     moments) from the fixture head, on the full-batch gradient of the training
     kernel.  Row j = 64 holds the bias."""
-    import numpy as np
-    w, b = X.fixture_head()
-    feats = _features(spark, sf).select("features", "label_idx")
-    HD.ship_package(spark)
-    sums = HD._sums(feats, np.asarray(w), np.asarray(b), "features", "label_idx", True)
-    params = np.concatenate([np.asarray(w).reshape(-1), np.asarray(b)])
-    g = sums.grad / sums.n + 1e-4 * params
-    new, _, _ = HD.adam_step(params, g, np.zeros_like(params), np.zeros_like(params), 1, 1e-3)
-    n_cls, dim = len(w), len(w[0])
-    rows = [(c, j, float(new[c * dim + j])) for c in range(n_cls) for j in range(dim)] + \
-           [(c, dim, float(new[n_cls * dim + c])) for c in range(n_cls)]
-    df = spark.createDataFrame(rows, "class_idx int, j int, w double")  # model-sized: C x (D + 1)
-    return df.select("class_idx", "j", F.round("w", 6).alias("w"))
+    n = _features(spark, sf).agg(F.count(F.lit(1)).cast("double")).scalar()
+    c, j = F.col("class_idx"), F.col("j")
+    w0 = F.when(j < 64, (((31 * c + 17 * j) % 11) - 5) / F.lit(10.0)).otherwise(c / F.lit(100.0))
+    g = _gradient(spark, sf).withColumn("w0", w0)
+    new, _, _ = HD.adam_step(F.col("w0"), F.col("grad") / n + 1e-4 * F.col("w0"), F.lit(0.0), F.lit(0.0), 1, 1e-3)
+    return g.select("class_idx", "j", F.round(new, 6).alias("w"))
+
+
+@register("head_dictionary_roundtrip", _with(SQL_DICT) + "SELECT label_idx, label FROM dict")
+def q_head_dictionary_roundtrip(spark, sf):
+    """The class dictionary kept beside a run's head; written twice, it is there once."""
+    path = scratch_path(spark, "head")
+    d = C.class_dictionary(X.class_names(X.embeddings(spark, sf)))
+    for _ in range(2):
+        SRC.write_dictionary(d, "centroid", path)
+    SRC.write_dictionary(d.where("label_idx > 1"), "other", path)
+    return SRC.read_dictionary(spark, path, "centroid")

@@ -61,13 +61,19 @@ class TrainingTables:
 
 
 def training_tables(spark: SparkSession, path: str, classes: Sequence[str] | None = None,
-                    train_split: str = "train", test_split: str = "test") -> TrainingTables:
+                    train_split: str = "train", test_split: str = "test",
+                    dictionary: DataFrame | None = None) -> TrainingTables:
     """Scan both splits (partition-pruned), filter classes, build one dictionary from
-    the training split and encode both splits with it (unknown test labels -> NULL)."""
-    train = M.filter_classes(SRC.read_metadata(spark, path, split=train_split), classes)
-    test = M.filter_classes(SRC.read_metadata(spark, path, split=test_split), classes)
+    the training split and encode both splits with it (unknown test labels -> NULL).
+
+    ``dictionary``: the one that a head was trained with; both splits are then
+    cut to its classes and encoded with it.
+    """
+    keep = classes if dictionary is None else dictionary.select("label")
+    train = M.filter_classes(SRC.read_metadata(spark, path, split=train_split), keep)
+    test = M.filter_classes(SRC.read_metadata(spark, path, split=test_split), keep)
     # One row per class, reused by every later join: materialise it once (reliable checkpoint).
-    d = C.class_dictionary(train).checkpoint(eager=True)
+    d = (C.class_dictionary(train) if dictionary is None else dictionary).checkpoint(eager=True)
     return TrainingTables(d, C.encode_labels(train, d), C.encode_labels(test, d), C.class_consistency(train, test))
 
 

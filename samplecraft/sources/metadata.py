@@ -34,18 +34,40 @@ def read_metadata(spark: SparkSession, path: str, split: str | None = None,
     return df.select(*columns)
 
 
+def _replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
+    """Write, replacing only the partitions that ``df`` has rows of: a rerun gives the same table."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+
+
 def write_history(h: DataFrame, path: str) -> None:
-    """Append epoch rows, partitioned by run."""
-    h.select(*HISTORY_COLUMNS).write.mode("append").partitionBy("run_id").parquet(path)
+    """The epoch rows of one or more runs, partitioned by run; replaces earlier rows of these runs."""
+    _replace_partitions(h.select(*HISTORY_COLUMNS), path, "run_id")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).parquet(path).select(*HISTORY_COLUMNS)
 
 
-def write_head(head: DataFrame, path: str, mode: str = "append") -> None:
-    """Save a linear head (one row per class) as M12 rows."""
-    head.select(*HEAD_COLUMNS).write.mode(mode).partitionBy("run_id", "kind").parquet(path)
+def write_head(head: DataFrame, path: str) -> None:
+    """Save a linear head (one row per class) as M12 rows; replaces the run's head of that kind."""
+    _replace_partitions(head.select(*HEAD_COLUMNS), path, "run_id", "kind")
+
+
+def dictionary_path(head_path: str) -> str:
+    """The table beside a table of heads that has the class names of each run's rows."""
+    return head_path.rstrip("/") + "_classes"
+
+
+def write_dictionary(dictionary: DataFrame, run_id: str, head_path: str) -> None:
+    """The class dictionary that a run's head was trained with."""
+    rows = dictionary.select(F.lit(run_id).alias("run_id"), F.col("label_idx").cast("int").alias("label_idx"), "label")
+    _replace_partitions(rows, dictionary_path(head_path), "run_id")
+
+
+def read_dictionary(spark: SparkSession, head_path: str, run_id: str) -> DataFrame:
+    """(label_idx, label) of a run's head."""
+    return (spark.read.schema("label_idx int, label string, run_id string").parquet(dictionary_path(head_path))
+            .where(F.col("run_id") == run_id).select("label_idx", "label"))
 
 
 def read_head(spark: SparkSession, path: str, run_id: str | None = None, kind: str | None = None) -> DataFrame:

@@ -99,13 +99,15 @@ def test_arrow_scoring_matches_catalyst(spark):
     w = rng.normal(size=(7, 9)).tolist()
     b = rng.normal(size=7).tolist()
     rows = [(i, (i % 9) - 1 if i % 5 else None, [float(v) for v in rng.normal(size=9)]) for i in range(200)]
-    rows.append((999, 2, None))
+    rows += [(999, 2, None), (1000, 1, [1.0]), (1001, 1, [1.0] * 17), (1002, 3, [1.0, None] + [0.0] * 7), (1003, 1, [])]
     df = spark.createDataFrame(rows, "id long, label_idx int, features array<double>").repartition(3)
     a = {r.id: r for r in E.score(df, features_col="features", weights=w, bias=b, method="catalyst").collect()}
     c = {r.id: r for r in E.score(df, features_col="features", weights=w, bias=b, method="arrow").collect()}
     assert a.keys() == c.keys()
+    assert all(c[k].logits is None and c[k].pred_idx is None and c[k].loss is None for k in range(999, 1004))
     for k in a:
         x, y = a[k], c[k]
+        assert (x.logits is None) == (y.logits is None)
         assert x.pred_idx == y.pred_idx and x.correct == y.correct and x.label_idx == y.label_idx
         assert (x.loss is None) == (y.loss is None)
         if x.loss is not None:

@@ -1,17 +1,17 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from samplecraft.operators import head as HD
 
 
-def _sums(w, b, x, y, with_grad=True):
-    fn, k = HD._sums_kernel(w, b, "f", "y", with_grad)
-    rb = pa.RecordBatch.from_arrays([pa.array([list(r) for r in x], pa.list_(pa.float64())), pa.array(y, pa.int32())],
-                                    names=["f", "y"])
-    out = next(fn(iter([rb])))
-    vals = out.column(2).flatten().to_numpy()
-    return vals[:k], vals[k]
+def _sums(w, b, x, y):
+    fn = HD._sums_kernel(w, b)
+    rb = pa.RecordBatch.from_arrays([pa.array([list(r) for r in x], pa.list_(pa.float64())), pa.array(y, pa.int32()),
+                                     pa.array([False] * len(y))], names=["x", "y", "val"])
+    vals = next(fn(iter([rb]))).column(1).flatten().to_numpy()
+    return vals[:-6], vals[-6]
 
 
 def test_gradient_matches_finite_differences():
@@ -46,17 +46,41 @@ def test_fit_head_separable(spark):
     assert kinds == {"best", "final"}
 
 
-def test_block_reduce_adds_partitions():
-    a = HD._pack(np.arange(10000, dtype=np.float64), 1)
-    b = HD._pack(np.ones(10000), 0)
-    out = next(HD._add_blocks(iter([a, b])))
-    flat = out.column(2).flatten().to_numpy()
-    assert out.column(0).to_pylist() == [0, 1, 2] and np.array_equal(flat, np.arange(10000) + 1.0)
-    # order of arrival does not change the result
-    c = HD._pack(np.full(10000, 0.1), 2)
-    one = next(HD._add_blocks(iter([a, b, c]))).column(2).flatten().to_numpy()
-    two = next(HD._add_blocks(iter([c, a, b]))).column(2).flatten().to_numpy()
-    assert np.array_equal(one, two)
+def test_sums_add_partitions(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 3)), rng.integers(0, 2, 60)
+    df = spark.createDataFrame([(r.tolist(), int(c), False) for r, c in zip(x, y)], "x array<double>, y int, val boolean")
+    w, b = rng.normal(size=(2, 3)), rng.normal(size=2)
+    grad, loss = _sums(w, b, x, y)
+    for parts in (1, 5):
+        got = {r.i: r.v for r in HD.sums(df.repartition(parts), w, b).collect()}
+        assert np.allclose([got[i] for i in range(8)], grad) and abs(got[8] - loss) < 1e-9 and got[10] == 60
+
+
+def test_unusable_rows_are_left_out_and_counted(spark):
+    rows = [(i, [float(i % 2), 1.0, float(i % 3)], i % 2) for i in range(40)]
+    bad = [(100, [1.0], 0), (101, [1.0, 2.0, 3.0, 4.0], 1), (102, None, 1), (103, [1.0, None, 2.0], 0), (104, [1.0, 1.0, 1.0], -1),
+           (105, [1.0, 1.0, 1.0], 2), (106, [1.0, 1.0, 1.0], None)]
+    schema = "id long, features array<double>, label_idx int"
+    good, every = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + bad, schema)
+    opts = HD.HeadOptions(epochs=3, lr=0.1, patience=None)
+    a = HD.fit_head(good, good, 2, opts=opts)
+    b = HD.fit_head(every, every, 2, opts=opts)
+    assert (a.skipped_train, a.skipped_val, b.skipped_train, b.skipped_val) == (0, 0, 7, 7)
+    assert np.allclose(a.weights, b.weights)
+    assert [round(r.val_loss, 9) for r in a.history.orderBy("epoch").collect()] == [
+        round(r.val_loss, 9) for r in b.history.orderBy("epoch").collect()]
+
+
+def test_batch_size_and_initial_weights(spark):
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("label_idx"),
+                                 F.array(F.col("id") % 2 * 1.0, F.lit(1.0)).alias("features"))
+    start = (np.ones((2, 2)), np.zeros(2))
+    res = HD.fit_head(df, df, 2, opts=HD.HeadOptions(epochs=1, batch_size=100, patience=None), initial=start)
+    assert res.run.first().batch_size == 100 and np.array_equal(start[0], np.ones((2, 2)))
+    assert not np.allclose(res.weights, start[0]) and np.allclose(res.weights, start[0], atol=3.5e-3)  # three Adam steps
+    with pytest.raises(ValueError):
+        HD.fit_head(df, df, 3, initial=start)
 
 
 def test_small_run_variant_keeps_lr_and_runs_all_epochs(spark):
@@ -78,7 +102,7 @@ def test_progress_is_persisted(spark):
         F.col("id"), (F.col("id") % 3).cast("int").alias("label_idx"),
         F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1000)) / 1000.0 for j in range(4)]).alias("features"))
     hp, wp = scratch_path(spark, "hist"), scratch_path(spark, "heads")
-    for run in ("a", "b"):
+    for run in ("a", "b", "a"):  # a rerun replaces its own rows
         HD.fit_head(df.where("id % 4 != 0"), df.where("id % 4 = 0"), 3,
                     opts=HD.HeadOptions(epochs=4, patience=None, run_id=run), history_path=hp, head_path=wp)
     hist = SRC.read_history(spark, hp)
