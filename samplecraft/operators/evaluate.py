@@ -1,9 +1,10 @@
 """Scoring and error analysis.
 
 Predictions are scored once (D3) and every analysis reuses them.  Confusion
-counts use partial aggregation, so skewed classes cost nothing extra; the
-dense matrix is built from the dictionary (C^2 rows, size-checked) without a
-cross join.
+counts use partial aggregation, so skewed classes cost nothing extra, and all
+other tables derive from these counts (at most C^2 rows).  The dense matrix is
+built from the dictionary without a cross join, up to a stated number of
+classes; above it the matrix stays sparse.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import argmax, cross_entropy, is_correct, linear_logits
-from .classes import check_dictionary, decode_labels
+from ..functions.tensor import IMAGENET_MEAN, IMAGENET_STD
+from .classes import decode_labels
 from .sampling import random_sample
+from .tensors import apply_step, denormalize
 
-MAX_DENSE_CLASSES = 5_000
+MAX_DENSE_CLASSES = 5_000  # 25 million cells; above it the matrix stays sparse
+MAX_EXAMPLES = 100_000     # example keys that are broadcast
 MAX_ARROW_HEAD = 16_000_000  # doubles in a broadcast head (128 MB)
 
 
@@ -62,7 +66,7 @@ def _score_arrow(df: DataFrame, label_col: str, logits_col: str, features_col: s
     w = np.asarray(weights, dtype=np.float64)
     b = np.asarray(bias, dtype=np.float64)
     if w.size > MAX_ARROW_HEAD:
-        raise ValueError("head too large to broadcast")
+        raise ValueError(f"a head of more than {MAX_ARROW_HEAD} numbers is a limit of the model size")
     head = spark.sparkContext.broadcast((w, b))
     n_classes, dim = w.shape
     base = df.drop(logits_col, "pred_idx", "loss", "correct")
@@ -126,12 +130,17 @@ def batch_metrics(scored: DataFrame, batch_col: str = "batch_id", label_col: str
                   F.sum(F.col("correct").cast("long")).alias("n_correct")))
 
 
-def confusion_counts(pred: DataFrame, label_col: str = "label_idx", pred_col: str = "pred_idx") -> DataFrame:
-    """Number of rows per (true, predicted) pair; sparse."""
+def confusion_counts(pred: DataFrame, label_col: str = "label_idx", pred_col: str = "pred_idx",
+                     n_col: str | None = None) -> DataFrame:
+    """Number of rows per (true, predicted) pair; sparse.
+
+    ``n_col``: the rows are counts already (one per pair and anything else) and are added up.
+    """
+    n = F.count(F.lit(1)) if n_col is None else F.sum(n_col).cast("long")
     return (pred.where(F.col(label_col).isNotNull() & F.col(pred_col).isNotNull())
                 .groupBy(F.col(label_col).cast("int").alias("true_idx"),
                          F.col(pred_col).cast("int").alias("pred_idx"))
-                .agg(F.count(F.lit(1)).alias("n")))
+                .agg(n.alias("n")))
 
 
 def confusion_matrix(counts: DataFrame, dictionary: DataFrame,
@@ -139,16 +148,14 @@ def confusion_matrix(counts: DataFrame, dictionary: DataFrame,
     """E1 on the full zero-filled class grid (axis = dictionary).
 
     The grid is generated by exploding ``sequence(0, C-1)`` per class, so no
-    cross join is planned; C is checked against ``max_classes`` first (pass
-    an already checked ``n_classes`` to skip that count).
+    cross join is planned.  Above ``max_classes`` classes the result is the
+    sparse non-zero cells (the grid alone would be C^2 rows).
     """
-    c = n_classes if n_classes is not None else check_dictionary(dictionary, max_classes)
-    if c > max_classes:
-        raise ValueError(f"{c} classes: the dense grid is limited to {max_classes}")
+    c = n_classes if n_classes is not None else dictionary.count()
+    if c > max_classes or c == 0:
+        return counts.select("true_idx", "pred_idx", "n")
     grid = dictionary.select(F.col("label_idx").cast("int").alias("true_idx"),
-                             F.explode(F.sequence(F.lit(0), F.lit(max(c - 1, 0)))).alias("pred_idx"))
-    if c == 0:
-        grid = grid.limit(0)
+                             F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("pred_idx"))
     return (grid.join(counts, ["true_idx", "pred_idx"], "left")
                 .select("true_idx", "pred_idx", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
@@ -181,7 +188,7 @@ def hardest_classes(errors: DataFrame, n: int | None = 20, n_classes: int | None
     kept in dictionary order (``rank = class_idx``), as the source pipeline does.
     """
     if n_classes is None:
-        n_classes = check_dictionary(errors.select("class_idx"), MAX_DENSE_CLASSES)
+        n_classes = errors.count()
     if not n or n >= n_classes:
         return errors.select(F.col("class_idx").alias("rank"), "class_idx", "label", "errors")
     top = errors.orderBy(F.col("errors").desc(), F.col("class_idx").desc()).limit(n)
@@ -195,8 +202,8 @@ def submatrix(cm: DataFrame, classes: DataFrame) -> DataFrame:
                        F.col("label").alias("true_label"))
     p = classes.select(F.col("class_idx").alias("pred_idx"), F.col("rank").alias("pred_rank"),
                        F.col("label").alias("pred_label"))
-    # classes has at most max(n, C) rows, C size-checked in hardest_classes.
-    return (cm.join(F.broadcast(t), "true_idx").join(F.broadcast(p), "pred_idx")
+    # no hint: AQE broadcasts the class list if its measured size allows it
+    return (cm.join(t, "true_idx").join(p, "pred_idx")
               .select("true_rank", "pred_rank", "true_idx", "pred_idx", "true_label", "pred_label", "n"))
 
 
@@ -208,13 +215,24 @@ def heatmap_cells(cm: DataFrame) -> DataFrame:
 
 
 def example_predictions(scored: DataFrame, dictionary: DataFrame, n: int = 10, correct: bool = True,
-                        seed: int = 42, key: str = "id", label_col: str = "label_idx") -> DataFrame:
+                        seed: int = 42, key: str = "id", label_col: str = "label_idx",
+                        tensors: DataFrame | None = None, mean: Sequence[float] = IMAGENET_MEAN,
+                        std: Sequence[float] = IMAGENET_STD) -> DataFrame:
     """T4: ``n`` seeded-random rows that are right (or wrong), with both class names.
 
-    Reuses the scored rows; nothing is scored a second time.
+    Reuses the scored rows; nothing is scored a second time.  ``tensors``
+    (key, tensor as the model saw it) adds ``image``: the picture of each
+    example, denormalised to 0..1, or NULL where there is none.
     """
     pool = scored.where(F.col(label_col).isNotNull() &
                         ((F.col(label_col) == F.col("pred_idx")) == F.lit(bool(correct))))
     picked = random_sample(pool.select(key, F.col(label_col).alias("true_idx"), "pred_idx"), n, seed, key)
-    return decode_labels(decode_labels(picked, dictionary, "true_idx", "true_label"),
-                         dictionary, "pred_idx", "pred_label")
+    named = decode_labels(decode_labels(picked, dictionary, "true_idx", "true_label"),
+                          dictionary, "pred_idx", "pred_label")
+    if tensors is None:
+        return named
+    # at most n rows: the few tensors are fetched by a semi-join, the table is not shuffled
+    few = picked.select(key) if n <= MAX_EXAMPLES else None
+    own = tensors.select(key, F.col("tensor").alias("image"))
+    own = own if few is None else own.join(F.broadcast(few), key, "left_semi")
+    return named.join(apply_step(own, denormalize(mean, std), "image"), key, "left")

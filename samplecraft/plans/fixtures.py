@@ -67,13 +67,14 @@ def samples(ev: DataFrame) -> DataFrame:
 
 # ---- predictions ------------------------------------------------------------
 
-def predictions_input(emb: DataFrame, dim: int = 64) -> DataFrame:
-    """``id, label_idx, logits``: the score of class c is the sum of the vector elements
+def predictions_input(emb: DataFrame, dim: int = 64, name: bool = False) -> DataFrame:
+    """``id, label_idx, logits`` (and the class name ``label``): the score of class c is the sum of the vector elements
     c, c + 10, c + 20, ... (0-based), added in that order, so every element counts."""
     def score(c):
         terms = [F.get("embedding", F.lit(j)).cast("double") for j in range(c, dim, N_LOGITS)]
         return functools.reduce(lambda a, b: a + b, terms)
-    return emb.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label_idx"),
+    names = [F.concat(F.lit("class_"), F.col("label").cast("string")).alias("label")] if name else []
+    return emb.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label_idx"), *names,
                       F.array(*[score(c) for c in range(N_LOGITS)]).alias("logits"))
 
 

@@ -18,7 +18,7 @@ from ..operators import evaluate as E
 from ..operators import history as H
 from ..operators import manifest as M
 from ..operators import sampling as S
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import metadata as SRC
 from ..sources import run_log as RL
 from . import fixtures as X
@@ -312,8 +312,12 @@ def q_confusion_counts(spark, sf):
 
 
 def _counts(spark, sf):
-    pred, d = _pred(spark, sf)
-    return E.confusion_counts(pred.withColumn("pred_idx", scoring.argmax("logits"))), d
+    """(counts, dictionary) from one scan: counts per class name and prediction are kept, both derive from them."""
+    emb = X.embeddings(spark, sf)
+    pred = X.predictions_input(emb, name=True).withColumn("pred_idx", scoring.argmax("logits"))
+    ensure_checkpoint_dir(spark)
+    kept = pred.groupBy("label_idx", "label", "pred_idx").agg(F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return E.confusion_counts(kept, n_col="rows"), C.class_dictionary(kept)
 
 
 @register("confusion_matrix", _with(SQL_PRED, SQL_DICT, SQL_COUNTS, SQL_CM) + "SELECT * FROM cm")
@@ -358,8 +362,8 @@ def q_hardest_submatrix(spark, sf):
 SELECT true_idx, pred_idx, n, CAST(n AS DOUBLE) > (SELECT max(n) FROM cm) / 2.0 AS dark_cell
 FROM cm WHERE n > 0""")
 def q_heatmap_cells(spark, sf):
-    counts, d = _counts(spark, sf)
-    return E.heatmap_cells(E.confusion_matrix(counts, d))
+    counts, _ = _counts(spark, sf)
+    return E.heatmap_cells(counts)
 
 
 def _examples_sql(correct: bool) -> str:
@@ -377,6 +381,19 @@ def q_examples_correct(spark, sf):
     return E.example_predictions(scored, d, 10, True, X.SEED, "id")
 
 
+@register("examples_images", _examples_sql(False).replace("SELECT e.id, e.true_idx", "SELECT e.id, CAST(i AS INTEGER) AS i, e.true_idx")
+          .replace("p.label AS pred_label", "p.label AS pred_label, " + """round(CAST(CAST(least(greatest(
+         0.224 * CAST(emb.embedding[i + 1] AS DOUBLE) + 0.456, 0.0), 1.0) AS FLOAT) AS DOUBLE), 6) AS value""")
+          + " JOIN embeddings emb ON emb.vec_id = e.id, range(64) g(i)")
+def q_examples_images(spark, sf):
+    """T4 with pictures: ten wrong examples and their denormalised one-channel tensors."""
+    scored, d = _scored(spark, sf)
+    t = X.tensors_8x8(X.embeddings(spark, sf)).withColumnRenamed("key", "id")
+    out = E.example_predictions(scored, d, 10, False, X.SEED, "id", tensors=t, mean=(0.456,), std=(0.224,))
+    return out.select("id", "true_idx", "pred_idx", "true_label", "pred_label", F.posexplode(F.col("image")["data"]).alias("i", "v")) \
+              .withColumn("value", r6(F.col("v").cast("double"))).withColumn("i", F.col("i").cast("int")).drop("v")
+
+
 @register("examples_incorrect", _examples_sql(False))
 def q_examples_incorrect(spark, sf):
     scored, d = _scored(spark, sf)

@@ -114,14 +114,17 @@ def train(train_features: DataFrame, val_features: DataFrame, n_classes: int, hi
 
 
 def analyze(scored: DataFrame, dictionary: DataFrame, top_classes: int = 20, top_errors: int = 10,
-            n_examples: int = 10, seed: int = 42, key: str = "id") -> dict[str, DataFrame]:
+            n_examples: int = 10, seed: int = 42, key: str = "id",
+            tensors: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every error-analysis table from one scored frame (cache ``scored`` upstream).
 
     The confusion counts (at most C^2 rows) feed every table, so they are
-    materialised once with a reliable checkpoint.
+    materialised once with a reliable checkpoint.  Above the dense limit the
+    matrices hold the non-zero cells only.  ``tensors`` (key, tensor) adds the
+    pictures of the examples.
     """
     counts = E.confusion_counts(scored).checkpoint(eager=True)
-    n_classes = C.check_dictionary(dictionary, E.MAX_DENSE_CLASSES)  # counted once
+    n_classes = dictionary.count()
     cm = E.confusion_matrix(counts, dictionary, n_classes=n_classes)
     errors = E.class_errors(counts, dictionary)
     hard = E.hardest_classes(errors, top_classes, n_classes=n_classes)
@@ -129,13 +132,13 @@ def analyze(scored: DataFrame, dictionary: DataFrame, top_classes: int = 20, top
     return {
         "metrics": E.epoch_metrics(scored),
         "confusion": cm,
-        "heatmap": E.heatmap_cells(cm),
+        "heatmap": E.heatmap_cells(counts),
         "class_errors": errors,
         "hardest": hard,
         "hardest_matrix": sub,
         "hardest_heatmap": E.heatmap_cells(sub.select(F.col("true_rank").alias("true_idx"),
                                                       F.col("pred_rank").alias("pred_idx"), "n")),
         "top_confusions": E.top_confusions(counts, dictionary, top_errors),
-        "examples_correct": E.example_predictions(scored, dictionary, n_examples, True, seed, key),
-        "examples_incorrect": E.example_predictions(scored, dictionary, n_examples, False, seed, key),
+        "examples_correct": E.example_predictions(scored, dictionary, n_examples, True, seed, key, tensors=tensors),
+        "examples_incorrect": E.example_predictions(scored, dictionary, n_examples, False, seed, key, tensors=tensors),
     }

@@ -58,6 +58,17 @@ def test_hardest_classes_tie_rule_and_submatrix(spark):
     assert sub.count() == 4
 
 
+def test_many_classes_stay_sparse(spark):
+    n = 5001
+    counts = spark.createDataFrame([(0, 1, 2), (7, 7, 9), (5000, 3, 1)], "true_idx int, pred_idx int, n long")
+    d = C.class_dictionary(spark.range(n).select(F.format_string("c%05d", "id").alias("label")))
+    assert E.confusion_matrix(counts, d).count() == 3
+    hard = E.hardest_classes(E.class_errors(counts, d), 2)
+    assert [(r.class_idx, r.errors) for r in hard.orderBy("rank").collect()] == [(5000, 1), (0, 2)]
+    assert E.submatrix(counts, hard).count() == 0
+    assert E.confusion_matrix(counts, d, max_classes=n, n_classes=3).count() == 3 * n
+
+
 def test_top_confusions_order(spark):
     counts = spark.createDataFrame([(0, 1, 3), (1, 0, 3), (2, 0, 3), (0, 0, 9), (1, 2, 1)],
                                    "true_idx int, pred_idx int, n long")

@@ -24,6 +24,9 @@ def q(name):
 def test_counts_combine_map_side(spark):
     p = plan(q("confusion_counts")(spark, SF))
     assert "partial_count" in p
+    for name in ("top_confusions", "hardest_classes", "hardest_submatrix", "heatmap_cells", "class_errors", "confusion_matrix"):
+        p = q(name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "embedding#" not in p, name  # the table was scanned once, into the kept counts
     p = plan(q("dataset_stats")(spark, SF))
     assert "partial_count" in p
 
