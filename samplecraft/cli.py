@@ -3,6 +3,7 @@
     python -m samplecraft.cli prepare --manifest train=meta/train.txt --manifest test=meta/test.txt \
         --image-root /data/images --out /tables/metadata
     python -m samplecraft.cli random  --table /tables/metadata -n 5
+    python -m samplecraft.cli tensors --table /tables/metadata --images /data/images --out /tables/tensors
     python -m samplecraft.cli train   --table /tables/metadata --features /tables/features \
         --run-id effnet --history /tables/history --heads /tables/heads [--classes a,b,c] [--small]
     python -m samplecraft.cli analyze --table /tables/metadata --features /tables/features \
@@ -86,6 +87,16 @@ def cmd_train(spark, args) -> None:
     print(f"seconds = {res.run.first().seconds}")
 
 
+def cmd_tensors(spark, args) -> None:
+    """Encoded rows of one split with their preprocessed images, written as Parquet."""
+    classes = [c for c in (args.classes or "").split(",") if c]
+    tables = WF.training_tables(spark, args.table, classes or None)
+    rows = tables.train if args.split == "train" else tables.test
+    res = WF.tensors(spark, rows, args.images, args.split == "train", args.size, args.seed, args.epoch)
+    res.tensors.write.mode("overwrite").parquet(args.out)
+    print(f"rows without a usable image: {res.invalid.count()}")
+
+
 def cmd_analyze(spark, args) -> None:
     # the names and numbers of the classes are those the head was trained with
     tables = WF.training_tables(spark, args.table, dictionary=SRC.read_dictionary(spark, args.heads, args.run_id))
@@ -106,6 +117,8 @@ def cmd_analyze(spark, args) -> None:
 def cmd_runlog(spark, args) -> None:
     runs, hist = RL.scan_run_log(spark, args.path, line_sep=args.line_sep)
     _show(H.run_summary(runs, hist), 100)
+    rejected = RL.rejected_blocks(spark, args.path, line_sep=args.line_sep)
+    print(f"blocks without a run header: {rejected.count()}")
     stops = H.early_stop(hist, args.patience).groupBy("run_id").agg(F.max("stop_epoch").alias("stop_epoch"))
     best = H.best_checkpoint(hist, args.patience)
     cuts = (H.plateau_lr(hist).where("cut").groupBy("run_id")
@@ -150,6 +163,15 @@ def parser() -> argparse.ArgumentParser:
             a.add_argument("--top-errors", type=int, default=10)
             a.add_argument("--examples", type=int, default=10)
             a.add_argument("--out")
+    a = sub.add_parser("tensors", help="preprocessed images of one split")
+    a.add_argument("--table", required=True)
+    a.add_argument("--images", required=True, help="folder of the image files")
+    a.add_argument("--out", required=True)
+    a.add_argument("--split", default="train", choices=("train", "test"))
+    a.add_argument("--classes")
+    a.add_argument("--size", type=int, default=224)
+    a.add_argument("--epoch", type=int, default=0)
+    a.add_argument("--seed", type=int, default=42)
     a = sub.add_parser("runlog", help="summaries and epoch rules of a run log")
     a.add_argument("--path", required=True)
     a.add_argument("--patience", type=int, default=5)
@@ -157,8 +179,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-COMMANDS = {"prepare": cmd_prepare, "random": cmd_random, "train": cmd_train, "analyze": cmd_analyze,
-            "runlog": cmd_runlog}
+COMMANDS = {"prepare": cmd_prepare, "random": cmd_random, "tensors": cmd_tensors, "train": cmd_train,
+            "analyze": cmd_analyze, "runlog": cmd_runlog}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:

@@ -938,7 +938,7 @@ def q_image_scan(spark, sf):
                       F.concat(F.lit(local.rstrip("/") + "/"), F.col("vec_id").cast("string"), F.lit(".png"))
                        .alias("image_path"),
                       F.concat(F.lit("class_"), F.col("label").cast("string")).alias("label"))
-    joined = IMG.attach_images(meta, IMG.scan_images(spark, folder, invalid="flag"))
+    joined = IMG.attach_images(meta, IMG.scan_images(spark, folder, invalid="flag"), folder=folder)
     return (joined.select("key", "label", F.posexplode(F.col("tensor")["data"]).alias("i", "v"))
                   .select("key", "label", F.col("i").cast("int").alias("i"),
                           r6(F.col("v").cast("double")).alias("value")))

@@ -87,16 +87,13 @@ def tensors(spark: SparkSession, encoded: DataFrame, image_dir: str, train: bool
             seed: int = 42, epoch: int = 0) -> Tensors:
     """Encoded rows -> model-ready tensors.
 
-    Images are read as raw bytes, joined to the rows by path, and the train or
-    eval preset runs in one fused NumPy stage (channel fix included).  Rows
-    whose image is missing or undecodable keep ``tensor = NULL`` and are also
-    listed in ``invalid`` (from the join alone, without running the
-    pipeline), where the original loader would have stopped.
+    Only the files that the rows name are opened (``sources.images.listed_images``),
+    and the train or eval preset runs on their raw bytes in one fused NumPy
+    stage (channel fix included).  Rows whose image is missing or undecodable
+    keep ``tensor = NULL`` and are also listed in ``invalid`` (without running
+    the pipeline), where the original loader would have stopped.
     """
-    raw = IMG.read_images(spark, image_dir, invalid="flag").select(
-        IMG.path_key("path").alias("__pk"), F.col("image"))
-    rows = encoded.withColumn("__pk", IMG.path_key("image_path"))
-    joined = rows.join(raw, "__pk", "left").drop("__pk")
+    joined = IMG.listed_images(spark, encoded, image_dir)
     steps = (T.train_preset(size, seed=seed, epoch=epoch, key="image_path") if train
              else T.eval_preset(size))
     out = T.pipeline(joined, steps, tensor_col="image").withColumnRenamed("image", "tensor")

@@ -6,12 +6,18 @@ Arrow-batched NumPy stage of ``operators.tensors``, either alone
 (``scan_images``) or fused with a whole preprocessing pipeline
 (``read_images`` + ``pipeline``).  ``invalid='drop'`` drops undecodable files,
 ``invalid='flag'`` keeps them with ``tensor = NULL`` so they can be counted.
+
+``listed_images`` reads only the files that a table of rows names.  Paths are
+compared as full, unescaped URIs (``path_key``): a row's path without a scheme
+belongs to the folder's file system, and equal keys in two buckets differ.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..util import unused_name
+
+MAX_LISTED = 500_000  # rows whose files are read by name, and which are broadcast to the scan
+
+
+def _load(spark: SparkSession, paths: str | Sequence[str], invalid: str) -> DataFrame:
+    if invalid not in ("drop", "flag"):
+        raise ValueError("invalid must be 'drop' or 'flag'")
+    raw = spark.read.format("image").option("dropInvalid", invalid == "drop")
+    if isinstance(paths, str):
+        raw = raw.option("recursiveFileLookup", "true")  # images live in class/ sub-folders
+    return raw.load(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("image.origin").alias("path"), F.col("image").alias("image"))
 
 
 def read_images(spark: SparkSession, path: str, invalid: str = "drop") -> DataFrame:
@@ -28,12 +47,7 @@ def read_images(spark: SparkSession, path: str, invalid: str = "drop") -> DataFr
     fix then happens in the pipeline's fused NumPy stage and pixels cross to
     Python as bytes, a quarter of the float size.
     """
-    if invalid not in ("drop", "flag"):
-        raise ValueError("invalid must be 'drop' or 'flag'")
-    raw = (spark.read.format("image").option("dropInvalid", invalid == "drop")
-           .option("recursiveFileLookup", "true")  # images live in class/ sub-folders
-           .load(path))
-    return raw.select(F.col("image.origin").alias("path"), F.col("image").alias("image"))
+    return _load(spark, path, invalid)
 
 
 def scan_images(spark: SparkSession, path: str, invalid: str = "drop") -> DataFrame:
@@ -48,25 +62,72 @@ def scan_images(spark: SparkSession, path: str, invalid: str = "drop") -> DataFr
     return apply_numpy_steps(raw, [], "tensor")
 
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
-def path_key(c) -> F.Column:
-    """A path without its URI scheme and authority (``file:``, ``hdfs://nn:8020``,
-    ``s3a://bucket``), so metadata paths and image-source origins compare."""
+def file_system(spark: SparkSession, path: str) -> str:
+    """Scheme and authority of ``path`` (``file:``, ``hdfs://nn:8020``); the session's default where it has none."""
+    at = path if re.match(_SCHEME, path) else spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    scheme, rest = at.split(":", 1)
+    host = rest[2:].split("/", 1)[0] if rest.startswith("//") else ""
+    return f"{scheme}://{host}" if host else f"{scheme}:"
+
+
+def path_key(c, default: str = "file:", escaped: bool = False) -> F.Column:
+    """A path as ``scheme://authority/path`` (``file:/path``), so that metadata paths and
+    image-source origins compare.
+
+    ``default``: scheme and authority of a path without a scheme.  ``escaped``:
+    the path is a URI with percent escapes, as origins are.
+    """
     col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(col, _SCHEME, "")
+    full = F.when(col.rlike(_SCHEME), col).otherwise(F.concat(F.lit(default), col))
+    full = F.regexp_replace(full, r"^([A-Za-z][A-Za-z0-9+.\-]*:)///?(?=/)", "$1")
+    full = F.regexp_replace(full, r"^([A-Za-z][A-Za-z0-9+.\-]*:)//(?=/)", "$1")
+    return F.coalesce(F.try_url_decode(F.replace(full, F.lit("+"), F.lit("%2B"))), full) if escaped else full
+
+
+def attach_images(meta: DataFrame, images: DataFrame, path_col: str = "image_path", folder: str | None = None) -> DataFrame:
+    """Join scanned tensors (or raw images) to metadata rows by path.
+
+    ``folder``: where the images were read from; paths without a scheme are
+    on its file system.  Both sides are table-sized, so this is a shuffle join;
+    ``listed_images`` avoids it for up to ``MAX_LISTED`` rows.
+    """
+    value = next(c for c in images.columns if c != "path")
+    key = unused_name(meta, "_path_key")
+    default = file_system(meta.sparkSession, folder or "/")
+    right = images.select(path_key("path", default, escaped=True).alias(key), F.col(value))
+    return meta.withColumn(key, path_key(path_col, default)).join(right, key, "left").drop(key)
 
 
-def attach_images(meta: DataFrame, images: DataFrame, path_col: str = "image_path") -> DataFrame:
-    """Join scanned tensors to metadata rows by path (scheme and authority ignored).
+def listed_images(spark: SparkSession, rows: DataFrame, folder: str, path_col: str = "image_path",
+                  max_listed: int = MAX_LISTED) -> DataFrame:
+    """``rows`` with the raw ``image`` of each row's file (NULL where it is missing or undecodable).
 
-    Both sides are table-sized, so this is a shuffle join on the path; paths
-    are unique per image, and AQE splits a skewed partition if copies repeat.
+    The folder is listed without reading a file, the listing is cut to the
+    rows' paths, and only those files are opened.  The rows are broadcast to
+    the scan, so no pixel is shuffled.  Above ``max_listed`` rows the folder is
+    read whole and joined by a shuffle on the path.
     """
-    norm = images.select(path_key("path").alias("__pk"), "tensor")
-    m = meta.withColumn("__pk", path_key(path_col))
-    return m.join(norm, "__pk", "left").drop("__pk")
+    if rows.limit(max_listed + 1).count() > max_listed:
+        return attach_images(rows, read_images(spark, folder, "flag"), path_col, folder)
+    default = file_system(spark, folder)
+    key, image = unused_name(rows, "_path_key"), "image"
+    keyed = rows.withColumn(key, path_key(path_col, default))
+    there = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+             .select(F.col("path"), path_key("path", default, escaped=True).alias(key)))
+    wanted = there.join(F.broadcast(keyed.select(key).distinct()), key, "left_semi")
+    paths = [r["path"] for r in wanted.select(path_key("path", default, escaped=True).alias("path")).distinct().toLocalIterator()]
+    if not paths:
+        schema = spark.read.format("image").schema["image"].dataType
+        return rows.withColumn(image, F.lit(None).cast(schema))
+    glob = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+    found = _load(spark, glob, "flag").select(path_key("path", default, escaped=True).alias(key), F.col(image))
+    matched = found.join(F.broadcast(keyed), key).drop(key).select(*rows.columns, image)
+    schema = found.schema[image].dataType
+    missing = keyed.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], f"{key} string")), key, "left_anti")
+    return matched.unionByName(missing.drop(key).withColumn(image, F.lit(None).cast(schema)))
 
 
 # ---- PNG writing (fixtures only) ------------------------------------------
@@ -111,9 +172,6 @@ def write_png_files(df: DataFrame, folder: str, key_col: str = "key", tensor_col
                     fh.write(png_bytes(a))
             yield pa.RecordBatch.from_arrays([pa.array([rb.num_rows], pa.int64())], names=["n"])
 
-    src = df.select(key_col, tensor_col)
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < par:  # spread the file writes over the cores
-        src = src.repartition(par)
+    src = df.select(key_col, tensor_col).repartition(df.sparkSession.sparkContext.defaultParallelism)
     out = src.mapInArrow(run, "n long")
     return int(out.agg(F.sum("n")).collect()[0][0] or 0)

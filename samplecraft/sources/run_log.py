@@ -4,8 +4,7 @@ A block is: a header line, up to four ``name = [v, v, ...]`` lists (a list may
 break over lines, a key may repeat: the first one wins, a missing list gives
 NULLs), and a closing line with the elapsed seconds.  Blocks are separated by
 a blank line, so ``spark.read.text(lineSep='\\n\\n')`` yields one row per block
-and files are split across tasks.  Logs with ``\\r\\n`` line ends must be
-normalised first.
+and files are split across tasks.
 """
 
 from __future__ import annotations
@@ -30,15 +29,21 @@ LIST_KEYS = {"train_loss": "train_losses", "train_acc": "train_accs",
 
 
 def _list(block: Column, key: str) -> Column:
-    raw = F.regexp_extract(block, r"(?s)\b" + key + r" = (\[[^\]]*\])", 1)
-    return F.from_json(F.when(raw != F.lit(""), raw), "array<double>")
+    """The list's numbers (``nan`` and ``inf`` as such, any other word NULL); NULL where there is no list."""
+    pattern = r"(?s)\b" + key + r" = \[([^\]]*)\]"
+    raw = F.regexp_extract(block, pattern, 1)
+    items = F.transform(F.split(raw, ","), lambda x: F.trim(F.translate(x, "\n\t", "  ")).try_cast("double"))
+    return F.when(F.trim(F.translate(raw, "\n\t", "  ")) != "", items).when(block.rlike(pattern), F.array().cast("array<double>"))
 
 
 def parse_run_blocks(blocks: DataFrame, col: str = "value") -> DataFrame:
-    """One row per block: run attributes plus the four metric arrays."""
+    """One row per block: run attributes plus the four metric arrays (other columns are kept).
+
+    Blocks without a header line are left out; ``rejected_blocks`` has them.
+    """
     b = F.col(col)
     cls = F.regexp_extract(b, HEADER_RE, 2)
-    extra = [c for c in blocks.columns if c.startswith("__")]
+    extra = [c for c in blocks.columns if c != col]
     out = blocks.select(
         *extra,
         F.regexp_extract(b, HEADER_RE, 1).alias("model"),
@@ -46,10 +51,31 @@ def parse_run_blocks(blocks: DataFrame, col: str = "value") -> DataFrame:
         F.regexp_extract(b, HEADER_RE, 3).try_cast("int").alias("epochs_asked"),
         F.regexp_extract(b, HEADER_RE, 4).try_cast("int").alias("batch_size"),
         F.regexp_extract(b, SECONDS_RE, 1).try_cast("double").alias("seconds"),
-        cls.alias("__cls"),
-        *[_list(b, LIST_KEYS[m]).alias("__" + m) for m in HISTORY_METRICS])
+        cls.alias("_scope"),
+        *[_list(b, LIST_KEYS[m]).alias("_" + m) for m in HISTORY_METRICS])
     out = out.where(F.col("model") != F.lit(""))
-    return out.withColumn("run_id", F.concat_ws(" ", "model", "__cls", "epochs_asked", "batch_size"))
+    return out.withColumn("run_id", F.concat_ws(" ", "model", "_scope", "epochs_asked", "batch_size"))
+
+
+def _blocks(spark: SparkSession, path: str, line_sep: str) -> DataFrame:
+    """(file, part, pos, sub, value): one row per run, in file order by these columns.
+
+    Text is read in blank-line separated chunks (so files split across tasks)
+    and every chunk is also cut before each header line, so Windows line ends
+    or a missing blank line between runs still give one block per run.
+    """
+    pos = F.monotonically_increasing_id()
+    chunks = spark.read.text(path, lineSep=line_sep * 2).select(
+        F.regexp_replace("value", "\r", "").alias("value"), F.input_file_name().alias("_file"),
+        F.shiftright(pos, 33).alias("_part"), pos.alias("_pos"))
+    blocks = chunks.select("_file", "_part", "_pos", F.posexplode(F.split("value", HEADER_SPLIT_RE)).alias("_sub", "value"))
+    return blocks.where(F.trim(F.translate("value", "\n\t", "  ")) != "")
+
+
+def rejected_blocks(spark: SparkSession, path: str, line_sep: str = "\n") -> DataFrame:
+    """The text blocks of a log that do not begin with a run's header line (``file``, ``value``)."""
+    b = _blocks(spark, path, line_sep)
+    return b.where(F.regexp_extract("value", HEADER_RE, 1) == "").select(F.col("_file").alias("file"), "value")
 
 
 def scan_run_log(spark: SparkSession, path: str, line_sep: str = "\n") -> tuple[DataFrame, DataFrame]:
@@ -57,30 +83,27 @@ def scan_run_log(spark: SparkSession, path: str, line_sep: str = "\n") -> tuple[
 
     ``run_id`` = model, class scope, epochs and batch joined by spaces; when
     the same header appears more than once, later blocks get ``#2``, ``#3``...
-    in file order.  Text is read in blank-line separated chunks (so files
-    split across tasks) and every chunk is also cut before each header line,
-    so Windows line ends or a missing blank line between runs still give one
-    block per run.
+    in file order.  Repeats are numbered inside each input split and shifted
+    by the counts of the splits before it, so a header that most runs share is
+    not one task's work.
     """
-    chunks = spark.read.text(path, lineSep=line_sep * 2)
-    chunks = chunks.select(F.regexp_replace("value", "\r", "").alias("value"),
-                           F.input_file_name().alias("__file"),
-                           F.monotonically_increasing_id().alias("__pos"))  # file order, for repeats only
-    # A chunk may hold several runs (Windows line ends, or no blank line between runs):
-    # cut it before every header line.
-    blocks = chunks.select("__file", "__pos", F.posexplode(F.split("value", HEADER_SPLIT_RE)).alias("__sub", "value"))
-    parsed = parse_run_blocks(blocks.where(F.trim("value") != ""))
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("__file", "__pos", "__sub"))
-    parsed = parsed.withColumn("__nth", nth).withColumn(
-        "run_id", F.when(F.col("__nth") > 1, F.concat("run_id", F.lit("#"), F.col("__nth").cast("string")))
+    parsed = parse_run_blocks(_blocks(spark, path, line_sep))
+    place = ["run_id", "_file", "_part"]
+    counts = parsed.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("run_id").orderBy("_file", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*place, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*place).orderBy("_pos", "_sub"))
+    parsed = parsed.withColumn("_local", local).join(before, place).withColumn("_nth", F.col("_before") + F.col("_local"))
+    parsed = parsed.withColumn(
+        "run_id", F.when(F.col("_nth") > 1, F.concat("run_id", F.lit("#"), F.col("_nth").cast("string")))
                    .otherwise(F.col("run_id")))
     runs = parsed.select(*RUNS_COLUMNS)
-    n = F.greatest(*[F.coalesce(F.size("__" + m), F.lit(0)) for m in HISTORY_METRICS])
+    n = F.greatest(*[F.coalesce(F.size("_" + m), F.lit(0)) for m in HISTORY_METRICS])
     hist = (parsed.where(n > 0)
-                  .select("run_id", *["__" + m for m in HISTORY_METRICS],
+                  .select("run_id", *["_" + m for m in HISTORY_METRICS],
                           F.explode(F.sequence(F.lit(1), n)).alias("epoch"))
                   .select("run_id", F.col("epoch").cast("int").alias("epoch"),
-                          *[F.get(F.col("__" + m), F.col("epoch") - 1).alias(m) for m in HISTORY_METRICS]))
+                          *[F.get(F.col("_" + m), F.col("epoch") - 1).alias(m) for m in HISTORY_METRICS]))
     return runs, hist.select(*HISTORY_COLUMNS)
 
 

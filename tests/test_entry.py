@@ -47,7 +47,7 @@ def test_python_stages_work_from_a_foreign_directory(tmp_path):
         f"spec = importlib.util.spec_from_file_location('e', {os.path.join(repo, '__spark_entry__.py')!r})\n"
         "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
         "from pyspark.sql import SparkSession\n"
-        "s = SparkSession.builder.master('local[2]').getOrCreate()\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
         f"print('ROWS', m.queries()['tensor_resize'](s, {SF!r}).count())\n")
     out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True,
                          timeout=600)

@@ -1,6 +1,7 @@
 """Golden run histories: the seven logged runs (FIXTURES.md section 3)."""
 
 import io
+import math
 import os
 import tempfile
 
@@ -224,3 +225,21 @@ def test_run_log_crlf_and_missing_blank_lines_without_options(spark):
     assert sorted(r.model for r in runs.collect()) == ["J", "K", "M", "N"]
     assert hist.count() == 8
     assert {r.epoch: r.val_loss for r in hist.where(F.col("run_id").startswith("N ")).collect()} == {1: 0.7, 2: 0.8}
+
+
+def test_run_log_keeps_nan_rejects_and_many_repeats(spark, tmp_path):
+    from samplecraft.sources import run_log as RL
+    head = "Net на 3 классах 5 эпох батч 128:"
+    block = head + "\ntrain_losses = [inf, 1.5,\n 0.5]\nval_losses = [nan, 0.7]\nval_accs = []\nОбучение завершено за 3.50 секунд."
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.txt").write_text("a note without a header\n\n" + "\n\n".join([block] * 4) + "\n\n", encoding="utf-8")
+    runs, hist = RL.scan_run_log(spark, str(folder))
+    ids = sorted(r.run_id for r in runs.collect())
+    assert ids == sorted([f"Net 3 5 128{'' if n == 1 else f'#{n}'}" for n in range(1, 13)])
+    rows = hist.where("run_id = 'Net 3 5 128#7'").orderBy("epoch").collect()
+    assert [r.train_loss for r in rows] == [math.inf, 1.5, 0.5] and [r.train_acc for r in rows] == [None] * 3
+    assert math.isnan(rows[0].val_loss) and [r.val_loss for r in rows[1:]] == [0.7, None]
+    bad = RL.rejected_blocks(spark, str(folder)).collect()
+    assert [r.value.strip() for r in bad] == ["a note without a header"] * 3

@@ -49,7 +49,43 @@ def test_pipeline_reads_raw_images_like_tensors(spark):
             assert via_raw[k].height == 4 and list(via_raw[k].data) == list(via_tensor[k].data)
 
 
-def test_path_key_drops_scheme_and_authority(spark):
-    df = spark.createDataFrame([("file:/a/b.png",), ("file:///a/b.png",), ("hdfs://nn:8020/a/b.png",),
-                                ("s3a://bucket/a/b.png",), ("/a/b.png",)], "p string")
-    assert {r.k for r in df.select(IMG.path_key("p").alias("k")).collect()} == {"/a/b.png"}
+def test_path_key(spark):
+    rows = [("file:/a/b.png", "file:/a/b.png"), ("file:///a/b.png", "file:/a/b.png"), ("/a/b.png", "file:/a/b.png"),
+            ("hdfs://nn:8020/a/b.png", "hdfs://nn:8020/a/b.png"), ("s3a://one/a.png", "s3a://one/a.png"),
+            ("s3a://two/a.png", "s3a://two/a.png")]
+    df = spark.createDataFrame(rows, "p string, k string")
+    assert all(r.got == r.k for r in df.select("k", IMG.path_key("p").alias("got")).collect())
+    esc = spark.createDataFrame([("file:///x%20y/a+b%25.png",)], "p string")
+    assert esc.select(IMG.path_key("p", escaped=True)).first()[0] == "file:/x y/a+b%.png"
+    assert IMG.file_system(spark, "s3a://b/x") == "s3a://b" and IMG.file_system(spark, "/x") == "file:"
+
+
+def test_only_listed_files_are_read_and_no_pixel_is_shuffled(spark, tmp_path):
+    folder = tmp_path / "img dir"
+    (folder / "c [d] {e}").mkdir(parents=True)
+    for i in range(8):
+        (folder / "c [d] {e}" / f"a+{i} %.png").write_bytes(IMG.png_bytes(np.full((2, 2), 10 * i, np.uint8)))
+    (folder / "c [d] {e}" / "junk.png").write_bytes(b"junk")
+    names = [f"a+{i} %.png" for i in (1, 4, 4)] + ["junk.png", "gone.png"]
+    rows = spark.createDataFrame([(f"{folder}/c [d] {{e}}/{n}", k, "x") for k, n in enumerate(names)],
+                                 "image_path string, k int, _path_key string")
+    out = IMG.listed_images(spark, rows, str(folder))
+    assert out.columns == rows.columns + ["image"]
+    got = {r.k: r.image for r in out.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[4] is None and (got[3] is None or got[3].height <= 0)
+    assert [bytes(got[k].data)[0] for k in range(3)] == [10, 40, 40]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    import re as _re
+    scans = _re.findall(r"InMemoryFileIndex\((\d+) paths?\)", plan)
+    assert "3" in scans, plan  # the two listed pictures and the junk, not all nine
+    for line in plan.splitlines():
+        assert not ("Exchange" in line and "image#" in line and "Broadcast" not in line)
+    whole = IMG.listed_images(spark, rows, str(folder), max_listed=2)  # beyond the bound: the same rows
+    assert {r.k: (r.image is not None and r.image.height > 0) for r in whole.collect()} == {
+        k: (v is not None and v.height > 0) for k, v in got.items()}
+
+
+def test_equal_keys_in_two_places_do_not_fan_out(spark):
+    meta = spark.createDataFrame([("s3a://one/a.png",), ("s3a://two/a.png",)], "image_path string")
+    images = spark.createDataFrame([("s3a://one/a.png", 1), ("s3a://two/a.png", 2)], "path string, tensor int")
+    assert sorted(r.tensor for r in IMG.attach_images(meta, images).collect()) == [1, 2]
