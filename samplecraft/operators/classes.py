@@ -10,10 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import bounded_rows
-
-MAX_CLASSES = 100_000
-
 
 def class_dictionary(df: DataFrame, label_col: str = "label", distributed: bool = False) -> DataFrame:
     """G1: sorted distinct labels with a dense 0-based index.
@@ -34,11 +30,6 @@ def class_dictionary(df: DataFrame, label_col: str = "label", distributed: bool
         "label")
 
 
-def check_dictionary(dictionary: DataFrame, max_classes: int = MAX_CLASSES) -> int:
-    """Number of classes, refusing dictionaries above ``max_classes``."""
-    return bounded_rows(dictionary, max_classes, "class dictionary")
-
-
 def encode_labels(df: DataFrame, dictionary: DataFrame, label_col: str = "label") -> DataFrame:
     """Label -> ``label_idx`` (left join; NULL for labels not in the dictionary).
 

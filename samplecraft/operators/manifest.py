@@ -66,8 +66,9 @@ def filter_classes(df: DataFrame, classes: Sequence[str] | DataFrame | None,
     if len(classes) <= max_literal:
         return df.filter(F.col(label_col).isin(classes))
     spark = df.sparkSession
+    # the caller's list; AQE broadcasts it if its measured size allows it
     keys = spark.createDataFrame([(c,) for c in classes], f"{label_col} string").distinct()
-    return df.join(F.broadcast(keys), label_col, "left_semi")
+    return df.join(keys, label_col, "left_semi")
 
 
 def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ folder is only used when the session is local and no folder was configured.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -52,13 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; a shared folder is required on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="samplecraft-ckpt-"))
+    folder = tempfile.mkdtemp(prefix="samplecraft-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # our own local folder goes with the process
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = ensure_checkpoint_dir(spark).rstrip("/")  # kept for the cluster's own clean-up of its checkpoint folder
     return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
 
 

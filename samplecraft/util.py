@@ -10,18 +10,6 @@ def as_col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def bounded_rows(df: DataFrame, max_rows: int, what: str) -> int:
-    """Count ``df`` but stop at ``max_rows + 1``; raise when the bound is broken.
-
-    Used before a side is broadcast or expanded quadratically, so that the
-    size is checked rather than assumed.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows; refusing to broadcast/expand")
-    return n
-
-
 def unused_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}
