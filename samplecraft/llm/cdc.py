@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .text import byte_view, mix64, sub_batches, unused_name
+from ..util import unused_name
+from .text import byte_view, mix64, sub_batches
 
 WINDOW = 32
 CUT_BITS = 5

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .text import Words, find_words, mix64, span_strings, sub_batches, unused_name, word_ids
+from ..util import unused_name
+from .text import Words, find_words, mix64, span_strings, sub_batches, word_ids
 
 #: n-gram length -> largest share of word characters inside repeated n-grams, first occurrences included.
 #: Falling with the length as in the published web-text rules, but higher: those are for long pages, and a

@@ -106,11 +106,3 @@ def sub_batches(batch: pa.RecordBatch, column: str, max_bytes: int = BATCH_BYTES
         yield batch.slice(lo, hi - lo)
         lo = hi
 
-
-def unused_name(df, stem: str) -> str:
-    """A column name that ``df`` does not have (Spark compares names without case)."""
-    taken = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in taken:
-        name += "_"
-    return name
