@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the bytes of a text; where its top bits are zero a chunk
-ends, so chunks depend on the ``WINDOW`` bytes before their ends and not on
+A gear hash rolls over the bytes of a text; where ``CUT_BITS`` of its bits are
+zero a chunk ends.  Bit k depends on the last k + 1 bytes, so with bits below
+``WINDOW`` chunks depend on the ``WINDOW`` bytes before their ends and not on
 their place: an insertion changes the chunks around it only.  Cuts closer than
 ``MIN_BYTES`` to the cut before are dropped, chunks above ``MAX_BYTES`` are cut
 on, and a cut never parts a character.  Chunks with equal 128-bit digests are
@@ -30,19 +31,20 @@ from ..session import ship_package
 from ..util import unused_name
 from .text import byte_view, mix64, sub_batches
 
-WINDOW = 32
+WINDOW = 16
 CUT_BITS = 5
-MIN_BYTES = 12
+MIN_BYTES = 8
 MAX_BYTES = 512
-MIN_SPAN = 64
+MIN_SPAN = 40
+_CUT = np.uint32((1 << WINDOW) - (1 << (WINDOW - CUT_BITS)))
 _GEAR = (mix64(np.arange(256)) >> np.uint64(32)).astype(np.uint32)
 
 
 def gear_hash(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """h(i) = (h(i-1) << 1) + gear[byte i] modulo 2**32, from zero at the start of each text.
+    """The low ``WINDOW`` bits of h(i) = (h(i-1) << 1) + gear[byte i], from zero at the start of each text.
 
-    The shift drops bytes ``WINDOW`` back, so the sum over the window is built
-    by doubling: five vector additions for 32 bytes.
+    The shift moves bytes ``WINDOW`` back out of these bits, so the sum over
+    the window is built by doubling: four vector additions for 16 bytes.
     """
     n_docs = len(off) - 1
     place = np.arange(len(data)) + WINDOW * (1 + np.repeat(np.arange(n_docs), np.diff(off)))
@@ -52,13 +54,13 @@ def gear_hash(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     while step < WINDOW:
         h[step:] += h[:-step] << np.uint32(step)
         step *= 2
-    return h[place]
+    return h[place] & np.uint32((1 << WINDOW) - 1)
 
 
 def chunk_ends(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, end byte) of every chunk, in order."""
     starts_char = np.append((data[1:] & 0xC0) != 0x80, True) if len(data) else np.zeros(0, bool)
-    cut = np.flatnonzero((gear_hash(data, off) >> np.uint32(32 - CUT_BITS) == 0) & starts_char) + 1
+    cut = np.flatnonzero((gear_hash(data, off) & _CUT == 0) & starts_char) + 1
     doc = np.searchsorted(off, cut - 1, side="right") - 1
     far = np.append(True, (np.diff(cut) >= MIN_BYTES) | (doc[1:] != doc[:-1])) if len(cut) else np.zeros(0, bool)
     full = np.flatnonzero(np.diff(off) > 0)
