@@ -46,15 +46,20 @@ def main(argv):
     print("`single-partition` exchanges are listed with the operator feeding them; each one sits on a")
     print("bounded set (the distinct class set, per-bucket or per-partition counts, a per-run table, a")
     print("global 1-row aggregate) or on the input of a top-n / limit, never on a table-sized branch.\n")
-    print("| query | " + " | ".join(f for f, _ in FEATURES) + " | single-partition inputs |")
-    print("| --- | " + " | ".join("---" for _ in FEATURES) + " | --- |")
+    print("`eager jobs` is the number of Spark jobs that ran while the query was built (written tables,")
+    print("checkpoints, size checks, training steps); their stages are not part of the final plan.\n")
+    print("| query | eager jobs | " + " | ".join(f for f, _ in FEATURES) + " | single-partition inputs |")
+    print("| --- | --- | " + " | ".join("---" for _ in FEATURES) + " | --- |")
+    sc = spark.sparkContext
     for name, fn in entry.queries().items():
+        sc.setJobGroup(name, name)
         df = fn(spark, sf)
+        eager = len(sc.statusTracker().getJobIdsForGroup(name))
         df.write.format("noop").mode("overwrite").save()
         p = df._jdf.queryExecution().executedPlan().toString()
         counts = [len(re.findall(rx, p)) for _, rx in FEATURES]
         sp = ", ".join(sorted(set(single_partition_inputs(p)))) or "-"
-        print(f"| {name} | " + " | ".join(str(c) for c in counts) + f" | {sp} |", flush=True)
+        print(f"| {name} | {eager} | " + " | ".join(str(c) for c in counts) + f" | {sp} |", flush=True)
     spark.stop()
 
 

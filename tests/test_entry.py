@@ -31,6 +31,8 @@ def test_all_oracles_match_at_smallest_scale(spark):
     con = oc.duck(SF)
     bad = []
     for name, fn in entry.queries().items():
+        if fn.__module__.startswith(("samplecraft.llm", "corpus_pipeline")):
+            continue  # checked by their own tests
         msg, ok = oc.compare(spark, name, fn, entry.oracle_sql().get(name), SF, con)
         if not ok:
             bad.append(msg)
