@@ -52,7 +52,7 @@ checks["sequential_batches"] = d2(keep(s)) == d2(lose(s))
 f = emb.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"),
                F.col("label").cast("int").alias("label_idx"))
 fit = lambda d: HD.fit_head(d.where("id % 4 != 0"), d.where("id % 4 = 0"), 10,
-                            opts=HD.HeadOptions(epochs=3, patience=None, partitions=4)).weights
+                            opts=HD.HeadOptions(epochs=3, patience=None)).weights
 checks["fit_head"] = bool(np.array_equal(fit(keep(f)), fit(lose(f))))
 print("CHECKS", checks)
 '''
