@@ -5,26 +5,33 @@ shingle into one of ``p`` parts: a part is a (virtual 2**64-bit wide) parity
 vector, held as the XOR of the mixed hashes in it.  An element that only one of
 two sets has changes one part at most, so the number of differing parts is a
 lower bound of the symmetric difference.  Two sets of Jaccard similarity >= t,
-the smaller of ``a`` elements, differ in at most a(1-t)/t elements; with more
-parts than that, at least one part is equal.  ``p`` depends on the size band of
-the smaller set, and a document gives its parts for its own band and, where it
-can be the larger set, for the band below.
-
-Nothing is lost by what keeps the join small:
-* Any fixed set of shingles may be left out of the sketches.  The first sketch
-  leaves out those that a fixed-size count table over the whole corpus shows to
-  be very common (shared lines and passages).
-* Empty parts say nothing and are not given, as long as a document has fewer
-  of them than the pair is sure to have equal parts (``spare``).  A document
-  with more also gives a sketch of all its shingles under another seed, and so
-  on; after ``SEEDS`` of them also its empty parts.  Of a pair, the document
-  that stops first has an equal part that is not empty, and the other has gone
-  at least as far.
-* Exact copies are one node.  A part's group is linked to its smallest member
-  first; when the links found make it one component it is done.  Only groups
-  that still hold several components go on, with 3, 12, 48, ... more centres,
-  until every pair in them is tested or connected.
-Candidates are verified on the whole sets.
+the smaller of ``a`` elements, differ in at most d = a(1-t)/t elements, so at
+most d parts differ.  ``p`` and ``d`` depend on the size band of the smaller
+set; a document gives parts for its own band and, where it can be the larger
+set, for the band below.
+
+Which parts are given: the d + 1 rarest of those that are not empty, rarest
+first by the corpus's count (a table of fixed size over all documents) of the
+rarest shingle inside, then by the part's value.  That order is the same for
+all documents.  Of a similar pair at most d parts of either set are not shared,
+so the rarest shared part is among the first d + 1 of both: they meet, and
+shared lines and passages bring almost nobody else together.  A set with fewer
+than d + 1 parts that are not empty gives all of them and goes on with another
+seed; after ``SEEDS`` of them it also gives its empty parts.  Of a pair, the set
+that stops first meets the other there.
+
+A key says how many one-element parts come before it; of a similar pair those
+before the first shared key differ, so their numbers add up to the symmetric
+difference at most.
+Members of a copied family with many changes of their own are told apart by
+this without looking at them.
+
+Exact copies are one node.  A part's group is linked to one member first, the
+one with the fewest parts before; when the links found make it one component it is done.  Only groups that
+still hold several components go on, with 15, 240, ... more centres, until every
+pair in them is tested or connected.  A candidate must pass its sizes and the
+Hamming distance of two short parity bit sketches, also a lower bound of the
+symmetric difference, and is then verified on the whole sets.
 
 Nulls: a null text has an empty set and no links; a null id takes part in no
 link and has a null component.  Rows that repeat an id are one node: it has
@@ -33,6 +40,7 @@ the links of all its texts.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -41,12 +49,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..util import unused_name
 from .components import components, stored
-from .text import LOWER, find_words, mix64, sub_batches, unused_name, word_ids
+from .text import LOWER, find_words, mix64, sub_batches, word_ids
 
 SHINGLE = 5
 SIMILARITY = (80, 100)
@@ -54,7 +63,8 @@ BAND = 1.5
 SEEDS = 4
 COUNTERS = 1 << 20
 _BLOCKS = 64
-COMMON = 256
+MORE_CENTRES = 16
+SHORT_WORDS = 4
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -92,10 +102,9 @@ class Bands:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND)))
 
     def shape(self, j: int) -> tuple[int, int]:
-        """(parts, spare): pairs whose smaller set is in band ``j`` have at least ``spare + 1`` equal parts."""
+        """(parts, the most that can differ) for pairs whose smaller set is in band ``j``."""
         most = (self.lows[j + 1] - 1) * (self.den - self.num) // self.num
-        spare = 3 + most // 10
-        return most + 1 + spare, spare
+        return 12 * most + 4, most
 
     def of(self, size: int) -> list[int]:
         """The bands in which a set of this size can be one of a pair, but for equal sets."""
@@ -109,30 +118,55 @@ class Bands:
         return out
 
 
-def sketch_keys(s: np.ndarray, common: np.ndarray, bands: Bands) -> np.ndarray:
-    """The 64-bit join keys of one set: (band, seed, part, parity) mixed together."""
-    out = []
-    shift = np.uint64(64 - (len(common).bit_length() - 1))
-    rare = s[~common[s >> shift]]
+def sketch_keys(s: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of one set.
+
+    A key mixes (band, seed, part, parity).  A place is ``n << 32 | before``:
+    the size of the set, and how many parts of exactly one element come before
+    this one in the rarest-first order.
+    """
+    out, places = [], []
+    freq = counts[s >> np.uint64(64 - (len(counts).bit_length() - 1))]
     for j in bands.of(len(s)):
-        parts, spare = bands.shape(j)
+        parts, most = bands.shape(j)
         for seed in range(SEEDS):
-            h = mix64(rare if seed == 0 else s ^ np.uint64(seed))
+            h = mix64(s ^ np.uint64(seed))
             part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
             part, h = part[order], mix64(h[order])
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-            value = np.bitwise_xor.reduceat(h, first) if len(first) else np.zeros(0, np.uint64)
-            part = part[first]
-            part, value = part[value != 0], value[value != 0]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            value, rarest, part = np.bitwise_xor.reduceat(h, first), np.minimum.reduceat(freq[order], first), part[first]
+            single = np.diff(np.append(first, len(h))) == 1
             salt = mix64(np.array([(j << 8) | seed]))[0]
-            if parts - len(part) > spare and seed == SEEDS - 1:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part)
-                part, value = np.concatenate([part, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
-            out.append(mix64(value ^ mix64(part ^ salt)))
-            if parts - len(part) <= spare:
+            keys = mix64(value ^ mix64(part ^ salt))
+            enough = len(keys) > most
+            given = np.lexsort((keys, rarest))[:most + 1 if enough else None]
+            out.append(keys[given])
+            places.append((len(s) << 32) + np.cumsum(single[given]) - single[given])
+            if enough:
                 break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            if seed == SEEDS - 1:  # an empty part says nothing of what comes before
+                empty = mix64(mix64(np.setdiff1d(np.arange(parts, dtype=np.uint64), part) ^ salt))
+                out.append(empty)
+                places.append(np.full(len(empty), len(s) << 32))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(places).astype(np.int64)
+
+
+def bit_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the hashes per bit, as 64-bit words; a power of two of at least as many bits as elements."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    at = mix64(s ^ np.uint64(0x5EED)) & np.uint64(bits - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def short_sketch(bits: np.ndarray) -> np.ndarray:
+    """A bit sketch folded to at most ``SHORT_WORDS`` words: its distances are lower bounds as well."""
+    while len(bits) > SHORT_WORDS:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,8 +204,9 @@ def describe(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, n long, digest binary, block int, counts binary")
 
 
-def common_counters(blocks: DataFrame) -> np.ndarray:
-    """Which counters stand out of the corpus's count table (a table of fixed size)."""
+def shingle_counts(blocks: DataFrame) -> np.ndarray:
+    """The corpus's count table: ``COUNTERS`` numbers, however large the corpus is (cut off at 65,535
+    above the mean, beyond which all shingles count as equally common)."""
 
     def add(batches):
         now, total = None, None
@@ -191,87 +226,113 @@ def common_counters(blocks: DataFrame) -> np.ndarray:
             .mapInArrow(add, "block int, counts binary").collect())
     for r in rows:
         table[r["block"] * size:(r["block"] + 1) * size] = np.frombuffer(r["counts"], np.uint64)
-    mean = table.mean()
-    return table > mean + 8 * np.sqrt(mean) + COMMON
+    return np.clip(table - table.min(), 0, 65_535).astype(np.uint16)
 
 
-def key_rows(texts: DataFrame, common: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(key, id): the sketch parts of every set."""
-    packed = np.packbits(common).tobytes()
+def key_rows(texts: DataFrame, counts: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(key, id, place): the given sketch parts of every set."""
 
     def run(batches):
         bands = Bands(similarity)
-        flags = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         for ids, sets in _sets(batches):
-            keys = [sketch_keys(s, flags, bands) for s in sets]
-            if keys:
+            got = [sketch_keys(s, counts, bands) for s in sets]
+            if got:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)),
-                     pa.array(np.repeat(np.array(ids, np.int64), [len(k) for k in keys]))], names=["key", "id"])
+                    [pa.array(np.concatenate([k for k, _ in got]).view(np.int64)),
+                     pa.array(np.repeat(np.array(ids, np.int64), [len(k) for k, _ in got])),
+                     pa.array(np.concatenate([p for _, p in got]))], names=["key", "id", "place"])
 
-    return texts.filter("id is not null").mapInArrow(run, "key long, id long")
+    return texts.filter("id is not null").mapInArrow(run, "key long, id long, place long")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """The (key, id) rows whose key has two or more ids; the rows of a key stream, however many they are."""
+    """The rows whose key has two or more ids; the rows of a key stream, however many they are."""
 
     def run(batches):
-        key, last, shown = None, None, False  # of the row before this batch
+        last, shown = None, False  # the row before this batch, and whether it was given
         for b in batches:
-            k, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            k, d, p = (b.column(i).to_numpy() for i in range(3))
             if not len(k):
                 continue
-            fresh = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
-            fresh[0] = key is None or k[0] != key or d[0] != last
-            k, d = k[fresh], d[fresh]
+            fresh = np.append(last is None or (k[0], d[0], p[0]) != last,
+                              (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
+            k, d, p = k[fresh], d[fresh], p[fresh]
             if not len(k):
                 continue
-            prev = np.append(key is not None and k[0] == key, k[1:] == k[:-1])
+            prev = np.append(last is not None and k[0] == last[0], k[1:] == k[:-1])
             keep = prev.copy()
             keep[:-1] |= prev[1:]
-            out_k, out_d = k[keep], d[keep]
+            out = [x[keep] for x in (k, d, p)]
             if prev[0] and not shown:
-                out_k, out_d = np.append(key, out_k), np.append(last, out_d)
-            key, last, shown = k[-1], d[-1], bool(keep[-1])
-            if len(out_k):
-                yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_d)], names=["key", "id"])
+                out = [np.append(x, y) for x, y in zip(last, out)]
+            last, shown = (k[-1], d[-1], p[-1]), bool(keep[-1])
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["key", "id", "place"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long")
+    return (rows.repartition("key").sortWithinPartitions("key", "id", "place")
+            .mapInArrow(run, "key long, id long, place long"))
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, set) of the given ids."""
+    """(id, n, short, bits, set) of the given ids."""
+
+    def lists(arrays):
+        off = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+        flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
 
     def run(batches):
         for ids, sets in _sets(batches):
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            bits = [bit_sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))],
-                names=["id", "set"])
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                 lists([short_sketch(b) for b in bits]), lists(bits), lists(sets)], names=["id", "n", "short", "bits", "set"])
+
+    return texts.join(nodes.select("id"), "id", "left_semi").mapInArrow(
+        run, "id long, n int, short array<long>, bits array<long>, set array<long>")
 
-    return texts.join(nodes.select("id"), "id", "left_semi").mapInArrow(run, "id long, set array<long>")
+
+def _hamming(x: Column, y: Column) -> Column:
+    """Hamming distance of two bit sketches, the longer one folded to the other's length."""
+    size = F.least(F.size(x), F.size(y))
+
+    def folded(a: Column) -> Column:  # sizes of candidates differ by one doubling at most
+        return F.when(F.size(a) == 2 * size, F.zip_with(
+            F.slice(a, 1, size), F.slice(a, size + 1, size), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+    differ = F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+    return F.when((size > 0) & (F.greatest(F.size(x), F.size(y)) <= 2 * size), differ).otherwise(0)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     num, den = similarity
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    # sizes alone rule out many
-    both = both.filter((F.size("sa") * den >= F.size("sb") * num) & (F.size("sb") * den >= F.size("sa") * num))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return (both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
-            .filter(den * F.col("i") >= num * (F.col("s") - F.col("i"))).select("a", "b"))
+
+    def side(c: str, *more: str) -> DataFrame:
+        return sets.select(F.col("id").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
+
+    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    # |x - y| <= (den - num) / (den + num) (|x| + |y|) for similar sets
+    near = near.filter((den + num) * _hamming(F.col("bits_a"), F.col("bits_b")) <= (den - num) * (F.col("n_a") + F.col("n_b")))
+    both = near.select("a", "b").distinct().join(side("a", "set"), "a").join(side("b", "set"), "b")
+    inter = F.size(F.array_intersect("set_a", "set_b"))
+    return (both.select("a", "b", inter.alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
+            .filter(den * F.col("i") >= num * (F.col("s") - F.col("i"))).select("a", "b").distinct())
 
 
-def _mixed(groups: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, id, comp) of the groups that hold more than one component."""
-    rows = groups.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("comp", "id").alias("comp"))
-    open_keys = (rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                 .filter("lo <> hi").select("key"))
-    return rows.join(open_keys, "key", "left_semi")
+def _open(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The rows that can still meet a row of another component in their group.
+
+    Such a pair's ``before`` add up to its symmetric difference at most, and
+    the other set has at most n / t elements.
+    """
+    num, den = similarity
+    by_key = Window.partitionBy("key")
+    first = rows.withColumn("m", F.min(F.struct("before", "comp")).over(by_key))
+    other = F.min(F.when(F.col("comp") != F.col("m.comp"), F.col("before"))).over(by_key)
+    least = F.when(F.col("comp") == F.col("m.comp"), F.col("other")).otherwise(F.col("m.before"))
+    bound = (den - num) * F.col("n") * (num + den)  # num (den + num) times the largest symmetric difference
+    return (first.withColumn("other", other).filter(num * (den + num) * (F.col("before") + least) <= bound)
+            .drop("m", "other"))
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -281,45 +342,61 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = _texts(docs, id_col, text_col)
     seen = stored(describe(texts), "shingle-sets")
     rows = seen.filter("block is null").select("id", "n", "digest")
-    common = common_counters(seen.filter("block is not null"))
+    counts = shingle_counts(seen.filter("block is not null"))
     named = rows.filter("digest is not null and id is not null")
     first = named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("most")).filter("rep < most")
     copies = stored(named.join(first, "digest").filter("id <> rep").select("id", "rep").distinct(), "copies")
     links = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    shared = shared_keys(key_rows(texts, common, similarity))
     # an id with several texts keeps its own name: its other texts are not the representative's
     several = named.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y")
     one = copies.join(several, "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
+    shared = shared_keys(key_rows(texts, counts, similarity))
+    by_key = Window.partitionBy("key")
     groups = (stored(shared, "shared-keys").join(one, "id", "left")
-              .select("key", F.coalesce("rep", "id").alias("id")).distinct())
-    groups = stored(groups, "groups")
+              .select("key", F.coalesce("rep", "id").alias("id"), "place").distinct())
+    groups = groups.select("key", "id", F.col("id").alias("comp"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("before"),
+                           F.shiftright("place", 32).alias("n"))
+    rank = F.row_number().over(by_key.orderBy("before", "id")) - 1
+    groups = stored(_open(groups, similarity).withColumn("rank", rank), "groups")
     sets = stored(_sets_of(texts, groups.select("id").distinct()), "sets")
-    comp = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
+    num, den = similarity
     low, high, alone = 0, 1, True
     while True:
-        mixed = _mixed(groups, comp)
-        mixed = stored(mixed.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1)
-                       if low == 0 and alone else
-                       mixed.join(groups.select("key", "id", "rank"), ["key", "id"]), "open-groups")
-        groups = mixed
-        largest = mixed.agg(F.max("rank").alias("m")).first()["m"]
+        largest = groups.agg(F.max("rank").alias("m")).first()["m"]
         if largest is None or low > largest:
-            break
-        centres = mixed.filter((F.col("rank") >= low) & (F.col("rank") < high)).select(
-            "key", F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
-        pairs = (mixed.join(centres, "key").filter("rank > ra and comp <> ca")
-                 .select("a", F.col("id").alias("b")))
-        if alone:  # first only the smallest centre of each member: usually its family's
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a"))
-        found = stored(verified(pairs.distinct(), sets, similarity), "verified")
-        links = links.unionByName(found.select("a", "b"))
-        comp = components(links)
+            return rows.select("id", "n"), links
+        centres = groups.filter((F.col("rank") >= low) & (F.col("rank") < high))
+        centres = centres.select("key", *[F.col(c).alias(f"{c}_a") for c in groups.columns if c != "key"])
+        most = (den - num) * (F.col("n") + F.col("n_a"))  # (den + num) times the largest symmetric difference
+        near = [F.col("rank") > F.col("rank_a"), F.col("comp") != F.col("comp_a"),
+                F.col("n") * den >= F.col("n_a") * num, F.col("n_a") * den >= F.col("n") * num,
+                # the parts before the first shared one differ, so their numbers add up to it at most
+                (den + num) * (F.col("before") + F.col("before_a")) <= most]
+        if not alone:
+            near.append((den + num) * _hamming(F.col("short"), F.col("short_a")) <= most)
+        pairs = groups.join(centres, "key").filter(functools.reduce(lambda x, y: x & y, near)).select(
+            F.col("id_a").alias("a"), F.col("id").alias("b"), "before_a")
+        if alone:  # first only one centre of each member, the one with the fewest parts of its own: its family's
+            pairs = pairs.groupBy("b").agg(F.min(F.struct("before_a", "a")).alias("c")).select("c.a", "b")
+        found = stored(verified(pairs.select("a", "b").distinct(), sets, similarity), "verified")
+        if found.limit(1).count():
+            links = links.unionByName(found.select("a", "b"))
+            names = groups.select("id", "comp").distinct()
+            met = (found.join(names.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a")
+                   .join(names.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
+                   .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+            new = components(met).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+            groups = groups.join(new, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+            groups = stored(_open(groups, similarity), "groups")
         if alone:
             alone = False
+            short = sets.groupBy("id").agg(F.first("short").alias("short"), F.count(F.lit(1)).alias("texts"))
+            # an id with several texts has no one sketch: its distance is taken as nothing
+            one_text = F.when(F.col("texts") == 1, F.col("short")).otherwise(F.array().cast("array<long>"))
+            groups = stored(groups.join(short.select("id", one_text.alias("short")), "id"), "groups")
         else:
-            low, high = high, 4 * high
-    return rows.select("id", "n"), links
+            low, high = high, MORE_CENTRES * high
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -53,9 +53,9 @@ def corpus(seed, n=60):
     return [(i, t) for i, (_, t) in zip(ids, rows)]
 
 
-@pytest.mark.parametrize("seed,common", [(1, 256), (2, 256), (3, 3)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, common):
-    monkeypatch.setattr(J, "COMMON", common)
+@pytest.mark.parametrize("seed,more", [(1, 16), (2, 16), (3, 2)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, more):
+    monkeypatch.setattr(J, "MORE_CENTRES", more)
     rows = corpus(seed) + [(None, "one two three four five six"), (1000, None), (1001, ""), (1002, " \n"),
                            (1003, "one two three four five six")]
     rows += [rows[0], rows[5], (rows[3][0], rows[7][1]), (rows[9][0], "and quite another text for this id")]
@@ -64,24 +64,50 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, common):
     assert got == brute(rows)
 
 
-def test_every_similar_pair_shares_a_key():
+def similar_sets(rng, rounds):
+    for _ in range(rounds):
+        n = int(rng.choice([4, 5, 7, 9, 10, 20, 50, 120, 400]))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        b = a[int(rng.integers(0, (len(a) * 20) // 100 + 1)):]
+        extra = int(len(b) * 100 // 80 - len(a))
+        if extra > 0:
+            b = np.unique(np.concatenate([b, rng.integers(0, 2**63, rng.integers(0, extra + 1)).astype(np.uint64)]))
+        inter = len(np.intersect1d(a, b))
+        if 100 * inter >= 80 * (len(a) + len(b) - inter) and not len(a) == len(b) == inter:
+            yield a, b
+
+
+def meets(a, b, counts, bands):
+    """Do the two sets share a key at places that a similar pair can have?"""
+    (ka, pa_), (kb, pb) = J.sketch_keys(a, counts, bands), J.sketch_keys(b, counts, bands)
+    _, x, y = np.intersect1d(ka, kb, return_indices=True)
+    return bool((9 * ((pa_[x] & 0xFFFFFFFF) + (pb[y] & 0xFFFFFFFF)) <= len(a) + len(b)).any())
+
+
+@pytest.mark.parametrize("common_share", [0.0, 0.3, 0.9])
+def test_every_similar_pair_shares_a_key(common_share):
     rng = np.random.default_rng(3)
     bands = J.Bands()
-    for common_share in (0.0, 0.3, 0.9, 1.0):
-        common = rng.random(J.COUNTERS) < common_share
-        for _ in range(300):
-            n = int(rng.choice([4, 5, 7, 9, 10, 20, 50, 120, 400]))
-            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
-            most = (len(a) * 20) // 100
-            drop = int(rng.integers(0, most + 1))
-            b = a[drop:]
-            extra = int(len(b) * 100 // 80 - len(a))
-            if extra > 0:
-                b = np.unique(np.concatenate([b, rng.integers(0, 2**63, rng.integers(0, extra + 1)).astype(np.uint64)]))
-            inter = len(np.intersect1d(a, b))
-            if 100 * inter < 80 * (len(a) + len(b) - inter) or len(a) == len(b) == inter:
-                continue
-            assert len(np.intersect1d(J.sketch_keys(a, common, bands), J.sketch_keys(b, common, bands)))
+    counts = np.where(rng.random(J.COUNTERS) < common_share, rng.integers(1, 900, J.COUNTERS), 0).astype(np.uint16)
+    for a, b in similar_sets(rng, 400):
+        assert meets(a, b, counts, bands)
+
+
+def test_few_parts_go_on_with_other_seeds(monkeypatch):
+    """One part only: every set stops late or gives its empty parts, and similar ones still meet."""
+    monkeypatch.setattr(J.Bands, "shape", lambda self, j: ((m := (self.lows[j + 1] - 1) * 20 // 80) + 1, m))
+    bands, counts = J.Bands(), np.zeros(J.COUNTERS, np.uint16)
+    for a, b in similar_sets(np.random.default_rng(8), 300):
+        assert meets(a, b, counts, bands)
+
+
+def test_bit_sketch_distance_is_a_lower_bound(spark):
+    rng = np.random.default_rng(6)
+    rows = [(J.bit_sketch(a).tolist(), J.bit_sketch(b).tolist(), len(np.setxor1d(a, b))) for a, b in similar_sets(rng, 200)]
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, d int")
+    got = df.select(J._hamming(df.x, df.y).alias("h"), "d").collect()
+    assert all(r.h <= r.d for r in got) and any(r.h for r in got)
+    assert {len(r[0]) for r in rows} > {1} and any(len(r[0]) != len(r[1]) for r in rows)
 
 
 def test_sketch_distance_is_a_lower_bound():
