@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..util import unused_name
-from .components import components, stored
+from .components import components, forget, stored
 from .text import LOWER, find_words, mix64, sub_batches, word_ids
 
 SHINGLE = 5
@@ -353,18 +353,21 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = copies.join(several, "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
     shared = shared_keys(key_rows(texts, counts, similarity))
     by_key = Window.partitionBy("key")
-    groups = (stored(shared, "shared-keys").join(one, "id", "left")
+    shared = stored(shared, "shared-keys")
+    groups = (shared.join(one, "id", "left")
               .select("key", F.coalesce("rep", "id").alias("id"), "place").distinct())
     groups = groups.select("key", "id", F.col("id").alias("comp"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("before"),
                            F.shiftright("place", 32).alias("n"))
     rank = F.row_number().over(by_key.orderBy("before", "id")) - 1
     groups = stored(_open(groups, similarity).withColumn("rank", rank), "groups")
+    forget(shared)
     sets = stored(_sets_of(texts, groups.select("id").distinct()), "sets")
     num, den = similarity
     low, high, alone = 0, 1, True
     while True:
         largest = groups.agg(F.max("rank").alias("m")).first()["m"]
         if largest is None or low > largest:
+            forget(sets)
             return rows.select("id", "n"), links
         centres = groups.filter((F.col("rank") >= low) & (F.col("rank") < high))
         centres = centres.select("key", *[F.col(c).alias(f"{c}_a") for c in groups.columns if c != "key"])
