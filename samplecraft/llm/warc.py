@@ -10,7 +10,11 @@ already is a ``revisit`` without a body.
 Archives are text files, written and read by Spark's own text source with the
 record separator as line separator, so they can lie in any store that Spark
 reaches and need no local file.  A payload that has the format's version mark
-in it is stored in base64, so the separator is never part of a record.
+in it is stored in base64, so the separator is never part of a record.  The
+reader's separator is the version line with the one line feed before it: no
+part of it before its end repeats its start, so a reader whose buffer ends
+inside a run of line ends still finds it, and a header line that ends in the
+version mark (a url can) is not taken for it.
 Digests of one-chunk payloads are computed per row; longer ones are fed chunk
 by chunk, in order, to an incremental SHA-256 that keeps only its state.
 
@@ -109,7 +113,7 @@ def write_archive(chunks: DataFrame, path: str, records_per_file: int = RECORDS_
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The archive's records: header fields and the block as bytes."""
-    raw = spark.read.option("lineSep", _END + _VERSION).text(path)
+    raw = spark.read.option("lineSep", "\n" + _VERSION).text(path)
     at = F.instr("value", _END)
     head = F.concat(F.lit("\r\n"), F.substr("value", F.lit(1), at - 1), F.lit("\r\n"))
     rows = raw.select("value", head.alias("head"))
@@ -120,7 +124,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     size = field("Content-Length").cast("int")
     # ``head`` has one line end before it that the value lacks, and half of the blank line
-    block = F.substring(F.col("value").cast("binary"), F.octet_length("head") - 2 + 3, size)
+    at_block = F.octet_length("head") - 2 + 3
+    block = F.substring(F.col("value").cast("binary"), at_block, size)
+    # what is left of the blank lines between records, if the block is as long as stated
+    rest = F.decode(F.substr(F.col("value").cast("binary"), at_block + size), "ISO-8859-1")
     rows = rows.select(
         field("WARC-Type").alias("type"), field("WARC-Record-ID", "<urn:page:([^\r>]*)>").alias("record"),
         field("WARC-Target-URI").alias("url"), field("WARC-Refers-To", "<urn:page:([^\r>]*)>").alias("refers_to"),
@@ -128,9 +135,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Payload-Length").cast("long").alias("stated_bytes"),
         field("WARC-Segment-Number").cast("int").alias("segment"),
         field("WARC-Segment-Origin-ID", "<urn:page:([^\r>]*)>").alias("origin"),
-        field("WARC-Block-Encoding").alias("encoding"), size.alias("size"), block.alias("block"))
-    short = F.raise_error(F.concat(F.lit("WARC record is cut short: "), F.coalesce("record", F.lit("?"))))
-    rows = rows.withColumn("block", F.when(F.octet_length("block") == F.col("size"), F.col("block")).otherwise(short))
+        field("WARC-Block-Encoding").alias("encoding"), size.alias("size"), block.alias("block"),
+        (F.translate(rest, "\r\n", "") == "").alias("ends"))
+    wrong = F.raise_error(F.concat(
+        F.when(F.col("ends") == False, "WARC record goes on after its block: ").otherwise("WARC record is cut short: "),  # noqa: E712
+        F.coalesce("record", F.lit("?"))))
+    whole = (F.octet_length("block") == F.col("size")) & F.col("ends")
+    rows = rows.withColumn("block", F.when(whole, F.col("block")).otherwise(wrong)).drop("ends")
     http = F.col("type") == "response"
     # the HTTP head ends at its first blank line
     skip = F.instr(F.decode(F.substring("block", 1, 4096), "ISO-8859-1"), _END) + 4

@@ -47,3 +47,42 @@ def test_empty(spark):
     path = scratch_path(spark, "warc-test")
     warc.write_archive(warc.chunk_table(warc.plan_records(df)), path)
     assert warc.read_payloads(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("gz", ["none", "gzip"])
+@pytest.mark.parametrize("kind", ["revisit", "empty", "line ends"])
+def test_no_record_is_lost_at_a_buffer_end(spark, kind, gz):
+    """The reader's buffer of 64 KB ends at each byte of the run between two records, one file per place."""
+    def text(body, n, size):
+        return (f"WARC/1.1\r\nWARC-Type: {'revisit' if kind == 'revisit' else 'response'}\r\nWARC-Record-ID: <urn:page:{n}:0>\r\n"
+                f"Content-Length: {size}\r\n\r\n{body}\r\n\r\n")
+
+    body = {"revisit": "", "empty": "", "line ends": "a\r\n\r\n"}[kind]
+    second, last = text(body, 2, len(body)), text("b", 3, 1)
+    path = scratch_path(spark, "warc-test")
+    pad = [65536 - len(text("", 1, 60000)) - len(second) + k for k in range(-4, 32)]
+    files = [text("z" * p, 1, p) + second + last for p in pad]
+    assert all(len(f) - len(last) - 16 <= 65536 + 32 for f in files)
+    spark.createDataFrame([(f[:-4],) for f in files], "value string").repartition(len(files)).write.option(
+        "lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(path, compression=gz)
+    got = sorted(r.record for r in warc.read_records(spark, path).select("record").collect())
+    assert got == sorted(["1:0", "2:0", "3:0"] * len(files))
+
+
+def test_url_that_ends_in_the_version_mark(spark):
+    rows = [(1, "http://h/WARC/1.1", "a" * 120), (2, "WARC/1.1\r\n", "a" * 120), (3, "x\nWARC/1.1\r\n", "b"), (4, "u", "c\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = scratch_path(spark, "warc-test")
+    warc.write_archive(warc.chunk_table(warc.plan_records(df)), path)
+    got = {r.id: (r.url, r.record_type, r.payload_bytes) for r in warc.read_payloads(spark, path).collect()}
+    assert got == {1: ("http://h/WARC/1.1", "response", 120), 2: ("WARC/1.1%0D%0A", "revisit", 120),
+                   3: ("x%0AWARC/1.1%0D%0A", "response", 1), 4: ("u", "response", 3)}
+
+
+@pytest.mark.parametrize("size,error", [(3, "goes on after its block"), (30, "is cut short")])
+def test_wrong_length_is_an_error(spark, size, error):
+    path = scratch_path(spark, "warc-test")
+    one = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1:0>\r\nContent-Length: {size}\r\n\r\nabcde"
+    spark.createDataFrame([(one,)], "value string").write.option("lineSep", "\r\n\r\n").text(path)
+    with pytest.raises(Exception, match=error):
+        warc.read_records(spark, path).collect()
