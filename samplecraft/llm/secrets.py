@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
 Rules find candidates (known key shapes, long runs with digits, values given to
-secret-like names).  Each has features of its length, character transitions,
+names that contain a secret-like word, as ``db_password``).  Each has features of its length, character transitions,
 dictionary coverage, path and neighbouring words.  A random forest, trained on
 labelled findings, gives the probability that it is a secret.
 
@@ -39,10 +39,13 @@ TRAIN_FINDINGS = 4000
 THRESHOLD = 0.5
 TREES, DEPTH = 60, 10
 _RUN = "A-Za-z0-9+/_=.~-"
-_CANDIDATES = re.compile(
+#: an identifier with a secret-like word in it; atomic, as any such word in it does
+_NAME = r"(?<![\w.-])(?>[\w.-]*?(?i:password|passwd|pwd|passphrase|secret|token|api_?key))[\w.-]*+[\"']?\s*[:=]\s*"
+#: an open value is not itself such a name with a value (``secrets: db_password="..."``)
+_NAMED = re.compile(
     r"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----)"
-    r"|(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?)(?P<given>[^\s\"'<>]{6,})"
-    rf"|(?<![{_RUN}])(?=[A-Za-z+/_=.~-]*+[0-9])(?P<run>[{_RUN}]{{12,}})")
+    rf"|{_NAME}(?:[\"']|(?!{_NAME}[\"']?[^\s\"'<>]{{6}}))(?P<given>[^\s\"'<>]{{6,}})")
+_RUNS = re.compile(rf"(?<![{_RUN}])(?=[A-Za-z+/_=.~-]*+[0-9])(?P<run>[{_RUN}]{{12,}})")
 _SHAPES = re.compile(r"(?i:AKIA)[0-9A-Za-z]{16}$|gh[pousr]_\w{30,}|xox[baprs]-|AIza[\w-]{30,}|sk[-_]\w{16,}|eyJ[\w-]+\.|-----BEGIN")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _NEAR_YES = frozenset("token secret password passwd pwd passphrase key apikey api auth authorization bearer credential "
@@ -67,9 +70,18 @@ def dictionary(path: str) -> frozenset[str]:
     return frozenset(w for w in (t.removesuffix("</w>") for t in vocab if t.endswith("</w>")) if len(w) >= 4 and w.isalpha())
 
 
+def _matches(text: str) -> Iterator[re.Match]:
+    at = 0
+    for m in _NAMED.finditer(text):
+        yield from _RUNS.finditer(text, at, m.start())
+        yield m
+        at = m.end()
+    yield from _RUNS.finditer(text, at)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, rule) of every candidate in a text."""
-    for m in _CANDIDATES.finditer(text):
+    """(start, end, rule) of every candidate in a text, in order; runs are looked for between the named ones."""
+    for m in _matches(text):
         rule = m.lastgroup
         start, end = m.span(rule)
         if rule != "pem":

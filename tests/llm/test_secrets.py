@@ -20,6 +20,34 @@ def test_candidates():
     assert list(S.candidates("")) == [] and len(list(S.candidates("a1" * 200_000))) == 1
 
 
+@pytest.mark.parametrize("text,values", [
+    ('db_password = "hunter2!x"', ["hunter2!x"]), ('client_secret: "pa$$W0rd!9"', ["pa$$W0rd!9"]),
+    ('auth_token = "abCDefGHijKLmnOPqrSTuvWX"', ["abCDefGHijKLmnOPqrSTuvWX"]), ("my_api_key: Zx9!kk#21", ["Zx9!kk#21"]),
+    ("DB_PASSWORD=Tr0ub&dor", ["Tr0ub&dor"]), ("aws_secret_access_key = wJalr/XUtnFEMI", ["wJalr/XUtnFEMI"]),
+    ('{"clientSecret": "aB#cD$eF", "dbPwd":"x!y!z!w1"}', ["aB#cD$eF", "x!y!z!w1"]), ("--db-password=abc!def", ["abc!def"]),
+    ("/v1/a/db_password=hunter2!x", ["hunter2!x"]), ('secrets: db_password="hunter2!x"', ["hunter2!x"]),
+    ("tokens: auth_token=abc!def!g", ["abc!def!g"]), ('secret = "password=hunter2!x"', ["password=hunter2!x"])])
+def test_compound_names(text, values):
+    for t in (text, f"some words, {text} and more"):
+        assert [(t[a:b], rule) for a, b, rule in S.candidates(t)] == [(v, "given") for v in values]
+
+
+@pytest.mark.parametrize("unit", ["token", "token_", "a_", "a-", "token:", "token =", "token\n", "password.1", 'pwd="'])
+def test_candidates_take_linear_time(unit):
+    import time
+    began = time.process_time()
+    list(S.candidates(unit * 100_000))
+    assert time.process_time() - began < 10
+
+
+def test_compound_names_are_judged(spark, model):
+    key = "q9ZxT4vLm2Kd8RwYb6Nc1Hs5Jf7Pg3Ae"
+    rows = [(1, f'auth_token = "{key}"', "a.py"), (2, f"AWS_SECRET_ACCESS_KEY={key}", "prod.env"), (3, "db_password = changeme123", "a.py")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.start, r.length, r.rule, r.finding) for r in S.judge(S.scan(df, tokenizer_path()), model).collect()}
+    assert got == {1: (14, 32, "given", True), 2: (22, 32, "given", True), 3: (14, 11, "given", False)}
+
+
 def test_held_out_accuracy(spark, model):
     held = S.labelled_findings(S.dictionary(tokenizer_path()), 1500, seed=77)
     df = spark.createDataFrame([(i, 0, 0, "r", "", x, y) for i, (x, y) in enumerate(held)],
