@@ -119,7 +119,14 @@ class WordTokenizer:
         w = find_words(col, split_marks=True)
         raw = w.data.tobytes()
         if self.lower and not any(m in raw for m in self.marks):
-            w = w._replace(data=LOWER[w.data])  # added tokens are looked for before lower-casing
+            # added tokens are looked for before lower-casing; a run with other bytes is left to the tokenizer,
+            # which composes first: a capital and its accent may have a composed form in lower case only
+            high = np.concatenate([[0], np.cumsum(w.data >= 0x80, dtype=np.int32)])
+            plain = high[w.ends] == high[w.starts]
+            edge = np.zeros(len(w.data) + 1, np.int8)
+            edge[w.starts[plain]] += 1
+            edge[w.ends[plain]] -= 1
+            w = w._replace(data=np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, LOWER[w.data], w.data))
         ids, distinct = word_ids(w)
         words = distinct.to_pylist()
         slot = np.fromiter((self.index.get(x, -1) for x in words), np.int64, len(words))

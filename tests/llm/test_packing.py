@@ -47,6 +47,16 @@ def test_pieces_and_layout(spark, tok, cap):
     assert len(seqs) <= -(-total // cap) + 1
 
 
+def test_capitals_composed_in_lower_case_only(tok):
+    """The normaliser composes before it lower-cases: J, H, T, W, Y and their accents have no composed capital."""
+    import pyarrow as pa
+    texts = [c + m + "x" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in map(chr, range(0x300, 0x370))]
+    texts += ["J\u030cx", "H\u0331x", "T\u0308x", "W\u030ax", "Y\u030ax", "A J\u030c.H\u0331 B", "AJ,\u0331X", None, "", "Plain.Ab É"]
+    ids, off = packing.WordTokenizer(tokenizer_path()).encode_column(pa.array(texts), 0)
+    for k, t in enumerate(texts):
+        assert ids[off[k]:off[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids + [0], t
+
+
 def test_sequences_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
     s = packing.sequences(packing.pack_documents(df, tokenizer_path(), keep_ids=True)).collect()
