@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import cdc, decontaminate, html_crf, jaccard, linespread, packing, quality, secrets, urlcascade, warc
+from . import cdc, decontaminate, html_crf, jaccard, linespread, packing, quality, secrets, simhash, urlcascade, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,12 @@ SELECT page_id, host, path, rule,
 FROM v
 """
 
+
+
+def op11_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op2_repetition_coverage": op2_repetition_coverage,
            "op3_decontamination": op3_decontamination,
@@ -134,5 +140,6 @@ QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op7_secret_forest": op7_secret_forest,
            "op8_parity_sketch_join": op8_parity_sketch_join,
            "op9_distinct_site_spread": op9_distinct_site_spread,
-           "op10_bloom_cascade": op10_bloom_cascade}
+           "op10_bloom_cascade": op10_bloom_cascade,
+           "op11_simhash_tiles": op11_simhash_tiles}
 ORACLES: dict[str, str] = {"op9_distinct_site_spread": OP9_SQL, "op6_warc_chunks": OP6_SQL, "op10_bloom_cascade": OP10_SQL}

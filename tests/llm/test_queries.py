@@ -13,6 +13,7 @@ from test_html_crf import article
 from test_jaccard import brute as brute_links
 from test_packing import expected
 from test_quality import brute as brute_quality
+from test_simhash import brute as brute_simhash
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
@@ -81,3 +82,7 @@ def test_op7(spark, docs):
 
 def test_op8(spark, docs):
     assert sorted((tuple(r) for r in L.op8_parity_sketch_join(spark, SF).collect()), key=str) == brute_links(docs)
+
+
+def test_op11(spark, docs):
+    assert sorted((tuple(r) for r in L.op11_simhash_tiles(spark, SF).collect()), key=str) == brute_simhash(docs)
