@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import cdc, decontaminate, html_crf, jaccard, linespread, packing, quality, secrets, simhash, urlcascade, warc
+from . import cdc, decontaminate, html_crf, jaccard, linespread, packing, quality, repair, secrets, simhash, trie, urlcascade, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,100 @@ def op11_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: CRC-32 of an ASCII string; the table follows from the polynomial.
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_of"""
+
+
+def _crc(s: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length({s}) + 1),
+                lambda i: CAST(ord({s}[i]) AS BIGINT))), lambda c, b: xor(c >> 8, crc_of[xor(c & 255, b) + 1])))"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = f"""
+WITH k AS ({CRC_TABLE}),
+     d AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+     c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc('CAST(conv_id AS VARCHAR)')} % 6 AS h
+           FROM (SELECT DISTINCT conv_id FROM d), k),
+     s AS (SELECT c.*, least(h, coalesce(n, 0)) AS shown
+           FROM c LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM d GROUP BY 1) USING (base)),
+     r AS (SELECT s.conv_id, pos AS depth, role, text FROM s JOIN d ON d.conv_id = s.base AND d.pos <= s.h
+           UNION ALL
+           SELECT s.conv_id, shown + pos - h, role, text FROM s JOIN d ON d.conv_id = s.conv_id AND d.pos > s.h),
+     m AS (SELECT conv_id, depth, length(text) AS chars,
+                  sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS p
+           FROM r UNION ALL SELECT conv_id, 0, 0, 'root' FROM s),
+     e AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY 1),
+     n AS (SELECT p, m.depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                  sha256(coalesce(string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id)
+                                  FILTER (e.depth = m.depth), '')) AS ends_sha256
+           FROM m JOIN e USING (conv_id) GROUP BY p, m.depth),
+     f AS (SELECT n.*, q.conv_id AS parent_conv_id, q.p AS parent
+           FROM n LEFT JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1 LEFT JOIN n q ON q.p = m.p),
+     g AS (SELECT parent, count(*) AS n_children FROM f WHERE parent IS NOT NULL GROUP BY 1),
+     b AS (SELECT m.p, count(*) FILTER (g.parent IS NULL) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved_tokens
+           FROM f LEFT JOIN g ON g.parent = f.p JOIN m ON m.conv_id = f.conv_id AND m.depth <= f.depth GROUP BY m.p)
+SELECT f.conv_id, f.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM f JOIN b ON b.p = f.p LEFT JOIN g ON g.parent = f.p
+"""
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+#: Edits as moves (state, segment, role initial or null for any, next state, cost); states: 0 start, 1 s, 2 u, 3 a.
+OP13_SQL = rf"""
+WITH RECURSIVE k AS ({CRC_TABLE}),
+     o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  {_crc('key')} % 20 AS kind
+           FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+                 FROM conversations), k),
+     d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+           FROM o JOIN range(2) AS c(copy) ON copy = 0 OR kind = 3 WHERE kind <> 0),
+     p AS (SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS y,
+                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again
+           FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)),
+     f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+                          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM p),
+     put(q, to_q) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+     own(q, seg, x, to_q, cost) AS (
+         SELECT q, 'D', CAST(NULL AS VARCHAR), q, 3 FROM put UNION ALL SELECT q, 'R', NULL, to_q, 2 FROM put
+         UNION ALL VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0)),
+     moves AS (SELECT q, seg, x, to_q, cost, seg AS op, CAST(NULL AS INT) AS ins FROM own
+               UNION ALL SELECT put.q, 'I' || seg, x, own.to_q, own.cost + 2, seg, put.to_q FROM put JOIN own ON own.q = put.to_q),
+     ends(q, seg, cost, tail) AS (VALUES (0, '', 0, CAST([] AS VARCHAR[])), (1, 'II', 4, ['user:', 'assistant:']),
+                                         (2, 'I', 2, ['assistant:']), (3, '', 0, CAST([] AS VARCHAR[]))),
+     st AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS rows
+            FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT st.conv_id, f.i, to_q, st.cost + m.cost + CAST(fault = 'truncated' AND op <> 'D' AS INT), audit || seg,
+                   rows || CASE ins WHEN 2 THEN ['user:'] WHEN 3 THEN ['assistant:'] ELSE CAST([] AS VARCHAR[]) END
+                        || CASE WHEN op = 'D' THEN CAST([] AS VARCHAR[]) WHEN op = 'K' THEN [role || ':' || text]
+                                WHEN to_q = 2 THEN ['user:' || text] ELSE ['assistant:' || text] END
+            FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1
+                 JOIN moves m ON m.q = st.q AND (m.x IS NULL OR m.x = f.x) AND (fault NOT IN ('blank', 'duplicate') OR op = 'D')
+            QUALIFY row_number() OVER (PARTITION BY st.conv_id, to_q
+                                       ORDER BY st.cost + m.cost + CAST(fault = 'truncated' AND op <> 'D' AS INT), audit || seg) = 1),
+     g AS (SELECT conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated,
+                  count(*) FILTER (i > 1 AND y || x NOT IN ('su', 'ua', 'au')) AS illegal
+           FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN f USING (conv_id) GROUP BY conv_id)
+SELECT g.conv_id, gaps, blank, duplicate, truncated, illegal, st.cost + e.cost AS cost, audit || seg AS audit,
+       sha256(array_to_string(rows || tail, chr(10))) AS repaired_sha256
+FROM st JOIN g ON g.conv_id IS NOT DISTINCT FROM st.conv_id AND g.n = st.i JOIN ends e ON e.q = st.q
+QUALIFY row_number() OVER (PARTITION BY g.conv_id ORDER BY st.cost + e.cost, audit || seg) = 1
+"""
+
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op2_repetition_coverage": op2_repetition_coverage,
            "op3_decontamination": op3_decontamination,
@@ -141,5 +235,8 @@ QUERIES = {"op1_best_fit_packing": op1_best_fit_packing,
            "op8_parity_sketch_join": op8_parity_sketch_join,
            "op9_distinct_site_spread": op9_distinct_site_spread,
            "op10_bloom_cascade": op10_bloom_cascade,
-           "op11_simhash_tiles": op11_simhash_tiles}
-ORACLES: dict[str, str] = {"op9_distinct_site_spread": OP9_SQL, "op6_warc_chunks": OP6_SQL, "op10_bloom_cascade": OP10_SQL}
+           "op11_simhash_tiles": op11_simhash_tiles,
+           "op12_prefix_trie": op12_prefix_trie,
+           "op13_turn_repair": op13_turn_repair}
+ORACLES: dict[str, str] = {"op9_distinct_site_spread": OP9_SQL, "op6_warc_chunks": OP6_SQL, "op10_bloom_cascade": OP10_SQL,
+                           "op12_prefix_trie": OP12_SQL, "op13_turn_repair": OP13_SQL}
