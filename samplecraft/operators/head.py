@@ -1,25 +1,29 @@
 """Train a linear softmax head on a frozen feature column.
 
-Each optimisation step is one Spark job over the cached features: a
+Each optimisation step is one Spark job over the cached features.  A
 ``mapInArrow`` stage computes, per partition, the summed gradient of the
-softmax cross-entropy, the loss sum, the correct count and the row count; a
-``groupBy`` over the value's number adds the partitions up, in partition
-order, so a rerun gives the same bits.  Only C x (D + 1) + 6 sums reach the
-driver, which holds the parameters, applies Adam (Kingma & Ba, 2014) with L2
-added to the gradient, and runs the epoch rules of ``operators.history``
-(plateau learning rate, early stop, best checkpoint) live on the per-epoch
-metrics.
+softmax cross-entropy, the loss sum, the correct count and the row count.  These
+vectors are added up before anything is shuffled: neighbouring partitions are
+coalesced into at most ``partial_limit`` groups, each of which gives one row
+per block of ``BLOCK`` numbers, and one more stage adds the groups up per block.  So
+a step shuffles (groups x blocks) rows, whatever the number of partitions is.
+Sums are kept as whole multiples of fixed powers of two, whose addition does not
+depend on the order; which partitions a group holds therefore changes no bit.
+Only C x (D + 1) + 6 sums reach the driver, which holds the parameters,
+applies Adam (Kingma & Ba, 2014) with L2 added to the gradient, and runs the
+epoch rules of ``operators.history`` (plateau learning rate, early stop, best
+checkpoint) live on the per-epoch metrics.
 
 Rows without a usable label (0..C-1) or a vector of the head's length, without
 NULL elements, take no part; they are counted in the result.
 
-Mini-batches: ``steps_per_epoch = k`` (or ``batch_size``, which sets k to the
-number of such batches) assigns each row to batch
-``pmod(xxhash64(seed, epoch, key), k)``, a fresh seeded split every epoch
-that costs no shuffle; batches have that size on average.  Each epoch caches
-the features sorted by (batch, key) inside their partitions, so the in-memory
-column statistics let a step read about 1/k of them.  ``k = 1`` is full-batch
-(train metrics measured with the weights before the update).
+Mini-batches: ``batch_size`` (or ``steps_per_epoch = k``, which sets it to the
+rows divided by k) cuts each epoch's seeded order into batches of exactly that
+many rows with ``operators.sampling.shuffle_batches``; the last one may be
+smaller and is kept.  An epoch's order is cached sorted by batch inside
+its partitions, so the in-memory column statistics let a step read little more
+than its batch.  One step an epoch is full-batch (train metrics measured with the weights
+before the update).
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +44,7 @@ from ..functions.scoring import usable_vector
 from ..schemas import HEAD, HISTORY, RUNS
 from ..session import ship_package
 from ..sources.metadata import write_head, write_history
+from .sampling import shuffle_batches
 
 MAX_HEAD_PARAMS = 16_000_000  # C x (D + 1) doubles kept on the driver and broadcast (128 MB)
 
@@ -54,7 +59,7 @@ class HeadOptions:
     plateau_patience: int = 3
     plateau_threshold: float = 1e-4
     steps_per_epoch: int = 1
-    batch_size: int | None = None     # rows per step on average; sets the steps of an epoch
+    batch_size: int | None = None     # rows per step; sets the steps of an epoch
     seed: int = 42
     betas: tuple[float, float] = (0.9, 0.999)
     adam_eps: float = 1e-8
@@ -130,13 +135,92 @@ def training_rows(df: DataFrame, n_classes: int, dim: int, features_col: str, la
         *keep, F.col(features_col).cast("array<double>").alias("x"), y.alias("y"), F.lit(val).alias("val"))
 
 
-def sums(rows: DataFrame, weights, bias=None) -> DataFrame:
-    """(i, v): the gradient and totals of ``_sums_kernel`` over all of ``training_rows``."""
+BLOCK = 8192             # numbers of a vector in one shuffled row
+_POWERS = (40, 0, -40, -80)  # a number is a sum of whole multiples of these powers of two
+
+
+def partial_limit(spark) -> int:
+    """Groups of partitions whose vectors are added up before the shuffle: a few per core."""
+    return max(64, 4 * spark.sparkContext.defaultParallelism)
+
+
+def _to_whole(vals: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(4 x K whole numbers, what they cannot hold or None); what lies below 2 ** -80 is cut off."""
+    good = np.abs(vals) < 2.0 ** 80
+    rest = np.where(good, vals, 0.0)
+    out = np.empty((len(_POWERS), len(vals)), np.int64)
+    for k, e in enumerate(_POWERS):
+        out[k] = whole = np.trunc(np.ldexp(rest, -e))
+        rest = rest - np.ldexp(whole, e)
+    return out, None if good.all() else np.where(good, 0.0, vals)
+
+
+def _from_whole(whole: np.ndarray) -> np.ndarray:
+    total = np.zeros(whole.shape[1])
+    for k in reversed(range(len(_POWERS))):
+        total += np.ldexp(whole[k].astype(np.float64), _POWERS[k])
+    return total
+
+
+def _group_sums(batches):
+    """One group's vectors (src, vals) -> its sum, a row per block."""
+    total = odd = None
+    for rb in batches:
+        for vals in rb.column(1):
+            whole, more = _to_whole(vals.values.to_numpy())
+            total = whole if total is None else total + whole
+            if more is not None:
+                odd = more if odd is None else odd + more
+    if total is None:
+        return
+    for k, lo in enumerate(range(0, total.shape[1], BLOCK)):
+        part = total[:, lo:lo + BLOCK]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k], pa.int32()), pa.array([part.reshape(-1)], pa.list_(pa.int64())),
+             pa.array([None if odd is None else odd[lo:lo + BLOCK]], pa.list_(pa.float64()))], names=["block", "whole", "odd"])
+
+
+def _block_sums(batches):
+    """Rows of a block side by side -> (block, vals)."""
+    now = total = odd = None
+
+    def done():
+        vals = _from_whole(total.reshape(len(_POWERS), -1))
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array(
+            [vals if odd is None else vals + odd], pa.list_(pa.float64()))], names=["block", "vals"])
+    for rb in batches:
+        for block, whole, more in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2)):
+            whole = whole.values.to_numpy()
+            if block != now:
+                if now is not None:
+                    yield done()
+                now, total, odd = block, whole, None
+            else:
+                total = total + whole
+            if more.is_valid:
+                odd = more.values.to_numpy() if odd is None else odd + more.values.to_numpy()
+    if now is not None:
+        yield done()
+
+
+def group_sums(rows: DataFrame, weights, bias=None, limit: int | None = None) -> DataFrame:
+    """(block, whole, odd): what a step shuffles, at most ``limit`` rows per block of the sums."""
     ship_package(rows.sparkSession)
     parts = rows.select("x", "y", "val").mapInArrow(_sums_kernel(weights, bias), "src int, vals array<double>")
-    each = parts.select("src", F.posexplode("vals").alias("i", "v"))
-    in_order = F.array_sort(F.collect_list(F.struct("src", "v")))  # one entry per partition
-    return each.groupBy("i").agg(F.aggregate(in_order, F.lit(0.0), lambda a, e: a + e["v"]).alias("v"))
+    return (parts.coalesce(limit or partial_limit(rows.sparkSession))
+            .mapInArrow(_group_sums, "block int, whole array<long>, odd array<double>"))
+
+
+def block_sums(rows: DataFrame, weights, bias=None, limit: int | None = None) -> DataFrame:
+    """(block, vals): the gradient and totals of ``_sums_kernel`` over all of ``training_rows``, ``BLOCK`` numbers a row."""
+    return (group_sums(rows, weights, bias, limit).repartition("block").sortWithinPartitions("block")
+            .mapInArrow(_block_sums, "block int, vals array<double>"))
+
+
+def sums(rows: DataFrame, weights, bias=None) -> DataFrame:
+    """(i, v): the same, a row per number."""
+    return block_sums(rows, weights, bias).select("block", F.posexplode("vals").alias("at", "v")).select(
+        (F.col("block") * BLOCK + F.col("at")).alias("i"), "v")
 
 
 @dataclass
@@ -154,12 +238,13 @@ def _sums(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> _Sums:
     """One Spark job; the C x (D + 1) + 6 sums reach the driver as columns."""
     # Large heads travel once per executor as a broadcast; small ones ride in the task closure.
     head = rows.sparkSession.sparkContext.broadcast((weights, bias)) if weights.size > BROADCAST_HEAD_MIN else None
-    got = sums(rows, head if head is not None else weights, bias).toArrow()
+    got = block_sums(rows, head if head is not None else weights, bias).toArrow()
     if head is not None:
         head.destroy()
     k = weights.size + len(bias)
     flat = np.zeros(k + 6)
-    flat[got.column("i").to_numpy()] = got.column("v").to_numpy()
+    for block, vals in zip(got.column("block").to_pylist(), got.column("vals")):
+        flat[block * BLOCK:block * BLOCK + len(vals)] = vals.values.to_numpy()
     tot = flat[k:]
     return _Sums(flat[:k], float(tot[0]), int(round(tot[1])), int(round(tot[2])),
                  float(tot[3]), int(round(tot[4])), int(round(tot[5])))
@@ -209,29 +294,28 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     opts = opts or HeadOptions()
     spark = train.sparkSession
     started = time.time()
-    order = key if key in train.columns else None
     cols = [features_col, label_col]
-    tr_all = train.select(*([F.col(key).alias("k")] if order else []), *cols).cache()
-    va_all = val.select(*([F.col(key).alias("k")] if key in val.columns else []), *cols).cache()
+    sides = [df.select(*([F.col(key).alias("k")] if key in df.columns else []), *cols) for df in (train, val)]
     w, b = (np.array(x, dtype=np.float64) for x in initial) if initial is not None else (None, None)
     if w is not None and (w.ndim != 2 or w.shape[0] != n_classes or b.shape != (n_classes,)):
         raise ValueError("initial must be (C x D weights, C biases)")
-    dim = w.shape[1] if w is not None else _vector_length(tr_all, features_col)
+    dim = w.shape[1] if w is not None else _vector_length(sides[0], features_col)
     if n_classes * (dim + 1) > MAX_HEAD_PARAMS:
         raise ValueError("head too large for driver-side updates")
 
     def usable(df, is_val):
+        """(usable rows, cached once; their number; the number of others)"""
         rows = training_rows(df, n_classes, dim, features_col, label_col, is_val, ["k"] if "k" in df.columns else [])
         # Row order inside a partition decides the floating-point summation order; after a
         # lost task an upstream shuffle may deliver rows in another order, so fix it.
-        return rows.sortWithinPartitions("k") if opts.deterministic and "k" in df.columns else rows
-
-    tr, va = usable(tr_all, False).cache(), usable(va_all, True).cache()
-    n_train, n_val = tr.count(), va.count()
-    skipped_train, skipped_val = tr_all.count() - n_train, va_all.count() - n_val
-    tr_all.unpersist()
-    va_all.unpersist()
-    k = max(1, -(-n_train // opts.batch_size)) if opts.batch_size else max(1, int(opts.steps_per_epoch))
+        rows = rows.sortWithinPartitions("k") if opts.deterministic and "k" in df.columns else rows
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        n = rows.count()
+        return rows, n, df.count() - n
+
+    (tr, n_train, skipped_train), (va, _, skipped_val) = usable(sides[0], False), usable(sides[1], True)
+    size = opts.batch_size or -(-n_train // max(1, int(opts.steps_per_epoch)))
+    k = max(1, -(-n_train // size)) if size else 1
     if k > 1 and "k" not in tr.columns:
         raise ValueError(f"mini-batches need the key column {key}")
 
@@ -262,23 +346,16 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     epoch_cache = {}
 
     def batch(epoch, step):
-        """Rows of step ``step`` in ``epoch``.
-
-        With k > 1 steps, each epoch's rows are tagged with their seeded batch,
-        sorted by (batch, key) inside their partitions (no shuffle) and cached
-        once; the in-memory column statistics then let each step's filter skip
-        the cached blocks of other batches, so a step reads about 1/k of the
-        features instead of all of them.
-        """
+        """Rows of step ``step`` in ``epoch``: one shuffle an epoch puts them in its seeded order."""
         if k == 1:
             return tr
         if epoch not in epoch_cache:
             for old in epoch_cache.values():
                 old.unpersist()
             epoch_cache.clear()
-            bid = F.pmod(F.xxhash64(F.lit(opts.seed), F.lit(epoch), F.col("k")), F.lit(k)).cast("int")
-            epoch_cache[epoch] = tr.withColumn("batch", bid).sortWithinPartitions("batch", "k").cache()
-        return epoch_cache[epoch].where(F.col("batch") == step)
+            dealt = shuffle_batches(tr, size, opts.seed, epoch, key="k").sortWithinPartitions("batch_id", "row_idx")
+            epoch_cache[epoch] = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+        return epoch_cache[epoch].where(F.col("batch_id") == step)
 
     def close_epoch(epoch, got) -> bool:
         """Record epoch ``epoch`` from its validation sums; True = stop training."""
@@ -359,7 +436,7 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             continue
         head_rows += [(opts.run_id, kind, c, float(hb[c]), [float(x) for x in hw[c]]) for c in range(n_classes)]
     head_df = spark.createDataFrame(head_rows, HEAD)
-    per_step = opts.batch_size or (-(-n_train // k) if n_train else None)  # rows per step, on average
+    per_step = size or None  # rows per step
     run_df = spark.createDataFrame([(opts.run_id, model, n_classes, opts.epochs, per_step, seconds)], RUNS)
     return FitResult(hist_df, head_df, w, b, run_df, skipped_train, skipped_val)
 

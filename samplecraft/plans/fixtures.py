@@ -106,8 +106,11 @@ def tensors_8x8x3(emb: DataFrame, eight_bit: bool = False) -> DataFrame:
     data = F.col("embedding")
     if eight_bit:
         data = F.transform(data, lambda v: F.floor((v.cast("double") + 1.0) * 127.5))
-    data = F.transform(F.sequence(F.lit(0), F.lit(191)),
-                       lambda i: F.get(data, F.pmod(F.floor(i / 3) + 21 * F.pmod(i, F.lit(3)), F.lit(64)).cast("int")))
+
+    def turned(c, k):  # the inner arrays are made once per row, not once per element
+        return F.concat(F.slice(c, k + 1, 64 - k), F.slice(c, 1, k)) if k else c
+    three = F.arrays_zip(*[turned(data, 21 * k).alias(f"c{k}") for k in range(3)])
+    data = F.flatten(F.transform(three, lambda e: F.array(*[e[f"c{k}"] for k in range(3)])))
     return emb.select(F.col("vec_id").alias("key"), make_tensor(F.lit(8), F.lit(8), F.lit(3), data).alias("tensor"))
 
 

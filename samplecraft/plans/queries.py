@@ -906,6 +906,72 @@ def q_fit_head(spark, sf):
                                                    ("train_loss", "train_acc", "val_loss", "val_acc")], "lr")
 
 
+_BATCH = 256
+
+
+def _fit_batches_sql() -> str:
+    """Two epochs of 256-row batches from zero weights: the rows of an epoch in md5 order, cut every 256; each step of
+    the recursion is the softmax gradient of one batch and one Adam update.  State 0 has the first weights."""
+    ten = f"list_transform(range(65), lambda j: {_dbl(0)})"
+    softmax = """SELECT *, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY {by}) AS p,
+                ln(sum(exp(z - m)) OVER (PARTITION BY {by})) + m AS lse,
+                row_number() OVER (PARTITION BY {by} ORDER BY z DESC, c) AS rk
+         FROM (SELECT *, max(z) OVER (PARTITION BY {by}) AS m FROM ({zs}))"""
+    step = softmax.format(by="id", zs="""SELECT st.step, st.c, st.w, st.m1, st.m2, r.id, r.y, r.xs, r.n,
+                                               list_dot_product(r.xs, st.w) AS z
+                                        FROM st JOIN tr r ON r.step = st.step + 1""")
+
+    def scored(rows, on):
+        return softmax.format(by="step, id", zs=f"""SELECT st.step, st.c, r.id, r.y,
+                 list_dot_product(r.xs, st.w) AS z FROM st JOIN {rows} r ON {on}""")
+    return f"""WITH RECURSIVE rows AS (
+  SELECT vec_id AS id, CAST(label AS INTEGER) AS y,
+         list_append(list_transform(embedding, lambda e: CAST(e AS DOUBLE)), {_dbl(1)}) AS xs FROM embeddings),
+dealt AS (
+  SELECT *, (row_number() OVER (PARTITION BY epoch ORDER BY md5('42:' || epoch || ':' || id), id) - 1) // {_BATCH} AS b
+  FROM (SELECT rows.*, t.epoch FROM rows, range(1, 3) t(epoch) WHERE id % 4 <> 0)),
+k AS (SELECT max(b) + 1 AS k FROM dealt),
+tr AS (SELECT *, (epoch - 1) * k + b + 1 AS step, count(*) OVER (PARTITION BY epoch, b) AS n FROM dealt, k),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS step, c, {ten} AS w, {ten} AS m1, {ten} AS m2 FROM range(10) t(c)
+  UNION ALL
+  SELECT step + 1, c,
+         list(w - {_dbl(_FIT_LR)} * (m1 / (1 - power({_dbl('0.9')}, step + 1)))
+              / (sqrt(m2 / (1 - power({_dbl('0.999')}, step + 1))) + {_dbl('1e-8')}) ORDER BY j),
+         list(m1 ORDER BY j), list(m2 ORDER BY j)
+  FROM (SELECT step, c, j, w, {_dbl('0.9')} * m1 + (1 - {_dbl('0.9')}) * g AS m1,
+               {_dbl('0.999')} * m2 + (1 - {_dbl('0.999')}) * g * g AS m2
+        FROM (SELECT step, c, j, any_value(w[j]) AS w, any_value(m1[j]) AS m1, any_value(m2[j]) AS m2,
+                     sum((p - CASE WHEN c = y THEN 1 ELSE 0 END) * xs[j]) / any_value(n)
+                     + {_dbl(_FIT_DECAY)} * any_value(w[j]) AS g
+              FROM ({step}), range(1, 66) t(j) GROUP BY step, c, j))
+  GROUP BY step, c),
+s AS (
+  SELECT (step // k) + 1 AS epoch, sum(CASE WHEN c = y THEN lse - z END) / count(DISTINCT id) AS loss,
+         sum(CASE WHEN rk = 1 AND c = y THEN 1 ELSE 0 END) / {_dbl('count(DISTINCT id)')} AS acc
+  FROM ({scored("tr", "r.step = st.step + 1")}), k GROUP BY 1),
+v AS (
+  SELECT step // k AS epoch, sum(CASE WHEN c = y THEN lse - z END) / count(DISTINCT id) AS loss,
+         sum(CASE WHEN rk = 1 AND c = y THEN 1 ELSE 0 END) / {_dbl('count(DISTINCT id)')} AS acc
+  FROM ({scored("(SELECT rows.*, k FROM rows, k WHERE id % 4 = 0)", "st.step > 0 AND st.step % r.k = 0")}), k GROUP BY 1)
+SELECT 'batches' AS run_id, CAST(epoch AS INTEGER) AS epoch, round(s.loss, 6) AS train_loss, round(s.acc, 6) AS train_acc,
+       round(v.loss, 6) AS val_loss, round(v.acc, 6) AS val_acc, {_dbl(_FIT_LR)} AS lr
+FROM s JOIN v USING (epoch)"""
+
+
+@register("fit_head_batches", _fit_batches_sql())
+def q_fit_head_batches(spark, sf):
+    """Two epochs of 256-row mini-batches in the seeded order of D1, the last batch as large as what is left."""
+    import numpy as np
+    feats = _features(spark, sf)
+    test = X.is_test_split(F.col("id"))
+    res = HD.fit_head(feats.where(~test), feats.where(test), X.N_LOGITS, initial=(np.zeros((X.N_LOGITS, 64)), np.zeros(X.N_LOGITS)),
+                      opts=HD.HeadOptions(lr=_FIT_LR, weight_decay=_FIT_DECAY, epochs=2, batch_size=_BATCH, seed=X.SEED,
+                                          run_id="batches"))
+    return res.history.select("run_id", "epoch", *[r6(F.col(c)).alias(c) for c in
+                                                   ("train_loss", "train_acc", "val_loss", "val_acc")], "lr")
+
+
 @register("head_roundtrip", """
 WITH long AS (SELECT CAST(label AS INTEGER) AS class_idx, j, CAST(embedding[j + 1] AS DOUBLE) AS x
               FROM embeddings, range(64) t(j)),

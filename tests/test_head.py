@@ -132,3 +132,68 @@ def test_live_epoch_rules_agree_with_history_operators(spark):
         assert cur.lr == lr_after[prev.epoch]   # the rate used in epoch e+1 is the rate after epoch e
     best = H.best_checkpoint(h, 5).first()
     assert best.best_epoch == max(r.epoch for r in hist if r.improved)
+
+
+def _wide(spark, parts, n=3000, dim=16):
+    return spark.range(0, n, 1, parts).select(
+        F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(5))).cast("int").alias("label_idx"),
+        F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1000)) / 999.0 for j in range(dim)]).alias("features"))
+
+
+def test_rows_shuffled_a_step_do_not_grow_with_the_partitions(spark):
+    w, b = np.zeros((5, 16)), np.zeros(5)
+    counted, totals = {}, {}
+    for parts in (8, 100, 400):
+        rows = HD.training_rows(_wide(spark, parts), 5, 16, "features", "label_idx")
+        counted[parts] = HD.group_sums(rows, w, b, limit=8).count()
+        totals[parts] = np.concatenate([np.array(r.vals) for r in HD.block_sums(rows, w, b, limit=8).orderBy("block").collect()])
+    assert set(counted.values()) == {8}
+    assert np.allclose(totals[8], totals[400], atol=1e-9) and totals[100][-4] == 3000
+
+
+def test_sums_do_not_depend_on_the_groups(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    w, b = rng.normal(size=(5, 16)), rng.normal(size=5)
+    monkeypatch.setattr(HD, "BLOCK", 7)  # many blocks
+    rows = HD.training_rows(_wide(spark, 60), 5, 16, "features", "label_idx").cache()
+
+    def flat(limit):
+        got = sorted((r.block, r.vals) for r in HD.block_sums(rows, w, b, limit).collect())
+        return [v for _, vals in got for v in vals]
+    one = flat(60)
+    assert len(one) == 5 * 17 + 6
+    assert flat(1) == one and flat(7) == one  # bit for bit
+    rows.unpersist()
+
+
+def test_whole_number_sums():
+    rng = np.random.default_rng(2)
+    vals = np.concatenate([rng.normal(size=200) * 10.0 ** rng.integers(-18, 18, 200), [0.0, -0.0, 1e-300, 2.0 ** 79]])
+    whole, odd = HD._to_whole(vals)
+    assert odd is None and np.allclose(HD._from_whole(whole), vals, rtol=1e-15, atol=2.0 ** -79)
+    whole, odd = HD._to_whole(np.array([np.inf, np.nan, 1.5]))
+    assert HD._from_whole(whole).tolist() == [0, 0, 1.5] and np.isinf(odd[0]) and np.isnan(odd[1])
+
+
+def test_exact_batches_against_numpy(spark):
+    """Adam on batches cut every 100 rows from the md5 order, the last one with the 50 that are left."""
+    import hashlib
+    df = _wide(spark, 7, 250)
+    rows = {r.id: (np.array(r.features), r.label_idx) for r in df.collect()}
+    w, b = np.zeros((5, 16)), np.zeros(5)
+    m = v = np.zeros(85)
+    t = 0
+    for epoch in (1, 2):
+        order = sorted(rows, key=lambda i: (hashlib.md5(f"42:{epoch}:{i}".encode()).hexdigest(), i))
+        for lo in range(0, 250, 100):
+            part = order[lo:lo + 100]
+            grad, _ = _sums(w, b, np.array([rows[i][0] for i in part]), np.array([rows[i][1] for i in part]))
+            p = np.concatenate([w.reshape(-1), b])
+            t += 1
+            p, m, v = HD.adam_step(p, grad / len(part) + 1e-4 * p, m, v, t, 0.01)
+            w, b = p[:80].reshape(5, 16), p[80:]
+    start = (np.zeros((5, 16)), np.zeros(5))
+    res = HD.fit_head(df, df, 5, opts=HD.HeadOptions(lr=0.01, epochs=2, batch_size=100, patience=None), initial=start)
+    assert np.allclose(res.weights, w, atol=1e-12) and np.allclose(res.bias, b, atol=1e-12)
+    again = HD.fit_head(df, df, 5, opts=HD.HeadOptions(lr=0.01, epochs=2, batch_size=100, patience=None), initial=start)
+    assert np.array_equal(again.weights, res.weights) and res.run.first().batch_size == 100
