@@ -28,7 +28,7 @@ from .operators import evaluate as E
 from .operators import head as HD
 from .operators import history as H
 from .plans import workflows as WF
-from .session import ensure_checkpoint_dir
+from .session import clear_scratch, ensure_checkpoint_dir, scratch_count
 from .sources import metadata as SRC
 from .sources import run_log as RL
 
@@ -75,8 +75,7 @@ def cmd_train(spark, args) -> None:
         opts = HD.HeadOptions(lr=args.lr, epochs=args.epochs, patience=args.patience,
                               steps_per_epoch=args.steps, seed=args.seed, run_id=args.run_id)
     opts.batch_size = args.batch_size
-    SRC.write_dictionary(tables.dictionary, args.run_id, args.heads)
-    res = WF.train(train, val, n_classes, args.history, args.heads, opts)  # fit_head caches its own copy
+    res = WF.train(train, val, n_classes, args.history, args.heads, opts, dictionary=tables.dictionary)
     if res.skipped_train or res.skipped_val:
         print(f"rows without a usable vector: {res.skipped_train} train, {res.skipped_val} test")
     if args.log:
@@ -99,14 +98,26 @@ def cmd_tensors(spark, args) -> None:
 
 def cmd_analyze(spark, args) -> None:
     # the names and numbers of the classes are those the head was trained with
+    SRC.finish_commit(spark, args.heads, args.run_id)
     tables = WF.training_tables(spark, args.table, dictionary=SRC.read_dictionary(spark, args.heads, args.run_id))
+    _show(tables.consistency.where(F.col("side") != "both"))
+    unknown = tables.test.where(F.col("label_idx").isNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    print(f"test rows with a label the head does not know: {unknown.agg(F.coalesce(F.sum('n'), F.lit(0))).first()[0]}")
     _, val = _encoded_features(spark, args, tables)
     w, b = HD.head_arrays(SRC.read_head(spark, args.heads, args.run_id, args.kind), args.run_id, args.kind)
     n_classes = tables.dictionary.count()
     if n_classes != len(b):
         raise ValueError(f"run {args.run_id}: the head has {len(b)} classes, its dictionary {n_classes}")
     scored = E.score(val, features_col="features", weights=w.tolist(), bias=b.tolist()).cache()
-    out = WF.analyze(scored, tables.dictionary, args.top_classes, args.top_errors, args.examples, args.seed)
+    pictures = None
+    if args.images:  # only the examples' files are opened
+        def pictures(keys):
+            rows = keys.withColumnRenamed("id", "image_path")
+            got = WF.tensors(spark, rows, args.images, False, args.size).tensors
+            return got.withColumnRenamed("image_path", "id")
+    out = WF.analyze(scored, tables.dictionary, args.top_classes, args.top_errors, args.examples, args.seed,
+                     tensors=pictures, matrix_form=args.matrix)
+    out["unknown_labels"] = unknown
     _show(out["metrics"])
     _show(out["top_confusions"])
     if args.out:
@@ -154,7 +165,7 @@ def parser() -> argparse.ArgumentParser:
             a.add_argument("--lr", type=float, default=1e-3)
             a.add_argument("--patience", type=int, default=5)
             a.add_argument("--steps", type=int, default=1, help="optimisation steps per epoch")
-            a.add_argument("--batch-size", type=int, help="rows per optimisation step, on average (sets --steps)")
+            a.add_argument("--batch-size", type=int, help="rows per optimisation step (sets --steps)")
             a.add_argument("--log", help="also write the run as a run-log text folder")
             a.add_argument("--small", action="store_true", help="no weight decay, schedule or early stop")
         else:
@@ -162,6 +173,9 @@ def parser() -> argparse.ArgumentParser:
             a.add_argument("--top-classes", type=int, default=20)
             a.add_argument("--top-errors", type=int, default=10)
             a.add_argument("--examples", type=int, default=10)
+            a.add_argument("--images", help="folder of the image files: adds the examples' pictures")
+            a.add_argument("--size", type=int, default=224)
+            a.add_argument("--matrix", default="auto", choices=("auto", "dense", "sparse"))
             a.add_argument("--out")
     a = sub.add_parser("tensors", help="preprocessed images of one split")
     a.add_argument("--table", required=True)
@@ -187,7 +201,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"samplecraft-{args.cmd}").getOrCreate()
     ensure_checkpoint_dir(spark)
-    COMMANDS[args.cmd](spark, args)
+    before = scratch_count()
+    try:
+        COMMANDS[args.cmd](spark, args)
+    finally:
+        clear_scratch(spark, before)
 
 
 if __name__ == "__main__":

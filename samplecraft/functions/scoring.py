@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..util import as_col
 
-MAX_LITERAL_HEAD = 2_000_000  # C x D above this: pass the head as a table instead
+MAX_LITERAL_HEAD = 2_000_000  # C x D above this: operators.evaluate.score_by_blocks takes the head as a table
 
 
 def _array_sum(arr: Column) -> Column:
@@ -42,7 +42,7 @@ def linear_logits(features, weights: Sequence[Sequence[float]], bias: Sequence[f
     if n_classes == 0 or len(bias) != n_classes:
         raise ValueError("weights and bias must have the same, non-zero number of classes")
     if n_classes * len(weights[0]) > MAX_LITERAL_HEAD:
-        raise ValueError("head too large to embed in a plan")
+        raise ValueError("head too large to embed in a plan: use operators.evaluate.score_by_blocks")
     w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights])
     b = F.array(*[F.lit(float(v)) for v in bias])
     x = as_col(features)

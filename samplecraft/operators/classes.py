@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def class_dictionary(df: DataFrame, label_col: str = "label", distributed: bool = False) -> DataFrame:
+MAX_WINDOW_CLASSES = 1_000_000
+
+
+def class_dictionary(df: DataFrame, label_col: str = "label", distributed: bool | None = None) -> DataFrame:
     """G1: sorted distinct labels with a dense 0-based index.
 
-    ``distinct`` runs with partial aggregation first; the un-partitioned
-    ``row_number`` only sees the distinct set (one row per class).  For label
-    sets too large for one task (millions of distinct values), use
-    ``distributed=True``: a sampled range sort with per-partition offsets
-    (``operators.sampling.dense_index``).
+    ``distinct`` runs with partial aggregation, and the labels are counted.  Up
+    to ``MAX_WINDOW_CLASSES`` of them are numbered by one window; more are ranked
+    by a sampled range sort with per-partition offsets
+    (``operators.sampling.dense_index``).  Both give the same numbers;
+    ``distributed`` chooses one of them without counting.
     """
     labels = df.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
+    if distributed is None:
+        distributed = labels.count() > MAX_WINDOW_CLASSES
     if distributed:
         from .sampling import dense_index
         ranked = dense_index(labels, [F.col("label")], "label_idx")

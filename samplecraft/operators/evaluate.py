@@ -3,13 +3,16 @@
 Predictions are scored once (D3) and every analysis reuses them.  Confusion
 counts use partial aggregation, so skewed classes cost nothing extra, and all
 other tables derive from these counts (at most C^2 rows).  The dense matrix is
-built from the dictionary without a cross join, up to a stated number of
-classes; above it the matrix stays sparse.
+built from the dictionary in blocks, without a cross join; cells of unknown
+classes have a table of their own.
+
+A head that is a table (``score_by_blocks``) is multiplied block by block of
+classes, whatever its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +24,7 @@ from .sampling import random_sample
 from .tensors import apply_step, denormalize
 
 MAX_DENSE_CLASSES = 5_000  # 25 million cells; above it the matrix stays sparse
+GRID_BLOCK = 4_096         # cells of a class in one row of the dense matrix's plan
 MAX_EXAMPLES = 100_000     # example keys that are broadcast
 MAX_ARROW_HEAD = 16_000_000  # doubles in a broadcast head (128 MB)
 
@@ -66,7 +70,7 @@ def _score_arrow(df: DataFrame, label_col: str, logits_col: str, features_col: s
     w = np.asarray(weights, dtype=np.float64)
     b = np.asarray(bias, dtype=np.float64)
     if w.size > MAX_ARROW_HEAD:
-        raise ValueError(f"a head of more than {MAX_ARROW_HEAD} numbers is a limit of the model size")
+        raise ValueError(f"a head of more than {MAX_ARROW_HEAD} numbers: use score_by_blocks with the head's table")
     head = spark.sparkContext.broadcast((w, b))
     n_classes, dim = w.shape
     base = df.drop(logits_col, "pred_idx", "loss", "correct")
@@ -78,15 +82,7 @@ def _score_arrow(df: DataFrame, label_col: str, logits_col: str, features_col: s
         wv, bv = head.value
         for rb in batches:
             n = rb.num_rows
-            feats = rb.column(rb.schema.get_field_index(features_col))
-            size = feats.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-            ok = size == dim
-            x = np.zeros((n, dim))
-            if ok.any():
-                flat = feats.filter(pa.array(ok)).flatten()
-                whole = np.asarray(flat.is_valid().to_numpy(zero_copy_only=False)).reshape(-1, dim).all(axis=1)
-                x[ok] = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                ok[ok] = whole
+            x, ok = _vectors(rb.column(rb.schema.get_field_index(features_col)), dim)
             z = x @ wv.T + bv
             m = z.max(axis=1)
             lse = np.log(np.exp(z - m[:, None]).sum(axis=1)) + m
@@ -107,6 +103,104 @@ def _score_arrow(df: DataFrame, label_col: str, logits_col: str, features_col: s
     return base.mapInArrow(run, out_schema)
 
 
+def head_shape(head: DataFrame) -> tuple[int, int]:
+    """(classes, vector length) of a head table; its classes must be 0..C-1, one row each, with equal lengths."""
+    r = head.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("class_idx").alias("d"), F.min("class_idx").alias("lo"),
+                 F.max("class_idx").alias("hi"), F.min(F.size("weights")).alias("s"), F.max(F.size("weights")).alias("t")).first()
+    if not r["n"]:
+        raise ValueError("the head has no classes")
+    if (r["n"], r["lo"], r["hi"], r["s"]) != (r["d"], 0, r["n"] - 1, r["t"]) or r["s"] < 1:
+        raise ValueError("a head needs one row per class 0..C-1 and weights of one length")
+    return r["n"], r["s"]
+
+
+def score_by_blocks(df: DataFrame, head: DataFrame, features_col: str = "features", label_col: str = "label_idx",
+                    logits_col: str | None = None, block_numbers: int = 4_000_000) -> DataFrame:
+    """D3 / F4 with a head table (class_idx, bias, weights) of any size.
+
+    The head is cut into blocks of classes of at most ``block_numbers`` numbers.
+    One block at a time passes through the driver and is shipped to the
+    executors, which keep the blocks on disk; a Python worker holds one block and
+    a running maximum, its class, and the sum of exponentials of a few rows.
+    The rows are read once, nothing is shuffled.  ``logits_col`` also gives all
+    C scores of a row.  Columns and NULLs are those of ``score``.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ..session import ship_package
+
+    spark = df.sparkSession
+    ship_package(spark)
+    n_classes, dim = head_shape(head)
+    step = max(1, block_numbers // (dim + 1))
+    blocks = []
+    for lo in range(0, n_classes, step):
+        part = head.where((F.col("class_idx") >= lo) & (F.col("class_idx") < lo + step)).select("class_idx", "bias", "weights")
+        rows = part.toArrow().sort_by("class_idx")
+        w = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column("weights").chunks]).reshape(-1, dim)
+        blocks.append((lo, spark.sparkContext.broadcast((w.astype(np.float64), rows.column("bias").to_numpy().astype(np.float64)))))
+    base = df.drop(*[c for c in (logits_col, "pred_idx", "loss", "correct") if c])
+    fields = [T.StructField(logits_col, T.ArrayType(T.DoubleType()))] if logits_col else []
+    out_schema = T.StructType(base.schema.fields + fields + [
+        T.StructField("pred_idx", T.IntegerType()), T.StructField("loss", T.DoubleType()), T.StructField("correct", T.BooleanType())])
+    few = max(1, 4_000_000 // max(step, n_classes if logits_col else 1))  # rows whose scores are held at a time
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, few):
+                yield one(whole.slice(at, few))
+
+    def one(rb):
+        x, ok = _vectors(rb.column(rb.schema.get_field_index(features_col)), dim)
+        ycol = rb.column(rb.schema.get_field_index(label_col))
+        y_ok = np.asarray(ycol.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+        y = np.asarray(ycol.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        n = rb.num_rows
+        top, best, mass, own = np.full(n, -np.inf), np.zeros(n, np.int32), np.zeros(n), np.zeros(n)
+        kept = np.zeros((n, n_classes)) if logits_col else None
+        for lo, shared in blocks:
+            w, b = shared.value
+            z = x @ w.T + b
+            if logits_col:
+                kept[:, lo:lo + len(b)] = z
+            here = z.max(axis=1)
+            best = np.where(here > top, lo + np.argmax(z, axis=1), best).astype(np.int32)  # the first maximum wins
+            new = np.maximum(top, here)
+            mass = mass * np.exp(top - new) + np.exp(z - new[:, None]).sum(axis=1)
+            top = new
+            mine = (y >= lo) & (y < lo + len(b))
+            own[mine] = z[mine, y[mine] - lo]
+            if len(blocks) > 1:
+                vars(shared).pop("_value", None)  # the worker keeps the file, not the numbers
+        known = y_ok & (y >= 0) & (y < n_classes) & ok
+        loss = np.where(known, np.log(mass) + top - own, 0.0)
+        cols = [rb.column(i) for i in range(rb.num_columns)]
+        if logits_col:
+            offsets = np.arange(n + 1, dtype=np.int32) * n_classes
+            cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept.reshape(-1)), mask=pa.array(~ok)))
+        cols += [pa.array(best, mask=~ok), pa.array(loss, mask=~known), pa.array(best == y, mask=~(y_ok & ok))]
+        return pa.RecordBatch.from_arrays(cols, names=out_schema.fieldNames())
+
+    return base.mapInArrow(run, out_schema)
+
+
+def _vectors(feats, dim: int):
+    """(n x dim matrix, usable?) of an Arrow list column; unusable rows are zeros."""
+    import numpy as np
+    import pyarrow as pa
+
+    ok = feats.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim
+    x = np.zeros((len(feats), dim))
+    if ok.any():
+        flat = feats.filter(pa.array(ok)).flatten()
+        whole = np.asarray(flat.is_valid().to_numpy(zero_copy_only=False)).reshape(-1, dim).all(axis=1)
+        x[ok] = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        ok[ok] = whole
+    return x, ok
+
+
 def epoch_metrics(scored: DataFrame, label_col: str = "label_idx") -> DataFrame:
     """Rows, mean loss and accuracy over rows with a known label."""
     s = scored.where(F.col(label_col).isNotNull())
@@ -143,23 +237,45 @@ def confusion_counts(pred: DataFrame, label_col: str = "label_idx", pred_col: st
                 .agg(n.alias("n")))
 
 
-def confusion_matrix(counts: DataFrame, dictionary: DataFrame,
-                     max_classes: int = MAX_DENSE_CLASSES, n_classes: int | None = None) -> DataFrame:
-    """E1 on the full zero-filled class grid (axis = dictionary).
+def confusion_matrix(counts: DataFrame, dictionary: DataFrame, max_classes: int = MAX_DENSE_CLASSES,
+                     n_classes: int | None = None, form: str = "auto") -> DataFrame:
+    """E1 on the dictionary's class grid.
 
-    The grid is generated by exploding ``sequence(0, C-1)`` per class, so no
-    cross join is planned.  Above ``max_classes`` classes the result is the
-    sparse non-zero cells (the grid alone would be C^2 rows).
+    ``form='dense'`` gives every cell, zeros included; ``'sparse'`` the same
+    without the zeros; ``'auto'`` is dense up to ``max_classes`` classes.  All
+    leave out cells whose true or predicted class is not in the dictionary:
+    these are the rows of ``outside_cells``, and the two tables' totals are
+    E1's.  The dense grid is made from blocks of ``GRID_BLOCK`` cells, spread
+    over the tasks, so no cross join is planned and no row grows with C.
     """
+    if form not in ("auto", "dense", "sparse"):
+        raise ValueError("form must be 'auto', 'dense' or 'sparse'")
     c = n_classes if n_classes is not None else dictionary.count()
-    if c > max_classes or c == 0:
-        return counts.select("true_idx", "pred_idx", "n")
-    grid = dictionary.select(F.col("label_idx").cast("int").alias("true_idx"),
-                             F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("pred_idx"))
+    if form == "sparse" or c == 0 or (form == "auto" and c > max_classes):
+        return _inside(counts, dictionary).select("true_idx", "pred_idx", "n")
+    blocks = dictionary.select(F.col("label_idx").cast("int").alias("true_idx"),
+                               F.explode(F.sequence(F.lit(0), F.lit(c - 1), F.lit(GRID_BLOCK))).alias("lo"))
+    if c > GRID_BLOCK:
+        blocks = blocks.repartition("true_idx", "lo")
+    grid = blocks.select("true_idx", F.explode(F.sequence("lo", F.least(F.col("lo") + GRID_BLOCK, F.lit(c)) - 1)).alias("pred_idx"))
     return (grid.join(counts, ["true_idx", "pred_idx"], "left")
                 .select("true_idx", "pred_idx", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
+def _inside(counts: DataFrame, dictionary: DataFrame, how: str = "left_semi") -> DataFrame:
+    for c in ("true_idx", "pred_idx"):
+        counts = counts.join(dictionary.select(F.col("label_idx").alias(c)), c, how)
+    return counts
+
+
+def outside_cells(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The cells of E1 that E2 has no place for: true or predicted class not in the dictionary."""
+    known = dictionary.select(F.col("label_idx").cast("int").alias("i"), F.lit(True).alias("yes"))
+    t, p = (known.select(F.col("i").alias(c), F.col("yes").alias(f"{c}_known")) for c in ("true_idx", "pred_idx"))
+    flagged = counts.join(t, "true_idx", "left").join(p, "pred_idx", "left")
+    return flagged.where(F.col("true_idx_known").isNull() | F.col("pred_idx_known").isNull()).select("true_idx", "pred_idx", "n")
+
+
 def class_errors(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Errors per true class (row sum minus diagonal); classes without errors get 0."""
     errs = (counts.groupBy(F.col("true_idx").alias("label_idx"))
@@ -216,13 +332,14 @@ def heatmap_cells(cm: DataFrame) -> DataFrame:
 
 def example_predictions(scored: DataFrame, dictionary: DataFrame, n: int = 10, correct: bool = True,
                         seed: int = 42, key: str = "id", label_col: str = "label_idx",
-                        tensors: DataFrame | None = None, mean: Sequence[float] = IMAGENET_MEAN,
+                        tensors: DataFrame | Callable[[DataFrame], DataFrame] | None = None, mean: Sequence[float] = IMAGENET_MEAN,
                         std: Sequence[float] = IMAGENET_STD) -> DataFrame:
     """T4: ``n`` seeded-random rows that are right (or wrong), with both class names.
 
     Reuses the scored rows; nothing is scored a second time.  ``tensors``
     (key, tensor as the model saw it) adds ``image``: the picture of each
-    example, denormalised to 0..1, or NULL where there is none.
+    example, denormalised to 0..1, or NULL where there is none.  It may be a
+    function of the picked keys, so that only the examples' files are opened.
     """
     pool = scored.where(F.col(label_col).isNotNull() &
                         ((F.col(label_col) == F.col("pred_idx")) == F.lit(bool(correct))))
@@ -233,6 +350,8 @@ def example_predictions(scored: DataFrame, dictionary: DataFrame, n: int = 10, c
         return named
     # at most n rows: the few tensors are fetched by a semi-join, the table is not shuffled
     few = picked.select(key) if n <= MAX_EXAMPLES else None
+    if callable(tensors):
+        tensors, few = tensors(picked.select(key)), None
     own = tensors.select(key, F.col("tensor").alias("image"))
     own = own if few is None else own.join(F.broadcast(few), key, "left_semi")
     return named.join(apply_step(own, denormalize(mean, std), "image"), key, "left")

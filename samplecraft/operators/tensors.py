@@ -291,15 +291,20 @@ def color_jitter(brightness: float = 0.2, contrast: float = 0.2, saturation: flo
 # ---------------------------------------------------------------- execution
 
 def _read_tensors(tcol, n):
-    """Per-row (H, W, C) float64 arrays from a tensor struct column (None when invalid)."""
-    hs = tcol.field("height").to_numpy(zero_copy_only=False)
-    ws = tcol.field("width").to_numpy(zero_copy_only=False)
-    cs = tcol.field("channels").to_numpy(zero_copy_only=False)
+    """Per-row (H, W, C) float64 arrays from a tensor struct column; None when a row is NULL or is no tensor: a side
+    that is missing or not positive, another number of values than H x W x C, or a NULL among them."""
+    hs, ws, cs = (tcol.field(k).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                  for k in ("height", "width", "channels"))
     data = tcol.field("data")
+    offsets = data.offsets.to_numpy().astype(np.int64)
+    holes = np.zeros(len(data.values) + 1, np.int64)
+    if data.values.null_count:
+        np.cumsum(np.asarray(data.values.is_null().to_numpy(zero_copy_only=False)), out=holes[1:])
+    values = data.values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
     valid = np.asarray(tcol.is_valid().to_numpy(zero_copy_only=False), dtype=bool) \
-        & np.asarray(data.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
-    offsets = data.offsets.to_numpy()
-    values = data.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        & np.asarray(data.is_valid().to_numpy(zero_copy_only=False), dtype=bool) \
+        & (np.minimum(np.minimum(hs, ws), cs) > 0) & (np.diff(offsets) == hs * ws * cs) \
+        & (holes[offsets[1:]] == holes[offsets[:-1]])
     for r in range(n):
         if not valid[r]:
             yield None
@@ -332,6 +337,23 @@ def _read_images(icol, n):
         yield a.astype(np.float64)
 
 
+def usable_tensor(df: DataFrame, tensor_col: str = "tensor") -> F.Column:
+    """Can the steps read this row's tensor (or raw image)?  The rows for which not come out of them as NULL."""
+    t = F.col(tensor_col)
+    if _is_image_struct(df.schema[tensor_col].dataType):
+        sides, size, holes = ("height", "width", "nChannels"), F.octet_length(t["data"]), F.lit(False)
+    else:
+        sides, size, holes = ("height", "width", "channels"), F.size(t["data"]), F.exists(t["data"], lambda v: v.isNull())
+    h, w, c = (t[k].cast("long") for k in sides)
+    return F.coalesce(t.isNotNull() & (F.least(h, w, c) > 0) & (size == h * w * c) & ~holes, F.lit(False))
+
+
+def tensor_report(df: DataFrame, tensor_col: str = "tensor") -> DataFrame:
+    """One row: (n, n_null, n_unusable), of the latter those that are there but cannot be read."""
+    ok, there = usable_tensor(df, tensor_col), F.col(tensor_col).isNotNull()
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~there).alias("n_null"), F.count_if(there & ~ok).alias("n_unusable"))
+
+
 def _is_image_struct(dtype) -> bool:
     return isinstance(dtype, T.StructType) and "nChannels" in dtype.fieldNames()
 
@@ -459,6 +481,9 @@ def apply_step(df: DataFrame, step: TensorStep, tensor_col: str = "tensor", pref
 def pipeline(df: DataFrame, steps: Sequence, tensor_col: str = "tensor") -> DataFrame:
     """Ordered composition of steps.
 
+    A row whose tensor cannot be read (``usable_tensor``) gets NULL and stops
+    nothing; ``tensor_report`` counts such rows.
+
     A step is a ``TensorStep`` or any ``DataFrame -> DataFrame`` callable.
     Each run of adjacent ``TensorStep``s executes as one fused NumPy stage.
     """

@@ -216,6 +216,16 @@ def q_row_fetch(spark, sf):
     return S.fetch_rows(idx, positions).select("row_idx", "id", "label")
 
 
+@register("row_fetch_indexed", ORACLES["row_fetch"])
+def q_row_fetch_indexed(spark, sf):
+    """B5 from a stored table: only the files that hold the positions are opened."""
+    idx = S.key_order_index(X.samples(X.events(spark, sf)).select("id", "label"), "id")
+    path = scratch_path(spark, "indexed")
+    S.write_indexed(idx, path, rows_per_file=4096)
+    positions = X.embeddings(spark, sf).select(F.col("vec_id").alias("row_idx"))
+    return S.fetch_indexed(spark, path, positions).select("row_idx", "id", "label")
+
+
 @register("class_consistency", _with(SQL_SAMPLES) + """
 SELECT coalesce(a.label, b.label) AS label, a.label IS NOT NULL AS in_train, b.label IS NOT NULL AS in_test,
        CASE WHEN a.label IS NOT NULL AND b.label IS NOT NULL THEN 'both'
@@ -452,6 +462,37 @@ def q_score_rows(spark, sf):
     return s.select("id", "label_idx", "pred_idx", r6(F.col("loss")).alias("loss"), "correct")
 
 
+@register("score_head_blocks", ORACLES["score_rows"])
+def q_score_head_blocks(spark, sf):
+    """F4 / D3 with the head as a table, two classes a block."""
+    w, b = X.fixture_head()
+    head = spark.createDataFrame([(c, b[c], w[c]) for c in range(len(b))], "class_idx int, bias double, weights array<double>")
+    emb = X.embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label_idx"), "embedding")
+    s = E.score_by_blocks(emb, head, "embedding", block_numbers=130)
+    return s.select("id", "label_idx", "pred_idx", r6(F.col("loss")).alias("loss"), "correct")
+
+
+@register("confusion_outside", _with(SQL_PRED, SQL_DICT, SQL_COUNTS) + """
+SELECT true_idx, pred_idx, n FROM counts
+WHERE true_idx NOT IN (SELECT label_idx FROM dict WHERE label_idx % 2 = 0)
+   OR pred_idx NOT IN (SELECT label_idx FROM dict WHERE label_idx % 2 = 0)""")
+def q_confusion_outside(spark, sf):
+    """E2's other table: cells outside a dictionary, here of the even classes."""
+    counts, d = _counts(spark, sf)
+    return E.outside_cells(counts, d.where("label_idx % 2 = 0"))
+
+
+@register("tensor_report", """
+SELECT count(*) AS n, count(*) FILTER (vec_id % 7 = 0) AS n_null,
+       count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 3 = 0) AS n_unusable FROM embeddings""")
+def q_tensor_report(spark, sf):
+    """I9's report over tensors of which some are NULL and some have a value too few."""
+    t = X.tensors_8x8(X.embeddings(spark, sf))
+    cut = F.col("tensor").withField("data", F.slice(F.col("tensor")["data"], 1, 63))
+    t = t.withColumn("tensor", F.when(F.col("key") % 7 == 0, None).when(F.col("key") % 3 == 0, cut).otherwise(F.col("tensor")))
+    return T.tensor_report(t)
+
+
 # ------------------------------------------------------------------ batching
 
 @register("shuffle_batches", _with(SQL_SAMPLES) + """

@@ -62,8 +62,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")  # kept for the cluster's own clean-up of its checkpoint folder
-    return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/scratch/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Remove this driver process's scratch tables but the first ``keep``; nothing that reads them may be in use any more."""
+    while len(_SCRATCH) > keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_count() -> int:
+    """How many scratch tables there are: what ``clear_scratch`` is to keep after the next job."""
+    return len(_SCRATCH)
+
+
+_SCRATCH: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -7,13 +7,14 @@ Arrow-batched NumPy stage of ``operators.tensors``, either alone
 (``read_images`` + ``pipeline``).  ``invalid='drop'`` drops undecodable files,
 ``invalid='flag'`` keeps them with ``tensor = NULL`` so they can be counted.
 
-``listed_images`` reads only the files that a table of rows names.  Paths are
+``listed_images`` reads only the files that a table of rows names, block by block.  Paths are
 compared as full, unescaped URIs (``path_key``): a row's path without a scheme
 belongs to the folder's file system, and equal keys in two buckets differ.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from ..util import unused_name
+from ..session import scratch_path, ship_package
+from ..util import row_hash, unused_name
 
-MAX_LISTED = 500_000  # rows whose files are read by name, and which are broadcast to the scan
+MAX_LISTED = 100_000      # rows of a block: its files are read by name, its rows are broadcast to the scan
+BLOCK_BYTES = 64 << 20    # ... and at most about this many bytes of rows
 
 
 def _load(spark: SparkSession, paths: str | Sequence[str], invalid: str) -> DataFrame:
@@ -92,7 +94,7 @@ def attach_images(meta: DataFrame, images: DataFrame, path_col: str = "image_pat
 
     ``folder``: where the images were read from; paths without a scheme are
     on its file system.  Both sides are table-sized, so this is a shuffle join;
-    ``listed_images`` avoids it for up to ``MAX_LISTED`` rows.
+    ``listed_images`` avoids it.
     """
     value = next(c for c in images.columns if c != "path")
     key = unused_name(meta, "_path_key")
@@ -105,29 +107,67 @@ def listed_images(spark: SparkSession, rows: DataFrame, folder: str, path_col: s
                   max_listed: int = MAX_LISTED) -> DataFrame:
     """``rows`` with the raw ``image`` of each row's file (NULL where it is missing or undecodable).
 
-    The folder is listed without reading a file, the listing is cut to the
-    rows' paths, and only those files are opened.  The rows are broadcast to
-    the scan, so no pixel is shuffled.  Above ``max_listed`` rows the folder is
-    read whole and joined by a shuffle on the path.
+    The folder is listed without reading a file.  The rows are dealt into blocks
+    of about ``max_listed`` rows or ``BLOCK_BYTES``, by path, so a file is opened for one
+    block only (for several if more rows than a block has name it).  Every block
+    is the same plan: its existing files, a list as long as a block at most,
+    are scanned by name and meet the block's rows by a broadcast, so no pixel is
+    shuffled.  All blocks but the last are written to the scratch folder one
+    after another, so the driver holds one block's list at a time.
     """
-    if rows.limit(max_listed + 1).count() > max_listed:
-        return attach_images(rows, read_images(spark, folder, "flag"), path_col, folder)
     default = file_system(spark, folder)
-    key, image = unused_name(rows, "_path_key"), "image"
+    key, block = unused_name(rows, "_path_key"), unused_name(rows, "_block")
+    image = "image"
     keyed = rows.withColumn(key, path_key(path_col, default))
-    there = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-             .select(F.col("path"), path_key("path", default, escaped=True).alias(key)))
-    wanted = there.join(F.broadcast(keyed.select(key).distinct()), key, "left_semi")
-    paths = [r["path"] for r in wanted.select(path_key("path", default, escaped=True).alias("path")).distinct().toLocalIterator()]
-    if not paths:
-        schema = spark.read.format("image").schema["image"].dataType
-        return rows.withColumn(image, F.lit(None).cast(schema))
-    glob = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
-    found = _load(spark, glob, "flag").select(path_key("path", default, escaped=True).alias(key), F.col(image))
-    matched = found.join(F.broadcast(keyed), key).drop(key).select(*rows.columns, image)
-    schema = found.schema[image].dataType
-    missing = keyed.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], f"{key} string")), key, "left_anti")
-    return matched.unionByName(missing.drop(key).withColumn(image, F.lit(None).cast(schema)))
+    there = stored_paths(spark, folder, default, key)
+    sized = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(keyed)).alias("b"))
+    m = sized.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("n").alias("hot")).first()
+    blocks = max(1, -(-(m["n"] or 0) // max_listed), -(-(m["b"] or 0) // BLOCK_BYTES))
+    salts = max(1, -(-(m["hot"] or 0) // max_listed))
+    salt = F.pmod(row_hash(rows), F.lit(salts)) if salts > 1 else F.lit(0)
+    dealt = keyed.withColumn(block, F.pmod(F.xxhash64(key, salt), F.lit(blocks)))
+    wanted = dealt.select(key, block).distinct().join(there, key, "left_semi")
+
+    def scan(k: int) -> DataFrame | None:
+        paths = [r[key] for r in wanted.where(F.col(block) == k).select(key).collect()]
+        if not paths:
+            return None
+        glob = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+        found = _load(spark, glob, "flag").select(path_key("path", default, escaped=True).alias(key), F.col(image))
+        mine = dealt.where(F.col(block) == k).drop(block)
+        return found.join(F.broadcast(mine), key).select(*rows.columns, image)
+
+    parts = []
+    for k in range(blocks):
+        part = scan(k)
+        if part is not None and k < blocks - 1:
+            path = scratch_path(spark, f"images-{k}")
+            part.write.parquet(path)
+            part = spark.read.schema(part.schema).parquet(path)
+        if part is not None:
+            parts.append(part)
+    schema = parts[0].schema[image].dataType if parts else spark.read.format("image").schema["image"].dataType
+    missing = keyed.join(there, key, "left_anti").drop(key).withColumn(image, F.lit(None).cast(schema))
+    return functools.reduce(DataFrame.unionByName, parts, missing)
+
+
+def stored_paths(spark: SparkSession, folder: str, default: str, key: str) -> DataFrame:
+    """The paths of all files under ``folder``, listed once, as a table with the one column ``key``."""
+    path = scratch_path(spark, "image-paths")
+    (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+     .select(path_key("path", default, escaped=True).alias(key)).write.parquet(path))
+    return spark.read.schema(f"`{key}` string").parquet(path)
+
+
+def _row_bytes(df: DataFrame) -> F.Column:
+    """About how many bytes a row takes; strings, binaries and arrays by their length."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        part = (F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind in ("array", "map")
+                else F.octet_length(F.to_json(c)) if kind == "struct" else F.lit(8))
+        total = total + F.greatest(F.coalesce(part, F.lit(0)), F.lit(0))
+    return total.cast("long")
 
 
 # ---- PNG writing (fixtures only) ------------------------------------------

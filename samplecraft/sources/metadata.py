@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,14 +67,71 @@ def write_dictionary(dictionary: DataFrame, run_id: str, head_path: str) -> None
     _replace_partitions(rows, dictionary_path(head_path), "run_id")
 
 
+# A run's head and dictionary change together.  Training writes both to a staged folder; publishing creates one
+# small file that names this folder (the commit: it is there or it is not), replaces the run's partitions of the
+# two tables, and removes the file.  While the file is there, readers take both from the staged folder, so they
+# never see a new head with old names; a job that dies before the commit leaves the old pair as it was, and one that
+# dies after it has published the new one.
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _marker(head_path: str, run_id: str) -> str:
+    return f"{head_path.rstrip('/')}_commits/{quote(run_id, safe='')}"
+
+
+def staged_head(head_path: str, run_id: str) -> str:
+    """A fresh folder, beside the tables of heads, for a run's heads and dictionary until they are published."""
+    return f"{head_path.rstrip('/')}_staged/{quote(run_id, safe='')}-{uuid.uuid4().hex}/heads"
+
+
+def _committed(spark: SparkSession, head_path: str, run_id: str) -> str | None:
+    """The staged heads of a commit that is not finished."""
+    fs, p = _files(spark, _marker(head_path, run_id))
+    return spark.read.text(p.toString()).first()[0] if fs.exists(p) else None
+
+
+def publish_head(spark: SparkSession, staged: str, head_path: str, run_id: str) -> None:
+    """Make the heads and the dictionary at ``staged`` those of ``run_id``, as one change."""
+    finish_commit(spark, head_path, run_id)
+    fs, p = _files(spark, _marker(head_path, run_id))
+    fs, new = _files(spark, _marker(head_path, run_id) + f".{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.write(bytearray(staged.encode()))
+    out.close()
+    if not fs.rename(new, p):
+        raise RuntimeError(f"could not commit {p.toString()}")
+    finish_commit(spark, head_path, run_id)
+
+
+def finish_commit(spark: SparkSession, head_path: str, run_id: str) -> None:
+    """Carry a commit that was made into the two tables (nothing to do if there is none); may be repeated."""
+    staged = _committed(spark, head_path, run_id)
+    if staged is None:
+        return
+    write_head(spark.read.schema(HEAD).parquet(staged).where(F.col("run_id") == run_id), head_path)
+    names = spark.read.schema(_DICTIONARY).parquet(dictionary_path(staged)).where(F.col("run_id") == run_id)
+    write_dictionary(names, run_id, head_path)
+    for path in (_marker(head_path, run_id), staged.rsplit("/", 1)[0]):
+        fs, p = _files(spark, path)
+        fs.delete(p, True)
+
+
+_DICTIONARY = "label_idx int, label string, run_id string"
+
+
 def read_dictionary(spark: SparkSession, head_path: str, run_id: str) -> DataFrame:
     """(label_idx, label) of a run's head."""
-    return (spark.read.schema("label_idx int, label string, run_id string").parquet(dictionary_path(head_path))
+    at = _committed(spark, head_path, run_id) or head_path
+    return (spark.read.schema(_DICTIONARY).parquet(dictionary_path(at))
             .where(F.col("run_id") == run_id).select("label_idx", "label"))
 
 
 def read_head(spark: SparkSession, path: str, run_id: str | None = None, kind: str | None = None) -> DataFrame:
-    df = spark.read.schema(HEAD).parquet(path).select(*HEAD_COLUMNS)
+    at = path if run_id is None else _committed(spark, path, run_id) or path
+    df = spark.read.schema(HEAD).parquet(at).select(*HEAD_COLUMNS)
     if run_id is not None:
         df = df.where(F.col("run_id") == run_id)
     if kind is not None:

@@ -30,3 +30,16 @@ def test_distributed_dictionary_matches(spark):
     a = sorted(tuple(r) for r in C.class_dictionary(df).collect())
     b = sorted(tuple(r) for r in C.class_dictionary(df, distributed=True).collect())
     assert a == b and len(a) == 1300 and a[-1][0] == 1299
+
+
+def test_form_is_chosen_by_the_count(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    df = spark.range(300).select(F.format_string("L%04d", F.col("id") % 40).alias("label"))
+    a = sorted(tuple(r) for r in C.class_dictionary(df).collect())
+    monkeypatch.setattr(C, "MAX_WINDOW_CLASSES", 10)
+    many = C.class_dictionary(df)
+    assert sorted(tuple(r) for r in many.collect()) == a
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(label" not in plan
+    monkeypatch.setattr(C, "MAX_WINDOW_CLASSES", 40)
+    assert "row_number() windowspecdefinition(label" in C.class_dictionary(df)._jdf.queryExecution().optimizedPlan().toString()

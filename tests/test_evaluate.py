@@ -125,3 +125,55 @@ def test_arrow_scoring_matches_catalyst(spark):
             assert abs(x.loss - y.loss) < 1e-9
         if x.logits is not None:
             assert np.allclose(x.logits, y.logits, atol=1e-12)
+
+
+def test_both_forms_and_the_outside_cells_add_up(spark, monkeypatch):
+    monkeypatch.setattr(E, "GRID_BLOCK", 3)
+    counts = spark.createDataFrame([(0, 1, 2), (3, 3, 9), (7, 0, 4), (1, 8, 1), (9, 9, 5), (4, 2, 6)],
+                                   "true_idx int, pred_idx int, n long")
+    d = dictionary(spark, 7)
+    dense = E.confusion_matrix(counts, d, form="dense")
+    sparse = E.confusion_matrix(counts, d, form="sparse")
+    outside = E.outside_cells(counts, d)
+    assert dense.count() == 49 and sparse.count() == 3
+    assert sorted(tuple(r) for r in dense.where("n > 0").collect()) == sorted(tuple(r) for r in sparse.collect())
+    assert sorted(tuple(r) for r in outside.collect()) == [(1, 8, 1), (7, 0, 4), (9, 9, 5)]
+    for cm in (dense, sparse, E.confusion_matrix(counts, d, max_classes=3)):
+        assert cm.agg(F.sum("n")).first()[0] + outside.agg(F.sum("n")).first()[0] == 27
+
+
+def test_score_by_blocks_equals_score(spark):
+    rng = np.random.default_rng(3)
+    w, b = rng.normal(size=(7, 9)), rng.normal(size=7)
+    w[4], b[4] = w[2], b[2]  # a tie across blocks
+    rows = [(i, (i % 9) - 1 if i % 5 else None, [float(v) for v in rng.normal(size=9)], "kept") for i in range(200)]
+    rows += [(999, 2, None, "a"), (1000, 1, [1.0], "b"), (1002, 3, [1.0, None] + [0.0] * 7, "c"), (1003, 1, [], None)]
+    df = spark.createDataFrame(rows, "id long, label_idx int, features array<double>, loss string").repartition(3)
+    head = spark.createDataFrame([(c, float(b[c]), w[c].tolist()) for c in (3, 0, 6, 1, 5, 2, 4)],
+                                 "class_idx int, bias double, weights array<double>")
+    want = {r.id: r for r in E.score(df, features_col="features", weights=w.tolist(), bias=b.tolist()).collect()}
+    for numbers in (1, 25, 10_000):
+        got = E.score_by_blocks(df, head, logits_col="logits", block_numbers=numbers)
+        assert got.columns == ["id", "label_idx", "features", "logits", "pred_idx", "loss", "correct"]
+        for r in got.collect():
+            x = want[r.id]
+            assert (r.pred_idx, r.correct, r.label_idx) == (x.pred_idx, x.correct, x.label_idx)
+            assert (r.loss is None) == (x.loss is None) and (x.loss is None or abs(r.loss - x.loss) < 1e-9)
+            assert (r.logits is None) == (x.logits is None) and (x.logits is None or np.allclose(r.logits, x.logits))
+    assert "logits" not in E.score_by_blocks(df, head).columns
+    for bad in (head.limit(0), head.where("class_idx <> 3"), head.unionByName(head.limit(1))):
+        try:
+            E.score_by_blocks(df, bad)
+            raise AssertionError("accepted")
+        except ValueError:
+            pass
+
+
+def test_a_head_beyond_the_literal_cap_scores(spark):
+    n, dim = 50_001, 50  # 2.5 million numbers: too many for a plan
+    head = spark.range(n).select(F.col("id").cast("int").alias("class_idx"), F.lit(0.0).alias("bias"), F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.pmod(F.col("id") * 7 + j, F.lit(1009)) / 1009.0).alias("weights"))
+    df = spark.createDataFrame([(1, 5, [1.0] + [0.0] * (dim - 1))], "id int, label_idx int, features array<double>")
+    r = E.score_by_blocks(df, head, block_numbers=500_000).first()
+    z = np.array([(c * 7 % 1009) / 1009.0 for c in range(n)])
+    assert r.pred_idx == int(z.argmax()) and abs(r.loss - (np.log(np.exp(z).sum()) - z[5])) < 1e-9

@@ -89,3 +89,32 @@ def test_equal_keys_in_two_places_do_not_fan_out(spark):
     meta = spark.createDataFrame([("s3a://one/a.png",), ("s3a://two/a.png",)], "image_path string")
     images = spark.createDataFrame([("s3a://one/a.png", 1), ("s3a://two/a.png", 2)], "path string, tensor int")
     assert sorted(r.tensor for r in IMG.attach_images(meta, images).collect()) == [1, 2]
+
+
+def test_blocks_give_the_same_rows_and_open_each_file_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    for i in range(30):
+        (tmp_path / "a" / f"{i}.png").write_bytes(IMG.png_bytes(np.full((2, 2), i, np.uint8)))
+    rows = spark.createDataFrame([(f"{tmp_path}/a/{k % 33}.png", k) for k in range(100)] + [(None, 100)] +
+                                 [(f"{tmp_path}/a/7.png", 200 + k) for k in range(40)], "image_path string, k int")
+    opened, load = [], IMG._load
+
+    def noted(spark, paths, invalid):
+        opened.append(len(paths))
+        return load(spark, paths, invalid)
+    monkeypatch.setattr(IMG, "_load", noted)
+
+    def result(size):
+        out = IMG.listed_images(spark, rows, str(tmp_path), max_listed=size)
+        assert out.columns == ["image_path", "k", "image"]
+        return sorted((r.k, None if r.image is None else bytes(r.image.data)[0]) for r in out.collect())
+    whole = result(1000)
+    assert opened == [30] and len(whole) == 141
+    assert all(v == (k % 33 if k % 33 < 30 else None) for k, v in whole if k < 100) and dict(whole)[100] is None
+    opened.clear()
+    assert result(60) == whole and 2 <= len(opened) <= 3 and sum(opened) == 30
+    opened.clear()
+    assert result(20) == whole and len(opened) >= 6  # more rows name one file than a block holds
+    monkeypatch.setattr(IMG, "BLOCK_BYTES", 4000)
+    opened.clear()
+    assert result(1000) == whole and len(opened) > 1

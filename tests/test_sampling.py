@@ -124,3 +124,55 @@ def test_empty_inputs(spark):
     assert d.count() == 0
     empty_counts = spark.createDataFrame([], "true_idx int, pred_idx int, n long")
     assert E.confusion_matrix(empty_counts, d).count() == 0
+
+
+def test_index_shuffles_rows_once_and_checkpoints_keys_only(spark, monkeypatch):
+    kept = []
+    whole = spark.range(0, 5000, 1, 6).select(F.col("id"), F.repeat(F.lit("wide"), 50).alias("body"))
+    cls = type(whole)
+    plain = cls.checkpoint
+
+    def noted(self, *a, **k):
+        kept.append(self.columns)
+        return plain(self, *a, **k)
+    monkeypatch.setattr(cls, "checkpoint", noted)
+    out = S.key_order_index(whole, "id")
+    assert all(r.id == r.row_idx for r in out.collect())
+    assert len(kept) == 1 and "body" not in kept[0]
+    moved = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert 1 <= len(moved)
+    assert whole._jdf.queryExecution().toString()  # the input itself is untouched
+
+
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_groups_of_equal_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_EQUAL_ROWS", hot)
+    monkeypatch.setattr(S, "_COPIES", 64)
+    df = spark.range(900).repartition(5).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("r"), F.col("id"))).alias("row"),
+        F.struct(F.lit(1).alias("a")).alias("n"))
+    got = S.key_order_index(df, "k")
+    assert got.columns == df.columns + ["row_idx"]
+    rows = sorted((r.row_idx, r.k, r.row) for r in got.collect())
+    assert [i for i, _, _ in rows] == list(range(900))
+    assert all(k is None and x == "same" for _, k, x in rows[:300])
+    assert [k for _, k, _ in rows[300:]] == sorted(i % 50 for i in range(900) if i % 3)
+    assert len({x for _, _, x in rows[300:]}) == 600
+
+
+def test_indexed_table_opens_only_the_files_asked_for(spark):
+    from samplecraft.session import scratch_path
+    idx = S.key_order_index(frame(spark, 1000, 4), "id")
+    path = scratch_path(spark, "indexed-test")
+    S.write_indexed(idx, path, rows_per_file=100)
+    assert spark.read.parquet(S.ranges_path(path)).count() == 10
+    got = S.fetch_indexed(spark, path, [5, 7, 950, 5000, -1])
+    assert sorted((r.row_idx, r.id) for r in got.collect()) == [(5, 5), (7, 7), (950, 950)]
+    assert len(got.inputFiles()) == 2
+    few = spark.createDataFrame([(3,), (3,), (412,), (9999,)], "row_idx long")
+    got = S.fetch_indexed(spark, path, few)
+    assert sorted(r.row_idx for r in got.collect()) == [3, 412] and len(got.inputFiles()) == 2
+    assert S.fetch_indexed(spark, path, []).count() == 0 and S.fetch_indexed(spark, path, [4000]).columns == got.columns
+    S.write_indexed(idx.limit(0), path)
+    assert S.fetch_indexed(spark, path, [1]).count() == 0 and S.fetch_indexed(spark, path, few).count() == 0

@@ -199,3 +199,17 @@ def test_output_batches_are_cut_by_bytes():
     run = T._tensor_kernel([T.resize(256, 256)], "tensor", [{}], "tensor", T.STACK_BYTES, T.OUTPUT_BYTES)
     sizes = [(b.num_rows, len(b.column(0).field("data").flatten()) * 4) for b in run([rb])]
     assert sum(k for k, _ in sizes) == n and max(s for _, s in sizes) <= T.OUTPUT_BYTES and len(sizes) > 1
+
+
+def test_malformed_tensors_give_null_and_are_counted(spark):
+    from samplecraft.operators import tensors as T
+    good = (2, 2, 1, [1.0, 2.0, 3.0, 4.0])
+    bad = [(2, 2, 1, [1.0, 2.0, 3.0]), (2, 2, 1, [1.0, None, 3.0, 4.0]), (None, 2, 1, [1.0]), (0, 2, 1, []), (-2, -2, 1, [1.0] * 4),
+           (2, 2, 1, None), (2, 2, 2, [1.0] * 4)]
+    rows = [(0, good)] + [(k, x) for k, x in enumerate(bad, 1)] + [(90, None), (91, good)]
+    df = spark.createDataFrame(rows, "key int, tensor struct<height:int,width:int,channels:int,data:array<float>>").coalesce(1)
+    out = {r.key: r.tensor for r in T.pipeline(df, [T.resize(1, 1), T.to_unit()]).collect()}
+    assert len(out) == len(rows)
+    assert all((out[k] is not None) == (k in (0, 91)) for k in out) and abs(out[0].data[0] - 2.5 / 255) < 1e-6
+    assert tuple(T.tensor_report(df).first()) == (10, 1, 7)
+    assert sorted(r.key for r in df.where(T.usable_tensor(df)).collect()) == [0, 91]
