@@ -194,8 +194,8 @@ def write_indexed(df: DataFrame, path: str, index_col: str = "row_idx", rows_per
     n = df.agg(F.max(index_col)).first()[0]
     files = 1 if n is None else int(n) // rows_per_file + 1
     dealt = df.withColumn("part", F.floor(F.col(index_col) / rows_per_file).cast("int"))
-    (dealt.repartition(files, "part").sortWithinPartitions("part", index_col)
-     .write.mode("overwrite").partitionBy("part").parquet(path))
+    out = dealt.repartition(files, "part").sortWithinPartitions("part", index_col).write.mode("overwrite")
+    (out if n is None else out.partitionBy("part")).parquet(path)  # an empty table keeps its columns in a file
     stored = df.sparkSession.read.parquet(path)
     (stored.groupBy(F.col("_metadata.file_path").alias("file"), "part").agg(F.min(index_col).alias("lo"), F.max(index_col).alias("hi"))
      .withColumn("rows_per_file", F.lit(rows_per_file)).coalesce(1).write.mode("overwrite").parquet(ranges_path(path)))
