@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .joins import join_counted
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -28,22 +29,27 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b); ``comp`` is the smallest node it reaches.
 
     Each round takes the smallest label among the neighbours and then the
-    label's own label, so a path of length n needs about log n rounds.  A node
-    with very many neighbours is pre-aggregated before the shuffle.
+    label's own label, so a path of length n needs about log n rounds.  Rows of a
+    node with very many neighbours, and of a label that very many nodes have,
+    stay where they are: ``join_counted`` brings them the other side.
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                   .distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m"))
-                    .select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
+    first = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+    labels = stored(first.select(F.col("a").alias("node"), F.least("a", "m").alias("comp"), "degree"), "labels")
+    n_links, n_nodes = both.count(), labels.count()
     while True:
-        near = (both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
+        near = (join_counted(both, labels.select(F.col("node").alias("b"), "comp", "degree"), "b", "degree", n_links, "inner")
                 .groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m")))
-        low = labels.join(near, "node", "left").select("node", F.col("comp").alias("old"),
-                                                       F.least("comp", "m").alias("comp"))
+        low = stored(labels.join(near, "node", "left").select("node", F.col("comp").alias("old"),
+                                                              F.least("comp", "m").alias("comp"), "degree"), "labels")
         # the label of a label is a node too: jump to its smallest neighbour's label
-        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = stored(low.join(jump, "comp", "left").select(
-            "node", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "labels")
-        labels = new.select("node", "comp")
+        jumps = (low.select(F.col("node").alias("comp"), F.col("comp").alias("next")).filter("comp <> next")
+                 .join(low.groupBy("comp").agg(F.count(F.lit(1)).alias("k")), "comp"))
+        new = stored(join_counted(low, jumps, "comp", "k", n_nodes).select(
+            "node", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "degree", "old"), "labels")
+        forget(labels, low)
+        labels = new.drop("old")
         if not new.filter("old <> comp").limit(1).count():
-            return labels
+            forget(both)
+            return labels.drop("degree")

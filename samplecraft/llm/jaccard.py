@@ -26,12 +26,18 @@ difference at most.
 Members of a copied family with many changes of their own are told apart by
 this without looking at them.
 
-Exact copies are one node.  A part's group is linked to one member first, the
-one with the fewest parts before; when the links found make it one component it is done.  Only groups that
-still hold several components go on, with 15, 240, ... more centres, until every
-pair in them is tested or connected.  A candidate must pass its sizes and the
-Hamming distance of two short parity bit sketches, also a lower bound of the
-symmetric difference, and is then verified on the whole sets.
+Exact copies are one node; a task gives keys for the first of those it reads.
+A similar pair shares most of its parts, so most groups have the same members
+as many others: they are one group from here on, each member with its smallest number of
+parts before, which tests no pair less and repeats few.  A group is linked to
+one member first, the one with the fewest parts before; when the links found make it one
+component it is done.  Only groups that still hold several components go on,
+with 15, 240, ... more centres, until every pair in them is tested or
+connected.  A candidate must pass its sizes and the Hamming distance of two
+short parity bit sketches, also a lower bound of the symmetric difference, and
+is then verified on the whole sets.  Groups of more than ``LONG_GROUP`` rows are
+ranked in parts, and no key's rows have to meet in one task after the first
+shuffle, where they stream.
 
 Nulls: a null text has an empty set and no links; a null id takes part in no
 link and has a null component.  Rows that repeat an id are one node: it has
@@ -55,6 +61,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from ..util import unused_name
 from .components import components, forget, stored
+from .joins import join_counted
 from .text import LOWER, find_words, mix64, sub_batches, word_ids
 
 SHINGLE = 5
@@ -64,6 +71,9 @@ SEEDS = 4
 COUNTERS = 1 << 20
 _BLOCKS = 64
 MORE_CENTRES = 16
+LONG_GROUP = 4096
+_PARTS = 64
+BROADCAST_IDS = 1_000_000
 SHORT_WORDS = 4
 _B = np.uint64(0xD6E8FEB86659FD93)
 
@@ -230,47 +240,83 @@ def shingle_counts(blocks: DataFrame) -> np.ndarray:
 
 
 def key_rows(texts: DataFrame, counts: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(key, id, place): the given sketch parts of every set."""
+    """(key, id, place): the given sketch parts of every set, of equal sets in a task those of the first."""
 
     def run(batches):
-        bands = Bands(similarity)
+        bands, known = Bands(similarity), set()
         for ids, sets in _sets(batches):
-            got = [sketch_keys(s, counts, bands) for s in sets]
-            if got:
+            fresh = []
+            for i, s in zip(ids, sets):
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if digest not in known:
+                    known.add(digest)
+                    fresh.append((i, *sketch_keys(s, counts, bands)))
+            if fresh:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([k for k, _ in got]).view(np.int64)),
-                     pa.array(np.repeat(np.array(ids, np.int64), [len(k) for k, _ in got])),
-                     pa.array(np.concatenate([p for _, p in got]))], names=["key", "id", "place"])
+                    [pa.array(np.concatenate([k for _, k, _ in fresh]).view(np.int64)),
+                     pa.array(np.repeat(np.array([i for i, _, _ in fresh], np.int64), [len(k) for _, k, _ in fresh])),
+                     pa.array(np.concatenate([p for _, _, p in fresh]))], names=["key", "id", "place"])
 
     return texts.filter("id is not null").mapInArrow(run, "key long, id long, place long")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows whose key has two or more ids; the rows of a key stream, however many they are."""
+def shared_groups(rows: DataFrame) -> DataFrame:
+    """(key, id, n, before, parts) of the keys that two or more rows have; keys with the same members are one.
+
+    ``key`` then is a hash of the members (two groups that collide are only
+    tested together).  The rows of a key with more than ``LONG_GROUP`` stream
+    on under the key itself, to be ranked in ``parts``.
+    """
+
+    def out(key, ids, place, parts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(ids), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF),
+             pa.array(np.full(len(ids), parts, np.int64))], names=["key", "id", "n", "before", "parts"])
+
+    def whole(k, d, p):
+        """Complete short groups."""
+        fresh = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
+        k, d, p = k[fresh], d[fresh], p[fresh]
+        head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(np.append(head, len(k)))
+        member = mix64(d.view(np.uint64) ^ mix64(p >> 32))
+        name = mix64(np.bitwise_xor.reduceat(member, head) + size.astype(np.uint64))
+        many = np.repeat(size > 1, size)
+        return out(np.repeat(name, size)[many], d[many], p[many], 1)
 
     def run(batches):
-        last, shown = None, False  # the row before this batch, and whether it was given
+        rest, long_key = [np.zeros(0, np.int64)] * 3, None
         for b in batches:
-            k, d, p = (b.column(i).to_numpy() for i in range(3))
-            if not len(k):
-                continue
-            fresh = np.append(last is None or (k[0], d[0], p[0]) != last,
-                              (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
-            k, d, p = k[fresh], d[fresh], p[fresh]
+            k, d, p = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
             if not len(k):
                 continue
-            prev = np.append(last is not None and k[0] == last[0], k[1:] == k[:-1])
-            keep = prev.copy()
-            keep[:-1] |= prev[1:]
-            out = [x[keep] for x in (k, d, p)]
-            if prev[0] and not shown:
-                out = [np.append(x, y) for x, y in zip(last, out)]
-            last, shown = (k[-1], d[-1], p[-1]), bool(keep[-1])
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["key", "id", "place"])
-
-    return (rows.repartition("key").sortWithinPartitions("key", "id", "place")
-            .mapInArrow(run, "key long, id long, place long"))
+            if long_key is not None:
+                stop = int(np.searchsorted(k != long_key, True)) if (k != long_key).any() else len(k)
+                if stop:
+                    yield out(mix64(k[:stop]), d[:stop], p[:stop], _PARTS)
+                k, d, p = k[stop:], d[stop:], p[stop:]
+                if not len(k):
+                    rest = [k, d, p]
+                    continue
+                long_key = None
+            last = int(np.flatnonzero(np.append(True, k[1:] != k[:-1]))[-1])
+            if last:
+                got = whole(k[:last], d[:last], p[:last])
+                if got.num_rows:
+                    yield got
+            rest = [k[last:], d[last:], p[last:]]
+            if len(rest[0]) > LONG_GROUP:
+                long_key = rest[0][0]
+                yield out(mix64(rest[0]), *rest[1:], _PARTS)
+                rest = [x[:0] for x in rest]
+        if len(rest[0]):
+            got = whole(*rest)
+            if got.num_rows:
+                yield got
+
+    groups = (rows.repartition("key").sortWithinPartitions("key", "id", "place")
+              .mapInArrow(run, "key long, id long, n long, before long, parts long"))
+    return groups.groupBy("key", "id", "n").agg(F.min("before").alias("before"), F.max("parts").alias("parts"))
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -288,7 +334,10 @@ def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                  lists([short_sketch(b) for b in bits]), lists(bits), lists(sets)], names=["id", "n", "short", "bits", "set"])
 
-    return texts.join(nodes.select("id"), "id", "left_semi").mapInArrow(
+    ids = nodes.select("id")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # 8 MB; else the texts are shuffled
+        ids = F.broadcast(ids)
+    return texts.join(ids, "id", "left_semi").mapInArrow(
         run, "id long, n int, short array<long>, bits array<long>, set array<long>")
 
 
@@ -319,57 +368,51 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SI
             .filter(den * F.col("i") >= num * (F.col("s") - F.col("i"))).select("a", "b").distinct())
 
 
-def _open(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The rows that can still meet a row of another component in their group.
-
-    Such a pair's ``before`` add up to its symmetric difference at most, and
-    the other set has at most n / t elements.
-    """
-    num, den = similarity
-    by_key = Window.partitionBy("key")
-    first = rows.withColumn("m", F.min(F.struct("before", "comp")).over(by_key))
-    other = F.min(F.when(F.col("comp") != F.col("m.comp"), F.col("before"))).over(by_key)
-    least = F.when(F.col("comp") == F.col("m.comp"), F.col("other")).otherwise(F.col("m.before"))
-    bound = (den - num) * F.col("n") * (num + den)  # num (den + num) times the largest symmetric difference
-    return (first.withColumn("other", other).filter(num * (den + num) * (F.col("before") + least) <= bound)
-            .drop("m", "other"))
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows, stored, of groups with several components."""
+    several = (rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
+               .filter("lo <> hi").select("key", "c"))
+    return stored(join_counted(rows, several, "key", "c", rows.count(), "inner"), "groups")
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """((id, n) per row, links (a, b)): enough verified links to connect all that are similar."""
+                  similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """((id, n) per row, links (a, b), the stored tables the links are in): enough verified links to connect all
+    that are similar."""
     ship_package(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     seen = stored(describe(texts), "shingle-sets")
     rows = seen.filter("block is null").select("id", "n", "digest")
     counts = shingle_counts(seen.filter("block is not null"))
     named = rows.filter("digest is not null and id is not null")
-    first = named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("most")).filter("rep < most")
-    copies = stored(named.join(first, "digest").filter("id <> rep").select("id", "rep").distinct(), "copies")
-    links = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    first = named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.count(F.lit(1)).alias("c"))
+    copies = join_counted(named.select("digest", "id"), first.filter("rep < most").select("digest", "rep", "c"), "digest", "c",
+                          seen.count(), "inner")
+    copies = stored(copies.filter("id <> rep").select("id", "rep").distinct(), "copies")
+    links, tables = copies.select(F.col("rep").alias("a"), F.col("id").alias("b")), [copies]
 
     # an id with several texts keeps its own name: its other texts are not the representative's
     several = named.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y")
     one = copies.join(several, "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
-    shared = shared_keys(key_rows(texts, counts, similarity))
-    by_key = Window.partitionBy("key")
-    shared = stored(shared, "shared-keys")
-    groups = (shared.join(one, "id", "left")
-              .select("key", F.coalesce("rep", "id").alias("id"), "place").distinct())
-    groups = groups.select("key", "id", F.col("id").alias("comp"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("before"),
-                           F.shiftright("place", 32).alias("n"))
-    rank = F.row_number().over(by_key.orderBy("before", "id")) - 1
-    groups = stored(_open(groups, similarity).withColumn("rank", rank), "groups")
-    forget(shared)
+    shared = stored(shared_groups(key_rows(texts, counts, similarity)), "shared-keys")
+    groups = (shared.join(one, "id", "left").withColumn("id", F.coalesce("rep", "id"))
+              .groupBy("key", "id", "n").agg(F.min("before").alias("before"), F.max("parts").alias("parts")))
+    # a rank of its own for each row of a group, the fewest parts before first
+    part = F.pmod(F.xxhash64("id", "n"), "parts")
+    in_part = F.row_number().over(Window.partitionBy("key", "part").orderBy("before", "id", "n")) - 1
+    groups = groups.withColumn("part", part).withColumn("rank", in_part * F.col("parts") + F.col("part"))
+    ranked = stored(groups.drop("part").withColumn("comp", F.col("id")), "ranked")
+    groups = _open(ranked)
+    forget(shared, ranked)
     sets = stored(_sets_of(texts, groups.select("id").distinct()), "sets")
     num, den = similarity
     low, high, alone = 0, 1, True
     while True:
         largest = groups.agg(F.max("rank").alias("m")).first()["m"]
         if largest is None or low > largest:
-            forget(sets)
-            return rows.select("id", "n"), links
-        centres = groups.filter((F.col("rank") >= low) & (F.col("rank") < high))
+            forget(sets, groups)
+            return rows.select("id", "n"), links, tables
+        centres = groups.filter(F.col("rank") < F.col("parts") if alone else (F.col("rank") >= low) & (F.col("rank") < high))
         centres = centres.select("key", *[F.col(c).alias(f"{c}_a") for c in groups.columns if c != "key"])
         most = (den - num) * (F.col("n") + F.col("n_a"))  # (den + num) times the largest symmetric difference
         near = [F.col("rank") > F.col("rank_a"), F.col("comp") != F.col("comp_a"),
@@ -385,19 +428,27 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = stored(verified(pairs.select("a", "b").distinct(), sets, similarity), "verified")
         if found.limit(1).count():
             links = links.unionByName(found.select("a", "b"))
+            tables.append(found)
             names = groups.select("id", "comp").distinct()
             met = (found.join(names.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a")
                    .join(names.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
                    .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-            new = components(met).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-            groups = groups.join(new, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
-            groups = stored(_open(groups, similarity), "groups")
+            comp = components(met)
+            new = comp.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+            merged = stored(groups.join(new, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new"), "groups")
+            forget(groups, comp)
+            groups = _open(merged)
+            forget(merged)
+        else:
+            forget(found)
         if alone:
             alone = False
             short = sets.groupBy("id").agg(F.first("short").alias("short"), F.count(F.lit(1)).alias("texts"))
             # an id with several texts has no one sketch: its distance is taken as nothing
             one_text = F.when(F.col("texts") == 1, F.col("short")).otherwise(F.array().cast("array<long>"))
-            groups = stored(groups.join(short.select("id", one_text.alias("short")), "id"), "groups")
+            sketched = stored(groups.join(short.select("id", one_text.alias("short")), "id"), "groups")
+            forget(groups)
+            groups = sketched
         else:
             low, high = high, MORE_CENTRES * high
 
@@ -405,8 +456,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row."""
-    rows, links = similar_links(docs, id_col, text_col, similarity)
+    rows, links, tables = similar_links(docs, id_col, text_col, similarity)
     comp = components(links)
+    forget(*tables)
     return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
 

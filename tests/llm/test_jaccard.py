@@ -64,6 +64,16 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, more):
     assert got == brute(rows)
 
 
+def test_long_groups_stream_and_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(J, "LONG_GROUP", 3)
+    monkeypatch.setattr(J, "_PARTS", 4)
+    rows = corpus(11, 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    long_rows = J.shared_groups(J.key_rows(J._texts(df, "doc_id", "text"), np.zeros(J.COUNTERS, np.uint16))).filter("parts = 4")
+    assert long_rows.count() > 0
+    assert sorted((tuple(r) for r in J.join_components(df).collect()), key=str) == brute(rows)
+
+
 def similar_sets(rng, rounds):
     for _ in range(rounds):
         n = int(rng.choice([4, 5, 7, 9, 10, 20, 50, 120, 400]))
