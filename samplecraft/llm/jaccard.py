@@ -35,7 +35,7 @@ component it is done.  Only groups that still hold several components go on,
 with 15, 240, ... more centres, until every pair in them is tested or
 connected.  A candidate must pass its sizes and the Hamming distance of two
 short parity bit sketches, also a lower bound of the symmetric difference, and
-is then verified on the whole sets.  Groups of more than ``LONG_GROUP`` rows are
+is then verified on the whole sets.  Groups of more than ``PART_ROWS`` rows are
 ranked in parts, and no key's rows have to meet in one task after the first
 shuffle, where they stream.
 
@@ -72,6 +72,7 @@ COUNTERS = 1 << 20
 _BLOCKS = 64
 MORE_CENTRES = 16
 LONG_GROUP = 4096
+PART_ROWS = 256
 _PARTS = 64
 BROADCAST_IDS = 1_000_000
 SHORT_WORDS = 4
@@ -271,7 +272,7 @@ def shared_groups(rows: DataFrame) -> DataFrame:
     def out(key, ids, place, parts):
         return pa.RecordBatch.from_arrays(
             [pa.array(key.view(np.int64)), pa.array(ids), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF),
-             pa.array(np.full(len(ids), parts, np.int64))], names=["key", "id", "n", "before", "parts"])
+             pa.array(np.broadcast_to(parts, len(ids)).astype(np.int64))], names=["key", "id", "n", "before", "parts"])
 
     def whole(k, d, p):
         """Complete short groups."""
@@ -282,7 +283,7 @@ def shared_groups(rows: DataFrame) -> DataFrame:
         member = mix64(d.view(np.uint64) ^ mix64(p >> 32))
         name = mix64(np.bitwise_xor.reduceat(member, head) + size.astype(np.uint64))
         many = np.repeat(size > 1, size)
-        return out(np.repeat(name, size)[many], d[many], p[many], 1)
+        return out(np.repeat(name, size)[many], d[many], p[many], np.repeat(-(-size // PART_ROWS), size)[many])
 
     def run(batches):
         rest, long_key = [np.zeros(0, np.int64)] * 3, None
@@ -334,10 +335,7 @@ def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                  lists([short_sketch(b) for b in bits]), lists(bits), lists(sets)], names=["id", "n", "short", "bits", "set"])
 
-    ids = nodes.select("id")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # 8 MB; else the texts are shuffled
-        ids = F.broadcast(ids)
-    return texts.join(ids, "id", "left_semi").mapInArrow(
+    return _only(texts, nodes.select("id")).mapInArrow(
         run, "id long, n int, short array<long>, bits array<long>, set array<long>")
 
 
@@ -352,20 +350,33 @@ def _hamming(x: Column, y: Column) -> Column:
     return F.when((size > 0) & (F.greatest(F.size(x), F.size(y)) <= 2 * size), differ).otherwise(0)
 
 
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` with one of ``ids``; few ids are broadcast, so the others' sets are not shuffled."""
+    ids = ids.distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # 8 MB
+        ids = F.broadcast(ids)
+    return sets.join(ids, "id", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough, as a stored table."""
     num, den = similarity
+    pairs = stored(pairs, "pairs")
 
-    def side(c: str, *more: str) -> DataFrame:
-        return sets.select(F.col("id").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
+    def side(c: str, of: DataFrame, *more: str) -> DataFrame:
+        few = _only(sets.select("id", *more), of.select(F.col(c).alias("id")))
+        return few.select(F.col("id").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
 
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    near = pairs.join(side("a", pairs, "n", "bits"), "a").join(side("b", pairs, "n", "bits"), "b")
     # |x - y| <= (den - num) / (den + num) (|x| + |y|) for similar sets
     near = near.filter((den + num) * _hamming(F.col("bits_a"), F.col("bits_b")) <= (den - num) * (F.col("n_a") + F.col("n_b")))
-    both = near.select("a", "b").distinct().join(side("a", "set"), "a").join(side("b", "set"), "b")
+    near = stored(near.select("a", "b").distinct(), "near")
+    both = near.join(side("a", near, "set"), "a").join(side("b", near, "set"), "b")
     inter = F.size(F.array_intersect("set_a", "set_b"))
-    return (both.select("a", "b", inter.alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
-            .filter(den * F.col("i") >= num * (F.col("s") - F.col("i"))).select("a", "b").distinct())
+    found = stored(both.select("a", "b", inter.alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
+                   .filter(den * F.col("i") >= num * (F.col("s") - F.col("i"))).select("a", "b").distinct(), "verified")
+    forget(pairs, near)
+    return found
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -425,7 +436,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.col("id_a").alias("a"), F.col("id").alias("b"), "before_a")
         if alone:  # first only one centre of each member, the one with the fewest parts of its own: its family's
             pairs = pairs.groupBy("b").agg(F.min(F.struct("before_a", "a")).alias("c")).select("c.a", "b")
-        found = stored(verified(pairs.select("a", "b").distinct(), sets, similarity), "verified")
+        found = verified(pairs.select("a", "b").distinct(), sets, similarity)
         if found.limit(1).count():
             links = links.unionByName(found.select("a", "b"))
             tables.append(found)
