@@ -383,7 +383,10 @@ def _open(rows: DataFrame) -> DataFrame:
     """The rows, stored, of groups with several components."""
     several = (rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
                .filter("lo <> hi").select("key", "c"))
-    return stored(join_counted(rows, several, "key", "c", rows.count(), "inner"), "groups")
+    several = stored(several, "several")
+    out = stored(join_counted(rows, several, "key", "c", rows.count(), "inner"), "groups")
+    forget(several)
+    return out
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -397,9 +400,10 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = shingle_counts(seen.filter("block is not null"))
     named = rows.filter("digest is not null and id is not null")
     first = named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.count(F.lit(1)).alias("c"))
-    copies = join_counted(named.select("digest", "id"), first.filter("rep < most").select("digest", "rep", "c"), "digest", "c",
-                          seen.count(), "inner")
+    first = stored(first.filter("rep < most").select("digest", "rep", "c"), "first-copies")
+    copies = join_counted(named.select("digest", "id"), first, "digest", "c", seen.count(), "inner")
     copies = stored(copies.filter("id <> rep").select("id", "rep").distinct(), "copies")
+    forget(first)
     links, tables = copies.select(F.col("rep").alias("a"), F.col("id").alias("b")), [copies]
 
     # an id with several texts keeps its own name: its other texts are not the representative's

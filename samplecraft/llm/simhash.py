@@ -228,10 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = similar_links(groups, n_fps, radius)
     # texts of one id are one node
     several = named.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.count(F.lit(1)).alias("m")).filter("a <> z")
+    several = stored(several, "several")
     own = join_counted(named, several, "id", "m", n_rows, "inner").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
     comp = components(links.unionByName(own)).withColumnRenamed("node", "fp")
     part = stored(groups.join(comp, "fp", "left").select("fp", "rep", "n", F.coalesce("comp", "fp").alias("comp")), "parts")
-    least = part.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    least = stored(part.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("k")), "least")
     named_fps = join_counted(part, least, "comp", "k", n_fps).select("fp", "n", "component_id")
     out = join_counted(seen, stored(named_fps, "component-names"), "fp", "n", n_rows)
     forget(links, part)

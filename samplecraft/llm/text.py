@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: ASCII white space: 0x20 and 0x09-0x0D
 _SPACE = np.zeros(256, dtype=bool)
