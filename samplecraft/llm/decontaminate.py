@@ -165,17 +165,17 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", id
     if mode not in ("documents", "spans"):
         raise ValueError("mode must be 'documents' or 'spans'")
     found = hits(docs, bench, id_col, text_col, **options)
-    rid, rth = unused_name(docs, "_dc_id"), unused_name(docs, "_dc_hash")
+    rid, rth, here = unused_name(docs, "_dc_id"), unused_name(docs, "_dc_hash"), unused_name(docs, "_dc_text")
     key = docs.withColumn(rth, F.xxhash64(F.col(text_col).cast("string")))
     if mode == "documents":
-        bad = report(found).filter("contaminated").select(F.col("doc_id").alias(rid), F.col("text_hash").alias("_h"))
+        bad = report(found).filter("contaminated").select(F.col("doc_id").alias(rid), F.col("text_hash").alias(here))
         bad = bad.distinct()
-        cond = key[id_col].eqNullSafe(bad[rid]) & (key[rth] == bad["_h"])
+        cond = key[id_col].eqNullSafe(bad[rid]) & (key[rth] == bad[here])
         return key.join(bad, cond, "left_anti").drop(rth)
     cut_col = unused_name(docs, "_dc_spans")
     cut = (found.filter(F.size("spans") > 0)
-           .select(F.col("doc_id").alias(rid), F.col("text_hash").alias("_h"), F.col("spans").alias(cut_col)).distinct())
-    cond = key[id_col].eqNullSafe(cut[rid]) & (key[rth] == cut["_h"])
+           .select(F.col("doc_id").alias(rid), F.col("text_hash").alias(here), F.col("spans").alias(cut_col)).distinct())
+    cond = key[id_col].eqNullSafe(cut[rid]) & (key[rth] == cut[here])
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{_SEP_RAW}*{_WORD_RAW}+|{_SEP_RAW}+$"), 0)
     left = F.filter(pieces, lambda x, i: ~F.exists(F.col(cut_col), lambda s: (s["from"] <= i) & (i < s["to"])))
     out = key.join(cut, cond, "left").withColumn(

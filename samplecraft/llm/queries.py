@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..util import unused_name
 from . import cdc, decontaminate, html_crf, jaccard, linespread, packing, quality, repair, secrets, simhash, trie, urlcascade, warc
 
 
@@ -67,11 +68,13 @@ def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_distinct_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = linespread.mark(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    removed = unused_name(docs, "removed")
+    marked = linespread.mark(docs, name=removed)
     return marked.select(
         "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.md5(linespread.cleaned("text", "removed").cast("binary")).alias("clean_md5"))
+        F.coalesce(F.array_size(removed), F.lit(0)).cast("long").alias("n_removed"),
+        F.md5(linespread.cleaned("text", removed).cast("binary")).alias("clean_md5"))
 
 
 OP9_SQL = r"""

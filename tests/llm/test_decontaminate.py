@@ -83,3 +83,14 @@ def test_empty(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert D.hits(df.limit(0), bench).count() == 0
     assert all(r.n_hit == 0 and not r.contaminated for r in D.report(D.hits(df, bench.limit(0))).collect())
+
+
+def test_clashing_names(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words, 0, 0, 0), (2, "other text", 0, 0, 0)],
+                                 "doc_id long, text string, _h int, _dc_text int, text_hash int")
+    bench = spark.createDataFrame([("a", words, 0)], "item_id string, text string, _h int")
+    spans = D.decontaminate(docs, bench, mode="spans")
+    assert spans.columns == docs.columns and {r.doc_id: r.text.strip() for r in spans.collect()} == {1: "", 2: "other text"}
+    kept = D.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]

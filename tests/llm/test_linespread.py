@@ -57,3 +57,11 @@ def test_long_lines_and_empty(spark):
     df = spark.createDataFrame([(1, "s", "x" * 300_000 + "\n" * 5000)], "doc_id long, source string, text string")
     assert L.remove_boilerplate(df).first().text == "x" * 300_000 + "\n" * 5000
     assert L.remove_boilerplate(df.limit(0)).count() == 0
+
+
+def test_query_with_a_column_named_removed(spark, tmp_path):
+    from samplecraft.llm import queries as Q
+    spark.createDataFrame([(1, "s", "a\nb", 5)], "doc_id long, source string, text string, removed int").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    r = Q.op9_distinct_site_spread(spark, str(tmp_path)).first()
+    assert (r.doc_id, r.n_lines, r.n_removed) == (1, 2, 0)
