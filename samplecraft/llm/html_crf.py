@@ -2,16 +2,25 @@
 
 A page is cut into leaf blocks: the text between two block-level tags.  Each
 block has features of its ancestors (tags, and what their class, id and role
-names speak of) and of its text (length, links, punctuation, place).  A
-two-label chain, trained on labelled pages, is decoded by Viterbi; the blocks
-labelled as main text, in page order, are the result.
-
-The training pages (``labelled_pages``) are laid out by rule in many ways, with
-semantic tags or with named ``div``s only, and carry a mark on the blocks that
-are main text.  Their number is a parameter.
-
-Nulls: a null page is empty and has no text.  Long pages, repeated rows and
-extra columns need no special case; an empty table gives no rows.
+names speak of), of its text (length, links, punctuation, place), of the
+lengths of its neighbours, and of the page: whether an element for the article
+is there at all, and where the first heading is.  A two-label chain, trained on
+labelled pages, is decoded by Viterbi; the blocks labelled as main text, in
+page order, are the result.
+
+The training pages (``labelled_pages``) are laid out by rule in many ways and
+carry a mark on the blocks that are main text: with semantic tags, with named
+``div``s, or with an article in an element whose name says nothing, alone or
+inside wrappers around the whole page.  Their number is a parameter.
+
+Broken markup: a quoted value that was left open ends at the tag's ``>``; a
+comment, script or style that was left open hides the rest of the page; a tag
+without any ``>`` after it is text.
+
+Nulls: a null page is empty and has no text.  Of label sequences with equal
+scores, the one that keeps fewer blocks at the end is taken.  Long pages,
+repeated rows and extra columns need no special case (an old column of the
+result's name is replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +42,17 @@ from ..session import ship_package
 from .text import sub_batches
 
 TRAIN_PAGES = 600
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<![^>]*>|<\?[^>]*>", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
+_OPEN = re.compile(r"<(?:!--|[!?]|/(?=[^a-zA-Z])|(/?)([a-zA-Z][^\s/>]*+))")
+_COMMENT_END = re.compile(r"--!?>")
+#: where a tag ends, or a quoted value starts
+_STOP = re.compile(r">|=\s*+([\"'])")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"']++)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: content of these is never text
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in
         ("script", "style", "template", "noscript", "svg", "iframe", "object", "canvas", "title", "math")}
+#: if never closed, these hide the rest of the page; the others are passed over
+_HIDES = frozenset(("script", "style"))
 _BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
     fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav
     ol option p pre search section select summary table tbody td textarea tfoot th thead tr ul""".split())
@@ -69,6 +81,11 @@ for _topic, _names in TOPICS.items():
         _TOPIC_OF.setdefault(_n, []).append(_topic)
 
 
+#: ancestors that an article is likely, or unlikely, to have
+_HOME = frozenset(("in:article", "in:main", "name:text"))
+_SHELL = frozenset(("in:nav", "in:aside", "in:footer", "in:form", *(f"name:{t}" for t in TOPICS if t != "text")))
+
+
 class Block(NamedTuple):
     text: str
     path: tuple[str, ...]   # ancestor features
@@ -83,10 +100,32 @@ def _topics(attr: str) -> set[str]:
     return out
 
 
+def _tag_end(page: str, at: int) -> tuple[int, bool]:
+    """(place of the ``>`` that ends the tag, whether its quotes are in order); ``at`` is behind the tag's name.
+
+    A quoted value that holds a ``>`` and is not followed by white space, ``/``
+    or ``>`` was left open: the tag ends at that ``>``.
+    """
+    while m := _STOP.search(page, at):
+        if not m.group(1):
+            return m.start(), True
+        at = m.end()
+        close = page.find(m.group(1), at)
+        inner = page.find(">", at, close if close >= 0 else len(page))
+        if inner >= 0 and (close < 0 or not (page[close + 1:close + 2].isspace() or page[close + 1:close + 2] in ("", "/", ">"))):
+            return inner, True
+        if close < 0:
+            break
+        at = close + 1
+    return -1, False
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page with text, in order; linear in its length."""
+    """The leaf blocks of a page with text, in order; linear in its length, whatever is broken in it."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    places: dict[str, list[int]] = {}   # where on the stack each tag is open
+    fences = [0]
     parts: list[str] = []
     links = 0
     in_link = False
@@ -107,48 +146,69 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links += len(raw)
 
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+            if fences[-1] == len(stack):
+                fences.pop()
+
     at = 0
-    while m := _TOKEN.search(page, at):
-        text(page[at:m.start()])
-        at = m.end()
-        tag = m.group("tag")
+    last = page.rfind(">")
+    quotes = True           # until a tag with quotes runs to the page's end
+    unclosed: set[str] = set()
+    while m := _OPEN.search(page, at, last + 1):
+        tag = m.group(2)
         if tag is None:
+            comment = m.group() == "<!--"
+            end = _COMMENT_END.search(page, m.start() + 2) if comment else None
+            text(page[at:m.start()])
+            # without its own end, a comment hides the rest
+            at = end.end() if end else len(page) if comment else page.index(">", m.start()) + 1
             continue
-        tag = tag.lower()
-        if m.group("end"):
+        stop, quotes = _tag_end(page, m.end()) if quotes else (-1, False)
+        if stop < 0:
+            stop = page.find(">", m.end())
+        if stop < 0:
+            break
+        text(page[at:m.start()])
+        at = stop + 1
+        tag, attr = tag.lower(), page[m.end():stop]
+        if m.group(1):
             if tag == "a":
                 in_link = False
             if tag in _BLOCK:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if places.get(tag):
+                    cut(places[tag][-1])
             continue
-        if tag in _RAW and not m.group("attr").endswith("/"):
+        if tag in _RAW and not attr.endswith("/") and tag not in unclosed:
             end = _RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if end:
+                at = page.find(">", end.end()) + 1 or len(page)
+                continue
+            if tag in _HIDES:
+                at = len(page)
+                continue
+            unclosed.add(tag)
         if tag == "a":
             in_link = True
         elif tag == "br":
             parts.append(" ")
         elif tag in _BLOCK:
             flush()
-            closes = _CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _FENCE:
-                    break
+            k = max((places[t][-1] for t in _CLOSES.get(tag, ()) if places.get(t)), default=0)
+            if k > fences[-1]:
+                cut(k)
             if tag not in _VOID:
                 above = stack[-1][1]
-                own = [f"in:{tag}", *(f"name:{t}" for t in sorted(_topics(m.group("attr"))))]
+                own = [f"in:{tag}", *(f"name:{t}" for t in sorted(_topics(attr)))]
                 path = [f for f in above if not f.startswith(("last:", "near:"))]
                 path += [f for f in own if f not in path]
                 near = [f for f in own if f.startswith("name:")]
                 path += [f"near:{f[5:]}" for f in near] if near else [f for f in above if f.startswith("near:")]
+                if tag in _FENCE:
+                    fences.append(len(stack))
+                places.setdefault(tag, []).append(len(stack))
                 stack.append((tag, tuple([*path, f"last:{tag}"])))
     text(page[at:])
     flush()
@@ -158,9 +218,15 @@ def blocks(page: str) -> list[Block]:
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the binary features of each block."""
     out = []
+    sizes = [min(7, (b.text.count(" ") + 1).bit_length()) for b in page]
+    homes = [any(f in _HOME for f in b.path) for b in page]
+    title = next((i for i, b in enumerate(page) if "last:h1" in b.path and not any(f in _SHELL for f in b.path)), None)
     for i, b in enumerate(page):
-        words = b.text.count(" ") + 1
-        f = [*b.path, "bias", f"words:{min(7, words.bit_length())}"]
+        f = [*b.path, "bias", f"words:{sizes[i]}"]
+        f.append(f"before:{sizes[i - 1] if i else 0}")
+        f.append(f"behind:{sizes[i + 1] if i + 1 < len(page) else 0}")
+        f.append("home:" + ("in" if homes[i] else "out" if any(homes) else "none"))
+        f.append("title:" + ("none" if title is None else "above" if i > title else "here" if i == title else "below"))
         share = b.linked / len(b.text)
         f.append("links:" + ("none" if share == 0 else "some" if share < 0.5 else "most"))
         f.append("stop" if b.text[-1] in ".!?:;\"”»…" else "open")
@@ -287,6 +353,14 @@ def laid_out_page(r: random.Random) -> str:
         tag = r.choice(("div", "div", "div", "section"))
         return f"<{tag} {attr}>{body}</{tag}>"
 
+    def plain(body: str, most: int) -> str:
+        """Up to ``most`` elements whose names say nothing."""
+        for _ in range(r.randint(0, most)):
+            name = r.choice(("wrapper", "container", "news-item", "row", "inner", "c12", "block", "item", "box", "holder"))
+            attr = r.choice(("", "", f' class="{name}"', f' id="{name}"', f" id={name}"))
+            body = f"<div{attr}>{body}</div>" if r.random() < 0.8 else f"<section{attr}>{body}</section>"
+        return body
+
     def loose() -> str:
         return r.choice((prose(), f"<p>{prose()}</p>", f"<p>{prose()}</p><p>{prose()}</p>", f"<h3>{sentence(1, 5)}</h3><p>{prose()}</p>"))
 
@@ -311,8 +385,11 @@ def laid_out_page(r: random.Random) -> str:
                 lambda: f"<table><tr><td>{_MARK}{sentence(1, 4)}</td><td>{_MARK}{sentence(1, 4)}</td></tr></table>",
                 lambda: f"<figure><img src='x'><figcaption>{_MARK}{sentence(2, 9)}</figcaption></figure>",
             ), (60, 8, 5, 3, 5, 1, 2, 2, 2))[0]()
-        if r.random() < 0.5:
+        kind = r.random()
+        if kind < 0.4:
             return f"<article>{body}</article>"
+        if kind < 0.65:
+            return plain(body, 2)
         name = r.choice(TOPICS["text"].split())
         inner = f'<div class="{name}{r.choice(("", "-body", "-text"))}">{body}</div>'
         return r.choice((inner, f"<main>{inner}</main>", f"<main>{body}</main>", f"<article>{inner}</article>"))
@@ -330,6 +407,8 @@ def laid_out_page(r: random.Random) -> str:
     foot = named("footer", "footer", r.choice((f"&copy; {sentence(1, 6)}", loose(), f"<p>&copy; {sentence(1, 5)}</p><ul>{links()}</ul>")))
     page = "".join(f() for f in r.sample(before, r.randint(0, 4))) + article()
     page += "".join(f() for f in r.sample(after, r.randint(0, 4))) + (foot if r.random() < 0.9 else "")
+    if r.random() < 0.3:
+        page = plain(page, 2) if r.random() < 0.7 else f'<div class="{r.choice(("page", "main", "content"))}">{page}</div>'
     return f"<html><head><title>{sentence(2, 8)}</title></head><body>{page}</body></html>"
 
 

@@ -2,6 +2,7 @@ import html
 import itertools
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -73,3 +74,36 @@ def test_other_layouts_and_odd_rows(spark):
     assert len(got) == len(pages) and by[0] == by[1] == by[2] == by[None] == want
     assert by[10] == by[11] == "" and len(by[13]) == 17 * 60000 - 1
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_broken_quotes_are_not_text():
+    got = H.blocks("""<p title='it's'>one</p><p class="lead>two</p><p class="x">three</p><p title="a > b">four</p><p data-x="<i>">five</p>"""
+                   """<p class="lead>He said "hi" to us</p><p a=b"c>six</p><p>a < b and 3<4</p><svg><p>seven</p></ >x<!doctype>""")
+    assert [b.text for b in got] == ["one", "two", "three", "four", "five", 'He said "hi" to us', "six", "a < b and 3<4", "seven", "x"]
+    assert "name:text" not in got[1].path and [b.text for b in H.blocks("a<!-- b <p>c")] == ["a"]
+
+
+@pytest.mark.parametrize("broken", ["<a ", '<a x=">" ', "<a x='", "<!", "<svg>", "<h1>", "</script ", "<div class='", "</p><div>",
+                                    "<td><table><h1><th></th>"])
+@pytest.mark.parametrize("around", [("", ""), ("<script></script ", ">")])
+def test_broken_markup_takes_linear_time(broken, around):
+    page = around[0] + broken * (3_000_000 // len(broken)) + around[1]
+    start = time.process_time()
+    H.blocks(page)
+    assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize("shell", [
+    '<nav><a href=/>Home</a> <a href=/b>World</a></nav>{}<footer>&copy; Example</footer>', "{}",
+    '<div id="cookie-consent"><p>We use cookies. Accept all of them, please, before reading.</p></div><ul class="navbar"><li><a href=/>Home'
+    '</a><li><a href=/x>World news</a></ul>{}<div class="sidebar"><h3>More</h3><ul><li><a href=/r>Related story one</a></ul></div>'
+    '<div class="comments"><p>I disagree with this article, as I often do.</p></div><footer><p>All rights reserved.</p></footer>'])
+@pytest.mark.parametrize("opening,closing", [
+    ("", ""), ("<div>", "</div>"), ('<div id="wrapper">', "</div>"), ('<div class="container">', "</div>"),
+    ('<div class="news-item">', "</div>"), ('<div class="qx7"><div class=zz>', "</div></div>"), ('<section id="s1">', "</section>"),
+    ("<table><tr><td>", "</td></tr></table>"), ('<div class="entry">', "</div>"), ("<article>", "</article>")])
+def test_articles_in_neutral_wrappers(shell, opening, closing):
+    p1, p2 = "Une phrase assez longue pour un article, avec plusieurs mots.", "Second paragraph of the story, also long enough to read."
+    page = shell.format(f"{opening}<h1>Title here</h1><p>{p1}</p><p>{p2}</p>{closing}")
+    assert H.main_text(H.default_model(), page) == f"Title here\n\n{p1}\n\n{p2}"
+    assert H.main_text(H.default_model(), f'<div class="row">{page}</div>') == f"Title here\n\n{p1}\n\n{p2}"
