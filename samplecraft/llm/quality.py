@@ -1,7 +1,7 @@
 """Repetition-coverage quality rules.
 
-Per document: how many characters lie inside word n-grams and lines that occur
-more than once in it.  Words become dense ids per Arrow batch (exact); the
+Per document: how many characters lie inside word n-grams and lines that stand
+earlier in it too.  Words become dense ids per Arrow batch (exact); the
 n-grams of a whole batch are rolling polynomial hashes modulo 2**64 over the
 mixed ids, with the document mixed in.  An n-gram can only be repeated where
 the shorter n-grams at its start and one word on are, so each length is looked
@@ -25,10 +25,9 @@ from ..session import ship_package
 from ..util import unused_name
 from .text import Words, find_words, mix64, span_strings, sub_batches, word_ids
 
-#: n-gram length -> largest share of word characters inside repeated n-grams, first occurrences included.
-#: Falling with the length as in the published web-text rules, but higher: those are for long pages, and a
-#: short clean text whose heading is printed again at its end has up to 0.4.
-NGRAM_LIMITS = {5: 0.50, 6: 0.49, 7: 0.48, 8: 0.47, 9: 0.46, 10: 0.45}
+#: n-gram length -> largest share of word characters inside n-grams that stand earlier in the text too; the
+#: values of the published web-text rules.  First occurrences do not count, as with the lines.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 DUP_LINE_CHAR_LIMIT = 0.30
 SYMBOLS_PER_WORD = 0.1
 MIN_WORDS = 50
@@ -45,15 +44,16 @@ def _per_doc(doc: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.n
     return np.bincount(doc, weights=weights, minlength=n).astype(np.int64)
 
 
-def _repeated(h: np.ndarray) -> np.ndarray:
-    """Which values occur twice or more."""
-    order = np.argsort(h)
+def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values occur twice or more, and which of these have occurred before."""
+    order = np.argsort(h, kind="stable")
     s = h[order]
     same = s[1:] == s[:-1]
-    out = np.zeros(len(h), bool)
-    out[order[1:][same]] = True
+    later = np.zeros(len(h), bool)
+    later[order[1:][same]] = True
+    out = later.copy()
     out[order[:-1][same]] = True
-    return out
+    return out, later
 
 
 class _Rolling:
@@ -76,15 +76,16 @@ class _Rolling:
 
     def keep_repeated(self) -> np.ndarray:
         """Starts of the repeated n-grams; later lengths look only at these."""
-        rep = _repeated(self.h)
-        self.at, self.h = self.at[rep], self.h[rep]
+        rep, later = _repeated(self.h)
+        self.at, self.h, self.later = self.at[rep], self.h[rep], later[rep]
         return self.at
 
-    def covered(self) -> np.ndarray:
-        """Which words lie in a repeated n-gram."""
+    def covered(self, again: bool = False) -> np.ndarray:
+        """Which words lie in a repeated n-gram (``again``: in an occurrence after the first)."""
+        at = self.at[self.later] if again else self.at
         edge = np.zeros(len(self.code) + 1, np.int32)
-        edge[self.at] += 1
-        np.add.at(edge, self.at + self.n, -1)
+        edge[at] += 1
+        np.add.at(edge, at + self.n, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -129,7 +130,7 @@ def measure(col: pa.Array) -> dict[str, np.ndarray]:
     for k in NGRAM_LIMITS:
         roll.grow_to(k)
         roll.keep_repeated()
-        covered = roll.covered()
+        covered = roll.covered(again=True)
         out[f"dup_{k}gram_chars"] = _per_doc(w.doc[covered], n, word_chars[covered])
     return out
 

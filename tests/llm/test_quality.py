@@ -1,10 +1,13 @@
+import os
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from samplecraft.llm import quality
 
+SF = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -21,14 +24,18 @@ def brute(text):
             seen.add(line)
     out |= {"n_dup_lines": dup, "dup_line_chars": dup_chars}
 
-    def covered(n):
+    def covered(n, again=False):
         grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
-        many = Counter(grams)
-        return {i + k for i, g in enumerate(grams) if many[g] > 1 for k in range(n)}
+        many, before, out = Counter(grams), set(), set()
+        for i, g in enumerate(grams):
+            if g in before if again else many[g] > 1:
+                out.update(range(i, i + n))
+            before.add(g)
+        return out
 
     out["n_repeat_words"] = len(covered(3))
     for n in quality.NGRAM_LIMITS:
-        out[f"dup_{n}gram_chars"] = sum(len(words[i]) for i in covered(n))
+        out[f"dup_{n}gram_chars"] = sum(len(words[i]) for i in covered(n, again=True))
     return out
 
 
@@ -63,3 +70,24 @@ def test_kept_documents(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 4, 4]
     assert quality.kept_documents(df.limit(0)).count() == 0 and quality.score(df.limit(0)).count() == 0
+
+
+def test_the_ngram_rules_decide(spark):
+    """Texts of one line that pass every other rule; in some, words are said again."""
+    fresh = [f"w{i}" for i in range(90)]
+    rows = [(1, " ".join(fresh)), (2, " ".join(fresh + fresh[10:27])), (3, " ".join(fresh + fresh[10:17])),
+            (4, " ".join(fresh[:45] + fresh[:12] + fresh[45:] + fresh[60:72])), (5, " ".join(fresh[:40] + fresh[:30] + fresh[40:]))]
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed or r.n_dup_lines for r in got.values())
+    assert [got[k].kept for k in (1, 2, 3, 4, 5)] == [True, False, True, False, False]
+    assert sorted(r.doc_id for r in quality.kept_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_labelled_texts(spark):
+    """Against all labels: no low-quality text is kept; of the good ones of 50 words or more, at most 1 in 200 goes."""
+    scored = quality.score(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = scored.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    bad, good = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1 and r.n_words >= 50]
+    assert len(bad) > 400 and len(good) > 3000 and not any(r.kept for r in bad)
+    assert sum(not r.kept for r in good) <= len(good) / 200
