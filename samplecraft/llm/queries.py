@@ -80,11 +80,12 @@ def op9_distinct_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS a
            FROM documents),
-     l AS (SELECT rid, source, i, a[i] AS line, CASE WHEN i > 1 THEN a[i - 1] ELSE '' END AS prev,
+     l AS (SELECT rid, source, i, a[i] AS line, {'t': md5(text), 'i': i} AS place, CASE WHEN i > 1 THEN a[i - 1] ELSE '' END AS prev,
                   CASE WHEN i < len(a) THEN a[i + 1] ELSE '' END AS next
            FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM d WHERE text IS NOT NULL)),
      b AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
-           HAVING count(DISTINCT source) >= 10 AND 2 * count(DISTINCT {'p': prev, 'n': next}) >= count(*)),
+           HAVING count(DISTINCT source) >= 10 AND count(DISTINCT {'p': prev, 'n': next}) >= 10
+                  AND 2 * count(DISTINCT {'p': prev, 'n': next}) >= count(DISTINCT place)),
      r AS (SELECT rid, count(*) FILTER (b.line IS NOT NULL) AS n_removed,
                   coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (b.line IS NULL), '') AS clean
            FROM l LEFT JOIN b ON b.line = l.line GROUP BY rid)

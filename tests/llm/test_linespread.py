@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from samplecraft.llm import linespread as L
@@ -14,9 +15,10 @@ def brute(rows, min_sites=10, share=0.5):
         a = t.split("\n")
         for i, x in enumerate(a):
             if re.search(r"[^\x20\x09-\x0D]", x):
-                occ.setdefault(x, []).append((site, (a[i - 1] if i else "", a[i + 1] if i + 1 < len(a) else "")))
+                occ.setdefault(x, []).append((site, (a[i - 1] if i else "", a[i + 1] if i + 1 < len(a) else ""), (t, i)))
     bad = {x for x, o in occ.items()
-           if len({s for s, _ in o if s is not None}) >= min_sites and len({c for _, c in o}) >= share * len(o)}
+           if len({s for s, _, _ in o if s is not None}) >= min_sites and len({c for _, c, _ in o}) >= min_sites
+           and len({c for _, c, _ in o}) >= share * len({p for _, _, p in o})}
     return [(d, s, None if t is None else "\n".join(x for x in t.split("\n") if x not in bad)) for d, s, t in rows], bad
 
 
@@ -35,10 +37,11 @@ def data():
     return rows + [(700, "s1", None), (701, None, ""), (702, "s2", "\n \n\n"), (None, "s3", boiler[12]), rows[5], rows[5]]
 
 
-def test_equals_exact_counts(spark):
+@pytest.mark.parametrize("max_in_row", [L.MAX_IN_ROW, 0])
+def test_equals_exact_counts(spark, max_in_row):
     rows = data()
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, source string, text string, h1 int").repartition(3)
-    out = L.remove_boilerplate(df)
+    out = L.remove_boilerplate(df, max_in_row=max_in_row)
     assert out.columns == df.columns
     want, bad = brute(rows)
     assert 3 < len(bad) < 25 and "copied one" not in bad
@@ -65,3 +68,15 @@ def test_query_with_a_column_named_removed(spark, tmp_path):
         str(tmp_path / "documents.parquet"))
     r = Q.op9_distinct_site_spread(spark, str(tmp_path)).first()
     assert (r.doc_id, r.n_lines, r.n_removed) == (1, 2, 0)
+
+
+@pytest.mark.parametrize("max_in_row", [L.MAX_IN_ROW, 0])
+def test_copies_do_not_dilute(spark, max_in_row):
+    """A line in 1,000 texts goes from all of them, though one has 2,000 copies; a text with many near copies stays whole."""
+    own = [(k, f"s{k % 20}", f"a{k} b\nshared line\nc{k} d") for k in range(1000)]
+    copies = [(1000 + k, f"s{k % 20}", own[7][2]) for k in range(2000)]
+    near = [(3000 + k, f"s{k % 20}", "\n".join(f"story {j}" if j != k % 40 else f"edit {k}" for j in range(40))) for k in range(400)]
+    docs = spark.createDataFrame(own + copies + near, "doc_id long, source string, text string").repartition(4)
+    got = {r.doc_id: r.text for r in L.remove_boilerplate(docs, max_in_row=max_in_row).collect()}
+    assert len(got) == 3400 and all(got[d] == t.replace("\nshared line", "") for d, _, t in own + copies)
+    assert all(got[d] == t for d, _, t in near)
