@@ -76,12 +76,15 @@ def chunk_table(records: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame
     coded = F.col("payload").contains(_MARK)
     body = F.when(F.col("refers_to").isNotNull(), "").when(coded, F.base64(F.col("payload").cast("binary")))
     rows = (records.withColumn("coded", coded & F.col("refers_to").isNull())
-            .withColumn("body", body.otherwise(F.col("payload")))
-            .withColumn("row", F.hex(F.monotonically_increasing_id()))
-            .withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.char_length("body") / chunk_chars)).cast("int")))
-    rows = rows.drop("payload").withColumn("chunk", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
-    part = F.substr("body", (F.col("chunk") - 1) * chunk_chars + 1, F.lit(chunk_chars))
-    return rows.withColumn("body", F.when(F.col("chunks") == 1, F.col("body")).otherwise(part))
+            .withColumn("body", body.otherwise(F.col("payload"))).drop("payload")
+            .withColumn("row", F.hex(F.monotonically_increasing_id())))
+    # one pass over the text cuts it; from here on a row holds a chunk, never the whole body
+    parts = F.regexp_extract_all("body", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    whole = F.octet_length("body") <= chunk_chars
+    rows = rows.withColumn("parts", F.when(whole, F.array("body")).otherwise(parts)).drop("body")
+    rows = rows.withColumn("chunks", F.size("parts"))
+    keep = [c for c in rows.columns if c != "parts"]
+    return rows.select(*keep, F.posexplode("parts").alias("chunk", "body")).withColumn("chunk", F.col("chunk") + 1)
 
 
 def write_archive(chunks: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE,

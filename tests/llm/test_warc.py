@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -86,3 +87,22 @@ def test_wrong_length_is_an_error(spark, size, error):
     spark.createDataFrame([(one,)], "value string").write.option("lineSep", "\r\n\r\n").text(path)
     with pytest.raises(Exception, match=error):
         warc.read_records(spark, path).collect()
+
+
+@pytest.mark.parametrize("unit", ["<p>aé𝄞 bcdefghij</p>\r\n", "<p>aé WARC/1.1 bcd</p>\r\n"])
+def test_payload_of_tens_of_megabytes(spark, tmp_path, unit):
+    body = unit * (24_000_000 // len(unit)) + "end"
+    spark.createDataFrame([(1, "u", body), (2, "v", body), (3, "w", "x")], "page_id long, url string, html string").write.parquet(
+        str(tmp_path / "in"))
+    path = scratch_path(spark, "warc-test")
+    start = time.monotonic()
+    records = warc.plan_records(spark.read.parquet(str(tmp_path / "in")))
+    chunks = warc.chunk_table(records)
+    warc.write_archive(chunks, path)
+    got = {r.id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_payloads(spark, path).collect()}
+    raw = body.encode()
+    digest = hashlib.sha256(raw).hexdigest()
+    assert got == {1: (len(raw), digest, "response", None), 2: (len(raw), digest, "revisit", 1),
+                   3: (1, hashlib.sha256(b"x").hexdigest(), "response", None)}
+    assert time.monotonic() - start < 60
+    assert chunks.filter("id = 1").count() > 300
