@@ -14,7 +14,6 @@ texts need no special case; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
@@ -176,12 +175,11 @@ def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("struct<" + ",".join(f"{f}:long" for f in FIELDS) + ">")
-    def counts(text: pd.Series) -> pd.DataFrame:
-        col = pa.array(text, pa.large_string(), from_pandas=True)
-        parts = [pd.DataFrame(measure(b.column(0)))[FIELDS]
-                 for b in sub_batches(pa.RecordBatch.from_arrays([col], names=["text"]), "text")]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=FIELDS, dtype="int64")
+    @F.arrow_udf("struct<" + ",".join(f"{f}:long" for f in FIELDS) + ">")
+    def counts(text: pa.Array) -> pa.Array:
+        parts = [measure(b.column(0)) for b in sub_batches(pa.RecordBatch.from_arrays([text], names=["text"]), "text")]
+        columns = [np.concatenate([np.zeros(0, np.int64), *(m[f] for m in parts)]).astype(np.int64) for f in FIELDS]
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=FIELDS)
 
     name = unused_name(docs, "_ql")
     _, bad = _rules(lambda f: F.col(name)[f])
