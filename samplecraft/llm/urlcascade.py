@@ -9,11 +9,13 @@ bits of constant arrays: no join.
 
 Only DataFrame functions: a level is an aggregation (``bit_or`` of bit masks)
 and reaches the lookups as a scalar subquery.  A level's array is held to
-``MAX_LEVEL_BYTES``; for a longer list membership is an equi-join on the key.
+``MAX_LEVEL_BYTES``, by the counted keys and each level's own rate; for a longer
+list membership is an equi-join on the key.
 
 Nulls: a null url, or one without ``://``, has empty host and path.  Null keys
-are not in the universe and never listed.  Repeated rows are judged alike; an
-empty table gives no rows.
+are not in the universe and never listed.  Repeated rows are judged alike, and
+a key is listed if any of its rows is.  Of rules of equal length that fit, the
+first by host and path is taken.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,6 +76,20 @@ def _size(n: int, fp: float) -> tuple[int, int]:
     return 64 * max(1, math.ceil(n * hashes * 1.4427 / 64)), hashes
 
 
+def first_rate(n_listed: int, n_unlisted: int) -> float:
+    """False-positive rate of level 1: about as many unlisted keys get through as there are listed ones."""
+    return min(0.5, math.sqrt(0.5) * n_listed / n_unlisted) if n_listed and n_unlisted else LATER_FP
+
+
+def largest_level(n_listed: int, n_unlisted: int) -> int:
+    """Bytes of the largest level: the first, at its own rate.
+
+    Level 2 holds the fewer than ``n_listed`` keys that level 1 lets through,
+    every later one a part of those two levels ago.
+    """
+    return max(_size(n_listed, first_rate(n_listed, n_unlisted))[0], _size(n_listed, LATER_FP)[0]) // 8
+
+
 def build_level(keys: DataFrame, n: int, fp: float, salt: int) -> Level:
     """A Bloom filter of the ``key`` column as one row of 64-bit words, written to the scratch folder."""
     spark = keys.sparkSession
@@ -110,9 +126,7 @@ def build_cascade(universe: DataFrame) -> list[Level]:
     sides = {s: both.filter(F.col("listed") == s).select("key") for s in (True, False)}
     size = {s: sizes.get(s, 0) for s in (True, False)}
     levels: list[Level] = []
-    side, fp = True, LATER_FP
-    if size[True] and size[False]:
-        fp = min(0.5, math.sqrt(0.5) * size[True] / size[False])
+    side, fp = True, first_rate(size[True], size[False])
     while size[side]:
         if len(levels) >= MAX_LEVELS:
             raise RuntimeError("two keys with equal hashes, one of them listed")
@@ -153,8 +167,9 @@ def judge(pages: DataFrame, listed: Column, url_col: str = "url", rules: Sequenc
     named = pages.withColumn(part, F.struct(host.alias("host"), path.alias("path")))
     named = named.withColumn(key, F.concat(at["host"], at["path"]))
     universe = named.groupBy(F.col(key).alias("key")).agg(F.max(F.coalesce(listed, F.lit(False))).alias("listed"))
-    n_listed = universe.filter("listed").count()
-    if _size(n_listed, LATER_FP)[0] > 8 * max_level_bytes:
+    sizes = {r["listed"]: r["n"] for r in universe.filter(F.col("key").isNotNull()).groupBy("listed").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    if largest_level(sizes.get(True, 0), sizes.get(False, 0)) > max_level_bytes:
         mark = unused_name(pages, "_uc_listed")
         on_list = universe.filter("listed").select(F.col("key").alias(key), F.lit(True).alias(mark))
         named, member = named.join(on_list, key, "left"), F.coalesce(F.col(mark), F.lit(False))

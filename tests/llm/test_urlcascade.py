@@ -44,3 +44,13 @@ def test_judge(spark, max_bytes):
             assert (r.host, r.path, r.rule) == (h, p, rule)
             assert r.verdict == ("block" if u and "bad" in u else verdict)
     assert U.judge(df.limit(0), F.col("_uc")).count() == 0
+
+
+@pytest.mark.parametrize("listed,unlisted", [(93_000_000, 10**10), (90_000_000, 10**12), (1000, 0), (0, 5), (10**6, 10**6), (5000, 100)])
+def test_size_guard_holds_for_every_level(listed, unlisted):
+    largest = U.largest_level(listed, unlisted)
+    sides, fp, side = {True: listed, False: unlisted}, U.first_rate(listed, unlisted), True
+    for _ in range(20):
+        assert U._size(sides[side], fp)[0] // 8 <= largest
+        sides[not side] = round(sides[not side] * fp)
+        side, fp = not side, U.LATER_FP
