@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .joins import join_counted
 
 
+#: largest Arrow batch of a stored table's Python stages, unless the session states its own
+ARROW_BYTES = 4 << 20
+_ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``ARROW_BYTES`` for the jobs inside; a session that sets a size of its own keeps it."""
+    own = _ARROW_CONF in spark.conf.getAll
+    if not own:
+        spark.conf.set(_ARROW_CONF, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(_ARROW_CONF)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back: short lineage, computed once."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -74,6 +74,7 @@ MORE_CENTRES = 16
 LONG_GROUP = 4096
 PART_ROWS = 256
 _PARTS = 64
+TEXT_BYTES = 1 << 19   # texts whose sets are made at a time
 BROADCAST_IDS = 1_000_000
 SHORT_WORDS = 4
 _B = np.uint64(0xD6E8FEB86659FD93)
@@ -186,7 +187,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(batches) -> Iterator[tuple[list, list[np.ndarray]]]:
     for whole in batches:
-        for b in sub_batches(whole, "text"):
+        for b in sub_batches(whole, "text", TEXT_BYTES):
             yield b.column(0).to_pylist(), list(shingle_sets(b.column(1)))
 
 
