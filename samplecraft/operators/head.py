@@ -20,9 +20,16 @@ NULL elements, take no part; they are counted in the result.
 Mini-batches: ``batch_size`` (or ``steps_per_epoch = k``, which sets it to the
 rows divided by k) cuts each epoch's seeded order into batches of exactly that
 many rows with ``operators.sampling.shuffle_batches``; the last one may be
-smaller and is kept.  An epoch's order is cached sorted by batch inside
-its partitions, so the in-memory column statistics let a step read little more
-than its batch.  One step an epoch is full-batch (train metrics measured with the weights
+smaller and is kept.  A step needs the weights of the step before, so steps
+cannot run side by side, and a small batch is far less work than a Spark job.
+So an epoch's order is written once to the scratch folder in runs of whole
+batches, at most ``RUN_NUMBERS`` numbers each; one job trains on one run, step
+after step, and hands its Adam state to the next run.  What a task reads does not
+grow with the table, and there are as many jobs as runs.  Where fewer than
+two batches, or not a head's state, fit a run, a step is a job over all
+partitions: an epoch's order is cached sorted by batch inside its partitions,
+so the in-memory column statistics let a step read little more than its batch.
+One step an epoch is full-batch (train metrics measured with the weights
 before the update).
 """
 
@@ -42,7 +49,7 @@ from pyspark.sql import types as T
 
 from ..functions.scoring import usable_vector
 from ..schemas import HEAD, HISTORY, RUNS
-from ..session import ship_package
+from ..session import clear_scratch, scratch_count, scratch_path, ship_package
 from ..sources.metadata import write_head, write_history
 from .sampling import shuffle_batches
 
@@ -79,6 +86,29 @@ class FitResult:
 
 
 BROADCAST_HEAD_MIN = 65_536  # weights above this are shipped as a broadcast variable
+RUN_NUMBERS = 1 << 20        # feature numbers of consecutive batches that one job trains on (8 MB)
+
+
+def _columns(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, labels) of a batch of training rows."""
+    x = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, -1)
+    return x, rb.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _scored(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray):
+    """(probabilities, loss and hit of every row)"""
+    z = x @ w.T + b
+    m = z.max(axis=1, keepdims=True)
+    e = np.exp(z - m)
+    s = e.sum(axis=1, keepdims=True)
+    loss = np.log(s[:, 0]) + m[:, 0] - z[np.arange(len(y)), y]
+    return e / s, loss, np.argmax(z, axis=1) == y
+
+
+def _gradient(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The summed loss's gradient by weights and biases; ``p`` is used up."""
+    p[np.arange(len(y)), y] -= 1.0
+    return p.T @ x, p.sum(axis=0)
 
 
 def _sums_kernel(weights, bias):
@@ -100,24 +130,17 @@ def _sums_kernel(weights, bias):
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            x = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, dim)
-            y = rb.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            x, y = _columns(rb)
             is_val = np.asarray(rb.column(2).to_numpy(zero_copy_only=False), dtype=bool)
-            z = x @ w_arr.T + b_arr
-            m = z.max(axis=1, keepdims=True)
-            e = np.exp(z - m)
-            s = e.sum(axis=1, keepdims=True)
-            loss = np.log(s[:, 0]) + m[:, 0] - z[np.arange(len(y)), y]
-            hit = np.argmax(z, axis=1) == y
+            p, loss, hit = _scored(x, y, w_arr, b_arr)
             for j, mask in enumerate((~is_val, is_val)):
                 tot[3 * j] += float(loss[mask].sum())
                 tot[3 * j + 1] += float(hit[mask].sum())
                 tot[3 * j + 2] += float(mask.sum())
             if (~is_val).any():
-                p = (e / s)[~is_val]
-                p[np.arange(p.shape[0]), y[~is_val]] -= 1.0
-                g_w += p.T @ x[~is_val]
-                g_b += p.sum(axis=0)
+                more_w, more_b = _gradient(p[~is_val], x[~is_val], y[~is_val])
+                g_w += more_w
+                g_b += more_b
         ctx = TaskContext.get()
         vals = np.concatenate([g_w.reshape(-1), g_b, tot])
         yield pa.RecordBatch.from_arrays(
@@ -263,6 +286,69 @@ def adam_step(params, grad, m, v, t: int, lr: float, betas: tuple[float, float]
     return params - lr * m_hat / (v_hat ** 0.5 + eps), m, v
 
 
+def _steps_kernel(state, shape: tuple[int, int], size: int, t: int, lr: float, opts: HeadOptions):
+    """Adam steps over the rows of a run (x, y), a step every ``size`` rows, after ``t`` steps: one row (vals).
+
+    ``state`` is the parameters and both moments, 3 x C x (D + 1) numbers or a
+    broadcast variable holding them; ``vals`` is the new state, then the
+    loss sum, correct count and rows, each step's with the weights before it.
+    """
+    n_classes, dim = shape
+    decay, betas, eps = opts.weight_decay, opts.betas, opts.adam_eps
+
+    def run(batches):
+        params, m, v = np.split(np.array(state if isinstance(state, np.ndarray) else state.value), 3)
+        tot, now = np.zeros(3), t
+        x, y = np.zeros((0, dim)), np.zeros(0, np.int64)
+
+        def step(x, y):
+            nonlocal params, m, v, now
+            p, loss, hit = _scored(x, y, params[:n_classes * dim].reshape(n_classes, dim), params[n_classes * dim:])
+            tot[:] += float(loss.sum()), float(hit.sum()), len(y)
+            g_w, g_b = _gradient(p, x, y)
+            g = np.concatenate([g_w.reshape(-1), g_b]) / len(y) + decay * params
+            now += 1
+            params, m, v = adam_step(params, g, m, v, now, lr, betas, eps)
+
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            more_x, more_y = _columns(rb)
+            x, y = np.concatenate([x, more_x]), np.concatenate([y, more_y])
+            full = len(y) // size * size
+            for lo in range(0, full, size):
+                step(x[lo:lo + size], y[lo:lo + size])
+            x, y = x[full:], y[full:]
+        if len(y):
+            step(x, y)
+        vals = np.concatenate([params, m, v, tot])
+        yield pa.RecordBatch.from_arrays([pa.array([vals], pa.list_(pa.float64()))], names=["vals"])
+
+    return run
+
+
+def _write_runs(dealt: DataFrame, path: str, rows: int, n: int) -> int:
+    """Write ``n`` rows with a dense ``row_idx`` in folders of ``rows`` consecutive ones; their number."""
+    runs = -(-n // rows)
+    part = dealt.select("x", "y", "row_idx", F.floor(F.col("row_idx") / rows).cast("long").alias("run"))
+    part.repartition(runs, "run").sortWithinPartitions("run", "row_idx").write.partitionBy("run").parquet(path)
+    return runs
+
+
+def _train_run(spark, path: str, run: int, state: np.ndarray, shape: tuple[int, int], size: int, t: int, lr: float,
+               opts: HeadOptions) -> tuple[np.ndarray, np.ndarray]:
+    """One Spark job: (state after the run's steps, [loss sum, correct count, rows])."""
+    ship_package(spark)
+    head = spark.sparkContext.broadcast(state) if state.size > BROADCAST_HEAD_MIN else None
+    rows = spark.read.schema("x array<double>, y int, row_idx long").parquet(f"{path}/run={run}")
+    kernel = _steps_kernel(state if head is None else head, shape, size, t, lr, opts)
+    got = rows.coalesce(1).sortWithinPartitions("row_idx").mapInArrow(kernel, "vals array<double>").toArrow()
+    if head is not None:
+        head.destroy()
+    vals = got.column("vals")[0].values.to_numpy()
+    return vals[:-3], vals[-3:]
+
+
 def _vector_length(df: DataFrame, features_col: str) -> int:
     """The most frequent vector length (the longer of two equally frequent ones)."""
     n = F.size(features_col).alias("d")
@@ -283,7 +369,7 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     from ``opts.seed`` and D is the most frequent vector length of ``train``.
 
     Validation of epoch e and the first step of epoch e + 1 use the same
-    weights, so they share one Spark job; if epoch e stops the run, that
+    weights, so where a step is a job they share one; if epoch e stops the run, that
     step's gradient is simply not applied.
 
     With ``history_path`` this run's rows are rewritten as each epoch closes;
@@ -343,6 +429,26 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
             rows = [(opts.run_id, kind, c, float(hb[c]), [float(x) for x in hw[c]]) for c in range(n_classes)]
             write_head(spark.createDataFrame(rows, HEAD), head_path)
 
+    # batches of one run, which is trained on in one job; below two, a step is a job
+    in_run = RUN_NUMBERS // (size * dim) if k > 1 and 3 * m.size <= RUN_NUMBERS else 0
+
+    def train_runs(epoch):
+        """All steps of ``epoch``, run after run."""
+        nonlocal w, b, m, v, t
+        keep = scratch_count()
+        path = scratch_path(spark, "epoch")
+        dealt = shuffle_batches(tr, size, opts.seed, epoch, key="k")
+        state = np.concatenate([w.reshape(-1), b, m, v])
+        try:
+            for run in range(_write_runs(dealt, path, in_run * size, n_train)):
+                state, got = _train_run(spark, path, run, state, w.shape, size, t, lr, opts)
+                t += -(-int(got[2]) // size)
+                totals[:] = [x + y for x, y in zip(totals, got.tolist())]
+        finally:
+            clear_scratch(spark, keep)
+        params, m, v = np.split(state, 3)
+        w, b = params[:n_classes * dim].reshape(n_classes, dim), params[n_classes * dim:]
+
     epoch_cache = {}
 
     def batch(epoch, step):
@@ -391,6 +497,14 @@ def fit_head(train: DataFrame, val: DataFrame, n_classes: int, features_col: str
     try:
         stopped = False
         for epoch in range(1, opts.epochs + 1):
+            if in_run > 1:
+                if epoch > 1:
+                    stopped = close_epoch(epoch - 1, _sums(va, w, b))
+                    if stopped:
+                        break
+                totals[:] = [0.0, 0, 0]
+                train_runs(epoch)
+                continue
             for step in range(k):
                 part = batch(epoch, step)
                 if step == 0 and epoch > 1:

@@ -197,3 +197,37 @@ def test_exact_batches_against_numpy(spark):
     assert np.allclose(res.weights, w, atol=1e-12) and np.allclose(res.bias, b, atol=1e-12)
     again = HD.fit_head(df, df, 5, opts=HD.HeadOptions(lr=0.01, epochs=2, batch_size=100, patience=None), initial=start)
     assert np.array_equal(again.weights, res.weights) and res.run.first().batch_size == 100
+
+
+@pytest.mark.parametrize("numbers", [1 << 20, 16 * 10 * 7, 16 * 10])  # all batches in one run, seven a run, a job a step
+def test_small_batches_share_jobs(spark, monkeypatch, numbers):
+    """605 rows in batches of 10 are 61 steps an epoch: the jobs follow the runs, the weights do not depend on them."""
+    import hashlib
+    df = _wide(spark, 3, 605)
+    rows = {r.id: (np.array(r.features), r.label_idx) for r in df.collect()}
+    w, b, m, v, t = np.zeros((5, 16)), np.zeros(5), np.zeros(85), np.zeros(85), 0
+    losses = []
+    for epoch in (1, 2):
+        order = sorted(rows, key=lambda i: (hashlib.md5(f"42:{epoch}:{i}".encode()).hexdigest(), i))
+        losses.append(0.0)
+        for lo in range(0, 605, 10):
+            part = order[lo:lo + 10]
+            grad, loss = _sums(w, b, np.array([rows[i][0] for i in part]), np.array([rows[i][1] for i in part]))
+            p = np.concatenate([w.reshape(-1), b])
+            t += 1
+            p, m, v = HD.adam_step(p, grad / len(part) + 1e-4 * p, m, v, t, 0.01)
+            w, b = p[:80].reshape(5, 16), p[80:]
+            losses[-1] += loss / 605
+    monkeypatch.setattr(HD, "RUN_NUMBERS", numbers)
+    group = f"steps-{numbers}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        res = HD.fit_head(df, df, 5, opts=HD.HeadOptions(lr=0.01, epochs=2, batch_size=10, patience=None),
+                          initial=(np.zeros((5, 16)), np.zeros(5)))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert np.allclose(res.weights, w, atol=1e-12) and np.allclose(res.bias, b, atol=1e-12)
+    hist = res.history.orderBy("epoch").collect()
+    assert np.allclose([r.train_loss for r in hist], losses, atol=1e-12)
+    assert jobs >= 122 if numbers == 160 else jobs <= 60
