@@ -24,6 +24,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +50,9 @@ class WordTokenizer:
     Exact for a tokenizer whose normaliser and pre-tokenizer never look across
     ASCII white space and drop it, and which cuts between a letter and a
     punctuation mark.  Distinct runs are encoded once per batch; the first
-    ``CACHE_WORDS`` of them stay for later batches and tasks of the worker.
+    ``CACHE_WORDS`` of them stay for later batches and tasks of the worker, as
+    Arrow and NumPy arrays: the worker lives on through other stages, and
+    as many Python strings in a dict take three times the memory.
     """
 
     @staticmethod
@@ -70,11 +73,32 @@ class WordTokenizer:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith(_END_OF_WORD)]] = True
-        self.index: dict[str, int] = {}
-        self.lens = np.zeros(0, np.int64)
+        self.words = pa.array([], pa.large_string())
+        self.hashes = np.zeros(0, np.uint64)  # of the words, ascending
+        self.slots = np.zeros(0, np.int32)    # the word of each hash
+        self.lens = np.zeros(0, np.int32)
         self.offs = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _find(self, distinct: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The slot of every word, -1 for unknown ones; words are compared, so equal hashes do no harm."""
+        slot = np.full(len(distinct), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            maybe = np.flatnonzero(self.hashes[at] == hashes)
+            cand = self.slots[at[maybe]]
+            same = pc.equal(self.words.take(pa.array(cand)), distinct.take(pa.array(maybe))).to_numpy(zero_copy_only=False)
+            slot[maybe[same]] = cand[same]
+        return slot
+
+    def _keep(self, fresh: pa.Array, hashes: np.ndarray) -> None:
+        """Add words, which take the next slots."""
+        slots = np.concatenate([self.slots, np.arange(len(self.words), len(self.words) + len(fresh), dtype=np.int32)])
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.slots = hashes[order], slots[order]
+        self.words = pa.concat_arrays([self.words, fresh])
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(lengths, offsets into the ids, ids) of new words.
 
@@ -128,22 +152,22 @@ class WordTokenizer:
             edge[w.ends[plain]] -= 1
             w = w._replace(data=np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, LOWER[w.data], w.data))
         ids, distinct = word_ids(w)
-        words = distinct.to_pylist()
-        slot = np.fromiter((self.index.get(x, -1) for x in words), np.int64, len(words))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) for x in distinct), np.uint64, len(distinct))
+        slot = self._find(distinct, hashes)
         new = np.flatnonzero(slot < 0)
         known, all_lens, all_offs, all_ids = len(self.lens), self.lens, self.offs, self.ids
         if len(new):
-            fresh = [words[i] for i in new]
-            lens, offs, flat = self._encode(fresh)
+            fresh = distinct.take(pa.array(new))
+            lens, offs, flat = self._encode(fresh.to_pylist())
             slot[new] = np.arange(known, known + len(new))
             all_offs = np.concatenate([all_offs, len(all_ids) + offs])
-            all_lens, all_ids = np.concatenate([all_lens, lens]), np.concatenate([all_ids, flat])
+            all_lens, all_ids = np.concatenate([all_lens, lens.astype(np.int32)]), np.concatenate([all_ids, flat])
             if known < CACHE_WORDS:
-                self.index.update(zip(fresh, range(known, known + len(new))))
+                self._keep(fresh, hashes[new])
                 self.lens, self.offs, self.ids = all_lens, all_offs, all_ids
         n_docs = len(w.doc_off) - 1
         at = slot[ids] if len(ids) else ids
-        lens, offs = all_lens[at], all_offs[at]
+        lens, offs = all_lens[at].astype(np.int64), all_offs[at]
         upto = np.concatenate([[0], np.cumsum(lens)])
         doc_off = upto[w.word_off] + np.arange(n_docs + 1)
         out = np.full(int(upto[-1]) + n_docs, end_id, np.uint32)

@@ -6,6 +6,8 @@ bytes; a batch is cut by rows so that the temporary arrays stay small.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -96,13 +98,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+@functools.cache
+def _malloc_trim():
+    """glibc's ``malloc_trim``; nothing where the C library has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on through other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def sub_batches(batch: pa.RecordBatch, column: str, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices with at most ``max_bytes`` of text (one longer row stays alone)."""
+    """Row slices with at most ``max_bytes`` of text (one longer row stays alone).
+
+    What a slice's work has freed goes back to the system before the next one.
+    """
     _, off = byte_view(batch.column(batch.schema.get_field_index(column)))
     lo, n = 0, batch.num_rows
     while lo < n:
         hi = int(np.searchsorted(off, off[lo] + max_bytes, side="right")) - 1
         hi = min(max(hi, lo + 1), n)
         yield batch.slice(lo, hi - lo)
+        give_back()
         lo = hi
 

@@ -100,3 +100,20 @@ def test_plan_equals_one_bin_at_a_time(seed):
     hist = {x: lengths.count(x) for x in set(lengths)}
     got = [m for m, times in packing.plan_bins(hist, cap) for _ in range(times)]
     assert sorted(got) == sorted(brute(lengths, cap))
+
+
+def test_known_words_are_kept_in_arrays(monkeypatch, tok):
+    """The cache outlives its stage in the Python worker: it must not hold an object per word, nor trust a hash."""
+    import sys
+    import pyarrow as pa
+    monkeypatch.setattr(packing.xxhash, "xxh3_64_intdigest", lambda b: len(b) % 3)  # nearly all hashes are equal
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    t = packing.WordTokenizer(tokenizer_path())
+    for k in range(8):
+        texts = [" ".join(f"w{(7 * i + k) % 90}x{i % 4}" for i in range(50)), None, "Same text here.", TEXTS[3]]
+        ids, off = t.encode_column(pa.array(texts), 0)
+        for j, x in enumerate(texts):
+            assert ids[off[j]:off[j + 1]].tolist() == tok.encode(x or "", add_special_tokens=False).ids + [0]
+    assert len(t.words) == len(t.lens) == len(t.slots) >= 50
+    assert all(sys.getsizeof(v) < 10_000 for v in vars(t).values() if isinstance(v, (dict, list, set)))
+    assert not any(isinstance(v, (dict, set)) and len(v) >= 50 for v in vars(t).values())

@@ -91,3 +91,26 @@ def test_labelled_texts(spark):
     bad, good = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1 and r.n_words >= 50]
     assert len(bad) > 400 and len(good) > 3000 and not any(r.kept for r in bad)
     assert sum(not r.kept for r in good) <= len(good) / 200
+
+
+def test_freed_memory_goes_back_between_slices():
+    """A worker that has held a large slice's arrays does not keep their pages for the next stage."""
+    import subprocess
+    import sys
+    code = """
+import numpy as np, pyarrow as pa
+from samplecraft.llm.text import sub_batches
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) >> 10
+for s in sub_batches(pa.RecordBatch.from_arrays([pa.array(["x" * 100] * 4)], names=["text"]), "text", 200):
+    many = [np.ones(1 << 13) for _ in range(2000)]  # 128 MB of small blocks, the last one above them
+    last = np.ones(1 << 13)
+    del many
+print(held())
+"""
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("no smaps")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 130
