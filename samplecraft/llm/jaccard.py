@@ -389,6 +389,31 @@ def _open(rows: DataFrame) -> DataFrame:
     return out
 
 
+def candidates(groups: DataFrame, similarity: tuple[int, int], ranks: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b, before_a): centres and the members of their groups, of other components, that may be similar to them.
+
+    ``ranks``: of the centres, from one to below the other.  Without, a group
+    has one centre, in however many parts it is ranked: its member with the
+    fewest parts before.  So there are no more rows than members.
+    """
+    num, den = similarity
+    if ranks is None:
+        centres = groups.groupBy("key").agg(F.min(F.struct("before", "id", "n", "comp")).alias("c")).select("key", "c.*")
+    else:
+        centres = groups.filter((F.col("rank") >= ranks[0]) & (F.col("rank") < ranks[1]))
+    centres = centres.select("key", *[F.col(c).alias(f"{c}_a") for c in centres.columns if c != "key"])
+    most = (den - num) * (F.col("n") + F.col("n_a"))  # (den + num) times the largest symmetric difference
+    near = [F.col("comp") != F.col("comp_a"),
+            F.col("n") * den >= F.col("n_a") * num, F.col("n_a") * den >= F.col("n") * num,
+            # the parts before the first shared one differ, so their numbers add up to it at most
+            (den + num) * (F.col("before") + F.col("before_a")) <= most]
+    if ranks is not None:
+        near.append(F.col("rank") > F.col("rank_a"))
+        near.append((den + num) * _hamming(F.col("short"), F.col("short_a")) <= most)
+    return groups.join(centres, "key").filter(functools.reduce(lambda x, y: x & y, near)).select(
+        F.col("id_a").alias("a"), F.col("id").alias("b"), "before_a")
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """((id, n) per row, links (a, b), the stored tables the links are in): enough verified links to connect all
@@ -420,24 +445,13 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = _open(ranked)
     forget(shared, ranked)
     sets = stored(_sets_of(texts, groups.select("id").distinct()), "sets")
-    num, den = similarity
     low, high, alone = 0, 1, True
     while True:
         largest = groups.agg(F.max("rank").alias("m")).first()["m"]
         if largest is None or low > largest:
             forget(sets, groups)
             return rows.select("id", "n"), links, tables
-        centres = groups.filter(F.col("rank") < F.col("parts") if alone else (F.col("rank") >= low) & (F.col("rank") < high))
-        centres = centres.select("key", *[F.col(c).alias(f"{c}_a") for c in groups.columns if c != "key"])
-        most = (den - num) * (F.col("n") + F.col("n_a"))  # (den + num) times the largest symmetric difference
-        near = [F.col("rank") > F.col("rank_a"), F.col("comp") != F.col("comp_a"),
-                F.col("n") * den >= F.col("n_a") * num, F.col("n_a") * den >= F.col("n") * num,
-                # the parts before the first shared one differ, so their numbers add up to it at most
-                (den + num) * (F.col("before") + F.col("before_a")) <= most]
-        if not alone:
-            near.append((den + num) * _hamming(F.col("short"), F.col("short_a")) <= most)
-        pairs = groups.join(centres, "key").filter(functools.reduce(lambda x, y: x & y, near)).select(
-            F.col("id_a").alias("a"), F.col("id").alias("b"), "before_a")
+        pairs = candidates(groups, similarity, None if alone else (low, high))
         if alone:  # first only one centre of each member, the one with the fewest parts of its own: its family's
             pairs = pairs.groupBy("b").agg(F.min(F.struct("before_a", "a")).alias("c")).select("c.a", "b")
         found = verified(pairs.select("a", "b").distinct(), sets, similarity)

@@ -5,6 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from samplecraft.llm import jaccard as J
 from samplecraft.llm.components import components
 
@@ -161,3 +163,13 @@ def test_components_on_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (7, 7)] + [(200, 200 + i) for i in range(1, 50)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and got[100] == 99 and {got[200 + i] for i in range(50)} == {200}
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_first_candidates_are_no_more_than_the_members(spark, parts):
+    """A large group is ranked in parts, and had a first centre in each: parts grow with the group, so its square came out."""
+    groups = spark.range(400).selectExpr("1L as key", "id", "100L as n", "id % 7 as before", f"{parts}L as parts",
+                                         "id as rank", "id as comp")
+    got = J.candidates(groups.unionByName(groups.withColumn("key", F.lit(2)).filter("id >= 300")), J.SIMILARITY)
+    assert got.groupBy("a").count().collect() and got.count() == 399 + 99
+    assert {(r.a, r.before_a) for r in got.select("a", "before_a").distinct().collect()} == {(0, 0), (301, 0)}
