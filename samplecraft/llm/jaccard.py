@@ -350,12 +350,15 @@ def _hamming(x: Column, y: Column) -> Column:
     return F.when((size > 0) & (F.greatest(F.size(x), F.size(y)) <= 2 * size), differ).otherwise(0)
 
 
-def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``sets`` with one of ``ids``; few ids are broadcast, so the others' sets are not shuffled."""
+def _few_sent(ids: DataFrame) -> DataFrame:
+    """The distinct ids; few are broadcast, so the sets or texts they are joined with are not shuffled."""
     ids = ids.distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # 8 MB
-        ids = F.broadcast(ids)
-    return sets.join(ids, "id", "left_semi")
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids  # 8 MB
+
+
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` with one of ``ids``."""
+    return sets.join(_few_sent(ids), "id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -500,7 +503,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     mark = unused_name(docs, "_jc_id")
     found = stored(join_components(docs, id_col, text_col, similarity), "components")
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
+    drop = _few_sent(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(mark)))
     here = F.col(id_col).cast("long") == F.col(mark)
     left = docs.join(drop, here, "left_anti")
     again = (found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(mark)).agg(F.count(F.lit(1)).alias("n"))

@@ -173,3 +173,16 @@ def test_first_candidates_are_no_more_than_the_members(spark, parts):
     got = J.candidates(groups.unionByName(groups.withColumn("key", F.lit(2)).filter("id >= 300")), J.SIMILARITY)
     assert got.groupBy("a").count().collect() and got.count() == 399 + 99
     assert {(r.a, r.before_a) for r in got.select("a", "before_a").distinct().collect()} == {(0, 0), (301, 0)}
+
+
+def test_rows_to_drop_are_sent_to_the_texts(spark):
+    """The texts were shuffled to be joined with the ids to drop, as soon as these were more than Spark's own limit."""
+    df = spark.createDataFrame([(i, f"{i % 5} b c d e f g") for i in range(20)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = J.one_of_each(df)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
