@@ -62,7 +62,7 @@ from ..session import ship_package
 from ..util import unused_name
 from .components import components, forget, stored
 from .joins import join_counted
-from .text import LOWER, find_words, mix64, sub_batches, word_ids
+from .text import LOWER, Words, find_words, mix64, sub_batches
 
 SHINGLE = 5
 SIMILARITY = (80, 100)
@@ -75,25 +75,50 @@ LONG_GROUP = 4096
 PART_ROWS = 256
 _PARTS = 64
 BROADCAST_IDS = 1_000_000
-SHORT_WORDS = 4
+SHORT_WORDS = 16
+LONG_WORD = 64
+SKETCHED = 1 << 16
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
+def word_hashes(w: Words) -> np.ndarray:
+    """A 64-bit hash of every word's bytes: eight bytes a step for all words, xxHash for the long ones."""
+    size = w.ends - w.starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    data = np.concatenate([w.data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each byte on
+    out = mix64(size)
+    at = np.flatnonzero(size <= LONG_WORD)
+    for step in range(0, LONG_WORD, 8):
+        left = size[at] - step
+        at, left = at[left > 0], left[left > 0]
+        if not len(at):
+            break
+        unused = (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+        out[at] = mix64(out[at] ^ (eight[w.starts[at] + step] << unused))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[w.starts[i]:w.ends[i]].data)
+    return out
+
+
 def shingle_sets(col: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every row."""
     w = find_words(col)
-    w = w._replace(data=LOWER[w.data])
-    ids, distinct = word_ids(w)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) for x in distinct), np.uint64, len(distinct))
-    code = hashes[ids] if len(ids) else np.zeros(0, np.uint64)
+    code = word_hashes(w._replace(data=LOWER[w.data]))
     n = len(code)
     rolled = np.zeros(n, np.uint64)
     for k in range(width):
         rolled[:max(0, n - k)] = rolled[:max(0, n - k)] * _B + code[k:]
     rolled = mix64(rolled)
-    for lo, hi in zip(w.word_off[:-1].tolist(), w.word_off[1:].tolist()):
+    spans = list(zip(w.word_off[:-1].tolist(), w.word_off[1:].tolist()))
+    for lo, hi in spans:
+        rolled[lo:max(lo, hi - width + 1)].sort()
+    fresh = np.append(True, rolled[1:] != rolled[:-1])
+    for lo, hi in spans:
         if hi - lo >= width:
-            yield np.unique(rolled[lo:hi - width + 1])
+            fresh[lo] = True
+            yield rolled[lo:hi - width + 1][fresh[lo:hi - width + 1]]
         elif hi > lo:
             whole = np.array([hi - lo], np.uint64)
             for c in code[lo:hi]:
@@ -130,39 +155,62 @@ class Bands:
 
 
 def sketch_keys(s: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places) of one set.
+    """(keys, places) of one set, as ``sketches`` gives them."""
+    _, keys, places = sketches([s], counts, bands)
+    return keys, places
+
+
+def sketches(sets: list[np.ndarray], counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the set, key, place) of many sets.
 
     A key mixes (band, seed, part, parity).  A place is ``n << 32 | before``:
     the size of the set, and how many parts of exactly one element come before
     this one in the rarest-first order.
     """
-    out, places = [], []
-    freq = counts[s >> np.uint64(64 - (len(counts).bit_length() - 1))]
-    for j in bands.of(len(s)):
-        parts, most = bands.shape(j)
-        for seed in range(SEEDS):
-            h = mix64(s ^ np.uint64(seed))
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            part, h = part[order], mix64(h[order])
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            value, rarest, part = np.bitwise_xor.reduceat(h, first), np.minimum.reduceat(freq[order], first), part[first]
-            single = np.diff(np.append(first, len(h))) == 1
-            salt = mix64(np.array([(j << 8) | seed]))[0]
-            keys = mix64(value ^ mix64(part ^ salt))
-            enough = len(keys) > most
-            given = np.lexsort((keys, rarest))[:most + 1 if enough else None]
-            out.append(keys[given])
-            places.append((len(s) << 32) + np.cumsum(single[given]) - single[given])
-            if enough:
-                break
-            if seed == SEEDS - 1:  # an empty part says nothing of what comes before
-                empty = mix64(mix64(np.setdiff1d(np.arange(parts, dtype=np.uint64), part) ^ salt))
-                out.append(empty)
-                places.append(np.full(len(empty), len(s) << 32))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(places).astype(np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    at = np.cumsum(sizes) - sizes
+    of = {n: bands.of(n) for n in set(sizes.tolist())}
+    # an entry is one band of one set
+    doc = np.repeat(np.arange(len(sets)), [len(of[n]) for n in sizes.tolist()])
+    band = np.array([j for n in sizes.tolist() for j in of[n]], np.int64)
+    shapes = {j: bands.shape(j) for j in set(band.tolist())}
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    every = np.concatenate(sets) if len(doc) else None
+    for seed in range(SEEDS):
+        if not len(doc):
+            break
+        parts, most = np.array([shapes[j] for j in band.tolist()], np.int64).T
+        size, base = sizes[doc], np.cumsum(parts) - parts
+        entry = np.repeat(np.arange(len(doc)), size)
+        s = every[np.arange(len(entry)) + (at[doc] - (np.cumsum(size) - size))[entry]]
+        h = mix64(s ^ np.uint64(seed))
+        part = base[entry] + (((h >> np.uint64(32)) * parts.astype(np.uint64)[entry]) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part)
+        part, h = part[order], mix64(h[order])
+        freq = counts[s[order] >> np.uint64(64 - (len(counts).bit_length() - 1))]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        value, rarest = np.bitwise_xor.reduceat(h, first), np.minimum.reduceat(freq, first)
+        entry, part = entry[order[first]], part[first]
+        single = np.diff(np.append(first, len(h))) == 1
+        salt = mix64((band << 8) | seed)
+        keys = mix64(value ^ mix64((part - base[entry]).astype(np.uint64) ^ salt[entry]))
+        found = np.bincount(entry, minlength=len(doc))
+        enough = found > most
+        given = np.lexsort((keys, (entry << 16) | rarest))  # entries stay in their order
+        start = np.cumsum(found) - found
+        single = single[given]
+        before = np.cumsum(single) - single
+        before -= before[start][entry]
+        few = (np.arange(len(entry)) - start[entry] <= most[entry]) | ~enough[entry]
+        out.append((doc[entry[few]], keys[given[few]], (size[entry[few]] << 32) + before[few]))
+        if seed == SEEDS - 1:  # an empty part says nothing of what comes before
+            for e in np.flatnonzero(~enough).tolist():
+                full = (part - base[e])[entry == e].astype(np.uint64)
+                empty = mix64(mix64(np.setdiff1d(np.arange(parts[e], dtype=np.uint64), full) ^ salt[e]))
+                out.append((np.full(len(empty), doc[e]), empty, np.full(len(empty), size[e] << 32)))
+        doc, band = doc[~enough], band[~enough]
+    number, keys, places = (np.concatenate(x) for x in zip(*out))
+    return number, keys, places.astype(np.int64)
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
@@ -251,12 +299,15 @@ def key_rows(texts: DataFrame, counts: np.ndarray, similarity: tuple[int, int] =
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if digest not in known:
                     known.add(digest)
-                    fresh.append((i, *sketch_keys(s, counts, bands)))
-            if fresh:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([k for _, k, _ in fresh]).view(np.int64)),
-                     pa.array(np.repeat(np.array([i for i, _, _ in fresh], np.int64), [len(k) for _, k, _ in fresh])),
-                     pa.array(np.concatenate([p for _, _, p in fresh]))], names=["key", "id", "place"])
+                    fresh.append((i, s))
+            # a few sets at a time, so that the arrays stay small
+            run_of = np.cumsum([len(s) for _, s in fresh]) // SKETCHED
+            for some in np.split(np.arange(len(fresh)), np.flatnonzero(np.diff(run_of)) + 1):
+                if len(some):
+                    number, keys, places = sketches([fresh[k][1] for k in some], counts, bands)
+                    ids_here = np.array([fresh[k][0] for k in some], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids_here[number]), pa.array(places)],
+                                                     names=["key", "id", "place"])
 
     return texts.filter("id is not null").mapInArrow(run, "key long, id long, place long")
 

@@ -175,6 +175,27 @@ def test_first_candidates_are_no_more_than_the_members(spark, parts):
     assert {(r.a, r.before_a) for r in got.select("a", "before_a").distinct().collect()} == {(0, 0), (301, 0)}
 
 
+def test_short_sketches_tell_apart_large_sets(spark):
+    """256 bits are half full from 256 differences on, so pairs of large sets all came out as candidates."""
+    rng = np.random.default_rng(9)
+    a = np.unique(rng.integers(0, 2**63, 1200).astype(np.uint64))
+    b = np.unique(np.concatenate([a[:800], rng.integers(0, 2**63, 400).astype(np.uint64)]))
+    rows = [(1, i, len(s), 0, 1, i, i, J.short_sketch(J.bit_sketch(s)).tolist()) for i, s in enumerate([a, b, a[100:]])]
+    groups = spark.createDataFrame(rows, "key long, id long, n long, before long, parts long, rank long, comp long, short array<long>")
+    assert {tuple(r)[:2] for r in J.candidates(groups, J.SIMILARITY, (0, 16)).collect()} == {(0, 2)}
+
+
+@pytest.mark.parametrize("common_share", [0.0, 0.5, 1.0])
+def test_many_sets_give_the_keys_of_each(common_share):
+    rng = np.random.default_rng(4)
+    counts = np.where(rng.random(J.COUNTERS) < common_share, rng.integers(1, 900, J.COUNTERS), 0).astype(np.uint16)
+    sets = [s for pair in similar_sets(rng, 60) for s in pair] + [np.zeros(0, np.uint64)]
+    number, keys, places = J.sketches(sets, counts, J.Bands())
+    for i, s in enumerate(sets):
+        one = J.sketch_keys(s, counts, J.Bands())
+        assert sorted(zip(keys[number == i], places[number == i])) == sorted(zip(*one))
+
+
 def test_rows_to_drop_are_sent_to_the_texts(spark):
     """The texts were shuffled to be joined with the ids to drop, as soon as these were more than Spark's own limit."""
     df = spark.createDataFrame([(i, f"{i % 5} b c d e f g") for i in range(20)], "doc_id long, text string")
@@ -186,3 +207,11 @@ def test_rows_to_drop_are_sent_to_the_texts(spark):
         assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_word_hashes_know_every_byte_and_the_length():
+    words = ["a", "b", "ab", "ba", "a\0", "\0a", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 64, "x" * 65, "x" * 66,
+             "y" * 63 + "x", "y" * 64, "y" * 64 + "x", "\u00e9", "e"]
+    one = [J.word_hashes(J.find_words(pa.array([w])))[0] for w in words]
+    together = J.word_hashes(J.find_words(pa.array([" ".join(words) + "\n" + words[0]])))
+    assert len(set(one)) == len(words) and together.tolist() == [*one, one[0]]
