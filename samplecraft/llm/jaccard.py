@@ -75,7 +75,7 @@ LONG_GROUP = 4096
 PART_ROWS = 256
 _PARTS = 64
 BROADCAST_IDS = 1_000_000
-SHORT_WORDS = 16
+SHORT_WORDS = 4
 LONG_WORD = 64
 SKETCHED = 1 << 16
 _B = np.uint64(0xD6E8FEB86659FD93)
