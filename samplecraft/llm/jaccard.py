@@ -33,7 +33,10 @@ parts before, which tests no pair less and repeats few.  A group is linked to
 one member first, the one with the fewest parts before; when the links found make it one
 component it is done.  Only groups that still hold several components go on,
 with 15, 240, ... more centres, until every pair in them is tested or
-connected.  A candidate must pass its sizes and the Hamming distance of two
+connected.  Two members meet in many groups, but are a candidate in the first
+only: each has a list of other groups it is in with fewer parts before, and of
+two that have one in common in their lists it was the place to meet.  A
+candidate must pass its sizes and the Hamming distance of two
 short parity bit sketches, also a lower bound of the symmetric difference, and
 is then verified on the whole sets.  Groups of more than ``PART_ROWS`` rows are
 ranked in parts, and no key's rows have to meet in one task after the first
@@ -72,6 +75,7 @@ COUNTERS = 1 << 20
 _BLOCKS = 64
 MORE_CENTRES = 16
 LONG_GROUP = 4096
+SEEN_GROUPS = 16
 PART_ROWS = 256
 _PARTS = 64
 BROADCAST_IDS = 1_000_000
@@ -434,15 +438,38 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SI
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows, stored, of groups with several components."""
+    """The rows, stored, of groups with several components, with the ``size`` of their group."""
+    rows = rows.drop("size")
     several = (rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
-               .filter("lo <> hi").select("key", "c"))
+               .filter("lo <> hi").select("key", "c", F.col("c").alias("size")))
     several = stored(several, "several")
     out = stored(join_counted(rows, several, "key", "c", rows.count(), "inner"), "groups")
     forget(several)
     return out
 
 
+def _seen(groups: DataFrame) -> DataFrame:
+    """(id, n, top): the ``SEEN_GROUPS`` largest groups of every member."""
+    largest = Window.partitionBy("id", "n").orderBy(F.desc("size"), "before", "key")
+    few = groups.select("id", "n", "key", "before", "size", F.row_number().over(largest).alias("r")).filter(F.col("r") <= SEEN_GROUPS)
+    return few.groupBy("id", "n").agg(F.collect_list(F.struct("before", "key")).alias("top"))
+
+
+def with_sketches(groups: DataFrame, short: DataFrame) -> DataFrame:
+    """The rows with the ``short`` sketches of their ids and ``seen``: groups in which the member comes before this one.
+
+    The order of a member's groups is (before, key).  Two members that have a group in
+    both of their lists have no more parts before there, each, than here, so
+    they were a candidate there if they are one here.  Of the groups in which they are,
+    the one with the smallest (sum of the two ``before``, key) has no such group before
+    it: they are a candidate there at least, whichever groups the lists hold.
+    """
+    of_member = _seen(groups).join(short, "id")
+    earlier = F.filter("top", lambda g: (g["before"] < F.col("before")) | ((g["before"] == F.col("before")) & (g["key"] < F.col("key"))))
+    return (groups.join(of_member, ["id", "n"])
+            .withColumn("seen", F.transform(earlier, lambda g: g["key"])).drop("top"))
+
+
 def candidates(groups: DataFrame, similarity: tuple[int, int], ranks: tuple[int, int] | None = None) -> DataFrame:
     """(a, b, before_a): centres and the members of their groups, of other components, that may be similar to them.
 
@@ -463,6 +490,7 @@ def candidates(groups: DataFrame, similarity: tuple[int, int], ranks: tuple[int,
             (den + num) * (F.col("before") + F.col("before_a")) <= most]
     if ranks is not None:
         near.append(F.col("rank") > F.col("rank_a"))
+        near.append(~F.arrays_overlap("seen", "seen_a"))  # else they met in another group
         near.append((den + num) * _hamming(F.col("short"), F.col("short_a")) <= most)
     return groups.join(centres, "key").filter(functools.reduce(lambda x, y: x & y, near)).select(
         F.col("id_a").alias("a"), F.col("id").alias("b"), "before_a")
@@ -529,7 +557,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             short = sets.groupBy("id").agg(F.first("short").alias("short"), F.count(F.lit(1)).alias("texts"))
             # an id with several texts has no one sketch: its distance is taken as nothing
             one_text = F.when(F.col("texts") == 1, F.col("short")).otherwise(F.array().cast("array<long>"))
-            sketched = stored(groups.join(short.select("id", one_text.alias("short")), "id"), "groups")
+            sketched = stored(with_sketches(groups, short.select("id", one_text.alias("short"))), "groups")
             forget(groups)
             groups = sketched
         else:

@@ -205,3 +205,46 @@ def test_word_hashes_know_every_byte_and_the_length():
     one = [J.word_hashes(J.find_words(pa.array([w])))[0] for w in words]
     together = J.word_hashes(J.find_words(pa.array([" ".join(words) + "\n" + words[0]])))
     assert len(set(one)) == len(words) and together.tolist() == [*one, one[0]]
+
+
+@pytest.mark.parametrize("seen", [1, 3, 100])
+def test_candidates_of_any_list_of_groups_are_all_pairs(spark, monkeypatch, seen):
+    monkeypatch.setattr(J, "SEEN_GROUPS", seen)
+    r = random.Random(seen)
+    members = [(i, 100 + i % 3) for i in range(14)] + [(0, 104), (3, 99)]  # two ids have texts of two sizes
+    rows, want = [], set()
+    for key in range(-10, 10):
+        group = [(key, i, n, r.choice([0, 3, 3, 8, 12, 16])) for i, n in r.sample(members, r.randrange(2, 13))]
+        rows += [(*g, rank, g[1] % 9, len(group)) for rank, g in enumerate(sorted(group, key=lambda g: (g[3], g[1:])))]
+        want |= {(min(x[1], y[1]), max(x[1], y[1])) for x in group for y in group
+                 if x[1] % 9 != y[1] % 9 and 180 * (x[3] + y[3]) <= 20 * (x[2] + y[2])}
+    groups = spark.createDataFrame(rows, "key long, id long, n long, before long, rank long, comp long, size long")
+    short = groups.select("id", F.array().cast("array<long>").alias("short")).distinct()
+    got = [(min(p.a, p.b), max(p.a, p.b))
+           for p in J.candidates(J.with_sketches(groups, short), J.SIMILARITY, (0, 20)).collect()]
+    assert set(got) == want and len(want) > 20
+
+
+def test_pairs_that_meet_in_many_groups_are_few_candidates(spark, monkeypatch):
+    """Near texts that are not similar met in each group that both are in, and were a candidate in every one."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(24):
+        some = list(words)
+        for at in r.sample(range(400), 6):  # of 396 shingles 30 are its own: pairs are at 0.74 or so
+            some[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(some)))
+    monkeypatch.setattr(J, "SEEN_GROUPS", 400, raising=False)  # lists of all groups
+    made, plain = [], J.candidates
+
+    def counted(groups, similarity, ranks=None):
+        out = plain(groups, similarity, ranks)
+        if ranks is not None:
+            made.append((out.count(), out.select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(J, "candidates", counted)
+    got = sorted((tuple(x) for x in J.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert sum(d for _, d in made) > 20 and sum(n for n, _ in made) <= 2 * sum(d for _, d in made), made
