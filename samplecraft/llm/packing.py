@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path, ship_package
+from ..session import ship_package
+from .components import stored
 from .text import LOWER, find_words, sub_batches, word_ids
 
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 500_000
+TEXT_BYTES = 512 << 10  # of text at once: the arrays over its bytes, words and tokens take some 50 times that
 _BLOCK = 2000
 RANK_ROWS = 65_536
 _END_OF_WORD = "</w>"
@@ -197,7 +199,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     def run(batches):
         tok = WordTokenizer.of(tokenizer_path)
         for whole in batches:
-            for batch in sub_batches(whole, "text"):
+            for batch in sub_batches(whole, "text", TEXT_BYTES):
                 ids, off = tok.encode_column(batch.column(1), end_id)
                 n = np.diff(off)
                 count = -(-n // capacity)
@@ -304,16 +306,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` column.
 
     The pieces are written once to the scratch folder, so that every later
-    reader, also a retried task, ranks the same rows in the same order.
+    reader, also a retried task, ranks the same rows in the same order.  That
+    job runs the tokenizer, with the small Arrow batches of ``stored``.
     """
     spark = pieces.sparkSession
     ship_package(spark)
-    path = scratch_path(spark, "pieces")
-    pieces.write.parquet(path)
     extra = [c for c in pieces.columns if c != "ids"]
-    stored = spark.read.schema(pieces.schema).parquet(path)
-    place = stored.select("*", F.col("_metadata.file_name").alias("_pk_file"),
-                          F.col("_metadata.row_index").alias("_pk_row"))
+    place = stored(pieces, "pieces").select("*", F.col("_metadata.file_name").alias("_pk_file"),
+                                             F.col("_metadata.row_index").alias("_pk_row"))
     place = place.withColumn("_pk_block", F.floor(F.col("_pk_row") / RANK_ROWS))
     keys = ["length", "_pk_file", "_pk_block"]
     counts = place.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pk_n"))

@@ -117,3 +117,34 @@ def test_known_words_are_kept_in_arrays(monkeypatch, tok):
     assert len(t.words) == len(t.lens) == len(t.slots) >= 50
     assert all(sys.getsizeof(v) < 10_000 for v in vars(t).values() if isinstance(v, (dict, list, set)))
     assert not any(isinstance(v, (dict, set)) and len(v) >= 50 for v in vars(t).values())
+
+
+def test_tokenizing_job_has_small_arrow_batches(spark, monkeypatch):
+    """The job that writes the pieces is the one that runs the tokenizer: its batches are bounded in bytes."""
+    from samplecraft.llm import components
+    monkeypatch.setattr(components, "ARROW_BYTES", 4096)
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(400)], "doc_id long, text string").coalesce(1)
+
+    def batch_rows(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b.num_rows] * b.num_rows, pa.int64())], names=["doc_id", "length"])
+
+    got = packing.pack(docs.mapInArrow(batch_rows, "doc_id long, length long"), 2048).select("doc_id", "length").collect()
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    assert max(r.length for r in got) < 100
+
+
+def test_arrays_of_a_slice_are_small(tok):
+    import tracemalloc
+    import pyarrow as pa
+    from samplecraft.llm.text import sub_batches
+    t = packing.WordTokenizer(tokenizer_path())
+    batch = pa.RecordBatch.from_pydict({"text": ["some words, of a text; " * 100] * 2000})
+    tracemalloc.start()
+    try:
+        for b in sub_batches(batch, "text", packing.TEXT_BYTES):
+            t.encode_column(b.column(0), 0)
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
