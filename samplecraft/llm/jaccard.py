@@ -10,10 +10,10 @@ most d parts differ.  ``p`` and ``d`` depend on the size band of the smaller
 set; a document gives parts for its own band and, where it can be the larger
 set, for the band below.
 
-Which parts are given: the d + 1 rarest of those that are not empty, rarest
-first by the corpus's count (a table of fixed size over all documents) of the
+Which parts are given: the d + 1 rarest of those that are not empty (with the d
+of the set's own size, which is no more than the band's), rarest first by the corpus's count (a table of fixed size over all documents) of the
 rarest shingle inside, then by the part's value.  That order is the same for
-all documents.  Of a similar pair at most d parts of either set are not shared,
+all documents.  Of a similar pair no more parts of either set are not shared than either's d,
 so the rarest shared part is among the first d + 1 of both: they meet, and
 shared lines and passages bring almost nobody else together.  A set with fewer
 than d + 1 parts that are not empty gives all of them and goes on with another
@@ -78,6 +78,7 @@ LONG_GROUP = 4096
 SEEN_GROUPS = 16
 PART_ROWS = 256
 _PARTS = 64
+_BEFORE = 0xFFFF
 BROADCAST_IDS = 1_000_000
 SHORT_WORDS = 4
 LONG_WORD = 64
@@ -146,6 +147,13 @@ class Bands:
         most = (self.lows[j + 1] - 1) * (self.den - self.num) // self.num
         return 12 * most + 4, most
 
+    def most(self, size: int, j: int) -> int:
+        """The most parts of band ``j`` that can differ for pairs that a set of this size is in: ``shape``'s or fewer."""
+        top = self.lows[j + 1] - 1
+        if size <= top:  # whatever the other's size is
+            return size * (self.den - self.num) // self.num
+        return (size + top) * (self.den - self.num) // (self.den + self.num)
+
     def of(self, size: int) -> list[int]:
         """The bands in which a set of this size can be one of a pair, but for equal sets."""
         j = bisect_right(self.lows, size) - 1
@@ -177,14 +185,16 @@ def sketches(sets: list[np.ndarray], counts: np.ndarray, bands: Bands) -> tuple[
     # an entry is one band of one set
     doc = np.repeat(np.arange(len(sets)), [len(of[n]) for n in sizes.tolist()])
     band = np.array([j for n in sizes.tolist() for j in of[n]], np.int64)
-    shapes = {j: bands.shape(j) for j in set(band.tolist())}
+    width = {j: bands.shape(j)[0] for j in set(band.tolist())}
+    limit = {(n, j): bands.most(n, j) for n in of for j in of[n]}
     out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     every = np.concatenate(sets) if len(doc) else None
     for seed in range(SEEDS):
         if not len(doc):
             break
-        parts, most = np.array([shapes[j] for j in band.tolist()], np.int64).T
+        parts = np.array([width[j] for j in band.tolist()], np.int64)
         size, base = sizes[doc], np.cumsum(parts) - parts
+        most = np.array([limit[e] for e in zip(size.tolist(), band.tolist())], np.int64)
         entry = np.repeat(np.arange(len(doc)), size)
         s = every[np.arange(len(entry)) + (at[doc] - (np.cumsum(size) - size))[entry]]
         h = mix64(s ^ np.uint64(seed))
@@ -242,6 +252,11 @@ def _sets(batches) -> Iterator[tuple[list, list[np.ndarray]]]:
             yield b.column(0).to_pylist(), list(shingle_sets(b.column(1)))
 
 
+def _narrow(block: np.ndarray) -> bytes:
+    """The numbers in the fewest bytes each that hold the largest."""
+    return block.astype(np.min_scalar_type(int(block.max()))).tobytes()
+
+
 def describe(texts: DataFrame) -> DataFrame:
     """One pass: (id, n, digest) per row, and per task the blocks of its shingle count table."""
 
@@ -261,7 +276,7 @@ def describe(texts: DataFrame) -> DataFrame:
             if block.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()),
-                     pa.array([k], pa.int32()), pa.array([block.tobytes()], pa.binary())],
+                     pa.array([k], pa.int32()), pa.array([_narrow(block)], pa.binary())],
                     names=["id", "n", "digest", "block", "counts"])
 
     return texts.mapInArrow(run, "id long, n long, digest binary, block int, counts binary")
@@ -279,7 +294,7 @@ def shingle_counts(blocks: DataFrame) -> np.ndarray:
                     if now is not None:
                         yield pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "counts": [total.tobytes()]})
                     now, total = k, np.zeros(COUNTERS // _BLOCKS, np.uint64)
-                total += np.frombuffer(raw, np.uint32)
+                total += np.frombuffer(raw, f"u{len(raw) // len(total)}")
         if now is not None:
             yield pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "counts": [total.tobytes()]})
 
@@ -293,7 +308,12 @@ def shingle_counts(blocks: DataFrame) -> np.ndarray:
 
 
 def key_rows(texts: DataFrame, counts: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(key, id, place): the given sketch parts of every set, of equal sets in a task those of the first."""
+    """(key, id): the given sketch parts of every set, of equal sets in a task those of the first.
+
+    Nearly all of them are in one set only, so the rows are kept short: ``key``
+    is 48 bits of the part's key, then 16 of how many parts come ``before`` (a
+    lower bound of them, as every use needs).
+    """
 
     def run(batches):
         bands, known = Bands(similarity), set()
@@ -310,40 +330,43 @@ def key_rows(texts: DataFrame, counts: np.ndarray, similarity: tuple[int, int] =
                 if len(some):
                     number, keys, places = sketches([fresh[k][1] for k in some], counts, bands)
                     ids_here = np.array([fresh[k][0] for k in some], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids_here[number]), pa.array(places)],
-                                                     names=["key", "id", "place"])
+                    before = np.minimum(places & 0xFFFFFFFF, _BEFORE).astype(np.uint64)
+                    keys = (keys & ~np.uint64(_BEFORE)) | before
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids_here[number])],
+                                                     names=["key", "id"])
 
-    return texts.filter("id is not null").mapInArrow(run, "key long, id long, place long")
+    return texts.filter("id is not null").mapInArrow(run, "key long, id long")
 
 
 def shared_groups(rows: DataFrame) -> DataFrame:
-    """(key, id, n, before, parts) of the keys that two or more rows have; keys with the same members are one.
+    """(key, id, before, parts) of the keys that two or more rows have; keys with the same members are one.
 
     ``key`` then is a hash of the members (two groups that collide are only
     tested together).  The rows of a key with more than ``LONG_GROUP`` stream
     on under the key itself, to be ranked in ``parts``.
     """
 
-    def out(key, ids, place, parts):
+    def out(key, ids, before, parts):
         return pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(ids), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF),
-             pa.array(np.broadcast_to(parts, len(ids)).astype(np.int64))], names=["key", "id", "n", "before", "parts"])
+            [pa.array(key.view(np.int64)), pa.array(ids), pa.array(before),
+             pa.array(np.broadcast_to(parts, len(ids)).astype(np.int64))], names=["key", "id", "before", "parts"])
 
     def whole(k, d, p):
         """Complete short groups."""
-        fresh = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
+        fresh = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
         k, d, p = k[fresh], d[fresh], p[fresh]
         head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         size = np.diff(np.append(head, len(k)))
-        member = mix64(d.view(np.uint64) ^ mix64(p >> 32))
-        name = mix64(np.bitwise_xor.reduceat(member, head) + size.astype(np.uint64))
+        name = mix64(np.bitwise_xor.reduceat(mix64(d), head) + size.astype(np.uint64))
         many = np.repeat(size > 1, size)
         return out(np.repeat(name, size)[many], d[many], p[many], np.repeat(-(-size // PART_ROWS), size)[many])
 
     def run(batches):
         rest, long_key = [np.zeros(0, np.int64)] * 3, None
         for b in batches:
-            k, d, p = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
+            key = b.column(0).to_numpy().view(np.uint64)
+            new = (key >> np.uint64(16)).astype(np.int64), b.column(1).to_numpy(), (key & np.uint64(_BEFORE)).astype(np.int64)
+            k, d, p = (np.concatenate(x) for x in zip(rest, new))
             if not len(k):
                 continue
             if long_key is not None:
@@ -370,9 +393,10 @@ def shared_groups(rows: DataFrame) -> DataFrame:
             if got.num_rows:
                 yield got
 
-    groups = (rows.repartition("key").sortWithinPartitions("key", "id", "place")
-              .mapInArrow(run, "key long, id long, n long, before long, parts long"))
-    return groups.groupBy("key", "id", "n").agg(F.min("before").alias("before"), F.max("parts").alias("parts"))
+    part = F.shiftrightunsigned("key", 16)
+    groups = (rows.repartition(part).sortWithinPartitions(part, "id", "key")
+              .mapInArrow(run, "key long, id long, before long, parts long"))
+    return groups.groupBy("key", "id").agg(F.min("before").alias("before"), F.max("parts").alias("parts"))
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -406,9 +430,9 @@ def _hamming(x: Column, y: Column) -> Column:
 
 
 def _few_sent(ids: DataFrame) -> DataFrame:
-    """The distinct ids; few are broadcast, so the sets or texts they are joined with are not shuffled."""
+    """The distinct rows, of a few numbers each; few are broadcast, so what they are joined with is not shuffled."""
     ids = ids.distinct()
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids  # 8 MB
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids  # 8 MB a column
 
 
 def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -443,7 +467,10 @@ def _open(rows: DataFrame) -> DataFrame:
     several = (rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"))
                .filter("lo <> hi").select("key", "c", F.col("c").alias("size")))
     several = stored(several, "several")
-    out = stored(join_counted(rows, several, "key", "c", rows.count(), "inner"), "groups")
+    if several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        out = stored(rows.join(F.broadcast(several.drop("c")), "key"), "groups")
+    else:
+        out = stored(join_counted(rows, several, "key", "c", rows.count(), "inner"), "groups")
     forget(several)
     return out
 
@@ -517,8 +544,10 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = named.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y")
     one = copies.join(several, "id", "left_anti").groupBy("id").agg(F.min("rep").alias("rep"))
     shared = stored(shared_groups(key_rows(texts, counts, similarity)), "shared-keys")
-    groups = (shared.join(one, "id", "left").withColumn("id", F.coalesce("rep", "id"))
-              .groupBy("key", "id", "n").agg(F.min("before").alias("before"), F.max("parts").alias("parts")))
+    groups = (shared.join(_few_sent(one), "id", "left").withColumn("id", F.coalesce("rep", "id"))
+              .groupBy("key", "id").agg(F.min("before").alias("before"), F.max("parts").alias("parts")))
+    # an id with several texts is in each of its groups with the size of each text
+    groups = groups.join(named.select("id", "n").distinct(), "id")
     # a rank of its own for each row of a group, the fewest parts before first
     part = F.pmod(F.xxhash64("id", "n"), "parts")
     in_part = F.row_number().over(Window.partitionBy("key", "part").orderBy("before", "id", "n")) - 1
@@ -546,7 +575,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                    .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
             comp = components(met)
             new = comp.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
-            merged = stored(groups.join(new, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new"), "groups")
+            merged = stored(groups.join(_few_sent(new), "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new"), "groups")
             forget(groups, comp)
             groups = _open(merged)
             forget(merged)

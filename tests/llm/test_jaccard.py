@@ -248,3 +248,36 @@ def test_pairs_that_meet_in_many_groups_are_few_candidates(spark, monkeypatch):
     got = sorted((tuple(x) for x in J.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
     assert sum(d for _, d in made) > 20 and sum(n for n, _ in made) <= 2 * sum(d for _, d in made), made
+
+
+def test_a_set_gives_no_more_parts_than_its_own_size_needs():
+    """Every set of a band gave as many as the band's largest needs."""
+    rng = np.random.default_rng(12)
+    bands, counts = J.Bands(), np.zeros(J.COUNTERS, np.uint16)
+    for n in (60, 200, 333, 500, 1000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        keys, _ = J.sketch_keys(s, counts, bands)
+        assert len(keys) <= len(bands.of(n)) * (n // 4 + 1)
+
+
+def test_key_rows_are_two_numbers_and_keep_what_comes_before(spark):
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 300))) for i in range(3)], "id long, text string")
+    rows = J.key_rows(texts, np.zeros(J.COUNTERS, np.uint16))
+    assert rows.columns == ["key", "id"]
+    want = {}
+    for r in texts.collect():
+        keys, places = J.sketch_keys(next(J.shingle_sets(pa.array([r.text]))), np.zeros(J.COUNTERS, np.uint16), J.Bands())
+        for k, p in zip(keys.tolist(), (places & 0xFFFFFFFF).tolist()):
+            want.setdefault(k >> 16, {})[r.id] = p
+    groups = J.shared_groups(rows).collect()
+    got = sorted((r.id, r.before) for r in groups)
+    assert got and {b for _, b in got} - {0}
+    firsts = [g for g in want.values() if len(g) > 1]
+    assert {(i, b) for g in firsts for i, b in g.items()} >= set(got)
+
+
+def test_count_blocks_are_as_wide_as_their_numbers(spark):
+    texts = spark.createDataFrame([(i, "a b c d e" if i < 300 else f"a{i} b c d e") for i in range(500)], "id long, text string")
+    blocks = J.describe(texts.coalesce(1)).filter("block is not null")
+    assert {r.n for r in blocks.selectExpr("octet_length(counts) as n").collect()} == {J.COUNTERS // 64, 2 * J.COUNTERS // 64}
+    assert J.shingle_counts(blocks).max() == 300
