@@ -31,6 +31,7 @@ DUP_LINE_CHAR_LIMIT = 0.30
 SYMBOLS_PER_WORD = 0.1
 MIN_WORDS = 50
 WINDOW = 3
+TEXT_BYTES = 512 << 10  # of text at once, as the arrays of its words take many times that
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +144,7 @@ def repetition_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for whole in batches:
-            for batch in sub_batches(whole, "text"):
+            for batch in sub_batches(whole, "text", TEXT_BYTES):
                 m = measure(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(m[f].astype(np.int64)) for f in FIELDS]],
                                                  names=["doc_id", *FIELDS])
@@ -177,7 +178,8 @@ def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<" + ",".join(f"{f}:long" for f in FIELDS) + ">")
     def counts(text: pa.Array) -> pa.Array:
-        parts = [measure(b.column(0)) for b in sub_batches(pa.RecordBatch.from_arrays([text], names=["text"]), "text")]
+        whole = pa.RecordBatch.from_arrays([text], names=["text"])
+        parts = [measure(b.column(0)) for b in sub_batches(whole, "text", TEXT_BYTES)]
         columns = [np.concatenate([np.zeros(0, np.int64), *(m[f] for m in parts)]).astype(np.int64) for f in FIELDS]
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=FIELDS)
 

@@ -114,3 +114,18 @@ print(held())
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
     assert int(out.stdout) < 130
+
+
+def test_arrays_of_a_slice_are_small():
+    import tracemalloc
+    import pyarrow as pa
+    from samplecraft.llm import quality
+    from samplecraft.llm.text import sub_batches
+    batch = pa.RecordBatch.from_pydict({"text": ["some words, of a text; " * 100] * 1000})
+    tracemalloc.start()
+    try:
+        for b in sub_batches(batch, "text", quality.TEXT_BYTES):
+            quality.measure(b.column(0))
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
